@@ -18,27 +18,44 @@ def broadcast_dim(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFram
     table is returned unhinted and Spark joins by shuffle (AQE may still
     switch to a broadcast at run time from measured sizes).
     """
-    n = df.count()
+    try:
+        key = (id(df.sparkSession), df.semanticHash())
+    except Exception:  # pragma: no cover - plans without a semantic hash
+        key = None
+    n = _DIM_ROWS.get(key) if key else None
+    if n is None:
+        n = df.count()
+        if key:
+            _DIM_ROWS[key] = n
     return F.broadcast(df) if n <= max_rows else df
 
 
+# Row counts of dimension plans already checked in this process. The count
+# only steers the join strategy, never the result.
+_DIM_ROWS: dict = {}
+
+
 def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A fixed small table from configuration values (size known up front)."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",
+                 weight: str | None = None) -> DataFrame:
     """Exact median per group without buffering a group in one aggregate.
 
     Values are first reduced to (group, value, frequency) with a partial
     aggregation; the middle rank is then found with a running count over the
     sorted distinct values (a spillable window sort). A hot group costs one
     sorted task over its *distinct* values, never a single in-memory buffer
-    of all its rows. Even counts average the two middle values.
+    of all its rows. Even counts average the two middle values. ``weight``
+    names a row-multiplicity column when the input is already a frequency
+    table.
     """
     keys = list(keys)
+    w = F.count(F.lit(1)) if weight is None else F.sum(weight)
     freq = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_f")))
+              .groupBy(*keys, value).agg(w.alias("_f")))
     w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     w_all = Window.partitionBy(*keys)
     ranked = (freq.withColumn("_cum", F.sum("_f").over(w_run))

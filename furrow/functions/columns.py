@@ -16,7 +16,7 @@ def _c(c: ColumnOrName) -> Column:
 
 def parse_number(c: ColumnOrName) -> Column:
     """Text with thousands commas -> double; bad text and NaN -> NULL."""
-    num = F.trim(F.regexp_replace(_c(c).cast("string"), ",", "")).try_cast("double")
+    num = F.trim(F.translate(_c(c).cast("string"), ",", "")).try_cast("double")
     return F.when(F.isnan(num), F.lit(None).cast("double")).otherwise(num)
 
 
@@ -91,10 +91,13 @@ def zero_to_null(c: ColumnOrName) -> Column:
 
 
 def midpoint_with_fallback(mostly_low: ColumnOrName, mostly_high: ColumnOrName,
-                           low: ColumnOrName, high: ColumnOrName) -> Column:
-    """Mean of the 'mostly' pair, else mean of low/high; both ends needed."""
-    ml, mh = parse_number(mostly_low), parse_number(mostly_high)
-    lo, hi = parse_number(low), parse_number(high)
+                           low: ColumnOrName, high: ColumnOrName, text: bool = True) -> Column:
+    """Mean of the 'mostly' pair, else mean of low/high; both ends needed.
+
+    ``text=True`` parses raw text prices first (bad text -> missing)."""
+    conv = parse_number if text else _c
+    ml, mh = conv(mostly_low), conv(mostly_high)
+    lo, hi = conv(low), conv(high)
     return F.coalesce((ml + mh) / 2.0, (lo + hi) / 2.0)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow import config as K
 from furrow.config import AnalysisConfig
@@ -59,16 +60,24 @@ def price_points(prices: DataFrame, price_map: DataFrame, cfg: AnalysisConfig) -
                       "high_price", "mostly_low_price", "mostly_high_price")
     p = p.where(F.col("organic") == cfg.organic_keep)
     p = _map_district(p, price_map)
-    fob = midpoint_with_fallback("mostly_low_price", "mostly_high_price", "low_price", "high_price")
+    price_cols = ("mostly_low_price", "mostly_high_price", "low_price", "high_price")
+    text = any(isinstance(p.schema[c].dataType, T.StringType) for c in price_cols)
+    fob = midpoint_with_fallback(*price_cols, text=text)
     return (p.select(week_ending_tuesday("report_date").alias("week_ending"), "district",
                      "commodity", fob.alias("fob_price"))
              .where(F.col("fob_price").isNotNull() & F.col("week_ending").isNotNull()))
 
 
 def prices_weekly(points: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """Mean, exact median and count over all reports plus the mean per commodity."""
-    by_type = points.groupBy(*KEY, "commodity").agg(
-        F.sum("fob_price").alias("_s"), F.count("fob_price").alias("_n"))
+    """Mean, exact median and count over all reports plus the mean per commodity.
+
+    The raw reports are shuffled once, into a (week, district, commodity,
+    price) frequency table; the per-type means and the exact median are both
+    derived from it (Spark reuses that exchange for both branches).
+    """
+    freq = points.groupBy(*KEY, "commodity", "fob_price").agg(F.count(F.lit(1)).alias("_f"))
+    by_type = freq.groupBy(*KEY, "commodity").agg(
+        F.sum(F.col("fob_price") * F.col("_f")).alias("_s"), F.sum("_f").alias("_n"))
     type_cols = [(F.sum(F.when(F.col("commodity") == c, F.col("_s")))
                   / F.sum(F.when(F.col("commodity") == c, F.col("_n"))))
                  .alias(f"price_{cfg.suffix(c)}") for c in cfg.commodities]
@@ -77,7 +86,7 @@ def prices_weekly(points: DataFrame, cfg: AnalysisConfig) -> DataFrame:
         F.sum("_n").alias("n_price_obs"),
         *type_cols,
     )
-    med = exact_median(points, KEY, "fob_price", "median_fob_price")
+    med = exact_median(freq, KEY, "fob_price", "median_fob_price", weight="_f")
     return weekly.join(med, KEY, "left")
 
 

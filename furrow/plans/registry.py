@@ -53,7 +53,7 @@ def _load():
     _LOADED = True
     # Import for side effects: each module registers its queries.
     from furrow.plans import q_panel  # noqa: F401
-    for mod in ("q_models", "q_ingest", "q_profile", "q_trees"):
+    for mod in ("q_models", "q_inference", "q_trees", "q_ingest", "q_profile", "q_sequence"):
         try:
             __import__(f"furrow.plans.{mod}")
         except ModuleNotFoundError as e:  # modules are added over time

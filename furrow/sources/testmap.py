@@ -7,9 +7,9 @@ the pipeline). Mapping (FIXTURES.md section 3):
 * shipments: one row per line item — week_ending = Tuesday week of the ship
   date, region = supplier region name, origin = supplier name, district (raw)
   = supplier nation name, commodity = part type, volumes = quantity.
-* prices: the same line items as daily price reports — report_date = ship
-  date, organic = return flag, low/high/mostly prices as text (the 'mostly'
-  pair is empty when the discount is 0).
+* prices: the same line items as daily price reports in the cleaned (silver)
+  price schema — report_date = ship date, organic = return flag, numeric
+  low/high/mostly prices (the 'mostly' pair is missing when the discount is 0).
 * weather: one daily reading per order — location = customer region name,
   date = order date, deterministic tmin/tmax/ppt formulas.
 * district maps: raw nation name -> region name (many to one).
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.functions.aggregates import broadcast_dim
 from furrow.functions.columns import week_ending_tuesday
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -34,8 +35,8 @@ def _supplier_geo(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return (s.join(n, s.s_nationkey == n.n_nationkey)
-             .join(r, n.n_regionkey == r.r_regionkey)
+    return (s.join(broadcast_dim(n), s.s_nationkey == n.n_nationkey)
+             .join(broadcast_dim(r), n.n_regionkey == r.r_regionkey)
              .select("s_suppkey", "s_name", "n_name", "r_name"))
 
 
@@ -43,8 +44,10 @@ def _line_items(spark, sf_dir, cols):
     li = table(spark, sf_dir, "lineitem").select(*cols)
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
     geo = _supplier_geo(spark, sf_dir)
-    return (li.join(geo, li.l_suppkey == geo.s_suppkey)
-              .join(p, li.l_partkey == p.p_partkey))
+    # Dimension sides are broadcast only below a checked row count; beyond it
+    # (supplier and part grow with the scale factor) Spark joins by shuffle.
+    return (li.join(broadcast_dim(geo), li.l_suppkey == geo.s_suppkey)
+              .join(broadcast_dim(p), li.l_partkey == p.p_partkey))
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +64,11 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily price report rows in the cleaned price-file schema (prices as text)."""
+    """Daily price report rows in the cleaned price schema (numeric prices)."""
     j = _line_items(spark, sf_dir, ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                                     "l_discount", "l_tax", "l_returnflag", "l_shipdate"])
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    mostly = F.when(F.col("l_discount") != 0, unit.cast("string")).otherwise(F.lit(""))
+    mostly = F.when(F.col("l_discount") != 0, unit)
     return j.select(
         F.to_date("l_shipdate").alias("report_date"),
         F.col("n_name").alias("district"),
@@ -74,8 +77,8 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("carton").alias("package"),
         F.col("p_size").cast("string").alias("item_size"),
         F.col("l_returnflag").alias("organic"),
-        (unit * (1 - F.col("l_discount"))).cast("string").alias("low_price"),
-        (unit * (1 + F.col("l_tax"))).cast("string").alias("high_price"),
+        (unit * (1 - F.col("l_discount"))).alias("low_price"),
+        (unit * (1 + F.col("l_tax"))).alias("high_price"),
         mostly.alias("mostly_low_price"),
         mostly.alias("mostly_high_price"),
     )
@@ -87,9 +90,10 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    j = (o.join(c, o.o_custkey == c.c_custkey)
-          .join(n, c.c_nationkey == n.n_nationkey)
-          .join(r, n.n_regionkey == r.r_regionkey))
+    geo = (c.join(broadcast_dim(n), c.c_nationkey == n.n_nationkey)
+            .join(broadcast_dim(r), n.n_regionkey == r.r_regionkey)
+            .select("c_custkey", "r_name"))
+    j = o.join(broadcast_dim(geo), o.o_custkey == geo.c_custkey)
     tmin = ((F.col("o_custkey") * 37) % 250) / 10.0 - 1.0
     return j.select(
         F.col("r_name").alias("location"),
