@@ -243,6 +243,9 @@ class AnalysisConfig:
     early_last_year: int
     periods: tuple[tuple[str, int, int], ...]
     organic_keep: str = "N"
+    organic_flag: str = "Y"  # the early/late price profile skips only this flag
+    price_early_last: int = 2015
+    price_late_first: int = 2020
     min_train_years: int = MIN_TRAIN_YEARS
     rolling_years: int = ROLLING_YEARS
     rolling_min_train: int = ROLLING_MIN_TRAIN
@@ -283,4 +286,6 @@ DRIVER = AnalysisConfig(
     extreme_year=2000,
     early_last_year=1999,
     periods=(("1995-1996", 1995, 1996), ("1997-1998", 1997, 1998), ("1999-2001", 1999, 2001)),
+    price_early_last=1996,
+    price_late_first=2000,
 )
