@@ -28,10 +28,12 @@ PRICE_COLUMNS = ["report_date", "district", "commodity"] + [c for c, _ in K.PRIC
 # ------------------------------------------------------------- shipments
 
 def read_shipments_positional(spark: SparkSession, path: str | Sequence[str],
-                              source_rank: int = 0) -> DataFrame:
+                              source_rank: int = 0, extra: Sequence[str] = ()) -> DataFrame:
     """Older shipment file — first six columns by position, header skipped,
-    further columns ignored; mixed date formats (P2); thousands commas (P1)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in SHIPMENT_COLUMNS])
+    further columns ignored unless named in ``extra`` (taken by position
+    after the six); mixed date formats (P2); thousands commas (P1)."""
+    names = SHIPMENT_COLUMNS + list(extra)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     raw = (spark.read.option("header", True).option("enforceSchema", True)
            .option("mode", "PERMISSIVE").schema(schema).csv(path))
     return raw.select(
@@ -40,13 +42,15 @@ def read_shipments_positional(spark: SparkSession, path: str | Sequence[str],
         parse_number("volumes").alias("volumes"),
         F.lit(source_rank).alias("source_rank"),
         F.monotonically_increasing_id().alias("row_seq"),
+        *extra,
     )
 
 
 def read_shipments_named(spark: SparkSession, path: str | Sequence[str],
-                         source_rank: int = 1, date_column: str = "tuesday_week_ending") -> DataFrame:
+                         source_rank: int = 1, date_column: str = "tuesday_week_ending",
+                         extra: Sequence[str] = ()) -> DataFrame:
     """Newer shipment file — columns by name, one renamed; region and origin
-    title-cased (P4); plain numeric coercion of volumes."""
+    title-cased (P4); plain numeric coercion of volumes; ``extra`` columns kept."""
     raw = spark.read.option("header", True).csv(path)
     vol = F.trim(F.col("volumes")).try_cast("double")
     return raw.select(
@@ -57,6 +61,7 @@ def read_shipments_named(spark: SparkSession, path: str | Sequence[str],
         F.when(~F.isnan(vol), vol).alias("volumes"),
         F.lit(source_rank).alias("source_rank"),
         F.monotonically_increasing_id().alias("row_seq"),
+        *extra,
     )
 
 

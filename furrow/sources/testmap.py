@@ -129,3 +129,33 @@ def feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "price_map": dm,
         "location_map": location_map(spark, sf_dir),
     }
+
+
+def shipment_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipment rows with their report identity (order key, line number)."""
+    j = _line_items(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                    "l_quantity", "l_shipdate"])
+    return j.select(
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"),
+        week_ending_tuesday("l_shipdate").alias("week_ending"),
+        F.col("r_name").alias("region"), F.col("s_name").alias("origin"),
+        F.col("n_name").alias("district"), F.col("p_type").alias("commodity"),
+        F.col("l_quantity").cast("double").alias("volumes"))
+
+
+def price_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price rows with a file rank (the yearly file) and a position in the file."""
+    j = _line_items(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                    "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                                    "l_returnflag", "l_shipdate"])
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    return j.select(
+        F.to_date("l_shipdate").alias("report_date"),
+        F.col("n_name").alias("district"), F.col("p_type").alias("commodity"),
+        F.col("p_brand").alias("variety"), F.lit("carton").alias("package"),
+        F.col("p_size").cast("string").alias("item_size"),
+        F.col("l_returnflag").alias("organic"),
+        (unit * (1 - F.col("l_discount"))).alias("low_price"),
+        (unit * (1 + F.col("l_tax"))).alias("high_price"),
+        F.year("l_shipdate").alias("file_rank"),
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("row_seq"))
