@@ -92,18 +92,22 @@ def prices_weekly(points: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 
 # ------------------------------------------------------------------ weather
 
-def weather_weekly(weather: DataFrame, location_map: DataFrame) -> DataFrame:
-    """Daily readings -> weekly means, extremes, sums, rainy days, flags."""
+def weather_daily(weather: DataFrame, location_map: DataFrame) -> DataFrame:
+    """Daily readings mapped to districts (unmapped dropped) with degree days."""
     lm = broadcast_dim(location_map.select(F.col("location").alias("_loc"), "district"))
     w = (weather.select("location", "date", "tmax", "tmin", "ppt")
                 .join(lm, F.col("location") == F.col("_loc"), "left")
                 .where(F.col("district").isNotNull()))
-    w = w.select(
-        week_ending_tuesday("date").alias("week_ending"), "district", "tmax", "tmin", "ppt",
+    return w.select(
+        "date", "district", "tmax", "tmin", "ppt",
         degree_days_above("tmax", K.HEAT_DAY_BASE).alias("dd_heat"),
         degree_days_below("tmin", K.FREEZE_DAY_BASE).alias("dd_freeze"),
-    ).where(F.col("week_ending").isNotNull())
-    g = w.groupBy(*KEY).agg(
+    )
+
+
+def weather_aggregates() -> list:
+    """Weekly aggregate expressions over daily rows (shared by batch and stream)."""
+    return [
         F.avg("tmax").alias("tmax_avg"),
         F.avg("tmin").alias("tmin_avg"),
         F.max("tmax").alias("tmax_max"),
@@ -113,7 +117,11 @@ def weather_weekly(weather: DataFrame, location_map: DataFrame) -> DataFrame:
         F.coalesce(F.sum("dd_heat"), F.lit(0.0)).alias("dd_heat"),
         F.coalesce(F.sum("dd_freeze"), F.lit(0.0)).alias("dd_freeze"),
         F.count("tmax").alias("n_weather_days"),
-    )
+    ]
+
+
+def weather_derived(g: DataFrame) -> DataFrame:
+    """Mean temperature, diurnal range and the three extreme-week flags."""
     return g.select(
         "*",
         ((F.col("tmax_avg") + F.col("tmin_avg")) / 2).alias("tmean_avg"),
@@ -124,6 +132,14 @@ def weather_weekly(weather: DataFrame, location_map: DataFrame) -> DataFrame:
     )
 
 
+def weather_weekly(weather: DataFrame, location_map: DataFrame) -> DataFrame:
+    """Daily readings -> weekly means, extremes, sums, rainy days, flags."""
+    d = weather_daily(weather, location_map)
+    d = d.select(week_ending_tuesday("date").alias("week_ending"), *[c for c in d.columns if c != "date"])
+    g = d.where(F.col("week_ending").isNotNull()).groupBy(*KEY).agg(*weather_aggregates())
+    return weather_derived(g)
+
+
 # -------------------------------------------------------------------- panel
 
 def weekly_panel(feeds: dict[str, DataFrame], cfg: AnalysisConfig) -> DataFrame:

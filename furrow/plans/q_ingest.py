@@ -10,6 +10,7 @@ from furrow import config as K
 from furrow.functions.columns import parse_number
 from furrow.operators.dedup import keep_first, keep_last, nulls_last
 from furrow.plans import oracle as O
+from furrow.plans.q_panel import WX_COLS
 from furrow.plans.registry import register
 from furrow.plans.spec import kinds
 from furrow.session import ensure_checkpoint_dir
@@ -98,3 +99,24 @@ def q_ingest_roundtrip(spark, sf_dir):
                                 name_fix=None)
     return merged.groupBy("week_ending", "district", "commodity").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("volumes").alias("volume"))
+
+
+@register("weather_weekly_stream", WX_COLS,
+          "WITH " + O.panel_cte().lstrip() + "\nSELECT * FROM wx_w")
+def q_weather_weekly_stream(spark, sf_dir):
+    """S8 / A5+A6 as a stream: the daily weather feed lands as one file per year
+    in the shared checkpoint folder and a Structured Streaming job (watermark,
+    Wednesday-aligned 7-day event-time windows, update mode, idempotent
+    per-batch output) maintains the weekly aggregates; the newest version of
+    every week must equal the batch result."""
+    from furrow.streaming import weather as SW
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    daily = testmap.weather(spark, sf_dir)
+    # One arrival file per year, appended in time order to the landing folder.
+    src = f"{base}/landing"
+    years = [r[0] for r in daily.select(F.year("date").alias("y")).distinct().orderBy("y").collect()]
+    for y in years:
+        daily.where(F.year("date") == y).coalesce(1).write.mode("append").parquet(src)
+    SW.run_weekly_weather(spark, src, testmap.location_map(spark, sf_dir), f"{base}/out",
+                          f"{base}/chk")
+    return SW.latest_weeks(spark, f"{base}/out")
