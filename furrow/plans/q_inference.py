@@ -61,8 +61,19 @@ def q_district_fit(spark, sf_dir):
     return _district(spark, sf_dir)[1]
 
 
+_TRANSITION_SQL = "WITH " + O.panel_cte().lstrip() + O.district_cte() + """
+SELECT series, transition_week, count(*) AS n,
+       count(*) / sum(count(*)) OVER (PARTITION BY series) AS share,
+       avg(dprice) AS mean_dprice, stddev_samp(dprice) AS sd_dprice, avg(has_price) AS mean_coverage
+FROM (SELECT *, price - price_lag1 AS dprice,
+             CASE WHEN """ + " OR ".join(f"week_of_year BETWEEN {a} AND {b}"
+                                        for a, b in K.TRANSITION_WEEKS) + """ THEN 1 ELSE 0 END
+               AS transition_week FROM dist)
+GROUP BY 1, 2"""
+
+
 @register("transition_split", kinds("series:str transition_week:int n:int share mean_dprice "
-                                    "sd_dprice mean_coverage"))
+                                    "sd_dprice mean_coverage"), _TRANSITION_SQL)
 def q_transition_split(spark, sf_dir):
     """Δprice mean / sd and share of rows inside vs outside transition weeks."""
     d = district_frame(spark, sf_dir)

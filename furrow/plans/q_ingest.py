@@ -10,7 +10,7 @@ from furrow import config as K
 from furrow.functions.columns import parse_number
 from furrow.operators.dedup import keep_first, keep_last, nulls_last
 from furrow.plans import oracle as O
-from furrow.plans.q_panel import WX_COLS
+from furrow.plans.q_panel import PANEL_COLS, WX_COLS
 from furrow.plans.registry import register
 from furrow.plans.spec import kinds
 from furrow.session import ensure_checkpoint_dir
@@ -120,3 +120,16 @@ def q_weather_weekly_stream(spark, sf_dir):
     SW.run_weekly_weather(spark, src, testmap.location_map(spark, sf_dir), f"{base}/out",
                           f"{base}/chk")
     return SW.latest_weeks(spark, f"{base}/out")
+
+
+@register("panel_table_roundtrip", PANEL_COLS,
+          "WITH " + O.panel_cte().lstrip() + "\nSELECT * FROM panel")
+def q_panel_table_roundtrip(spark, sf_dir):
+    """S9+O1: the weekly panel written as a year-partitioned Parquet table
+    (rows sorted by week and district inside each file) in the shared
+    checkpoint folder, then read back whole."""
+    from furrow.plans.q_panel import build_panel
+    path = f"{ensure_checkpoint_dir(spark)}/panel-{uuid.uuid4().hex}"
+    FD.write_table(build_panel(spark, sf_dir), path, partition_by=("year",),
+                   sort_by=("week_ending", "district"))
+    return spark.read.parquet(path)

@@ -43,8 +43,19 @@ def q_fold_scalers(spark, sf_dir):
     return Q.fold_scalers(u, ["series"], K.LEVEL_FEATURES, folds)
 
 
+_STD_SQL = _SCALER_SQL.replace("SELECT f.series, f.fold, l.feature", ",\nsc AS (\nSELECT f.series, f.fold, l.feature", 1) + """)
+SELECT u.series, f.fold, u.year, CASE WHEN u.year = f.fold THEN 1 ELSE 0 END AS is_test,
+       count(*) AS rows,
+       avg((u.price_lag1 - a.mean) / CASE WHEN a.std > 0 THEN a.std ELSE 1.0 END) AS mean_price_lag1,
+       avg((u.volume_lag1 - b.mean) / CASE WHEN b.std > 0 THEN b.std ELSE 1.0 END) AS mean_volume_lag1
+FROM usable u JOIN folds f ON u.series = f.series AND u.year <= f.fold
+JOIN sc a ON a.series = f.series AND a.fold = f.fold AND a.feature = 'price_lag1'
+JOIN sc b ON b.series = f.series AND b.fold = f.fold AND b.feature = 'volume_lag1'
+GROUP BY 1, 2, 3, 4"""
+
+
 @register("standardized_folds", kinds("series:str fold:int year:int is_test:int rows:int "
-                                      "mean_price_lag1 mean_volume_lag1"))
+                                      "mean_price_lag1 mean_volume_lag1"), _STD_SQL)
 def q_standardized(spark, sf_dir):
     """Rows of every fold scaled with that fold's train-only scaler; per
     (fold, year) the row count and the mean of two scaled features."""

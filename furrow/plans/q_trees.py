@@ -63,22 +63,22 @@ def q_full_leaderboard(spark, sf_dir):
     return B.leaderboard(scores, ["series", "model"], NAIVE)
 
 
-@register("feature_importance", kinds("feature:str level_importance change_importance total "
-                                      "rank:int"))
+@register("feature_importance", kinds("series:str feature:str level_importance change_importance "
+                                      "total rank:int"))
 def q_feature_importance(spark, sf_dir):
     """M11+O2: boosted-tree importances of the level and Δprice models side by side,
     the 15 largest by their sum (full outer join on the feature)."""
     u = usable_price(spark, sf_dir)
     kv = {"series": CFG.main_series}
     lv = TR.importances(spark, u, B.PRICE_MODELS[2], kv).select(
-        "feature", F.col("importance").alias("level_importance"))
+        "series", "feature", F.col("importance").alias("level_importance"))
     ch = TR.importances(spark, u, B.PRICE_MODELS[7], kv).select(
-        "feature", F.col("importance").alias("change_importance"))
-    j = lv.join(ch, "feature", "full").na.fill(0.0, ["level_importance", "change_importance"])
+        "series", "feature", F.col("importance").alias("change_importance"))
+    j = lv.join(ch, ["series", "feature"], "full").na.fill(0.0, ["level_importance",
+                                                                  "change_importance"])
     j = j.withColumn("total", F.col("level_importance") + F.col("change_importance"))
     from pyspark.sql import Window
-    w = Window.orderBy(F.col("total").desc(), F.col("feature"))
-    # At most (number of model features) rows: the feature list is fixed by the spec.
+    w = Window.partitionBy("series").orderBy(F.col("total").desc(), F.col("feature"))
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 15)
 
 
@@ -125,3 +125,14 @@ def q_impute_by_district(spark, sf_dir):
     """M14+J: predicted vs observed mean price per district."""
     f = _impute_frame(spark, sf_dir)
     return I.compare_by_district(I.impute_missing(spark, f, CFG), f)
+
+
+@register("boost_importance", kinds("series:str model:str feature:str importance rank:int"))
+def q_boost_importance(spark, sf_dir):
+    """M9+M11: one boosted-tree fit (200 x depth 3) of the full level model on all
+    usable rows, its feature importances ranked."""
+    u = usable_price(spark, sf_dir)
+    imp = TR.importances(spark, u, BOOST_FULL, {"series": CFG.main_series})
+    from pyspark.sql import Window
+    w = Window.partitionBy("series", "model").orderBy(F.col("importance").desc(), "feature")
+    return imp.withColumn("rank", F.row_number().over(w))
