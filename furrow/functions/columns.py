@@ -85,6 +85,14 @@ def flag(cond: Column) -> Column:
     return F.coalesce(cond.cast("int"), F.lit(0))
 
 
+def round_half_even(c: ColumnOrName, digits: int) -> Column:
+    """NumPy's rounding: scale, round half to even on the binary value, unscale
+    (2.175 is stored just below 2.175 and becomes 2.17, unlike ``bround``,
+    which rounds the decimal text)."""
+    scale = float(10 ** digits)
+    return F.rint(_c(c) * F.lit(scale)) / F.lit(scale)
+
+
 def zero_to_null(c: ColumnOrName) -> Column:
     x = _c(c)
     return F.when(x != 0, x)

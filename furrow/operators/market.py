@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from furrow import config as K
 from furrow.config import AnalysisConfig
 from furrow.functions.aggregates import weighted_mean
-from furrow.functions.columns import flag, month_in, zero_to_null
+from furrow.functions.columns import flag, month_in, round_half_even, zero_to_null
 from furrow.functions.windows import lag_columns, ordered, rolling_mean, rolling_std, trailing
 
 WEATHER_CELL = ["tmax_avg", "tmin_avg", "tmax_max", "tmin_min", "ppt_total", "ppt_days",
@@ -57,12 +57,12 @@ def _market_aggregate(cells: DataFrame, cfg: AnalysisConfig, round_all: bool) ->
           .alias(c) for c in ("extreme_heat", "freeze_risk", "heavy_rain")],
     )
     cov = F.when(F.col("volume") > 0, F.col("_priced_vol") / F.col("volume")).otherwise(F.lit(0.0))
-    r2 = (lambda c: F.bround(c, 2)) if round_all else (lambda c: c)
-    r3 = (lambda c: F.bround(c, 3)) if round_all else (lambda c: c)
+    r2 = (lambda c: round_half_even(c, 2)) if round_all else (lambda c: c)
+    r3 = (lambda c: round_half_even(c, 3)) if round_all else (lambda c: c)
     wt, wn = F.col("_w_tmax_avg"), F.col("_w_tmin_avg")
     return g.select(
         "series", "week_ending", "volume", "price",
-        F.bround(cov, 3).alias("coverage"),
+        round_half_even(cov, 3).alias("coverage"),
         F.col("n_districts").cast("int").alias("n_districts"),
         r2(wt).alias("tmax_avg"),
         r2(wn).alias("tmin_avg"),

@@ -60,7 +60,7 @@ def fit_model(train: DataFrame, spec: ModelSpec, scale: float = 1.0):
 
 def tree_backtest(spark: SparkSession, usable: DataFrame, specs: Sequence[ModelSpec],
                   keys: Sequence[str] = ("series",), min_train: int = K.MIN_TRAIN_YEARS,
-                  scale: float = 1.0, parallel: int = 4,
+                  scale: float = 1.0, parallel: int = 8,
                   extra: Sequence[str] = ("week_ending", "coverage")) -> DataFrame:
     """Out-of-sample level predictions of tree models over expanding folds.
 

@@ -135,8 +135,8 @@ def cells_sql(cfg: AnalysisConfig, series) -> str:
 def market_cte(cfg: AnalysisConfig = CFG, series=None, round_all: bool = True,
                name: str = "market") -> str:
     series = list(series or [cfg.main_series])
-    r2 = (lambda e: f"round_even({e}, 2)") if round_all else (lambda e: e)
-    r3 = (lambda e: f"round_even({e}, 3)") if round_all else (lambda e: e)
+    r2 = (lambda e: f"(round_even(({e}) * 100.0, 0) / 100.0)") if round_all else (lambda e: e)
+    r3 = (lambda e: f"(round_even(({e}) * 1000.0, 0) / 1000.0)") if round_all else (lambda e: e)
 
     def wmean(c):
         return (f"coalesce(sum(CASE WHEN volume > 0 THEN volume * {c} END), 0.0)"
@@ -172,8 +172,8 @@ def market_cte(cfg: AnalysisConfig = CFG, series=None, round_all: bool = True,
 {name}_base AS (
   SELECT series, week_ending, volume,
          CASE WHEN pv > 0 THEN pvp / pv END AS price,
-         round_even(CASE WHEN volume > 0 THEN (CASE WHEN pv > 0 THEN pv ELSE 0.0 END) / volume
-                    ELSE 0.0 END, 3) AS coverage,
+         round_even((CASE WHEN volume > 0 THEN (CASE WHEN pv > 0 THEN pv ELSE 0.0 END) / volume
+                    ELSE 0.0 END) * 1000.0, 0) / 1000.0 AS coverage,
          n_districts,
          {r2('w_tmax')} AS tmax_avg, {r2('w_tmin')} AS tmin_avg,
          {r2('(w_tmax + w_tmin) / 2')} AS tmean_avg, {r3('w_ppt')} AS ppt_total,

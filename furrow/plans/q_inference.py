@@ -219,3 +219,43 @@ def q_cluster_one(spark, sf_dir):
     """M4: Δprice ~ tmax_avg on the district set, errors clustered by district."""
     d = district_frame(spark, sf_dir)
     return _one_regressor(spark, d, "dprice", "tmax_avg", "cluster", "district")
+
+
+def _pivot_specs(coefs, specs, terms):
+    """One row per term, coefficient and stars of each spec side by side
+    (explicit pivot values: the spec registry)."""
+    c = coefs.where(F.col("term").isin(list(terms)))
+    names = [s.name for s in specs]
+    return (c.groupBy("series", "term").pivot("spec", names)
+             .agg(F.first("coef").alias("coef"), F.first("stars").alias("stars")))
+
+
+def _pivot_cols(specs):
+    out = kinds("series:str term:str")
+    for s in specs:
+        out += [(f"{s.name}_coef", "dbl"), (f"{s.name}_stars", "str")]
+    return out
+
+
+_DIST4 = S.district_specs()[:4]
+
+
+@register("district_weather_coefficients", _pivot_cols(_DIST4))
+def q_district_weather_coefs(spark, sf_dir):
+    """J4+M13: weather coefficients of district models 1-4 side by side with stars."""
+    return _pivot_specs(_district(spark, sf_dir)[0], _DIST4, K.WEATHER_NOW)
+
+
+@register("volume_weather_coefficients", _pivot_cols(S.volume_specs()))
+def q_volume_weather_coefs(spark, sf_dir):
+    """J4+M13: weather coefficients of the volume level and change models side by side."""
+    return _pivot_specs(_volume(spark, sf_dir)[0], S.volume_specs(), K.WEATHER_NOW)
+
+
+@register("variety_rmse_by_year", kinds("year:int main_rmse second_rmse"))
+def q_variety_by_year(spark, sf_dir):
+    """J3+M16: expanding OLS level RMSE per test year, main vs second series."""
+    s = q_variety_backtest(spark, sf_dir)
+    a = s.where(F.col("series") == CFG.main_series).select("year", F.col("rmse").alias("main_rmse"))
+    b = s.where(F.col("series") == CFG.second_series).select("year", F.col("rmse").alias("second_rmse"))
+    return a.join(b, "year", "full")

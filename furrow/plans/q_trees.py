@@ -70,10 +70,12 @@ def q_feature_importance(spark, sf_dir):
     the 15 largest by their sum (full outer join on the feature)."""
     u = usable_price(spark, sf_dir)
     kv = {"series": CFG.main_series}
-    lv = TR.importances(spark, u, B.PRICE_MODELS[2], kv).select(
-        "series", "feature", F.col("importance").alias("level_importance"))
-    ch = TR.importances(spark, u, B.PRICE_MODELS[7], kv).select(
-        "series", "feature", F.col("importance").alias("change_importance"))
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:  # two independent Spark ML fits
+        lv, ch = pool.map(lambda spec: TR.importances(spark, u, spec, kv),
+                          [B.PRICE_MODELS[2], B.PRICE_MODELS[7]])
+    lv = lv.select("series", "feature", F.col("importance").alias("level_importance"))
+    ch = ch.select("series", "feature", F.col("importance").alias("change_importance"))
     j = lv.join(ch, ["series", "feature"], "full").na.fill(0.0, ["level_importance",
                                                                   "change_importance"])
     j = j.withColumn("total", F.col("level_importance") + F.col("change_importance"))

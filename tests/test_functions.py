@@ -76,3 +76,14 @@ def test_coverage_bins(spark):
     # The figure's (lo, hi] edges drop coverage 0.
     got2 = [r[0] for r in df.select(bin_label("c", K.COVERAGE_BINS, closed="right")).collect()]
     assert got2[0] is None and got2[1] == "Very low (<0.5)"
+
+
+def test_round_half_even_like_numpy(spark):
+    import numpy as np
+    from furrow.functions.columns import round_half_even
+    vals = [2.175, 0.0625, 2.5, 0.125, 1.005, -0.0625, 17.4999]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got2 = [r[0] for r in df.select(round_half_even("x", 2)).collect()]
+    got3 = [r[0] for r in df.select(round_half_even("x", 3)).collect()]
+    assert got2 == [float(np.round(v, 2)) for v in vals]
+    assert got3 == [float(np.round(v, 3)) for v in vals]
