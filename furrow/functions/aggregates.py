@@ -41,27 +41,51 @@ def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",
-                 weight: str | None = None) -> DataFrame:
-    """Exact median per group without buffering a group in one aggregate.
-
-    Values are first reduced to (group, value, frequency) with a partial
-    aggregation; the middle rank is then found with a running count over the
-    sorted distinct values (a spillable window sort). A hot group costs one
-    sorted task over its *distinct* values, never a single in-memory buffer
-    of all its rows. Even counts average the two middle values. ``weight``
-    names a row-multiplicity column when the input is already a frequency
-    table.
+                 weight: str | None = None, buckets: int = 16) -> DataFrame:
+    """Exact median per group that stays distributed when one group is huge.
+
+    1. Rows are reduced to a (group, value, frequency) table by a partial
+       aggregate (``weight`` names a multiplicity column when the input is
+       already such a table).
+    2. Per group, approximate quantile cut points (a mergeable sketch, also
+       partially aggregated) split the group's distinct values into
+       ``buckets`` value ranges; a value's bucket is found against the cut
+       table (one row per group; AQE broadcasts it when it is small).
+    3. Counts per (group, bucket) are tiny; a running sum over them locates
+       the bucket(s) holding the middle rank(s).
+    4. Only those buckets are sorted, partitioned by (group, bucket), so a hot
+       group is spread over up to ``buckets`` tasks instead of one. Cut
+       quality only affects balance, never the result.
+
+    Even counts average the two middle values (the pandas / SQL median).
     """
     keys = list(keys)
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
     freq = (df.where(F.col(value).isNotNull())
               .groupBy(*keys, value).agg(w.alias("_f")))
-    w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*keys)
-    ranked = (freq.withColumn("_cum", F.sum("_f").over(w_run))
-                  .withColumn("_n", F.sum("_f").over(w_all)))
+    qs = [i / buckets for i in range(1, buckets)]
+    # One row per group. Its size is known only at run time, so the join
+    # strategy is left to AQE: broadcast when the measured side is small,
+    # shuffle join beyond that (no pre-count job over the raw data).
+    cuts = freq.groupBy(*keys).agg(
+        F.percentile_approx(F.col(value), qs, 1000).alias("_cuts"),
+        F.sum("_f").alias("_n"))
+    tagged = freq.join(cuts, keys).withColumn(
+        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+    per_bucket = tagged.groupBy(*keys, "_b", "_n").agg(F.sum("_f").alias("_bn"))
+    w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.withColumn("_before", F.coalesce(F.sum("_bn").over(w_b), F.lit(0)))
     lo_rank = F.floor((F.col("_n") + 1) / 2)
     hi_rank = F.floor(F.col("_n") / 2) + 1
+
+    def holds(rank):
+        return (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_bn"))
+
+    targets = (per_bucket.where(holds(lo_rank) | holds(hi_rank))
+                         .select(*keys, "_b", "_before"))
+    rows = tagged.select(*keys, "_b", "_n", value, "_f").join(targets, keys + ["_b"])
+    w_run = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_cum", F.col("_before") + F.sum("_f").over(w_run))
     return ranked.groupBy(*keys).agg(
         ((F.min(F.when(F.col("_cum") >= lo_rank, F.col(value)))
           + F.min(F.when(F.col("_cum") >= hi_rank, F.col(value)))) / 2.0).alias(out))

@@ -87,3 +87,18 @@ def test_round_half_even_like_numpy(spark):
     got3 = [r[0] for r in df.select(round_half_even("x", 3)).collect()]
     assert got2 == [float(np.round(v, 2)) for v in vals]
     assert got3 == [float(np.round(v, 3)) for v in vals]
+
+
+def test_exact_median_hot_group_matches_numpy(spark):
+    import numpy as np
+    from furrow.functions.aggregates import exact_median
+    rng = np.random.default_rng(7)
+    rows = [("hot", float(v)) for v in rng.integers(0, 5000, 20001)]        # one huge group
+    rows += [("even", float(v)) for v in (1, 2, 3, 10)]                    # even count
+    rows += [("dup", 5.0)] * 7 + [("one", 3.5)]                            # ties, single value
+    rows += [("hot2", float(v)) for v in rng.normal(0, 1, 4000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["m"] for r in exact_median(df, ["k"], "v", "m").collect()}
+    for k in {r[0] for r in rows}:
+        vals = np.array([v for kk, v in rows if kk == k])
+        assert got[k] == float(np.median(vals)), k
