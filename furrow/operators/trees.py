@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from furrow import config as K
 from furrow.operators.backtest import ModelSpec, actual_col, back_transform, fold_table
+from furrow.session import materialize
 
 
 def learner(spec: ModelSpec, label: str = "label", scale: float = 1.0):
@@ -69,7 +70,7 @@ def tree_backtest(spark: SparkSession, usable: DataFrame, specs: Sequence[ModelS
     """
     keys = list(keys)
     specs = [s for s in specs if s.method in ("boost", "forest")]
-    data = size_partitions(usable.checkpoint(eager=True))
+    data = size_partitions(materialize(usable))
     folds = [tuple(r) for r in fold_table(data, keys, min_train).collect()]
 
     def run(job):

@@ -15,6 +15,7 @@ from furrow.plans.q_models import BASE_SQL, market_main
 from furrow.plans.q_panel import build_panel
 from furrow.plans.registry import register
 from furrow.plans.spec import kinds
+from furrow.session import materialize
 
 COEF_COLS = kinds("series:str spec:str idx:int term:str coef se z p stars:str")
 FIT_COLS = kinds("series:str spec:str nobs:int k:int r2 adj_r2 rmse n_clusters:int")
@@ -41,7 +42,7 @@ def q_baseline_fit(spark, sf_dir):
 def district_frame(spark, sf_dir):
     """District modelling set; checkpointed because every spec reads it."""
     d = S.district_design(market.district_series(build_panel(spark, sf_dir), CFG), CFG)
-    return d.checkpoint(eager=True)
+    return materialize(d)
 
 
 def _district(spark, sf_dir):
@@ -136,7 +137,7 @@ def _variety(spark, sf_dir):
     p = build_panel(spark, sf_dir)
     main = market.market_series(p, CFG, [CFG.main_series])
     second = market.market_series(p, CFG, [CFG.second_series], round_all=False)
-    both = B.add_targets(main.unionByName(second)).checkpoint(eager=True)
+    both = materialize(B.add_targets(main.unionByName(second)))
     keys = [(CFG.main_series,), (CFG.second_series,)]
     return both, S.fit_specs(spark, both, S.variety_specs(), ["series"], keys)
 

@@ -13,7 +13,7 @@ from furrow.plans import oracle as O
 from furrow.plans.q_panel import build_panel
 from furrow.plans.registry import register
 from furrow.plans.spec import kinds
-from furrow.session import ensure_checkpoint_dir
+from furrow.session import materialize
 
 NAIVE = "Naive (price=lag1)"
 
@@ -22,9 +22,7 @@ def market_main(spark, sf_dir):
     """Main-series market set with targets. It feeds many branches of a model
     query (designs, folds, test rows), so its lineage is cut once with a
     checkpoint in the session's checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    m = B.add_targets(market.market_series(build_panel(spark, sf_dir), CFG))
-    return m.checkpoint(eager=True)
+    return materialize(B.add_targets(market.market_series(build_panel(spark, sf_dir), CFG)))
 
 
 def usable_price(spark, sf_dir):

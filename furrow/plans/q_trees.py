@@ -15,6 +15,7 @@ from furrow.plans.q_models import NAIVE, usable_price
 from furrow.plans.q_panel import build_panel
 from furrow.plans.registry import register
 from furrow.plans.spec import kinds
+from furrow.session import materialize
 
 SCORE_COLS = kinds("series:str model:str year:int n:int rmse mae")
 
@@ -105,7 +106,7 @@ def q_ols_importance(spark, sf_dir):
 # ------------------------------------------------------ missing prices
 
 def _impute_frame(spark, sf_dir):
-    return I.imputation_frame(build_panel(spark, sf_dir), CFG).checkpoint(eager=True)
+    return materialize(I.imputation_frame(build_panel(spark, sf_dir), CFG))
 
 
 @register("impute_backtest", kinds("series:str year:int n:int ols_rmse ols_mae xgb_rmse xgb_mae"))

@@ -60,3 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def ensure_utc(spark: SparkSession) -> None:
     """Driver timestamps are zone-less; dates must not shift with the zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def materialize(df):
+    """Cut lineage: eager ``checkpoint()`` into the session's shared
+    checkpoint folder (created only when the session names none)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -1,11 +1,10 @@
 """Incremental weekly weather with Structured Streaming.
 
 Daily readings arrive as files. The stream maps stations to districts, keys
-each reading by its Tuesday-ending week (an event-time window of 7 days that
-starts on Wednesday), and keeps running weekly aggregates in state. A
-watermark bounds the state: weeks older than the watermark are final and
-dropped from state; readings later than that are ignored (Spark's late-data
-rule). Updated weeks are written per micro-batch into a folder named after
+each reading by the end of its Tuesday week (event time), and keeps running
+weekly aggregates in state. A watermark bounds the state: weeks older than
+the watermark are final and dropped from state; readings later than that are
+ignored (Spark's late-data rule). Updated weeks are written per micro-batch into a folder named after
 the batch id, so a retried batch overwrites its own output (idempotent);
 ``latest_weeks`` reads the newest version of every week.
 """
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.functions.columns import week_ending_tuesday
 from furrow.operators.dedup import keep_last
 from furrow.operators.panel import weather_aggregates, weather_daily, weather_derived
 
@@ -27,20 +27,20 @@ DAILY_SCHEMA = T.StructType([
     T.StructField("ppt", T.DoubleType()),
 ])
 
-# 1970-01-01 was a Thursday; windows starting 6 days later start on Wednesdays
-# and end on the following Wednesday 00:00, i.e. they cover Wed..Tue.
-WEEK_START_OFFSET = "6 days"
-
-
 def weekly_weather_stream(daily: DataFrame, location_map: DataFrame,
                           watermark: str = "21 days") -> DataFrame:
-    """Streaming (or batch) daily rows -> weekly district weather with flags."""
-    d = weather_daily(daily, location_map).withColumn("ts", F.col("date").cast("timestamp"))
-    d = d.withWatermark("ts", watermark)
-    win = F.window("ts", "7 days", "7 days", WEEK_START_OFFSET)
-    g = d.groupBy(win.alias("w"), "district").agg(*weather_aggregates())
-    g = g.select(F.date_sub(F.to_date(F.col("w.end")), 1).alias("week_ending"), "district",
-                 *[c for c in g.columns if c not in ("w", "district")])
+    """Streaming (or batch) daily rows -> weekly district weather with flags.
+
+    The event time of a reading is the end of its Tuesday week (as a
+    timestamp); grouping on it keeps the watermark column in the key, so the
+    state of weeks behind the watermark is evicted. A date cast to a
+    timestamp and back is exact in any session time zone.
+    """
+    d = weather_daily(daily, location_map)
+    d = d.withColumn("wk", week_ending_tuesday("date").cast("timestamp")).withWatermark("wk", watermark)
+    g = d.groupBy("wk", "district").agg(*weather_aggregates())
+    g = g.select(F.to_date("wk").alias("week_ending"), "district",
+                 *[c for c in g.columns if c not in ("wk", "district")])
     return weather_derived(g)
 
 
