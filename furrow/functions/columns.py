@@ -60,14 +60,6 @@ def week_ending_tuesday(c: ColumnOrName) -> Column:
     return F.next_day(F.date_sub(F.to_date(_c(c)), 1), "TUE")
 
 
-def calendar_year(c: ColumnOrName) -> Column:
-    return F.year(_c(c))
-
-
-def iso_week(c: ColumnOrName) -> Column:
-    return F.weekofyear(_c(c))
-
-
 def degree_days_above(c: ColumnOrName, base: float) -> Column:
     """max(x - base, 0), missing stays missing."""
     x = _c(c)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from furrow import config as K
 from furrow.config import DRIVER as CFG
 from furrow.operators import backtest as B
-from furrow.operators import evaluate as E
 from furrow.operators import market
 from furrow.operators import specs as S
 from furrow.plans import oracle as O

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from furrow import config as K
-from furrow.functions.columns import parse_number
 from furrow.operators.dedup import keep_first, keep_last, nulls_last
 from furrow.plans import oracle as O
 from furrow.plans.q_panel import PANEL_COLS, WX_COLS

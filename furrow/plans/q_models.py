@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from furrow import config as K
 from furrow.config import DRIVER as CFG
 from furrow.operators import backtest as B

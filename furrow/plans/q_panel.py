@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import functions as F
-
 from furrow.config import DRIVER as CFG
 from furrow.operators import market, panel
 from furrow.plans import oracle as O

@@ -39,16 +39,22 @@ def q_forest_backtest(spark, sf_dir):
     return B.score(TR.tree_backtest(spark, u, [FOREST_FULL]), ["series", "model"])
 
 
-@register("ols_vs_boost", kinds("series:str year:int n_test:int base_rmse base_mae other_rmse "
-                                "other_mae improvement"))
+@register("ols_vs_boost", kinds("series:str test_year:int n_train:int n_test:int ols_rmse ols_mae "
+                                "xgb_rmse xgb_mae improvement"))
 def q_ols_vs_boost(spark, sf_dir):
-    """F6+J3: OLS vs boosted trees (300 x depth 5) per fold and the % improvement."""
+    """F6+J3: OLS vs boosted trees (300 x depth 5) per fold and the % improvement
+    (the fold-score table of the comparison)."""
     u = usable_price(spark, sf_dir)
     ols = B.ols_backtest(u, [B.PRICE_MODELS[0]])
     cols = ["series", "model", "year", "week_ending", "coverage", "pred_level", "actual"]
     trees = TR.tree_backtest(spark, u, [BOOST_DEEP])
     scores = B.score(ols.select(cols).unionByName(trees.select(cols)), ["series", "model"])
-    return E.improvement(scores, ["series"], B.PRICE_MODELS[0].name, BOOST_DEEP.name)
+    imp = E.improvement(scores, ["series"], B.PRICE_MODELS[0].name, BOOST_DEEP.name)
+    n_train = ols.groupBy("series", "year").agg(F.max("n_train").alias("n_train"))
+    return imp.join(n_train, ["series", "year"], "left").select(
+        "series", F.col("year").alias("test_year"), "n_train", "n_test",
+        F.col("base_rmse").alias("ols_rmse"), F.col("base_mae").alias("ols_mae"),
+        F.col("other_rmse").alias("xgb_rmse"), F.col("other_mae").alias("xgb_mae"), "improvement")
 
 
 @register("price_model_leaderboard", kinds("series:str model:str avg_rmse avg_mae n_folds:int "

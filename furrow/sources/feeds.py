@@ -22,7 +22,6 @@ from furrow.functions.columns import parse_date_mixed, parse_date_us, parse_numb
 from furrow.operators.dedup import keep_first, keep_last, price_order, shipment_order
 
 SHIPMENT_COLUMNS = ["week_ending", "region", "origin", "district", "commodity", "volumes"]
-PRICE_COLUMNS = ["report_date", "district", "commodity"] + [c for c, _ in K.PRICE_COLUMN_DEFAULTS]
 
 
 # ------------------------------------------------------------- shipments
