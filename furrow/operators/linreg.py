@@ -206,11 +206,10 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
     scored = (design.join(F.broadcast(coefs.select(*keys, "beta")), keys)
                     .withColumn("e", F.col("y") - linear_predict()))
     if cov == "cluster":
-        aug = F.concat(F.array(F.lit(1.0)), F.col("x"))
-        per = scored.select(*keys, cluster, F.posexplode(aug).alias("idx", "z"), "e")
-        scores = (per.groupBy(*keys, cluster, "idx").agg(F.sum(F.col("z") * F.col("e")).alias("s"))
-                     .withColumnRenamed(cluster, "_g"))
-        meat_src = scores.select(*keys, F.col("_g").cast("string").alias("_g"), "idx", "s")
+        # Score sums per cluster, sum_i z_i e_i, are the last column of the Gram
+        # of [1, x, e] per (keys, cluster): the same vectorised partial sums.
+        meat_src = gram(scored.select(*keys, F.col(cluster).cast("string").alias("_g"), "x",
+                                      F.col("e").alias("y")), keys + ["_g"])
     else:
         meat_src = None
     meat = gram(scored.withColumn("w", F.col("e") * F.col("e")), keys, weight="w")
@@ -221,8 +220,7 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
     m_all = meat.select(*keys, F.lit("m").alias("tag"), F.lit(None).cast("string").alias("_g"), "i", "j", "s")
     parts = g_all.unionByName(m_all)
     if meat_src is not None:
-        parts = parts.unionByName(meat_src.select(*keys, F.lit("c").alias("tag"), "_g",
-                                                  F.col("idx").alias("i"), F.lit(-1).alias("j"), "s"))
+        parts = parts.unionByName(meat_src.select(*keys, F.lit("c").alias("tag"), "_g", "i", "j", "s"))
     parts = parts.join(ssr, keys)
     fields = _key_fields(design, keys)
     coef_schema = T.StructType(fields + [
@@ -247,6 +245,7 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
         n_cl = 0
         if cov == "cluster":
             c = pdf[pdf.tag == "c"]
+            c = c[(c["j"] == p) & (c["i"] < p)]  # last Gram column: sum of z * e
             n_cl = int(c["_g"].nunique())
             u = np.zeros((n_cl, p))
             for gi, (_, cg) in enumerate(c.groupby("_g")):

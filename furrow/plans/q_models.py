@@ -314,3 +314,18 @@ def q_exp_vs_roll(spark, sf_dir):
     roll_s = B.score(B.ols_backtest(u, [OLS_FULL], mode="rolling",
                                     min_train_rows=K.ROLLING_MIN_TRAIN), keys)
     return E.compare_folds(exp_s, roll_s, keys)
+
+
+@register("naive_error_by_coverage_figure", COV_COLS, BASE_SQL + "\n" + """
+SELECT series, model, coverage_bin, bin_order, count(*) AS n, avg(abs_error) AS mae,
+       avg(pct_error) AS mape, median(abs_error) AS median_error
+FROM (SELECT *, """ + "CASE " + " ".join(
+    f"WHEN coverage > {lo} AND coverage <= {hi} THEN '{lab}'" for lo, hi, lab in K.COVERAGE_BINS)
+    + " END AS coverage_bin, CASE " + " ".join(
+    f"WHEN coverage > {lo} AND coverage <= {hi} THEN {i}" for i, (lo, hi, lab) in enumerate(K.COVERAGE_BINS))
+    + """ END AS bin_order FROM naive_tbl)
+WHERE coverage_bin IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def q_naive_cov_figure(spark, sf_dir):
+    """F8 (figure variant, N17): bins with (lo, hi] edges, so coverage 0 falls out."""
+    t = E.prediction_table(B.naive_predictions(usable_price(spark, sf_dir)), ["series", "model"])
+    return E.error_by_coverage(t, ["series", "model"], closed="right")
