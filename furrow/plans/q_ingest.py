@@ -69,12 +69,12 @@ def q_dedup_keep_first(spark, sf_dir):
 
 @register("ingest_roundtrip", kinds("week_ending:date district:str commodity:str rows:int volume"))
 def q_ingest_roundtrip(spark, sf_dir):
-    """S1+S2+S9+U1+P1+P2+P4+P5+P9+D1+P11: shipment reports written as an older
-    positional CSV (US dates, thousands commas) and a newer named CSV
+    """S1+S2+S9+U1+P1+P2+P4+P5+P9+D1: shipment reports written as an older
+    positional CSV (US dates, number formatting) and a newer named CSV
     (upper-case names) that overlap in one year, read back through the
-    readers, merged and deduplicated (the newer file wins the overlap), then
-    summed per (week, district, commodity). Files go to the session's shared
-    checkpoint folder."""
+    readers, merged and deduplicated on (week, district, commodity, report)
+    (the newer file wins the overlap), then summed per (week, district,
+    commodity). Files go to the session's shared checkpoint folder."""
     base = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     r = testmap.shipment_reports(spark, sf_dir)
     y = F.year("week_ending")
@@ -104,10 +104,10 @@ def q_ingest_roundtrip(spark, sf_dir):
           "WITH " + O.panel_cte().lstrip() + "\nSELECT * FROM wx_w")
 def q_weather_weekly_stream(spark, sf_dir):
     """S8 / A5+A6 as a stream: the daily weather feed lands as one file per year
-    in the shared checkpoint folder and a Structured Streaming job (watermark,
-    Wednesday-aligned 7-day event-time windows, update mode, idempotent
-    per-batch output) maintains the weekly aggregates; the newest version of
-    every week must equal the batch result."""
+    in the shared checkpoint folder and a Structured Streaming job (event time
+    = end of the Tuesday week, watermark, update mode, idempotent per-batch
+    output) maintains the weekly aggregates; the newest version of every week
+    must equal the batch result."""
     from furrow.streaming import weather as SW
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     daily = testmap.weather(spark, sf_dir)
