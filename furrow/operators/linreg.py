@@ -206,22 +206,35 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
     scored = (design.join(F.broadcast(coefs.select(*keys, "beta")), keys)
                     .withColumn("e", F.col("y") - linear_predict()))
     if cov == "cluster":
-        # Score sums per cluster, sum_i z_i e_i, are the last column of the Gram
-        # of [1, x, e] per (keys, cluster): the same vectorised partial sums.
-        meat_src = gram(scored.select(*keys, F.col(cluster).cast("string").alias("_g"), "x",
-                                      F.col("e").alias("y")), keys + ["_g"])
+        # Per-cluster score sums u_g = sum_i z_i e_i are the last column of the
+        # Gram of [1, x, e] per (keys, cluster) (vectorised partial sums). The
+        # meat sum_g u_g u_g' is formed in Spark: pairs (i, j) within each
+        # cluster, summed over clusters — so the grouped solve below only ever
+        # receives p x p numbers, however many clusters there are.
+        cg = gram(scored.select(*keys, F.col(cluster).cast("string").alias("_g"), "x",
+                                F.col("e").alias("y")), keys + ["_g"])
+        last = F.max("j").over(Window.partitionBy(*keys, "_g"))
+        u = (cg.withColumn("_last", last).where((F.col("j") == F.col("_last"))
+                                                & (F.col("i") < F.col("_last")))
+               .select(*keys, "_g", "i", "s"))
+        ua = u.select(*keys, "_g", F.col("i").alias("i"), F.col("s").alias("_si"))
+        ub = u.select(*keys, "_g", F.col("i").alias("j"), F.col("s").alias("_sj"))
+        meat = (ua.join(ub, keys + ["_g"]).where(F.col("i") <= F.col("j"))
+                  .groupBy(*keys, "i", "j").agg(F.sum(F.col("_si") * F.col("_sj")).alias("s")))
+        n_clusters = cg.groupBy(*keys).agg(F.countDistinct("_g").cast("int").alias("_G"))
     else:
-        meat_src = None
-    meat = gram(scored.withColumn("w", F.col("e") * F.col("e")), keys, weight="w")
+        meat = gram(scored.withColumn("w", F.col("e") * F.col("e")), keys, weight="w")
+        n_clusters = None
     ssr = scored.groupBy(*keys).agg(F.sum(F.col("e") * F.col("e")).alias("ssr"))
+    if n_clusters is not None:
+        ssr = ssr.join(n_clusters, keys)
+    else:
+        ssr = ssr.withColumn("_G", F.lit(0))
 
-    # Gather the pieces per group: Gram (tag 'g'), meat (tag 'm'), cluster scores (tag 'c').
-    g_all = g_raw.select(*keys, F.lit("g").alias("tag"), F.lit(None).cast("string").alias("_g"), "i", "j", "s")
-    m_all = meat.select(*keys, F.lit("m").alias("tag"), F.lit(None).cast("string").alias("_g"), "i", "j", "s")
-    parts = g_all.unionByName(m_all)
-    if meat_src is not None:
-        parts = parts.unionByName(meat_src.select(*keys, F.lit("c").alias("tag"), "_g", "i", "j", "s"))
-    parts = parts.join(ssr, keys)
+    # Per group: Gram (tag 'g') and meat (tag 'm'), both p x p sized.
+    g_all = g_raw.select(*keys, F.lit("g").alias("tag"), "i", "j", "s")
+    m_all = meat.select(*keys, F.lit("m").alias("tag"), "i", "j", "s")
+    parts = g_all.unionByName(m_all).join(ssr, keys)
     fields = _key_fields(design, keys)
     coef_schema = T.StructType(fields + [
         T.StructField("idx", T.IntegerType()), T.StructField("coef", T.DoubleType()),
@@ -242,18 +255,14 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
         bread = (vecs[:, keep] / vals[keep]) @ vecs[:, keep].T
         ssr_v = float(pdf["ssr"].iloc[0])
         dof = n - rank
-        n_cl = 0
+        n_cl = int(pdf["_G"].iloc[0])
+        m = pdf[(pdf.tag == "m") & (pdf.i < p) & (pdf.j < p)]  # drop the target's row/column
+        meat_m = np.zeros((p, p))
+        meat_m[m["i"].to_numpy(), m["j"].to_numpy()] = m["s"].to_numpy(dtype=float)
+        meat_m[m["j"].to_numpy(), m["i"].to_numpy()] = m["s"].to_numpy(dtype=float)
         if cov == "cluster":
-            c = pdf[pdf.tag == "c"]
-            c = c[(c["j"] == p) & (c["i"] < p)]  # last Gram column: sum of z * e
-            n_cl = int(c["_g"].nunique())
-            u = np.zeros((n_cl, p))
-            for gi, (_, cg) in enumerate(c.groupby("_g")):
-                u[gi, cg["i"].to_numpy()] = cg["s"].to_numpy(dtype=float)
-            meat_m = u.T @ u
             factor = (n_cl / (n_cl - 1.0)) * ((n - 1.0) / dof) if n_cl > 1 and dof > 0 else np.nan
         else:
-            meat_m = _full(pdf[pdf.tag == "m"])[:p, :p]
             factor = n / dof if dof > 0 else np.nan
         v = bread @ meat_m @ bread * factor
         se = np.sqrt(np.clip(np.diag(v), 0, None))
