@@ -8,7 +8,7 @@ and ``DRIVER`` for the TPC-H-style test tables (see ``sources.testmap``).
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must equal the published analysis for equal results.
@@ -250,8 +250,6 @@ class AnalysisConfig:
     rolling_years: int = ROLLING_YEARS
     rolling_min_train: int = ROLLING_MIN_TRAIN
     weighted_weather_rule: str = "reference"  # or "clean"
-    tree_scale: float = 1.0  # < 1 shrinks tree counts for quick runs
-    extra: dict = field(default_factory=dict)
 
     def suffix(self, commodity: str) -> str:
         return commodity_suffix(commodity, self.commodity_prefix)
