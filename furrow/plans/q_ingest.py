@@ -132,3 +132,56 @@ def q_panel_table_roundtrip(spark, sf_dir):
     FD.write_table(build_panel(spark, sf_dir), path, partition_by=("year",),
                    sort_by=("week_ending", "district"))
     return spark.read.parquet(path)
+
+
+PRICE_INGEST_COLS = kinds("report_date:date district:str commodity:str variety:str package:str "
+                          "item_size:str organic:str low_price high_price file_rank:int")
+DEFAULTS_YEAR = 1997  # this year's file is written without variety and item_size
+
+_PRICE_INGEST_SQL = "WITH " + O.feeds_cte().lstrip() + f""",
+reports AS (
+  SELECT CAST(l_shipdate AS DATE) AS report_date, n_name AS district, p_type AS commodity,
+         CASE WHEN year(l_shipdate) = {DEFAULTS_YEAR} THEN 'N/A' ELSE p_brand END AS variety,
+         'carton' AS package,
+         CASE WHEN year(l_shipdate) = {DEFAULTS_YEAR} THEN '' ELSE CAST(p_size AS VARCHAR) END
+           AS item_size,
+         l_returnflag AS organic, unit_price * (1 - l_discount) AS low_price,
+         unit_price * (1 + l_tax) AS high_price,
+         year(l_shipdate) - (SELECT min(year(l_shipdate)) FROM li) AS file_rank,
+         l_orderkey * 16 + l_linenumber AS row_seq FROM li)
+SELECT * EXCLUDE (rn, row_seq) FROM (
+  SELECT *, row_number() OVER (PARTITION BY {", ".join(K.PRICE_DEDUP_KEY)}
+     ORDER BY file_rank, row_seq) AS rn FROM reports)
+WHERE rn = 1"""
+
+
+@register("price_ingest_roundtrip", PRICE_INGEST_COLS, _PRICE_INGEST_SQL)
+def q_price_ingest_roundtrip(spark, sf_dir):
+    """S3+S4+P3+P5+P6+P7+D2: price reports written as one CSV per year (rows in
+    file order, dates as MM/DD/YYYY text, one year's file without the variety
+    and item-size columns), read back in year order through the price reader
+    (absent columns take their defaults, texts trimmed, date parsed, district
+    and commodity filters applied), then the first row per 7-column key in
+    file order."""
+    base = f"{ensure_checkpoint_dir(spark)}/prices-{uuid.uuid4().hex}"
+    r = testmap.price_reports(spark, sf_dir)
+    years = [row[0] for row in r.select("file_rank").distinct().orderBy("file_rank").collect()]
+    paths = []
+    for y in years:
+        cols = [F.date_format("report_date", "MM/dd/yyyy").alias("report_date"), "district",
+                "commodity", "variety", "package", "item_size", "organic",
+                F.col("low_price").cast("string").alias("low_price"),
+                F.col("high_price").cast("string").alias("high_price")]
+        if y == DEFAULTS_YEAR:
+            cols = [c for c in cols if not (isinstance(c, str) and c in ("variety", "item_size"))]
+        path = f"{base}/{y}.csv"
+        # One file per year, rows in their report order.
+        (r.where(F.col("file_rank") == y).repartition(1).sortWithinPartitions("row_seq")
+          .select(*cols).write.mode("overwrite").option("header", True).csv(path))
+        paths.append(path)
+    # The test tables hold no text commodity word to look for and no district
+    # outside the map, so both filters run with pass-all settings here.
+    cleaned = FD.read_prices(spark, paths, commodity_contains="", keep_districts=None)
+    return cleaned.select(*[c for c, _ in PRICE_INGEST_COLS if c not in ("low_price", "high_price")],
+                          F.col("low_price").cast("double").alias("low_price"),
+                          F.col("high_price").cast("double").alias("high_price"))
