@@ -185,3 +185,48 @@ def q_price_ingest_roundtrip(spark, sf_dir):
     return cleaned.select(*[c for c, _ in PRICE_INGEST_COLS if c not in ("low_price", "high_price")],
                           F.col("low_price").cast("double").alias("low_price"),
                           F.col("high_price").cast("double").alias("high_price"))
+
+
+WX_WIDE_COLS = kinds("location:str date:date tmax tmin ppt district:str")
+
+_WX_WIDE_SQL = "WITH " + O.feeds_cte().lstrip() + """,
+rng AS (SELECT location, min(date) AS a, max(date) AS b FROM wx_rows GROUP BY 1),
+days AS (SELECT location, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM rng),
+dm AS (SELECT location, date, avg(tmax) AS tmax, avg(tmin) AS tmin, avg(ppt) AS ppt
+       FROM wx_rows GROUP BY 1, 2)
+SELECT d.location, d.date, dm.tmax, dm.tmin, dm.ppt, d.location AS district
+FROM days d LEFT JOIN dm ON d.location = dm.location AND d.date = dm.date"""
+
+
+def _field(name):
+    return lambda e: e[name]
+
+
+@register("weather_payload_roundtrip", WX_WIDE_COLS, _WX_WIDE_SQL)
+def q_weather_payload_roundtrip(spark, sf_dir):
+    """S5+S6+S7: every location's date range is split into 365-day chunks (S6);
+    each (location, variable, chunk) becomes one API-style JSON payload of daily
+    values (the test readings' daily mean, null on days without one); the
+    payloads are parsed back into daily rows (S5) and pivoted to one row per
+    (location, day) with the district from the location dimension (S7)."""
+    daily = testmap.weather(spark, sf_dir)
+    ranges = daily.groupBy("location").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    chunks = FD.chunk_ranges(ranges, "start", "end", 365)
+    # Stand-in API answers: one array of daily values per chunk and variable.
+    means = daily.groupBy("location", "date").agg(F.avg("tmax").alias("tmax"),
+                                                  F.avg("tmin").alias("tmin"),
+                                                  F.avg("ppt").alias("ppt"))
+    days = chunks.select("location", "chunk_start",
+                         F.explode(F.sequence("chunk_start", "chunk_end")).alias("date"))
+    filled = days.join(means, ["location", "date"], "left")
+    per_chunk = filled.groupBy("location", "chunk_start").agg(
+        F.array_sort(F.collect_list(F.struct("date", "tmax", "tmin", "ppt"))).alias("d"))
+    payloads = per_chunk.select(
+        "location", F.col("chunk_start").cast("string").alias("start_date"),
+        F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.to_json(F.struct(
+            F.struct(F.create_map(F.lit(v), F.transform("d", _field(v))).alias("data"))
+            .alias("result"), F.lit(None).cast("string").alias("errors"))).alias("payload"))
+            for v in ("tmax", "tmin", "ppt")])).alias("p")).select(
+        "location", "p.variable", "start_date", "p.payload")
+    long = FD.daily_from_payload(payloads)
+    return FD.weather_wide(long, testmap.location_map(spark, sf_dir))

@@ -155,15 +155,23 @@ def payload_errors(payloads: DataFrame) -> DataFrame:
                                                          F.col("j.errors").alias("errors"))
 
 
+def chunk_ranges(ranges: DataFrame, start: str = "start", end: str = "end",
+                 days: int = 365) -> DataFrame:
+    """S6 per row: each [start, end] range split into chunks of ``days`` days
+    (chunk_start, chunk_end); the last chunk is kept even when it is a single
+    day. Other columns of ``ranges`` are carried along."""
+    seq = F.sequence(F.to_date(F.col(start)), F.to_date(F.col(end)), F.expr(f"INTERVAL {days} DAYS"))
+    keep = [c for c in ranges.columns if c not in (start, end)]
+    return (ranges.select(*keep, F.to_date(F.col(end)).alias("_end"),
+                          F.explode(seq).alias("chunk_start"))
+                  .select(*keep, "chunk_start",
+                          F.least(F.date_add("chunk_start", days - 1), F.col("_end")).alias("chunk_end")))
+
+
 def date_chunks(spark: SparkSession, start: str, end: str, days: int = 365) -> DataFrame:
-    """[start, end] split into chunks of ``days`` days; the last chunk is
-    kept even when it is a single day."""
-    seq = F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)),
-                     F.expr(f"INTERVAL {days} DAYS"))
-    return (spark.range(1).select(F.explode(seq).alias("chunk_start"))
-                 .select("chunk_start",
-                         F.least(F.date_add("chunk_start", days - 1), F.to_date(F.lit(end)))
-                         .alias("chunk_end")))
+    """[start, end] split into chunks of ``days`` days."""
+    one = spark.range(1).select(F.lit(start).alias("start"), F.lit(end).alias("end"))
+    return chunk_ranges(one, "start", "end", days)
 
 
 def weather_wide(daily_long: DataFrame, locations: DataFrame | None = None,
