@@ -329,3 +329,47 @@ def q_naive_cov_figure(spark, sf_dir):
     """F8 (figure variant, N17): bins with (lo, hi] edges, so coverage 0 falls out."""
     t = E.prediction_table(B.naive_predictions(usable_price(spark, sf_dir)), ["series", "model"])
     return E.error_by_coverage(t, ["series", "model"], closed="right")
+
+
+_SMALL_LB_SQL = BASE_SQL + """,
+fit1 AS (
+  SELECT f.series, f.fold, regr_slope(u.price, u.price_lag1) AS b1,
+         regr_intercept(u.price, u.price_lag1) AS b0
+  FROM folds f JOIN usable u ON u.series = f.series AND u.year < f.fold GROUP BY 1, 2),
+mom AS (
+  SELECT f.series, f.fold, avg(u.price) AS my, avg(u.price_lag1) AS m1, avg(u.volume_lag1) AS m2,
+         var_pop(u.price_lag1) AS c11, var_pop(u.volume_lag1) AS c22,
+         covar_pop(u.price_lag1, u.volume_lag1) AS c12,
+         covar_pop(u.price_lag1, u.price) AS c1y, covar_pop(u.volume_lag1, u.price) AS c2y
+  FROM folds f JOIN usable u ON u.series = f.series AND u.year < f.fold GROUP BY 1, 2),
+fit2 AS (
+  SELECT series, fold, (c22 * c1y - c12 * c2y) / (c11 * c22 - c12 * c12) AS b1,
+         (c11 * c2y - c12 * c1y) / (c11 * c22 - c12 * c12) AS b2, my, m1, m2 FROM mom),
+preds AS (
+  SELECT u.series, 'OLS price~lag1' AS model, u.year, u.price AS actual,
+         fit1.b0 + fit1.b1 * u.price_lag1 AS pred_level
+  FROM usable u JOIN fit1 ON u.series = fit1.series AND u.year = fit1.fold
+  UNION ALL
+  SELECT u.series, 'OLS price~lag1+vol' AS model, u.year, u.price AS actual,
+         fit2.my - fit2.b1 * fit2.m1 - fit2.b2 * fit2.m2 + fit2.b1 * u.price_lag1
+           + fit2.b2 * u.volume_lag1 AS pred_level
+  FROM usable u JOIN fit2 ON u.series = fit2.series AND u.year = fit2.fold
+  UNION ALL
+  SELECT series, model, year, actual, pred_level FROM naive),
+scores AS (""" + _score_sql("preds") + """),
+board AS (SELECT series, model, avg(rmse) AS avg_rmse, avg(mae) AS avg_mae, count(*) AS n_folds
+          FROM scores GROUP BY 1, 2)
+SELECT b.*, (nv.avg_rmse - b.avg_rmse) / nv.avg_rmse * 100 AS vs_naive_pct
+FROM board b LEFT JOIN (SELECT series, avg_rmse FROM board WHERE model = '""" + NAIVE + """') nv
+     ON b.series = nv.series"""
+
+
+@register("small_model_leaderboard", LB_COLS, _SMALL_LB_SQL)
+def q_small_leaderboard(spark, sf_dir):
+    """M2+F3-F5: naive and one- and two-regressor OLS scored over the expanding
+    folds in one pass, plain mean of yearly RMSE / MAE and the gain over naive."""
+    u = usable_price(spark, sf_dir)
+    cols = ["series", "model", "year", "week_ending", "coverage", "pred_level", "actual"]
+    preds = B.ols_backtest(u, [OLS1, OLS2]).select(cols).unionByName(
+        B.naive_predictions(u).select(cols))
+    return B.leaderboard(B.score(preds, ["series", "model"]), ["series", "model"], NAIVE)
