@@ -67,7 +67,22 @@ def q_dedup_keep_first(spark, sf_dir):
     return keep_first(r, K.PRICE_DEDUP_KEY, order)
 
 
-@register("ingest_roundtrip", kinds("week_ending:date district:str commodity:str rows:int volume"))
+_SHIP_ROUNDTRIP_SQL = "WITH " + O.feeds_cte().lstrip() + f""",
+reports AS (
+  SELECT l_orderkey AS order_key, l_linenumber AS line_no, {O.wk('l_shipdate')} AS week_ending,
+         n_name AS district, p_type AS commodity, s_name AS origin,
+         CAST(l_quantity AS DOUBLE) AS volumes FROM li),
+surv AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY week_ending, district, commodity, order_key, line_no
+                                 ORDER BY origin DESC, volumes DESC) AS rn FROM reports)
+  WHERE rn = 1)
+SELECT week_ending, district, commodity, count(*) AS rows, sum(volumes) AS volume
+FROM surv GROUP BY 1, 2, 3"""
+
+
+@register("ingest_roundtrip", kinds("week_ending:date district:str commodity:str rows:int volume"),
+          _SHIP_ROUNDTRIP_SQL)
 def q_ingest_roundtrip(spark, sf_dir):
     """S1+S2+S9+U1+P1+P2+P4+P5+P9+D1: shipment reports written as an older
     positional CSV (US dates, number formatting) and a newer named CSV
@@ -79,19 +94,24 @@ def q_ingest_roundtrip(spark, sf_dir):
     r = testmap.shipment_reports(spark, sf_dir)
     y = F.year("week_ending")
     cut = 1998
-    old = r.where(y <= cut).select(
+    old_cols = [
         F.date_format("week_ending", "M/d/yyyy").alias("Week Ending"), F.col("region").alias("Region"),
         F.col("origin").alias("Origin"), F.col("district").alias("District"),
         F.col("commodity").alias("Commodity"),
         F.format_number("volumes", 0).alias("Volume"),
-        F.concat_ws("-", "order_key", "line_no").alias("Report"))
-    new = r.where(y >= cut).select(
+        F.concat_ws("-", "order_key", "line_no").alias("Report")]
+    new_cols = [
         F.col("week_ending").cast("string").alias("tuesday_week_ending"),
         F.upper("region").alias("region"), F.upper("origin").alias("origin"), "district",
         "commodity", F.col("volumes").cast("string").alias("volumes"),
-        F.concat_ws("-", "order_key", "line_no").alias("report"))
-    old.write.mode("overwrite").option("header", True).csv(f"{base}/old")
-    new.write.mode("overwrite").option("header", True).csv(f"{base}/new")
+        F.concat_ws("-", "order_key", "line_no").alias("report")]
+    # Part files range-partitioned and sorted by report, so the file order of
+    # repeated reports is defined by their content (origin, volume).
+    order = ["order_key", "line_no", "week_ending", "district", "commodity", "origin", "volumes"]
+    for part, cols, path in ((r.where(y <= cut), old_cols, f"{base}/old"),
+                             (r.where(y >= cut), new_cols, f"{base}/new")):
+        (part.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols)
+             .write.mode("overwrite").option("header", True).csv(path))
     a = FD.read_shipments_positional(spark, f"{base}/old", source_rank=0, extra=["report"])
     b = FD.read_shipments_named(spark, f"{base}/new", source_rank=1, extra=["report"])
     merged = FD.merge_shipments(spark, [a, b], key=("week_ending", "district", "commodity", "report"),
@@ -157,8 +177,8 @@ WHERE rn = 1"""
 
 @register("price_ingest_roundtrip", PRICE_INGEST_COLS, _PRICE_INGEST_SQL)
 def q_price_ingest_roundtrip(spark, sf_dir):
-    """S3+S4+P3+P5+P6+P7+D2: price reports written as one CSV per year (rows in
-    file order, dates as MM/DD/YYYY text, one year's file without the variety
+    """S3+S4+P3+P5+P6+P7+D2: price reports written as one CSV folder per year (rows in
+    report order, dates as MM/DD/YYYY text, one year's file without the variety
     and item-size columns), read back in year order through the price reader
     (absent columns take their defaults, texts trimmed, date parsed, district
     and commodity filters applied), then the first row per 7-column key in
@@ -175,8 +195,9 @@ def q_price_ingest_roundtrip(spark, sf_dir):
         if y == DEFAULTS_YEAR:
             cols = [c for c in cols if not (isinstance(c, str) and c in ("variety", "item_size"))]
         path = f"{base}/{y}.csv"
-        # One file per year, rows in their report order.
-        (r.where(F.col("file_rank") == y).repartition(1).sortWithinPartitions("row_seq")
+        # One folder per year; part files are range-partitioned and sorted by
+        # report order, so (file name, position) is the report order.
+        (r.where(F.col("file_rank") == y).repartitionByRange("row_seq").sortWithinPartitions("row_seq")
           .select(*cols).write.mode("overwrite").option("header", True).csv(path))
         paths.append(path)
     # The test tables hold no text commodity word to look for and no district

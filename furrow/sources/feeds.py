@@ -2,9 +2,9 @@
 
 Files are read by Spark's CSV / JSON readers with explicit schemas or as
 text; cleaning is column expressions; dedup is one partial aggregate.
-Each reader adds ``source_rank`` / ``file_rank`` and ``row_seq`` so that
-"first in file order" and "last after a stable sort" are well defined:
-``monotonically_increasing_id`` grows with the position inside a file.
+Each reader adds ``source_rank`` / ``file_rank`` and ``row_seq`` (see
+``file_order``) so that "first in file order" and "last after a stable sort"
+are well defined.
 """
 
 from __future__ import annotations
@@ -24,6 +24,15 @@ from furrow.operators.dedup import keep_first, keep_last, price_order, shipment_
 SHIPMENT_COLUMNS = ["week_ending", "region", "origin", "district", "commodity", "volumes"]
 
 
+def file_order():
+    """Position of a row in its input: (file path, split start, position in the
+    split). Orders rows of one file by position and files by name, also when
+    a file is read in many splits or a folder holds many part files."""
+    return F.struct(F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("pos"))
+
+
 # ------------------------------------------------------------- shipments
 
 def read_shipments_positional(spark: SparkSession, path: str | Sequence[str],
@@ -40,7 +49,7 @@ def read_shipments_positional(spark: SparkSession, path: str | Sequence[str],
         "region", "origin", "district", "commodity",
         parse_number("volumes").alias("volumes"),
         F.lit(source_rank).alias("source_rank"),
-        F.monotonically_increasing_id().alias("row_seq"),
+        file_order().alias("row_seq"),
         *extra,
     )
 
@@ -59,7 +68,7 @@ def read_shipments_named(spark: SparkSession, path: str | Sequence[str],
         "district", "commodity",
         F.when(~F.isnan(vol), vol).alias("volumes"),
         F.lit(source_rank).alias("source_rank"),
-        F.monotonically_increasing_id().alias("row_seq"),
+        file_order().alias("row_seq"),
         *extra,
     )
 
@@ -107,7 +116,7 @@ def read_price_file(spark: SparkSession, path: str, file_rank: int,
         *[col(c, d).alias(c) for c, d in K.PRICE_COLUMN_DEFAULTS],
         commodity_raw.contains(commodity_contains).alias("_keep_c"),
         F.lit(file_rank).alias("file_rank"),
-        F.monotonically_increasing_id().alias("row_seq"),
+        file_order().alias("row_seq"),
     )
     cond = F.col("_keep_c") & F.col("report_date").isNotNull()
     if keep_districts is not None:
