@@ -160,11 +160,11 @@ def ols_backtest(usable: DataFrame, specs: Sequence[ModelSpec], keys: Sequence[s
     coefs = linreg.solve(fg, gkeys + ["fold"])
     if min_train_rows:
         coefs = coefs.where(F.col("n") >= min_train_rows)
+    # Coefficients: one row per (model, fold) — bounded by registry x years.
     test = design.join(F.broadcast(folds.withColumnRenamed("fold", "year")), keys + ["year"])
-    pred = linreg.predict(test, coefs.withColumnRenamed("fold", "year")
-                          .withColumnRenamed("n", "n_train"), gkeys + ["year"])
-    pred = pred.join(F.broadcast(coefs.select(*gkeys, F.col("fold").alias("year"),
-                                              F.col("n").alias("n_train"))), gkeys + ["year"])
+    cf = coefs.select(*gkeys, F.col("fold").alias("year"), "beta", F.col("n").alias("n_train"))
+    pred = (test.join(F.broadcast(cf), gkeys + ["year"])
+                .withColumn("pred", linreg.linear_predict()))
     level = F.lit(None).cast("double")
     actual = F.lit(None).cast("double")
     for s in specs:
