@@ -26,13 +26,13 @@ def _baseline(spark, sf_dir):
     return S.fit_specs(spark, m, S.baseline_specs(), ["series"], SER, cov="HC1")
 
 
-@register("baseline_ols_coefficients", COEF_COLS)
+@register("insample_ols_coefficients", COEF_COLS)
 def q_baseline_coefs(spark, sf_dir):
     """M3+M5+M13: baseline specs 1-3 with HC1 errors, normal p-values and stars."""
     return _baseline(spark, sf_dir)[0]
 
 
-@register("baseline_ols_fit", FIT_COLS)
+@register("insample_ols_fit", FIT_COLS)
 def q_baseline_fit(spark, sf_dir):
     """M3+M5: N, R², adjusted R², RMSE = sqrt(SSR / (N - k)) per baseline spec."""
     return _baseline(spark, sf_dir)[1]
