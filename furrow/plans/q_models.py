@@ -373,3 +373,19 @@ def q_small_leaderboard(spark, sf_dir):
     preds = B.ols_backtest(u, [OLS1, OLS2]).select(cols).unionByName(
         B.naive_predictions(u).select(cols))
     return B.leaderboard(B.score(preds, ["series", "model"]), ["series", "model"], NAIVE)
+
+
+@register("all_series_ols_leaderboard", LB_COLS)
+def q_all_series_leaderboard(spark, sf_dir):
+    """M8+F5 for every commodity at once: the OLS price models and the naive
+    forecast back-tested per series (series is a key of every Gram, fold and
+    score, so all series x models x folds run in the same jobs)."""
+    from furrow.session import materialize
+    m = materialize(B.add_targets(market.market_series(build_panel(spark, sf_dir), CFG,
+                                                       list(CFG.commodities))))
+    u = B.complete_cases(m, B.PRICE_MODELS, extra=["price_lag1", "dprice", "log_dprice"])
+    preds = B.ols_backtest(u, B.PRICE_MODELS)
+    naive = B.naive_predictions(u)
+    scores = B.score(preds.select(naive.columns), ["series", "model"]).unionByName(
+        B.score(naive, ["series", "model"]))
+    return B.leaderboard(scores, ["series", "model"], NAIVE)

@@ -116,3 +116,18 @@ def test_merge_shipments_name_fix(spark, tmpdir_path):
     df = feeds.merge_shipments(spark, [feeds.read_shipments_named(spark, p)])
     got = sorted((r["district"], r["commodity"]) for r in df.collect())
     assert got == [("Oxnard", "Lettuce Iceberg"), ("Unknown Place", "Lettuce Iceberg")]
+
+
+def test_keep_last_hot_key_is_partial_aggregate(spark):
+    # One key holds most rows: the plan reduces it map-side (partial max_by).
+    rows = [(0 if i % 3 else i, i, float(i)) for i in range(30000)]
+    df = spark.createDataFrame(rows, "k int, seq long, v double").repartition(6)
+    out = keep_last(df, ["k"], [F.col("seq")])
+    got = {r["k"]: r["seq"] for r in out.collect()}
+    assert got[0] == 29999 and len(got) == 1 + len({i for i in range(30000) if i % 3 == 0}) - 1
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    assert "partial_max_by" in buf.getvalue()
