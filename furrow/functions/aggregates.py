@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def broadcast_dim(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_dim(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                  bound: DataFrame | None = None) -> DataFrame:
     """Broadcast a dimension table only after checking its row count.
 
-    The count runs on the (small) dimension side only. Beyond the bound the
-    table is returned unhinted and Spark joins by shuffle (AQE may still
-    switch to a broadcast at run time from measured sizes).
+    The count runs on the dimension side only — or on ``bound``, a table
+    whose row count bounds ``df`` (e.g. the base table of a chain of
+    many-to-one joins; a plain Parquet count is answered from file footers).
+    Beyond ``max_rows`` the table is returned unhinted and Spark joins by
+    shuffle (AQE may still switch to a broadcast from measured sizes).
     """
+    probe = df if bound is None else bound
     try:
-        key = (id(df.sparkSession), df.semanticHash())
+        key = (id(probe.sparkSession), probe.semanticHash())
     except Exception:  # pragma: no cover - plans without a semantic hash
         key = None
     n = _DIM_ROWS.get(key) if key else None
     if n is None:
-        n = df.count()
+        n = probe.count()
         if key:
             _DIM_ROWS[key] = n
     return F.broadcast(df) if n <= max_rows else df

@@ -46,7 +46,10 @@ def _line_items(spark, sf_dir, cols):
     geo = _supplier_geo(spark, sf_dir)
     # Dimension sides are broadcast only below a checked row count; beyond it
     # (supplier and part grow with the scale factor) Spark joins by shuffle.
-    return (li.join(broadcast_dim(geo), li.l_suppkey == geo.s_suppkey)
+    # The supplier geography is many-to-one joins on supplier, so the
+    # supplier table's own count bounds it.
+    supplier = table(spark, sf_dir, "supplier")
+    return (li.join(broadcast_dim(geo, bound=supplier), li.l_suppkey == geo.s_suppkey)
               .join(broadcast_dim(p), li.l_partkey == p.p_partkey))
 
 
@@ -93,7 +96,8 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = (c.join(broadcast_dim(n), c.c_nationkey == n.n_nationkey)
             .join(broadcast_dim(r), n.n_regionkey == r.r_regionkey)
             .select("c_custkey", "r_name"))
-    j = o.join(broadcast_dim(geo), o.o_custkey == geo.c_custkey)
+    j = o.join(broadcast_dim(geo, bound=table(spark, sf_dir, "customer")),
+               o.o_custkey == geo.c_custkey)
     tmin = ((F.col("o_custkey") * 37) % 250) / 10.0 - 1.0
     return j.select(
         F.col("r_name").alias("location"),
