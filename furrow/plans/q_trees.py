@@ -145,3 +145,14 @@ def q_boost_importance(spark, sf_dir):
     from pyspark.sql import Window
     w = Window.partitionBy("series", "model").orderBy(F.col("importance").desc(), "feature")
     return imp.withColumn("rank", F.row_number().over(w))
+
+
+@register("forest_importance", kinds("series:str model:str feature:str importance rank:int"))
+def q_forest_importance(spark, sf_dir):
+    """M10+M11: one random-forest fit (500 x depth 6, leaf 10, 70 % features)
+    of the full level model on all usable rows, its feature importances ranked."""
+    u = usable_price(spark, sf_dir)
+    imp = TR.importances(spark, u, FOREST_FULL, {"series": CFG.main_series})
+    from pyspark.sql import Window
+    w = Window.partitionBy("series", "model").orderBy(F.col("importance").desc(), "feature")
+    return imp.withColumn("rank", F.row_number().over(w))
