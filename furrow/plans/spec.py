@@ -22,6 +22,9 @@ SCALE = 10.0 ** DIGITS
 # compute floor(x * SCALE + OFFSET) / SCALE with the same IEEE operations;
 # an off-centre OFFSET keeps short decimals away from the bucket edge.
 OFFSET = 0.499682
+# floor() yields a 64-bit integer in Spark: quantise only where x * SCALE fits
+# with room to spare; larger magnitudes pass through unchanged.
+QUANT_LIMIT = 1e14
 
 Cols = Sequence[tuple[str, str]]
 
@@ -45,7 +48,8 @@ def finish(df: DataFrame, columns: Cols) -> DataFrame:
         elif kind == "dbl":
             x = c.cast("double")
             q = (F.floor(x * F.lit(SCALE) + F.lit(OFFSET)) / F.lit(SCALE)).cast("double")
-            out.append(F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(q).alias(name))
+            out.append(F.when(F.isnan(x), F.lit(None).cast("double"))
+                        .when(F.abs(x) < F.lit(QUANT_LIMIT), q).otherwise(x).alias(name))
         elif kind == "str":
             out.append(c.cast("string").alias(name))
         elif kind == "date":
@@ -65,8 +69,10 @@ def wrap_sql(inner: str, columns: Cols) -> str:
         if kind == "int":
             parts.append(f"CAST({q} AS BIGINT) AS {q}")
         elif kind == "dbl":
-            parts.append(f"CAST(floor(CAST({q} AS DOUBLE) * {SCALE!r}::DOUBLE + {OFFSET!r}::DOUBLE)"
-                         f" / {SCALE!r}::DOUBLE AS DOUBLE) AS {q}")
+            x = f"CAST({q} AS DOUBLE)"
+            parts.append(f"CASE WHEN abs({x}) < {QUANT_LIMIT!r}::DOUBLE THEN "
+                         f"CAST(floor({x} * {SCALE!r}::DOUBLE + {OFFSET!r}::DOUBLE)"
+                         f" / {SCALE!r}::DOUBLE AS DOUBLE) ELSE {x} END AS {q}")
         elif kind == "str":
             parts.append(f"CAST({q} AS VARCHAR) AS {q}")
         elif kind == "date":
