@@ -195,7 +195,8 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
     """In-sample OLS with robust standard errors.
 
     Returns (coefficients, fit): coefficients (keys, term, coef, se, z, p)
-    and fit statistics (keys, nobs, k, r2, adj_r2, rmse, n_clusters).
+    and fit statistics (keys, nobs, k, r2, adj_r2, rmse, n_clusters,
+    few_clusters = 1 when clustered errors rest on fewer than 10 clusters).
     ``cov='HC1'``: White sandwich scaled by n/(n-k). ``cov='cluster'``:
     scores summed per ``cluster`` value, scaled by G/(G-1)*(n-1)/(n-k).
     ``terms`` maps (keys..., idx) -> term name, idx 0 = const.
@@ -283,6 +284,9 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
     out = parts.groupBy(*keys).applyInPandas(sandwich, coef_schema)
     out = out.join(F.broadcast(terms), keys + ["idx"], "left")
     coef_tbl = out.select(*keys, "idx", "term", "coef", "se", "z", "p")
+    # With few clusters the clustered covariance has rank <= G - 1: flag G < 10.
+    few = (F.lit(cov == "cluster") & (F.col("n_clusters") < 10)).cast("int")
     fit = (out.where(F.col("idx") == 0)
-              .select(*keys, "nobs", "k", "r2", "adj_r2", "rmse", "n_clusters"))
+              .select(*keys, "nobs", "k", "r2", "adj_r2", "rmse", "n_clusters",
+                      few.alias("few_clusters")))
     return coef_tbl, fit

@@ -17,7 +17,7 @@ from furrow.plans.spec import kinds
 from furrow.session import materialize
 
 COEF_COLS = kinds("series:str spec:str idx:int term:str coef se z p stars:str")
-FIT_COLS = kinds("series:str spec:str nobs:int k:int r2 adj_r2 rmse n_clusters:int")
+FIT_COLS = kinds("series:str spec:str nobs:int k:int r2 adj_r2 rmse n_clusters:int few_clusters:int")
 SER = [(CFG.main_series,)]
 
 
