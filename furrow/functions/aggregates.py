@@ -53,8 +53,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
        already such a table).
     2. Per group, approximate quantile cut points (a mergeable sketch, also
        partially aggregated) split the group's distinct values into
-       ``buckets`` value ranges; a value's bucket is found against the cut
-       table (one row per group; AQE broadcasts it when it is small).
+       ``buckets`` value ranges; a value's bucket is found against the
+       broadcast cut table.
     3. Counts per (group, bucket) are tiny; a running sum over them locates
        the bucket(s) holding the middle rank(s).
     4. Only those buckets are sorted, partitioned by (group, bucket), so a hot
@@ -62,19 +62,21 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
        quality only affects balance, never the result.
 
     Even counts average the two middle values (the pandas / SQL median).
+
+    Size bound: the cut and target tables hold one row per group (plus
+    ``buckets`` numbers), so they are broadcast; callers group by keys whose
+    count is set by dimensions (weeks x districts, models x bins), not by
+    the number of rows.
     """
     keys = list(keys)
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
     freq = (df.where(F.col(value).isNotNull())
               .groupBy(*keys, value).agg(w.alias("_f")))
     qs = [i / buckets for i in range(1, buckets)]
-    # One row per group. Its size is known only at run time, so the join
-    # strategy is left to AQE: broadcast when the measured side is small,
-    # shuffle join beyond that (no pre-count job over the raw data).
     cuts = freq.groupBy(*keys).agg(
         F.percentile_approx(F.col(value), qs, 1000).alias("_cuts"),
         F.sum("_f").alias("_n"))
-    tagged = freq.join(cuts, keys).withColumn(
+    tagged = freq.join(F.broadcast(cuts), keys).withColumn(
         "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
     per_bucket = tagged.groupBy(*keys, "_b", "_n").agg(F.sum("_f").alias("_bn"))
     w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,7 +89,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
 
     targets = (per_bucket.where(holds(lo_rank) | holds(hi_rank))
                          .select(*keys, "_b", "_before"))
-    rows = tagged.select(*keys, "_b", "_n", value, "_f").join(targets, keys + ["_b"])
+    rows = tagged.select(*keys, "_b", "_n", value, "_f").join(F.broadcast(targets), keys + ["_b"])
     w_run = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumn("_cum", F.col("_before") + F.sum("_f").over(w_run))
     return ranked.groupBy(*keys).agg(
