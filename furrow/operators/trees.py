@@ -16,6 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow import config as K
 from furrow.operators.backtest import ModelSpec, actual_col, back_transform, fold_table
@@ -88,8 +89,12 @@ def tree_backtest(spark: SparkSession, usable: DataFrame, specs: Sequence[ModelS
                         F.col(actual_col(spec)).alias("actual"))
 
     jobs = [(s, f) for s in specs for f in folds]
-    if not jobs:
-        return None
+    if not jobs:  # too few years for a test fold: an empty result, same columns
+        fields = [data.schema[c] for c in [*keys]] + [
+            T.StructField("model", T.StringType()), data.schema["year"],
+            *[data.schema[c] for c in extra],
+            T.StructField("pred_level", T.DoubleType()), T.StructField("actual", T.DoubleType())]
+        return spark.createDataFrame([], T.StructType(fields))
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         parts = list(pool.map(run, jobs))
     out = parts[0]

@@ -102,3 +102,34 @@ def test_exact_median_hot_group_matches_numpy(spark):
     for k in {r[0] for r in rows}:
         vals = np.array([v for kk, v in rows if kk == k])
         assert got[k] == float(np.median(vals)), k
+
+
+def test_broadcast_dim_checks_rows(spark):
+    import contextlib
+    import io
+    from furrow.functions.aggregates import broadcast_dim
+    big = spark.range(0, 5000).withColumnRenamed("id", "k")
+    small = spark.range(0, 10).withColumnRenamed("id", "k")
+
+    def plan(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain(True)
+        return buf.getvalue()
+
+    fact = spark.range(0, 100000).withColumnRenamed("id", "k")
+    assert "broadcast" in plan(fact.join(broadcast_dim(small, max_rows=100), "k")).lower()
+    hinted = plan(fact.join(broadcast_dim(big, max_rows=100), "k"))
+    assert "ResolvedHint" not in hinted
+
+
+def test_tree_backtest_without_folds_is_empty(spark):
+    from furrow.operators import backtest as B
+    from furrow.operators import trees as TR
+    rows = [("S", 2000 + (i % 3), float(i), float(i % 7), float(i) * 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "series string, year int, x1 double, x2 double, price double") \
+        .withColumn("week_ending", F.lit(None).cast("date")).withColumn("coverage", F.lit(1.0))
+    spec = B.ModelSpec("b", ("x1", "x2"), "price", "boost", params=tuple(sorted(
+        dict(trees=5, depth=2, step=0.1, rows=1.0, cols=1.0, min_leaf=1).items())))
+    out = TR.tree_backtest(spark, df, [spec])
+    assert out.count() == 0 and "pred_level" in out.columns
