@@ -180,9 +180,10 @@ def q_price_ingest_roundtrip(spark, sf_dir):
     """S3+S4+P3+P5+P6+P7+D2: price reports written as one CSV folder per year (rows in
     report order, dates as MM/DD/YYYY text, one year's file without the variety
     and item-size columns), read back in year order through the price reader
-    (absent columns take their defaults, texts trimmed, date parsed, district
-    and commodity filters applied), then the first row per 7-column key in
-    file order."""
+    (absent columns take their defaults, texts trimmed, date parsed; the
+    district and commodity filters run with pass-all settings, as these
+    tables have no names outside the map), then the first row per 7-column
+    key in file order."""
     base = f"{ensure_checkpoint_dir(spark)}/prices-{uuid.uuid4().hex}"
     r = testmap.price_reports(spark, sf_dir)
     years = [row[0] for row in r.select("file_rank").distinct().orderBy("file_rank").collect()]

@@ -250,7 +250,7 @@ def _ols_grid(spark, sf_dir, specs, keys=("series",)):
 @register("price_ols_leaderboard", LB_COLS)
 def q_price_leaderboard(spark, sf_dir):
     """M8+F5: the OLS models of the price grid (level / Δ / log Δ, with and without
-    price lags) back-tested over expanding folds, ranked against the naive forecast."""
+    price lags) back-tested over expanding folds, each compared with the naive forecast."""
     u, preds = _ols_grid(spark, sf_dir, B.PRICE_MODELS)
     naive = B.naive_predictions(u)
     scores = B.score(preds.select(naive.columns), ["series", "model"]).unionByName(
