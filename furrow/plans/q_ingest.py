@@ -72,10 +72,13 @@ reports AS (
   SELECT l_orderkey AS order_key, l_linenumber AS line_no, {O.wk('l_shipdate')} AS week_ending,
          n_name AS district, p_type AS commodity, s_name AS origin,
          CAST(l_quantity AS DOUBLE) AS volumes FROM li),
+files AS (
+  SELECT 'old' AS f, * FROM reports WHERE year(week_ending) <= 1998
+  UNION ALL SELECT 'new' AS f, * FROM reports WHERE year(week_ending) >= 1998),
 surv AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY week_ending, district, commodity, order_key, line_no
-                                 ORDER BY origin DESC, volumes DESC) AS rn FROM reports)
+    SELECT *, row_number() OVER (PARTITION BY f, week_ending, district, commodity, order_key, line_no
+                                 ORDER BY origin DESC, volumes DESC) AS rn FROM files)
   WHERE rn = 1)
 SELECT week_ending, district, commodity, count(*) AS rows, sum(volumes) AS volume
 FROM surv GROUP BY 1, 2, 3"""
@@ -84,19 +87,22 @@ FROM surv GROUP BY 1, 2, 3"""
 @register("ingest_roundtrip", kinds("week_ending:date district:str commodity:str rows:int volume"),
           _SHIP_ROUNDTRIP_SQL)
 def q_ingest_roundtrip(spark, sf_dir):
-    """S1+S2+S9+U1+P1+P2+P4+P5+P9+D1: shipment reports written as an older
-    positional CSV (US dates, number formatting) and a newer named CSV
-    (upper-case names) that overlap in one year, read back through the
-    readers, merged and deduplicated on (week, district, commodity, report)
-    (the newer file wins the overlap), then summed per (week, district,
-    commodity). Files go to the session's shared checkpoint folder."""
+    """S1+S2+S9+U1+P1+P2+P4+P5+P9+D1+P11: shipment reports written as an older
+    positional CSV (US dates, number formatting, district names in another
+    spelling) and a newer named CSV (upper-case region and origin) that
+    overlap in one year, read back through the readers, merged, deduplicated
+    on (week, district, commodity, report), district spellings fixed from
+    the nation table, then summed per (week, district, commodity). As in the
+    reference rule, dedup runs before the spelling fix, so the overlap year's
+    reports, spelled differently in the two files, are both kept and summed.
+    Files go to the session's shared checkpoint folder."""
     base = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     r = testmap.shipment_reports(spark, sf_dir)
     y = F.year("week_ending")
     cut = 1998
     old_cols = [
         F.date_format("week_ending", "M/d/yyyy").alias("Week Ending"), F.col("region").alias("Region"),
-        F.col("origin").alias("Origin"), F.col("district").alias("District"),
+        F.col("origin").alias("Origin"), F.initcap("district").alias("District"),
         F.col("commodity").alias("Commodity"),
         F.format_number("volumes", 0).alias("Volume"),
         F.concat_ws("-", "order_key", "line_no").alias("Report")]
@@ -114,8 +120,11 @@ def q_ingest_roundtrip(spark, sf_dir):
              .write.mode("overwrite").option("header", True).csv(path))
     a = FD.read_shipments_positional(spark, f"{base}/old", source_rank=0, extra=["report"])
     b = FD.read_shipments_named(spark, f"{base}/new", source_rank=1, extra=["report"])
+    # Spelling fix from the nation dimension: older spelling -> standard name.
+    fix = testmap.table(spark, sf_dir, "nation").select(F.initcap("n_name").alias("raw"),
+                                                        F.col("n_name").alias("std"))
     merged = FD.merge_shipments(spark, [a, b], key=("week_ending", "district", "commodity", "report"),
-                                name_fix=None)
+                                name_fix=fix)
     return merged.groupBy("week_ending", "district", "commodity").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("volumes").alias("volume"))
 

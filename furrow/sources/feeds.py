@@ -75,17 +75,21 @@ def read_shipments_named(spark: SparkSession, path: str | Sequence[str],
 
 def merge_shipments(spark: SparkSession, parts: Sequence[DataFrame],
                     key: Sequence[str] = ("week_ending", "district", "commodity"),
-                    name_fix: Sequence[tuple[str, str]] | None = K.SHIPMENT_NAME_FIX) -> DataFrame:
+                    name_fix: Sequence[tuple[str, str]] | DataFrame | None = K.SHIPMENT_NAME_FIX
+                    ) -> DataFrame:
     """U1 + P9 + D1 + P11 + P5: union, drop rows without week or volume, keep
     the last row per key after the stable sort, fix district spellings
-    (unmatched kept), trim the commodity."""
+    (a fixed list or a (raw, std) dimension table; unmatched kept), trim the
+    commodity. Dedup runs before the spelling fix, so rows spelled
+    differently are both kept and summed later."""
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
     df = df.where(F.col("week_ending").isNotNull() & F.col("volumes").isNotNull())
     df = keep_last(df, list(key), shipment_order(["origin", "volumes"]))
-    if name_fix:
-        m = literal_table(spark, name_fix, "raw string, std string")
+    if name_fix is not None:
+        m = (broadcast_dim(name_fix.select("raw", "std")) if isinstance(name_fix, DataFrame)
+             else literal_table(spark, name_fix, "raw string, std string"))
         df = (df.join(m, df["district"] == m["raw"], "left")
                 .withColumn("district", F.coalesce("std", "district")).drop("raw", "std"))
     return df.withColumn("commodity", F.trim("commodity"))
