@@ -389,3 +389,41 @@ def q_all_series_leaderboard(spark, sf_dir):
     scores = B.score(preds.select(naive.columns), ["series", "model"]).unionByName(
         B.score(naive, ["series", "model"]))
     return B.leaderboard(scores, ["series", "model"], NAIVE)
+
+
+_J3_SQL = BASE_SQL + f""",
+fit_e AS (
+  SELECT f.series, f.fold, regr_slope(u.price, u.price_lag1) AS b1,
+         regr_intercept(u.price, u.price_lag1) AS b0
+  FROM folds f JOIN usable u ON u.series = f.series AND u.year < f.fold GROUP BY 1, 2),
+fit_r AS (
+  SELECT f.series, f.fold, regr_slope(u.price, u.price_lag1) AS b1,
+         regr_intercept(u.price, u.price_lag1) AS b0
+  FROM folds f JOIN usable u ON u.series = f.series
+       AND u.year >= f.fold - {K.ROLLING_YEARS} AND u.year < f.fold
+  GROUP BY 1, 2 HAVING count(*) >= 2),
+pe AS (
+  SELECT u.series, 'OLS price~lag1' AS model, u.year, u.price AS actual,
+         fit_e.b0 + fit_e.b1 * u.price_lag1 AS pred_level
+  FROM usable u JOIN fit_e ON u.series = fit_e.series AND u.year = fit_e.fold),
+pr AS (
+  SELECT u.series, 'OLS price~lag1' AS model, u.year, u.price AS actual,
+         fit_r.b0 + fit_r.b1 * u.price_lag1 AS pred_level
+  FROM usable u JOIN fit_r ON u.series = fit_r.series AND u.year = fit_r.fold),
+se AS ({_score_sql("pe")}),
+sr AS ({_score_sql("pr")})
+SELECT se.series, se.model, se.year, se.rmse AS expanding_rmse, se.mae AS expanding_mae,
+       sr.rmse AS rolling_rmse, sr.mae AS rolling_mae
+FROM se LEFT JOIN sr ON se.series = sr.series AND se.model = sr.model AND se.year = sr.year"""
+
+
+@register("ols1_expanding_vs_rolling", kinds("series:str model:str year:int expanding_rmse "
+                                             "expanding_mae rolling_rmse rolling_mae"), _J3_SQL)
+def q_ols1_exp_vs_roll(spark, sf_dir):
+    """F1+F2+J3: one-regressor OLS scored per year with expanding and with
+    rolling five-year training windows, the two joined on the test year."""
+    u = usable_price(spark, sf_dir)
+    keys = ["series", "model"]
+    exp_s = B.score(B.ols_backtest(u, [OLS1]), keys)
+    roll_s = B.score(B.ols_backtest(u, [OLS1], mode="rolling", min_train_rows=2), keys)
+    return E.compare_folds(exp_s, roll_s, keys)
