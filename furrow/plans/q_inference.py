@@ -259,3 +259,65 @@ def q_variety_by_year(spark, sf_dir):
     a = s.where(F.col("series") == CFG.main_series).select("year", F.col("rmse").alias("main_rmse"))
     b = s.where(F.col("series") == CFG.second_series).select("year", F.col("rmse").alias("second_rmse"))
     return a.join(b, "year", "full")
+
+
+def _period_label():
+    label = F.lit(None).cast("string")
+    for name, lo, hi in reversed(CFG.periods):
+        label = F.when(F.col("year").between(lo, hi), F.lit(name)).otherwise(label)
+    return label
+
+
+_PERIOD_SQL = BASE_SQL + """,
+p AS (SELECT *, CASE """ + " ".join(f"WHEN year BETWEEN {lo} AND {hi} THEN '{n}'"
+                                    for n, lo, hi in CFG.periods) + """ END AS period FROM usable)
+SELECT series, period, count(*) AS n, regr_intercept(price, price_lag1) AS intercept,
+       regr_slope(price, price_lag1) AS slope
+FROM p WHERE period IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= """ + str(K.PERIOD_MIN_ROWS)
+
+
+@register("period_slopes", kinds("series:str period:str n:int intercept slope"), _PERIOD_SQL)
+def q_period_slopes(spark, sf_dir):
+    """Price ~ price_lag1 refitted on each period from the period's Gram
+    (periods with fewer than 30 rows skipped)."""
+    from furrow.operators import linreg
+    from furrow.plans.q_models import usable_price
+    u = usable_price(spark, sf_dir).withColumn("period", _period_label()).where(
+        F.col("period").isNotNull())
+    d = u.select("series", "period", F.array(F.col("price_lag1")).alias("x"), F.col("price").alias("y"))
+    c = linreg.solve(linreg.gram(d, ["series", "period"]), ["series", "period"])
+    return c.where(F.col("n") >= K.PERIOD_MIN_ROWS).select(
+        "series", "period", "n", F.col("beta")[0].alias("intercept"), F.col("beta")[1].alias("slope"))
+
+
+_SIGNS_SQL = "WITH " + O.panel_cte().lstrip() + O.market_cte(
+    series=[CFG.main_series]) + O.market_cte(series=[CFG.second_series], round_all=False,
+                                             name="second") + """,
+two_series AS (SELECT * FROM market UNION ALL SELECT * FROM second),
+fits AS (
+  SELECT series, 'price_lag1' AS term, regr_slope(price, price_lag1) AS coef FROM two_series
+  WHERE price IS NOT NULL AND price_lag1 IS NOT NULL GROUP BY 1
+  UNION ALL
+  SELECT series, 'tmax_avg' AS term, regr_slope(price - price_lag1, tmax_avg) AS coef FROM two_series
+  WHERE price IS NOT NULL AND price_lag1 IS NOT NULL AND tmax_avg IS NOT NULL GROUP BY 1)
+SELECT a.term, a.coef AS a_coef, b.coef AS b_coef,
+       CASE WHEN a.coef * b.coef > 0 THEN 1 ELSE 0 END AS same_sign
+FROM (SELECT * FROM fits WHERE series = '""" + CFG.main_series + """') a
+FULL JOIN (SELECT * FROM fits WHERE series = '""" + CFG.second_series + """') b ON a.term = b.term"""
+
+
+@register("variety_slope_signs", kinds("term:str a_coef b_coef same_sign:int"), _SIGNS_SQL)
+def q_variety_slope_signs(spark, sf_dir):
+    """M16+J4: one-regressor fits (price ~ price_lag1, Δprice ~ tmax_avg) of the
+    main and second series side by side on the term, with a same-sign test."""
+    both = _variety(spark, sf_dir)[0]
+    specs = [S.Spec("lag", "price", ("price_lag1",)), S.Spec("heat", "dprice", ("tmax_avg",))]
+    design = S.stacked_design(both, specs, ["series"])
+    from furrow.operators import linreg
+    c = linreg.solve(linreg.gram(design, ["series", "spec"]), ["series", "spec"])
+    t = c.select("series", F.when(F.col("spec") == "lag", "price_lag1").otherwise("tmax_avg")
+                 .alias("term"), F.col("beta")[1].alias("coef"),
+                 F.lit("").alias("stars"), F.lit(None).cast("double").alias("p"))
+    a = t.where(F.col("series") == CFG.main_series).drop("series")
+    b = t.where(F.col("series") == CFG.second_series).drop("series")
+    return S.compare_coefficients(a, b, [], ("a", "b"))
