@@ -427,3 +427,22 @@ def q_ols1_exp_vs_roll(spark, sf_dir):
     exp_s = B.score(B.ols_backtest(u, [OLS1]), keys)
     roll_s = B.score(B.ols_backtest(u, [OLS1], mode="rolling", min_train_rows=2), keys)
     return E.compare_folds(exp_s, roll_s, keys)
+
+
+_F6_SQL = _SMALL_LB_SQL[:_SMALL_LB_SQL.index("board AS (")] + """
+a AS (SELECT * FROM scores WHERE model = 'OLS price~lag1'),
+b AS (SELECT * FROM scores WHERE model = 'OLS price~lag1+vol')
+SELECT coalesce(a.series, b.series) AS series, coalesce(a.year, b.year) AS year, a.n AS n_test,
+       a.rmse AS base_rmse, a.mae AS base_mae, b.rmse AS other_rmse, b.mae AS other_mae,
+       (a.rmse - b.rmse) / a.rmse * 100 AS improvement
+FROM a FULL JOIN b ON a.series = b.series AND a.year = b.year"""
+
+
+@register("ols_improvement_by_year", kinds("series:str year:int n_test:int base_rmse base_mae "
+                                           "other_rmse other_mae improvement"), _F6_SQL)
+def q_ols_improvement(spark, sf_dir):
+    """per test year, RMSE/MAE of the one- and two-regressor OLS and the %
+    improvement of the second over the first."""
+    u = usable_price(spark, sf_dir)
+    scores = B.score(B.ols_backtest(u, [OLS1, OLS2]), ["series", "model"])
+    return E.improvement(scores, ["series"], OLS1.name, OLS2.name)
