@@ -61,9 +61,9 @@ def features(frame: DataFrame) -> list[str]:
     return K.IMPUTE_WEATHER + K.IMPUTE_VOLUME + dummies + K.IMPUTE_SEASON
 
 
-def split(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split(frame: DataFrame, feats: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(observed, missing): both need volume > 0 and every feature present."""
-    feats = features(frame)
+    feats = list(feats) if feats is not None else features(frame)
     pos = F.col("volume") > 0
     observed = frame.where(F.col("price").isNotNull() & pos).na.drop(subset=feats)
     missing = frame.where(F.col("price").isNull() & pos).na.drop(subset=feats)
@@ -105,10 +105,25 @@ def impute_missing(spark: SparkSession, frame: DataFrame, cfg: AnalysisConfig) -
                        F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted_price"))
 
 
-def compare_by_district(predicted: DataFrame, frame: DataFrame) -> DataFrame:
+def compare_by_district(predicted: DataFrame, frame: DataFrame,
+                        feats: list[str] | None = None) -> DataFrame:
     """Predicted mean vs observed mean price per district (left: predicted districts)."""
-    observed, _ = split(frame)
+    observed, _ = split(frame, feats)
     p = predicted.groupBy("series", "district").agg(
         F.count(F.lit(1)).alias("n_predicted"), F.avg("predicted_price").alias("predicted_mean"))
     o = observed.groupBy("series", "district").agg(F.avg("price").alias("observed_mean"))
     return p.join(o, ["series", "district"], "left")
+
+
+def impute_missing_ols(frame: DataFrame, feats: list[str]) -> DataFrame:
+    """M14 with least squares: fit on all observed rows (per series, from the
+    distributed Gram), predict the missing rows, clip at 0."""
+    from furrow.operators import linreg
+    observed, missing = split(frame, feats)
+    x = F.array(*[F.col(c).cast("double") for c in feats])
+    design = observed.select("series", x.alias("x"), F.col("price").cast("double").alias("y"))
+    coefs = linreg.solve(linreg.gram(design, ["series"]), ["series"])
+    rows = missing.select("series", "week_ending", "district", "volume", x.alias("x"))
+    pred = linreg.predict(rows, coefs, ["series"])
+    return pred.select("series", "week_ending", "district", "volume",
+                       F.greatest(F.col("pred"), F.lit(0.0)).alias("predicted_price"))
