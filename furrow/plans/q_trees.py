@@ -183,3 +183,29 @@ def q_impute_ols_by_district(spark, sf_dir):
     f = _impute_frame(spark, sf_dir)
     pred = I.impute_missing_ols(f, ["volume"])
     return I.compare_by_district(pred, f, ["volume"])
+
+
+_IMPUTE_BT_SQL = _IMPUTE_OLS_SQL[:_IMPUTE_OLS_SQL.index("mis AS (")] + f"""
+yrs AS (SELECT year, dense_rank() OVER (ORDER BY year) AS r
+        FROM (SELECT DISTINCT year(week_ending) AS year FROM obs)),
+folds AS (SELECT year AS fold FROM yrs WHERE r > {K.MIN_TRAIN_YEARS}),
+fit AS (SELECT f.fold, regr_slope(o.price, o.volume) AS b1, regr_intercept(o.price, o.volume) AS b0
+        FROM folds f JOIN obs o ON year(o.week_ending) < f.fold GROUP BY 1),
+pred AS (SELECT year(o.week_ending) AS year, o.price AS actual, fit.b0 + fit.b1 * o.volume AS p
+         FROM obs o JOIN fit ON year(o.week_ending) = fit.fold)
+SELECT '{CFG.main_series}' AS series, year, count(*) AS n,
+       sqrt(avg((actual - p) * (actual - p))) AS ols_rmse, avg(abs(actual - p)) AS ols_mae
+FROM pred GROUP BY 1, 2"""
+
+
+@register("impute_ols_backtest", kinds("series:str year:int n:int ols_rmse ols_mae"), _IMPUTE_BT_SQL)
+def q_impute_ols_backtest(spark, sf_dir):
+    """Least-squares price on volume over observed district-weeks,
+    back-tested on expanding years (every year after the first four)."""
+    f = _impute_frame(spark, sf_dir)
+    observed, _ = I.split(f, ["volume"])
+    spec = B.ModelSpec("OLS impute (volume)", ("volume",), "price")
+    obs = observed.withColumn("coverage", F.lit(None).cast("double"))
+    s = B.score(B.ols_backtest(obs, [spec], extra=("week_ending", "price", "coverage")),
+                ["series", "model"])
+    return s.select("series", "year", "n", F.col("rmse").alias("ols_rmse"), F.col("mae").alias("ols_mae"))
