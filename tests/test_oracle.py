@@ -11,7 +11,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 SF = "/root/testdata/sf0.001"
 FAST = ["weekly_panel", "market_series", "district_series", "naive_scores", "ols1_backtest",
         "ols2_backtest", "hc1_one_regressor", "cluster_one_regressor", "dedup_keep_last",
-        "fold_scalers", "coverage_by_type", "naive_error_by_coverage"]
+        "fold_scalers", "coverage_by_type", "naive_error_by_coverage",
+        "small_model_leaderboard", "ols1_expanding_vs_rolling", "ols_improvement_by_year",
+        "period_slopes", "variety_slope_signs", "impute_ols_by_district", "impute_ols_backtest",
+        "transition_split", "sequence_window_bounds"]
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
 
