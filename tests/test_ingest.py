@@ -131,3 +131,14 @@ def test_keep_last_hot_key_is_partial_aggregate(spark):
     with contextlib.redirect_stdout(buf):
         out.explain()
     assert "partial_max_by" in buf.getvalue()
+
+
+def test_write_table_partitioned_csv_and_parquet(spark, tmpdir_path):
+    df = spark.createDataFrame([(2020, "a", 1.0), (2021, "b", 2.0), (2021, "a", 3.0)],
+                               "year int, k string, v double")
+    p1, p2 = os.path.join(tmpdir_path, "pq"), os.path.join(tmpdir_path, "csv")
+    feeds.write_table(df, p1, sort_by=("k",))
+    feeds.write_table(df, p2, fmt="csv")
+    assert sorted(os.listdir(p1)) == ["_SUCCESS", "year=2020", "year=2021"]
+    back = spark.read.option("header", True).csv(p2)
+    assert back.count() == 3 and set(back.columns) == {"k", "v", "year"}
