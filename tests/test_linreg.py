@@ -107,3 +107,22 @@ def test_residuals_orthogonal(spark):
     p = linreg.predict(d, c, ["series"]).withColumn("e", F.col("y") - F.col("pred"))
     r = p.agg(F.sum("e"), F.sum(F.col("e") * F.col("x")[0])).collect()[0]
     assert abs(r[0]) < 1e-8 and abs(r[1]) < 1e-6
+
+
+def test_rolling_folds_equal_direct_refit(spark):
+    df, X, y, year, _ = _data(spark, n=200)
+    u = df.withColumnRenamed("y", "price").withColumn("week_ending", F.lit(None).cast("date")) \
+          .withColumn("price_lag1", F.lit(0.0)).withColumn("volume", F.lit(0.0)) \
+          .withColumn("volume_lag1", F.lit(0.0)).withColumn("coverage", F.lit(0.0))
+    spec = B.ModelSpec("m", ("x1", "x2", "x3"), "price")
+    preds = B.ols_backtest(u, [spec], mode="rolling", window_years=5).toPandas()
+    years = sorted(set(year))
+    for t in years[4:]:
+        tr = (year >= t - 5) & (year < t)
+        A = np.column_stack([np.ones(tr.sum()), X[tr]])
+        b = np.linalg.lstsq(A, y[tr], rcond=None)[0]
+        te = year == t
+        exp = (np.column_stack([np.ones(te.sum()), X[te]]) @ b)[np.argsort(y[te])]
+        got = preds[preds.year == t].sort_values("actual")["pred_level"].to_numpy()
+        assert np.allclose(got, exp, atol=1e-8)
+        assert (preds[preds.year == t]["n_train"] == tr.sum()).all()
