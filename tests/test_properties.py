@@ -65,3 +65,30 @@ def test_lags_match_numpy_shift(spark, panel_df):
     std8 = m["price"].rolling(8, min_periods=4).std()
     spike = (m["price"] > mean8 + 2 * std8).astype(int).to_numpy()
     assert (spike == m["price_spike"].to_numpy()).all()
+
+
+def test_sequence_windows_match_numpy_slices(spark):
+    import datetime as dt
+    from furrow.operators.sequences import sequence_windows
+    rng = np.random.default_rng(5)
+    n = 30
+    weeks = [dt.date(2020, 1, 7) + dt.timedelta(days=7 * i) for i in range(n)]
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    df = spark.createDataFrame([("S", w, float(x), float(y)) for w, x, y in zip(weeks, a, b)],
+                               "series string, week_ending date, a double, b double")
+    out = sequence_windows(df, ["series"], ["a", "b"], length=8).orderBy("week_ending").collect()
+    X = np.column_stack([a, b])
+    assert len(out) == n - 8
+    for k, r in enumerate(out):
+        i = k + 8
+        assert r["week_ending"] == weeks[i] and r["seq_start"] == weeks[i - 8]
+        assert np.allclose(np.array(r["seq"]), X[i - 8:i])
+
+
+def test_weighted_exact_median_equals_expanded(spark):
+    from furrow.functions.aggregates import exact_median
+    rows = [("g", 1.0, 3), ("g", 2.0, 1), ("g", 5.0, 2), ("h", 4.0, 2), ("h", 6.0, 2)]
+    df = spark.createDataFrame(rows, "k string, v double, w long")
+    got = {r["k"]: r["m"] for r in exact_median(df, ["k"], "v", "m", weight="w").collect()}
+    assert got["g"] == float(np.median([1, 1, 1, 2, 5, 5]))
+    assert got["h"] == float(np.median([4, 4, 6, 6]))
