@@ -133,3 +133,13 @@ def test_tree_backtest_without_folds_is_empty(spark):
         dict(trees=5, depth=2, step=0.1, rows=1.0, cols=1.0, min_leaf=1).items())))
     out = TR.tree_backtest(spark, df, [spec])
     assert out.count() == 0 and "pred_level" in out.columns
+
+
+def test_name_normalisation():
+    from furrow.config import PRODUCE, commodity_suffix
+    from furrow.operators.impute import dummy_name
+    assert commodity_suffix("Lettuce, Green Leaf", "Lettuce, ") == "green_leaf"
+    assert [PRODUCE.suffix(c) for c in PRODUCE.commodities] == [
+        "iceberg", "romaine", "green_leaf", "red_leaf", "boston"]
+    assert dummy_name("Salinas-Watsonville") == "d_salinas_watsonville"
+    assert dummy_name("Western Arizona") == "d_western_arizona"
