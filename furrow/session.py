@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -60,9 +61,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
-def ensure_utc(spark: SparkSession) -> None:
-    """Driver timestamps are zone-less; dates must not shift with the zone."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, wherever
+    the driver loaded it from: a zip of its sources goes out with the job."""
+    sc = spark.sparkContext
+    if getattr(sc, "_furrow_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="furrow-zip-"), "furrow_package.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(target)
+    sc._furrow_shipped = True
 
 
 def materialize(df):
