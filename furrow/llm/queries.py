@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from furrow.llm.token_counts import token_counts
 
 OVER_LIMIT = 1024
+END_OF_TEXT = 50256     # the special token of byte_bpe_50k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 1: bytes and byte-level BPE tokens of every whole text."""
     counts = token_counts(_table(spark, sf_dir, "documents"),
-                          public_tokenizers.path("byte_bpe_50k.json"))
+                          public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN, {"<|endoftext|>": END_OF_TEXT})
     return counts.withColumn("over_limit", F.col("n_tokens") > OVER_LIMIT)
 
 

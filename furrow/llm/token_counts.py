@@ -1,7 +1,9 @@
 """Operator 1: token counts of whole texts.
 
 An Arrow function encodes texts in batches of about equal bytes and returns
-lengths only. A text longer than ``PIECE_CHARS`` is cut at safe boundaries: a
+lengths only. The vocabulary's file decides the library: ``.json`` tokenizers,
+``.model`` sentencepiece, ``.tiktoken`` tiktoken (a rank file of the same byte-level
+vocabulary gives the counts of its .json, several times faster; tested). A text longer than ``PIECE_CHARS`` is cut at safe boundaries: a
 space that follows a letter or digit always starts a new pre-token, so the
 counts of the pieces add up to the count of the whole text.
 
@@ -12,6 +14,7 @@ input, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import base64
 import os
 
 import pyarrow as pa
@@ -40,24 +43,40 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
+def length_counter(path: str, pattern: str | None = None, special: dict[str, int] | None = None):
+    """A function from a list of texts to their numbers of tokens."""
+    if path.endswith(".json"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        return lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    if path.endswith(".model"):
+        import sentencepiece
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
+    import tiktoken
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+    return lambda texts: [len(enc.encode_to_numpy(t, allowed_special="all")) for t in texts]
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str | None = None,
+                 special: dict[str, int] | None = None, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of ``docs``.
 
-    ``tokenizer_path``: a tokenizers .json file that every worker can read.
+    ``tokenizer_path``: a vocabulary file that every worker can read; a rank file
+    also needs the ``pattern`` that splits texts, and its ``special`` strings.
+    sentencepiece adds a word mark at the start of a text, so its texts stay whole.
     """
     id_type = docs.schema[id_col].dataType
+    limit = None if tokenizer_path.endswith(".model") else PIECE_CHARS
 
     def count(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(tokenizer_path)
-        tok.no_truncation()
-        tok.no_padding()
-
-        def lengths(texts):
-            return [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
+        lengths = length_counter(tokenizer_path, pattern, special)
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             texts = batch.column(1).to_pylist()
@@ -67,7 +86,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 for i in range(a, b):
                     if not texts[i]:
                         continue
-                    if len(texts[i]) <= PIECE_CHARS:
+                    if limit is None or len(texts[i]) <= limit:
                         short.append(i)
                     else:
                         n_tokens[i] = sum(lengths([p])[0] for p in pieces(texts[i]))
