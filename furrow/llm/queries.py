@@ -9,6 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.llm import decontaminate, mixing
+from furrow.llm.decontaminate import contamination
+from furrow.llm.mixing import mix_sources
 from furrow.llm.secrets import scan_secrets
 from furrow.llm.token_counts import token_counts
 
@@ -28,6 +31,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > OVER_LIMIT)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: benchmark windows in every whole text."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10: words that the mix takes from every document."""
+    return mix_sources(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9: secret spans of every whole text."""
     return scan_secrets(_table(spark, sf_dir, "documents"))
@@ -35,7 +48,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op9_secret_scan": op9_secret_scan,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": decontaminate.ORACLE,
+    "op10_mixing": mixing.ORACLE,
+}
