@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from furrow.llm import decontaminate, mixing
 from furrow.llm.decontaminate import contamination
+from furrow.llm.language import identify_documents
 from furrow.llm.mixing import mix_sources
+from furrow.llm.quality import fit_quality, score_quality
 from furrow.llm.secrets import scan_secrets
 from furrow.llm.token_counts import token_counts
 
 OVER_LIMIT = 1024
+QUALITY_BOUND = 0.3
 END_OF_TEXT = 50256     # the special token of byte_bpe_50k
 
 
@@ -31,6 +34,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > OVER_LIMIT)
 
 
+def _crc32_rest(column: str, of: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % of
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2: quality score of every whole text."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.where(_crc32_rest("doc_id", 5) != 0))
+    return score_quality(docs, model).select(
+        "doc_id", F.coalesce(_crc32_rest("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= QUALITY_BOUND, 1).otherwise(0).alias("predicted"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3: language of every whole text."""
+    return identify_documents(_table(spark, sf_dir, "documents"), _crc32_rest("doc_id", 3) == 1)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6: benchmark windows in every whole text."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -48,6 +69,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
     "op6_decontamination": op6_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
