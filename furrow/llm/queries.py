@@ -9,9 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import decontaminate, mixing
+from furrow.llm import decontaminate, minhash, mixing
 from furrow.llm.decontaminate import contamination
 from furrow.llm.language import identify_documents
+from furrow.llm.minhash import near_duplicates
 from furrow.llm.mixing import mix_sources
 from furrow.llm.quality import fit_quality, score_quality
 from furrow.llm.secrets import scan_secrets
@@ -57,6 +58,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7: near-duplicate components of all documents."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10: words that the mix takes from every document."""
     return mix_sources(_table(spark, sf_dir, "documents"), keep_text=False)
@@ -72,11 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op6_decontamination": op6_decontamination,
+    "op7_minhash": op7_minhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.ORACLE,
+    "op7_minhash": minhash.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
