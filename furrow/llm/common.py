@@ -4,6 +4,7 @@ staged in the cluster's shared folder."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -32,10 +33,13 @@ _STEP, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 def stage(df: DataFrame, keep: str = "table") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder that
-    ``spark.checkpoint.dir`` names, and read it back."""
+    ``spark.checkpoint.dir`` names, and read it back. Shuffle files of steps that
+    nothing refers to any more are released, so only the last step's take disk."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{keep}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()       # Spark's cleaner follows the driver's garbage collection
     return spark.read.schema(df.schema).parquet(path)
 
 

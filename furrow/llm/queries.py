@@ -16,6 +16,7 @@ from furrow.llm.minhash import near_duplicates
 from furrow.llm.mixing import mix_sources
 from furrow.llm.quality import fit_quality, score_quality
 from furrow.llm.secrets import scan_secrets
+from furrow.llm.substring import remove_repeats
 from furrow.llm.token_counts import token_counts
 
 OVER_LIMIT = 1024
@@ -53,6 +54,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(_table(spark, sf_dir, "documents"), _crc32_rest("doc_id", 3) == 1)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5: bytes of every whole text that repeat earlier 100-byte strings."""
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6: benchmark windows in every whole text."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
     "op9_secret_scan": op9_secret_scan,
