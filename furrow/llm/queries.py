@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm import decontaminate, minhash, mixing
 from furrow.llm.decontaminate import contamination
+from furrow.llm.fingerprint import fingerprints
 from furrow.llm.language import identify_documents
 from furrow.llm.minhash import near_duplicates
 from furrow.llm.mixing import mix_sources
@@ -54,6 +55,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(_table(spark, sf_dir, "documents"), _crc32_rest("doc_id", 3) == 1)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4: fingerprints of every whole text and its edited text."""
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5: bytes of every whole text that repeat earlier 100-byte strings."""
     return remove_repeats(_table(spark, sf_dir, "documents"))
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
+    "op4_fingerprints": op4_fingerprints,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
