@@ -15,6 +15,7 @@ from furrow.llm.fingerprint import fingerprints
 from furrow.llm.language import identify_documents
 from furrow.llm.minhash import near_duplicates
 from furrow.llm.mixing import mix_sources
+from furrow.llm.passages import repeated_passages
 from furrow.llm.quality import fit_quality, score_quality
 from furrow.llm.secrets import scan_secrets
 from furrow.llm.substring import remove_repeats
@@ -75,6 +76,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: near-duplicate passages between documents."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10: words that the mix takes from every document."""
     return mix_sources(_table(spark, sf_dir, "documents"), keep_text=False)
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
+    "op8_passages": op8_passages,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
