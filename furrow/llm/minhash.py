@@ -190,9 +190,10 @@ def _pairs_of(leaders: DataFrame, members: DataFrame, found: DataFrame, tested:
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that represent their group, all columns kept."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that represent their group, all columns kept. Rows with a
+    null id stay; rows that share an id stay or go together."""
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
