@@ -8,10 +8,13 @@ agree in all rows of a band are candidates; a link is confirmed on the full sets
 with probability 0.316, so 32 bands miss a link with probability 5e-6.
 
 Groups are never expanded into all pairs. Documents with equal sets are one class.
-In each band bucket every class is checked against the bucket's smallest class; then,
-as long as a bucket holds several components, further leaders from its smaller
-components are checked against the members of the others. Every candidate pair is
-thus checked or already connected. Links give components by star contraction.
+First each class is checked against the smallest class of each of its band buckets, and
+the links' components are formed. A bucket that then still holds several components has
+its members outside its largest component compared with its members of other components
+by signature, in blocks of ``BLOCK`` members a task (a pair in one bucket only); the
+pairs that agree in ``CLOSE`` coordinates, four standard deviations below the bound, are
+checked on their full sets too. So every candidate pair is checked, already connected, or
+ruled out by its signature. Links give components by star contraction.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing; fewer than ``SHINGLE_WORDS`` words are one shingle; repeated rows each give
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import NOT_SPACE, SHINGLE_WORDS, Words, doc_chunks, mix, shingles, stage, utf8
@@ -32,7 +35,8 @@ from furrow.llm.components import components
 
 BANDS, ROWS = 32, 4
 PERCENT = 75
-FIRST_LEADERS, MORE_LEADERS = 2, 8
+CLOSE = 77                    # of 128 coordinates: 0.75 less four standard deviations
+BLOCK = 4096
 
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -74,19 +78,21 @@ def _sets(column):
 
 def _sketch(batches):
     for batch in batches:
-        n, d1, d2, keys = [], [], [], []
+        n, d1, d2, keys, sigs = [], [], [], [], []
         for s in _sets(batch.column(1)):
             n.append(len(s))
             m = mix(s ^ _DIGEST)
             d1.append(int(m.sum().view(np.int64)))
             d2.append(int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0)
-            keys.append(band_keys(signature(s)).view(np.int64) if len(s) else np.zeros(0, np.int64))
+            sig = signature(s)
+            keys.append(band_keys(sig).view(np.int64) if len(s) else np.zeros(0, np.int64))
+            sigs.append((sig & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
         size = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat, pa.int64()))],
-            names=["id", "text_hash", "n", "d1", "d2", "keys"])
+             pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat, pa.int64())), pa.array(sigs, pa.binary())],
+            names=["id", "text_hash", "n", "d1", "d2", "keys", "sig"])
 
 
 def _confirm(batches):
@@ -119,12 +125,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     rows = stage(texts.select("id", "text", "text_hash").mapInArrow(
-        _sketch, f"id {id_type}, text_hash bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"), "sketches")
+        _sketch, f"id {id_type}, text_hash bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary"), "sketches")
     classes = stage(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2")
-                    .agg(F.min(F.struct("id", "text_hash")).alias("r"), F.first("keys").alias("keys"))
-                    .select("n", "d1", "d2", F.col("r.id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "keys"),
+                    .agg(F.min(F.struct("id", "text_hash")).alias("r"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+                    .select("n", "d1", "d2", F.col("r.id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "keys", "sig"),
                     "classes")
-    banded = classes.select("rep", "text_hash", "n", F.explode("keys").alias("key"))
+    banded = classes.select("rep", "text_hash", "n", F.posexplode("keys").alias("band", "key"))
     shared = (banded.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rep", "text_hash", "n")).alias("lead"))
               .where("members > 1").select("key", "lead"))
     members = stage(banded.join(shared, "key"), "members")
@@ -138,19 +144,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                  F.col("lead.n").alias("b_n"))
                   .where(fits).select("a", "a_hash", "b", "b_hash").distinct(), "pairs")
     links = stage(_verified(pairs, texts, id_type), "links")
-    tested, led = pairs.select("a", "b"), members.select("key", F.col("lead.rep").alias("rep")).distinct()
-    members, leaders = members.drop("lead"), FIRST_LEADERS
     found = stage(components(links, "a", "b"), "components")
-    while True:
-        more = stage(_next_leaders(members, found, led, leaders), "leaders")
-        if more.isEmpty():
-            break
-        pairs = stage(_pairs_of(more, members, found, tested, fits), "pairs")
-        if not pairs.isEmpty():
-            links = stage(links.union(_verified(pairs, texts, id_type)), "links")
-            found = stage(components(links, "a", "b"), "components")
-        led = led.union(more.select("key", F.col("b").alias("rep")))
-        tested, leaders = tested.union(pairs.select("a", "b")), leaders * MORE_LEADERS
+    close = stage(_close_pairs(members.drop("lead"), classes, found, id_type), "pairs")
+    if not close.isEmpty():
+        links = stage(links.union(_verified(close, texts, id_type)), "links")
+        found = stage(components(links, "a", "b"), "components")
     of_class = (classes.select("n", "d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left")
                 .select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")))
     out = rows.select("id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
@@ -159,34 +157,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _side(p: str):
-    return [F.col("rep").alias(p), F.col("text_hash").alias(f"{p}_hash"), F.col("n").alias(f"{p}_n"),
-            F.col("component").alias(f"{p}_part")]
-
-
-def _with_part(members: DataFrame, found: DataFrame) -> DataFrame:
+def _compare(batches):
+    """Arrow function over bucket blocks (key, salt, band, rep, text_hash, n, component,
+    leads, probes, sig): close pairs of a leader and a probe of other components, in the
+    first band that they share."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    del held
+    key, salt, band, n, leads, probes = (table[c].to_numpy() for c in ("key", "salt", "band", "n", "leads", "probes"))
+    rep, text_hash, part = (table[c].to_numpy() for c in ("rep", "text_hash", "component"))
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(key), -1)
+    order = np.lexsort((salt, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | (salt[order[1:]] != salt[order[:-1]])
+    for rows in np.split(order, np.flatnonzero(new)[1:]):
+        lead, probe = rows[leads[rows]], rows[probes[rows]]
+        step = max(1, (1 << 17) // max(1, len(probe)))
+        for at in range(0, len(lead), step):
+            some = lead[at:at + step]
+            same = sig[some][:, None, :] == sig[probe][None, :, :]
+            first = same.reshape(len(some), len(probe), BANDS, ROWS).all(axis=3).argmax(axis=2)
+            low, high = np.minimum(n[some][:, None], n[probe]), np.maximum(n[some][:, None], n[probe])
+            good = ((same.sum(axis=2) >= CLOSE) & (first == band[some][:, None]) & (100 * low >= PERCENT * high)
+                    & (part[some][:, None] != part[probe]) & (~leads[probe] | (rep[some][:, None] < rep[probe])))
+            x, y = np.nonzero(good)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rep[probe[y]]), pa.array(text_hash[probe[y]]), pa.array(rep[some[x]]), pa.array(text_hash[some[x]])],
+                names=["a", "a_hash", "b", "b_hash"])
+
+
+
+def _close_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, id_type: str) -> DataFrame:
+    """Close pairs between the components that still share a bucket. A pair of them has
+    a side outside the bucket's largest component; those sides lead."""
     rows = members.join(found, F.col("rep") == F.col("node"), "left")
-    return rows.withColumn("component", F.coalesce("component", "rep")).drop("node")
-
-
-def _next_leaders(members: DataFrame, found: DataFrame, led: DataFrame, leaders: int) -> DataFrame:
-    """A few further leaders of each bucket that holds several components: members
-    outside its largest component that haven't led it yet. A bucket without such a
-    member is done, as any open pair has a side outside the largest component."""
-    rows = _with_part(members, found)
+    rows = rows.withColumn("component", F.coalesce("component", "rep")).drop("node")
     by_part = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
-    mixed = (by_part.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top"))
-             .where("parts > 1").select("key", F.col("top.component").alias("largest")))
-    rows = rows.join(mixed, "key").where("component != largest").join(led, ["key", "rep"], "left_anti")
-    order = Window.partitionBy("key").orderBy("rep")
-    return rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= leaders).select("key", *_side("b"))
-
-
-def _pairs_of(leaders: DataFrame, members: DataFrame, found: DataFrame, tested: DataFrame, fits: str) -> DataFrame:
-    """Untested pairs of the leaders with their buckets' members of other components."""
-    pairs = (leaders.join(_with_part(members, found).select("key", *_side("a")), "key")
-             .where(fits).where("a_part != b_part").select("a", "a_hash", "b", "b_hash").distinct())
-    return pairs.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti").select("a", "a_hash", "b", "b_hash")
+    mixed = (by_part.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top"),
+                                        F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+             .where("parts > 1").select("key", F.col("top.component").alias("largest"), "blocks"))
+    rows = stage(rows.join(mixed, "key").withColumn("lead", F.col("component") != F.col("largest")), "mixed")
+    keep = ["key", "band", "rep", "text_hash", "n", "component"]
+    # A small bucket is one block in which its leaders are probes as well; a large one deals
+    # its members to blocks and sends the leaders to every block.
+    one = rows.where("blocks = 1").select(*keep, F.lit(0).cast("bigint").alias("salt"), F.col("lead").alias("leads"), F.lit(True).alias("probes"))
+    many = rows.where("blocks > 1")
+    dealt = many.select(*keep, F.pmod(F.xxhash64("rep", "text_hash"), "blocks").alias("salt"), F.lit(False).alias("leads"), F.lit(True).alias("probes"))
+    sent = many.where("lead").select(*keep, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("salt"),
+                                     F.lit(True).alias("leads"), F.lit(False).alias("probes"))
+    blocks = one.union(dealt).union(sent).join(classes.select("rep", "text_hash", "sig"), ["rep", "text_hash"])
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (blocks.repartition(parts, "key", "salt").mapInArrow(
+        _compare, f"a {id_type}, a_hash bigint, b {id_type}, b_hash bigint").distinct())
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
