@@ -35,15 +35,6 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def design_matrix(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str,
-                  extra: Sequence[str] = ()) -> DataFrame:
-    """Rows with every feature and the target present -> (keys, x, y, extra)."""
-    cols = list(dict.fromkeys(list(features) + [target]))
-    d = df.na.drop(subset=cols)
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    return d.select(*keys, x.alias("x"), F.col(target).cast("double").alias("y"), *extra)
-
-
 # ----------------------------------------------------------------- 1. Gram
 
 def gram(design: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -106,33 +97,52 @@ def accumulate(yearly: DataFrame, keys: Sequence[str], folds: DataFrame,
 
 # ------------------------------------------------------------- 3. solve
 
+def _decompose(g: np.ndarray):
+    """Centred, correlation-scaled decomposition of the augmented Gram
+    [1,x,y]'[1,x,y]: (means, scales, generalised inverse of the correlations,
+    number of directions kept). One cut-off serves coefficients, rank and
+    standard errors, and doesn't depend on the features' magnitudes."""
+    p = g.shape[0] - 1
+    n = g[0, 0]
+    mx = g[0, 1:p] / n
+    sxx = g[1:p, 1:p] - n * np.outer(mx, mx)
+    d = np.sqrt(np.clip(np.diag(sxx), 0, None))
+    scale = np.where(d > 0, d, 1.0)
+    vals, vecs = np.linalg.eigh(sxx / np.outer(scale, scale))
+    keep = vals > RCOND * max(vals.max(), 0.0) * len(mx)
+    inv = (vecs[:, keep] / vals[keep]) @ vecs[:, keep].T
+    return mx, d, scale, inv, int(keep.sum())
+
+
 def _solve_gram(g: np.ndarray) -> tuple[np.ndarray, int, float, float, float]:
     """From the augmented Gram [1,x,y]'[1,x,y] -> (beta incl. intercept, rank, n, yty, ybar)."""
     p = g.shape[0] - 1  # 1 + k
     n = g[0, 0]
     if n <= 0:
         return np.full(p, np.nan), 0, n, np.nan, np.nan
-    sx = g[0, 1:p]
-    sy = g[0, p]
-    xx = g[1:p, 1:p]
-    xy = g[1:p, p]
-    mx, my = sx / n, sy / n
-    sxx = xx - n * np.outer(mx, mx)
-    sxy = xy - n * mx * my
-    k = sxx.shape[0]
-    if k == 0:
+    my = g[0, p] / n
+    if p == 1:
         return np.array([my]), 1, n, g[p, p], my
-    d = np.sqrt(np.clip(np.diag(sxx), 0, None))
-    scale = np.where(d > 0, d, 1.0)
-    r = sxx / np.outer(scale, scale)
-    vals, vecs = np.linalg.eigh(r)
-    cut = RCOND * max(vals.max(), 0.0) * k
-    keep = vals > cut
-    inv = (vecs[:, keep] / vals[keep]) @ vecs[:, keep].T
+    mx, d, scale, inv, kept = _decompose(g)
+    sxy = g[1:p, p] - n * mx * my
     b = (inv @ (sxy / scale)) / scale
     b = np.where(d > 0, b, 0.0)
-    b0 = my - mx @ b
-    return np.concatenate([[b0], b]), int(keep.sum()) + 1, n, g[p, p], my
+    return np.concatenate([[my - mx @ b], b]), kept + 1, n, g[p, p], my
+
+
+def _bread(g: np.ndarray) -> np.ndarray:
+    """(X'X)^- of [1, x] from the same decomposition as the coefficients."""
+    p = g.shape[0] - 1
+    n = g[0, 0]
+    if p == 1:
+        return np.array([[1.0 / n]])
+    mx, _, scale, inv, _ = _decompose(g)
+    slope = inv / np.outer(scale, scale)
+    out = np.empty((p, p))
+    out[1:, 1:] = slope
+    out[0, 1:] = out[1:, 0] = -mx @ slope
+    out[0, 0] = 1.0 / n + mx @ slope @ mx
+    return out
 
 
 def _full(pdf: pd.DataFrame) -> np.ndarray:
@@ -190,6 +200,24 @@ def _normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0)) if np.isfinite(z) else float("nan")
 
 
+def standardised(design: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(design with each group's features centred and scaled, the (keys, _mean,
+    _scale) used). The sums that follow then keep their digits whatever the
+    features' magnitudes and the number of rows. Constant features become 0."""
+    keys = list(keys)
+    by_feature = (design.select(*keys, F.posexplode("x").alias("i", "v")).groupBy(*keys, "i")
+                  .agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")))
+    # A spread that is only rounding of the mean is a constant feature.
+    usable = F.col("s") > F.abs("m") * F.lit(1e-13)
+    lists = by_feature.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "i", "m", F.when(usable, F.col("s")).otherwise(F.lit(1.0)).alias("s"), usable.alias("ok")))).alias("_f"))
+    lists = lists.select(*keys, "_f", F.transform("_f", lambda f: f["m"]).alias("_mean"),
+                         F.transform("_f", lambda f: f["s"]).alias("_scale"))
+    out = design.join(lists.select(*keys, "_f"), keys).withColumn(
+        "x", F.zip_with("x", "_f", lambda v, f: F.when(f["ok"], (v - f["m"]) / f["s"]).otherwise(F.lit(0.0)))).drop("_f")
+    return out, lists.select(*keys, "_mean", "_scale")
+
+
 def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
               cov: str = "HC1", cluster: str | None = None) -> tuple[DataFrame, DataFrame]:
     """In-sample OLS with robust standard errors.
@@ -202,26 +230,23 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
     ``terms`` maps (keys..., idx) -> term name, idx 0 = const.
     """
     keys = list(keys)
+    design, shifts = standardised(design, keys)
     g_raw = gram(design, keys)
     coefs = solve(g_raw, keys)
     scored = (design.join(F.broadcast(coefs.select(*keys, "beta")), keys)
                     .withColumn("e", F.col("y") - linear_predict()))
     if cov == "cluster":
-        # Per-cluster score sums u_g = sum_i z_i e_i are the last column of the
-        # Gram of [1, x, e] per (keys, cluster) (vectorised partial sums). The
-        # meat sum_g u_g u_g' is formed in Spark: pairs (i, j) within each
-        # cluster, summed over clusters — so the grouped solve below only ever
-        # receives p x p numbers, however many clusters there are.
-        cg = gram(scored.select(*keys, F.col(cluster).cast("string").alias("_g"), "x",
-                                F.col("e").alias("y")), keys + ["_g"])
-        last = F.max("j").over(Window.partitionBy(*keys, "_g"))
-        u = (cg.withColumn("_last", last).where((F.col("j") == F.col("_last"))
-                                                & (F.col("i") < F.col("_last")))
-               .select(*keys, "_g", "i", "s"))
-        ua = u.select(*keys, "_g", F.col("i").alias("i"), F.col("s").alias("_si"))
-        ub = u.select(*keys, "_g", F.col("i").alias("j"), F.col("s").alias("_sj"))
-        meat = (ua.join(ub, keys + ["_g"]).where(F.col("i") <= F.col("j"))
-                  .groupBy(*keys, "i", "j").agg(F.sum(F.col("_si") * F.col("_sj")).alias("s")))
+        # Per-cluster score sums u_g = sum_i z_i e_i are sums in the JVM; a cluster's
+        # vector (p numbers) then adds its outer product to the meat, in vectorised
+        # partial sums per group: no state per cluster, no p x p rows per cluster.
+        z = F.concat(F.array(F.lit(1.0)), F.col("x"))
+        scores = scored.select(*keys, F.col(cluster).cast("string").alias("_g"),
+                               F.posexplode(F.transform(z, lambda v: v * F.col("e"))).alias("i", "s"))
+        sums = scores.groupBy(*keys, "_g", "i").agg(F.sum("s").alias("s"))
+        cg = sums.groupBy(*keys, "_g").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("u"))
+        vectors = cg.select(*keys, F.transform("u", lambda v: v["s"]).alias("x"), F.lit(0.0).alias("y"))
+        meat = (gram(vectors, keys).where(F.col("i") >= 1)
+                .select(*keys, (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "s"))
         n_clusters = cg.groupBy(*keys).agg(F.countDistinct("_g").cast("int").alias("_G"))
     else:
         meat = gram(scored.withColumn("w", F.col("e") * F.col("e")), keys, weight="w")
@@ -235,7 +260,7 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
     # Per group: Gram (tag 'g') and meat (tag 'm'), both p x p sized.
     g_all = g_raw.select(*keys, F.lit("g").alias("tag"), "i", "j", "s")
     m_all = meat.select(*keys, F.lit("m").alias("tag"), "i", "j", "s")
-    parts = g_all.unionByName(m_all).join(ssr, keys)
+    parts = g_all.unionByName(m_all).join(ssr, keys).join(shifts, keys)
     fields = _key_fields(design, keys)
     coef_schema = T.StructType(fields + [
         T.StructField("idx", T.IntegerType()), T.StructField("coef", T.DoubleType()),
@@ -250,10 +275,7 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
         g = _full(pdf[pdf.tag == "g"])
         beta, rank, n, yty, ybar = _solve_gram(g)
         p = g.shape[0] - 1
-        xtx = g[:p, :p]
-        vals, vecs = np.linalg.eigh(xtx)
-        keep = vals > RCOND * vals.max() * p
-        bread = (vecs[:, keep] / vals[keep]) @ vecs[:, keep].T
+        bread = _bread(g)
         ssr_v = float(pdf["ssr"].iloc[0])
         dof = n - rank
         n_cl = int(pdf["_G"].iloc[0])
@@ -265,7 +287,14 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
             factor = (n_cl / (n_cl - 1.0)) * ((n - 1.0) / dof) if n_cl > 1 and dof > 0 else np.nan
         else:
             factor = n / dof if dof > 0 else np.nan
-        v = bread @ meat_m @ bread * factor
+        # Back from standardised features: b_i / scale_i, and the intercept less their means.
+        mean, scale = (np.array(pdf[c].iloc[0], dtype=float) for c in ("_mean", "_scale"))
+        back = np.zeros((p, p))
+        back[0, 0] = 1.0
+        back[np.arange(1, p), np.arange(1, p)] = 1.0 / scale
+        back[0, 1:] = -mean / scale
+        beta = back @ beta
+        v = back @ (bread @ meat_m @ bread * factor) @ back.T
         se = np.sqrt(np.clip(np.diag(v), 0, None))
         sst = yty - n * ybar * ybar
         r2 = 1 - ssr_v / sst if sst > 0 else np.nan

@@ -126,3 +126,41 @@ def test_rolling_folds_equal_direct_refit(spark):
         got = preds[preds.year == t].sort_values("actual")["pred_level"].to_numpy()
         assert np.allclose(got, exp, atol=1e-8)
         assert (preds[preds.year == t]["n_train"] == tr.sum()).all()
+
+
+@pytest.mark.parametrize("factor", [1.0, 100.0, 1e4])
+@pytest.mark.parametrize("cov", ["HC1", "cluster"])
+@pytest.mark.parametrize("shape", ["plain", "near", "exact"])
+def test_standard_errors_of_many_badly_scaled_terms(spark, factor, cov, shape):
+    """23 terms from 1e-3 to 1e6 against NumPy on scaled columns."""
+    rng = np.random.default_rng(11)
+    n, k = 400, 23
+    size = np.logspace(-3, 5, k)
+    size[3] *= factor
+    X = (rng.normal(0, 1, (n, k)) + rng.normal(3, 2, k)) * size
+    X[:, 5] = (rng.random(n) < 0.2).astype(float)
+    if shape != "plain":
+        X[:, 7] = 2.0 * X[:, 6] + (size[6] * rng.normal(0, 1e-2, n) if shape == "near" else 0.0)
+    g = rng.integers(0, 15, n)
+    y = X @ (rng.normal(0, 1, k) / size) + rng.normal(0, 1, n) * (1 + np.abs(X[:, 0] / size[0]))
+    df = spark.createDataFrame([("S", int(c), [float(v) for v in row], float(t)) for c, row, t in zip(g, X, y)],
+                               "series string, g int, x array<double>, y double")
+    terms = spark.createDataFrame([("S", i, f"t{i}") for i in range(k + 1)], "series string, idx int, term string")
+    coef, fit = linreg.inference(df, ["series"], terms, cov=cov, cluster="g" if cov == "cluster" else None)
+    got = {r["idx"]: (r["coef"], r["se"]) for r in coef.collect()}
+    Z = np.column_stack([np.ones(n), (X - X.mean(0)) / X.std(0)])
+    bread = np.linalg.pinv(Z.T @ Z, rcond=1e-9)
+    b = bread @ Z.T @ y
+    e = y - Z @ b
+    rank = k + 1 - (shape == "exact")
+    if cov == "HC1":
+        meat, scale = (Z * (e ** 2)[:, None]).T @ Z, n / (n - rank)
+    else:
+        u = np.array([Z[g == c].T @ e[g == c] for c in np.unique(g)])
+        meat, scale = u.T @ u, len(u) / (len(u) - 1) * (n - 1) / (n - rank)
+    back = np.diag(np.concatenate([[1.0], 1 / X.std(0)]))
+    back[0, 1:] = -X.mean(0) / X.std(0)
+    se = np.sqrt(np.diag(back @ bread @ meat @ bread @ back.T * scale))
+    assert fit.first()["k"] == rank
+    assert np.allclose([got[i][1] for i in range(k + 1)], se, rtol=1e-6)
+    assert np.allclose([got[i][0] for i in range(k + 1)], back @ b, rtol=1e-5)
