@@ -35,14 +35,23 @@ def file_order():
 
 # ------------------------------------------------------------- shipments
 
+def csv_reader(spark: SparkSession, multi_line: bool):
+    """CSV with a header, quoted cells and doubled quotes inside them.
+    ``multi_line`` also reads line breaks inside quoted cells; such a file is
+    not split, so turn it off for large files without them."""
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line))
+
+
 def read_shipments_positional(spark: SparkSession, path: str | Sequence[str],
-                              source_rank: int = 0, extra: Sequence[str] = ()) -> DataFrame:
+                              source_rank: int = 0, extra: Sequence[str] = (),
+                              multi_line: bool = False) -> DataFrame:
     """Older shipment file — first six columns by position, header skipped,
     further columns ignored unless named in ``extra`` (taken by position
     after the six); mixed date formats (P2); thousands commas (P1)."""
     names = SHIPMENT_COLUMNS + list(extra)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    raw = (spark.read.option("header", True).option("enforceSchema", True)
+    raw = (csv_reader(spark, multi_line).option("enforceSchema", True)
            .option("mode", "PERMISSIVE").schema(schema).csv(path))
     return raw.select(
         parse_date_mixed("week_ending").alias("week_ending"),
@@ -56,10 +65,10 @@ def read_shipments_positional(spark: SparkSession, path: str | Sequence[str],
 
 def read_shipments_named(spark: SparkSession, path: str | Sequence[str],
                          source_rank: int = 1, date_column: str = "tuesday_week_ending",
-                         extra: Sequence[str] = ()) -> DataFrame:
+                         extra: Sequence[str] = (), multi_line: bool = False) -> DataFrame:
     """Newer shipment file — columns by name, one renamed; region and origin
     title-cased (P4); plain numeric coercion of volumes; ``extra`` columns kept."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = csv_reader(spark, multi_line).csv(path)
     vol = F.trim(F.col("volumes")).try_cast("double")
     return raw.select(
         parse_date_mixed(date_column).alias("week_ending"),
@@ -99,18 +108,20 @@ def merge_shipments(spark: SparkSession, parts: Sequence[DataFrame],
 
 def read_price_file(spark: SparkSession, path: str, file_rank: int,
                     commodity_contains: str = "Lettuce",
-                    keep_districts: Sequence[str] | None = K.PRICE_KEEP_DISTRICTS) -> DataFrame | None:
-    """S4 + P3 + P5-P7 for one report file: absent columns take their default,
-    texts are trimmed, rows need the commodity word, a kept district and a
+                    keep_districts: Sequence[str] | None = K.PRICE_KEEP_DISTRICTS,
+                    multi_line: bool = True) -> DataFrame | None:
+    """S4 + P3 + P5-P7 for one report file: absent columns take their default
+    (an empty cell stays empty), texts are trimmed, comments may hold quotes,
+    commas and line breaks, rows need the commodity word, a kept district and a
     valid MM/DD/YYYY date. Returns None for a missing file."""
     try:
-        raw = spark.read.option("header", True).csv(path)
+        raw = csv_reader(spark, multi_line).csv(path)
     except AnalysisException as e:  # missing yearly file: skipped like the reference
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return None
         raise
     have = set(raw.columns)
-    col = (lambda c, d: F.coalesce(F.trim(F.col(c)), F.lit(d)) if c in have else F.lit(d))
+    col = (lambda c, d: F.coalesce(F.trim(F.col(c)), F.lit("")) if c in have else F.lit(d))
     commodity_raw = F.coalesce(F.col("commodity"), F.lit("")) if "commodity" in have else F.lit("")
     district = F.trim(F.col("district")) if "district" in have else F.lit("")
     out = raw.select(

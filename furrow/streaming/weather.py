@@ -1,12 +1,13 @@
 """Incremental weekly weather with Structured Streaming.
 
-Daily readings arrive as files. The stream maps stations to districts, keys
-each reading by the end of its Tuesday week (event time), and keeps running
-weekly aggregates in state. A watermark bounds the state: weeks older than
-the watermark are final and dropped from state; readings later than that are
-ignored (Spark's late-data rule). Updated weeks are written per micro-batch into a folder named after
-the batch id, so a retried batch overwrites its own output (idempotent);
-``latest_weeks`` reads the newest version of every week.
+Daily readings arrive as files, in any order: a new station's whole history may
+come long after later weeks of others. The stream maps stations to districts,
+keys each reading by the end of its Tuesday week and keeps running weekly
+aggregates in state. State holds one row a week and district, as many as the
+result table has, so no watermark evicts weeks and no late reading is lost.
+Updated weeks are written per micro-batch into a folder named after the batch id,
+so a retried batch overwrites its own output (idempotent); ``latest_weeks`` reads
+the newest version of every week and ``compact_weeks`` writes it as one table.
 """
 
 from __future__ import annotations
@@ -27,31 +28,19 @@ DAILY_SCHEMA = T.StructType([
     T.StructField("ppt", T.DoubleType()),
 ])
 
-def weekly_weather_stream(daily: DataFrame, location_map: DataFrame,
-                          watermark: str = "21 days") -> DataFrame:
-    """Streaming (or batch) daily rows -> weekly district weather with flags.
-
-    The event time of a reading is the end of its Tuesday week (as a
-    timestamp); grouping on it keeps the watermark column in the key, so the
-    state of weeks behind the watermark is evicted. A date cast to a
-    timestamp and back is exact in any session time zone.
-    """
-    d = weather_daily(daily, location_map)
-    d = d.withColumn("wk", week_ending_tuesday("date").cast("timestamp")).withWatermark("wk", watermark)
-    g = d.groupBy("wk", "district").agg(*weather_aggregates())
-    g = g.select(F.to_date("wk").alias("week_ending"), "district",
-                 *[c for c in g.columns if c not in ("wk", "district")])
-    return weather_derived(g)
+def weekly_weather_stream(daily: DataFrame, location_map: DataFrame) -> DataFrame:
+    """Streaming (or batch) daily rows -> weekly district weather with flags."""
+    d = weather_daily(daily, location_map).withColumn("week_ending", week_ending_tuesday("date"))
+    return weather_derived(d.groupBy("week_ending", "district").agg(*weather_aggregates()))
 
 
 def run_weekly_weather(spark: SparkSession, source_dir: str, location_map: DataFrame,
-                       out_dir: str, checkpoint_dir: str, files_per_batch: int = 1,
-                       watermark: str = "21 days") -> None:
+                       out_dir: str, checkpoint_dir: str, files_per_batch: int = 1) -> None:
     """Process every file present under ``source_dir`` (availableNow) and
     write updated weeks per micro-batch."""
     src = (spark.readStream.schema(DAILY_SCHEMA)
            .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
-    weekly = weekly_weather_stream(src, location_map, watermark)
+    weekly = weekly_weather_stream(src, location_map)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id))
@@ -66,3 +55,9 @@ def latest_weeks(spark: SparkSession, out_dir: str) -> DataFrame:
     """The newest state of every (week, district) written by the stream."""
     df = spark.read.parquet(out_dir)
     return keep_last(df, ["week_ending", "district"], [F.col("batch_id")]).drop("batch_id")
+
+
+def compact_weeks(spark: SparkSession, out_dir: str, table_dir: str) -> DataFrame:
+    """Write the newest state of every week as one table outside ``out_dir``."""
+    latest_weeks(spark, out_dir).write.mode("overwrite").parquet(table_dir)
+    return spark.read.parquet(table_dir)

@@ -142,3 +142,26 @@ def test_write_table_partitioned_csv_and_parquet(spark, tmpdir_path):
     assert sorted(d for d in os.listdir(p1) if d.startswith("year=")) == ["year=2020", "year=2021"]
     back = spark.read.option("header", True).csv(p2)
     assert back.count() == 3 and set(back.columns) == {"k", "v", "year"}
+
+
+def test_price_reader_keeps_quoted_text_and_empty_cells(spark, tmp_path):
+    path = tmp_path / "prices.csv"
+    path.write_text('report_date,district,commodity,variety,organic,low_price,market_tone_comments,high_price\n'
+                    '01/02/2024,D1,Lettuce,Romaine,N,10.5,"ABOUT ""STEADY"", LOWER",12\n'
+                    '01/03/2024,D1,Lettuce,,,11,"FIRST LINE\nSECOND, LINE",13\n'
+                    '01/04/2024,D2,Lettuce,Iceberg,Y,9,,10\n')
+    rows = {r["report_date"].day: r for r in feeds.read_price_file(spark, str(path), 0, keep_districts=["D1"]).collect()}
+    assert set(rows) == {2, 3}
+    assert rows[2]["market_tone_comments"] == 'ABOUT "STEADY", LOWER'
+    assert (rows[2]["low_price"], rows[2]["high_price"]) == ("10.5", "12")
+    assert rows[3]["market_tone_comments"] == "FIRST LINE\nSECOND, LINE" and rows[3]["high_price"] == "13"
+    assert (rows[3]["variety"], rows[3]["organic"]) == ("", "")     # empty cells stay empty
+    assert rows[3]["package"] == "" and rows[2]["item_size"] == ""  # absent columns take their default
+
+
+def test_shipment_readers_keep_quoted_text(spark, tmp_path):
+    path = tmp_path / "ship.csv"
+    path.write_text('tuesday_week_ending,region,origin,district,commodity,volumes\n'
+                    '2024-01-02,"WEST, ""UPPER""",CA,D1,Lettuce,5\n')
+    r = feeds.read_shipments_named(spark, str(path)).collect()
+    assert len(r) == 1 and r[0]["volumes"] == 5.0 and r[0]["district"] == "D1"
