@@ -88,7 +88,7 @@ def _suffixes(length: int, cuts: list[np.ndarray] | None, every: int = 1):
         for batch in batches:
             key, first, lead, gram, content = _suffix_arrays(batch.column(1), np.asarray(batch.column(0)), length)
             if cuts is None:
-                at = np.flatnonzero(mix(gram ^ content) % np.uint64(every) == 0)
+                at = np.flatnonzero(mix(mix(gram ^ content) ^ key.view(np.uint64)) % np.uint64(every) == 0)
                 bucket = np.zeros(len(at), np.int64)
             else:
                 at = np.arange(len(key))
