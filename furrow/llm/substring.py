@@ -34,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import mix, stage, utf8
+from furrow.llm.common import doc_chunks, mix, stage, utf8
 from furrow.llm.suffixes import anchored_runs, lead_word, merged, multikey_order, segments
 
 LENGTH = 100
 SAMPLE_DOCS = 2_000           # documents that splitters are drawn from
 SAMPLE_ROWS = 50_000
 BUCKET_BYTES = 32 << 20       # text a bucket
+PART_BYTES = 4 << 20          # text handled at once inside a task
 WINDOWS_AT_ONCE = 1 << 17
 _FIELD = 7                    # bits of (windows - 1) and of the anchor's offset in a packed content
 
@@ -63,6 +64,15 @@ def _suffix_arrays(column, keys: np.ndarray, length: int):
     return [np.concatenate(p).astype(t) if p else np.zeros(0, t) for p, t in zip(parts, kinds, strict=True)]
 
 
+def _parts(batches, text: int):
+    """(text column, other columns) in parts of about PART_BYTES of text."""
+    for batch in batches:
+        _, offsets = utf8(batch.column(text))
+        for a, b in doc_chunks(offsets, PART_BYTES):
+            rows = batch.slice(a, b - a)
+            yield rows.column(text), [c for i, c in enumerate(rows.columns) if i != text]
+
+
 def _bucket_of(cuts: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
     """Number of splitters (sorted rows of ``cuts``) not above each row of ``keys``."""
     out = np.searchsorted(cuts[0], keys[0], "left")
@@ -85,8 +95,8 @@ def _suffixes(length: int, cuts: list[np.ndarray] | None, every: int = 1):
     """Arrow function from (key, text) to suffix rows; without ``cuts`` a sample."""
 
     def emit(batches):
-        for batch in batches:
-            key, first, lead, gram, content = _suffix_arrays(batch.column(1), np.asarray(batch.column(0)), length)
+        for column, keys in _parts(batches, 1):
+            key, first, lead, gram, content = _suffix_arrays(column, np.asarray(keys[0]), length)
             if cuts is None:
                 at = np.flatnonzero(mix(mix(gram ^ content) ^ key.view(np.uint64)) % np.uint64(every) == 0)
                 bucket = np.zeros(len(at), np.int64)
@@ -203,12 +213,12 @@ def _judge(length: int):
     pending run (part 1)."""
 
     def judge(batches):
-        for batch in batches:
-            raw, offsets = utf8(batch.column(2))
+        for column, rest in _parts(batches, 2):
+            raw, offsets = utf8(column)
             data = raw.tobytes()
-            copies, pending = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            ids, keys, copies, pending = (c.to_pylist() for c in rest)
             out = []
-            for i, (id_, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for i, (id_, key) in enumerate(zip(ids, keys, strict=True)):
                 text = data[offsets[i]:offsets[i + 1]]
                 spans = np.array(copies[i] or [], np.int64)
                 start = spans >> _FIELD
