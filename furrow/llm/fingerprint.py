@@ -112,7 +112,8 @@ def _range_bucket(cuts: list) -> Column:
 
 
 def _with_next(texts: DataFrame, buckets: int) -> DataFrame:
-    """``texts`` (_id, _key, _hash, text, a) plus next_text and n of the row that follows."""
+    """``texts`` (_id, _key, _hash, text) plus a, its digests, and next_text and n, text
+    and digests of the row that follows."""
     spark = texts.sparkSession
     probs = [i / buckets for i in range(1, buckets)] or [0.5]
     cuts = texts.agg(F.percentile_approx("_key", probs, 10_000)).first()[0] or []
@@ -125,11 +126,11 @@ def _with_next(texts: DataFrame, buckets: int) -> DataFrame:
     link = spark.createDataFrame([(b, f["_key"], f["_hash"]) for b, f in after.items()] or [(-1, 0, 0)],
                                  "_of int, _key bigint, _hash bigint")
     heads = (texts.join(F.broadcast(link.select("_key", "_hash").distinct()), ["_key", "_hash"])
-             .dropDuplicates(["_key", "_hash"]).join(link, ["_key", "_hash"])
+             .dropDuplicates(["_key", "_hash"]).join(link, ["_key", "_hash"]).withColumn("a", digests(F.col("text")))
              .select("_of", F.struct("text", "a").alias("_head")))
     heads = stage(heads, "heads")
     along = Window.partitionBy("_bucket").orderBy("_key", "_hash")
-    rows = rows.withColumn("_next", F.lead(F.struct("text", "a")).over(along))
+    rows = rows.withColumn("a", digests(F.col("text"))).withColumn("_next", F.lead(F.struct("text", "a")).over(along))
     rows = rows.join(heads.hint("shuffle_hash"), F.col("_bucket") == F.col("_of"), "left")
     following = F.coalesce("_next", "_head")
     return rows.withColumns({"next_text": following["text"], "n": following["a"]})
@@ -182,8 +183,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as many first code points of the next document. ``id_col`` holds integers."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.select("_id", F.coalesce("_id", F.lit(-(1 << 63))).alias("_key"), F.xxhash64("text").alias("_hash"), "text",
-                         digests(F.col("text")).alias("a"))
+    texts = texts.select("_id", F.coalesce("_id", F.lit(-(1 << 63))).alias("_key"), F.xxhash64("text").alias("_hash"), "text")
     rows = _with_next(texts, buckets).withColumn("n_chars", F.char_length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     size = F.col("n_chars").cast("int")
