@@ -11,10 +11,11 @@ Groups are never expanded into all pairs. Documents with equal sets are one clas
 First each class is checked against the smallest class of each of its band buckets, and
 the links' components are formed. A bucket that then still holds several components has
 its members outside its largest component compared with its members of other components
-by signature, in blocks of ``BLOCK`` members a task (a pair in one bucket only); the
-pairs that agree in ``CLOSE`` coordinates, four standard deviations below the bound, are
-checked on their full sets too. So every candidate pair is checked, already connected, or
-ruled out by its signature. Links give components by star contraction.
+by signature, in blocks of ``BLOCK`` members a task (a pair in one bucket only); pairs
+that agree in ``CLOSE`` coordinates, four standard deviations below the bound, are
+checked on their full sets too: in the first rounds each member's ``ROUNDS`` best ones,
+which connects most, then all that are left between components. So every candidate pair
+is checked, already connected, or ruled out by its signature. Links give components by star contraction.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing; fewer than ``SHINGLE_WORDS`` words are one shingle; repeated rows each give
@@ -37,6 +38,7 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 CLOSE = 77                    # of 128 coordinates: 0.75 less four standard deviations
 BLOCK = 4096
+ROUNDS = (1, 8, None)         # best pairs of a member in a block; None: all
 
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -145,10 +147,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   .where(fits).select("a", "a_hash", "b", "b_hash").distinct(), "pairs")
     links = stage(_verified(pairs, texts, id_type), "links")
     found = stage(components(links, "a", "b"), "components")
-    close = stage(_close_pairs(members.drop("lead"), classes, found, id_type), "pairs")
-    if not close.isEmpty():
-        links = stage(links.union(_verified(close, texts, id_type)), "links")
-        found = stage(components(links, "a", "b"), "components")
+    tested = pairs.select("a", "b").union(pairs.select("b", "a"))
+    for best in ROUNDS:
+        close = stage(_close_pairs(members.drop("lead"), classes, found, id_type, best), "pairs")
+        more = not close.where("more").isEmpty()
+        close = stage(close.drop("more").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not close.isEmpty():
+            links = stage(links.union(_verified(close, texts, id_type)), "links")
+            found = stage(components(links, "a", "b"), "components")
+            tested = tested.union(close.select("a", "b")).union(close.select("b", "a"))
+        if not more:
+            break
     of_class = (classes.select("n", "d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left")
                 .select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")))
     out = rows.select("id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
@@ -157,10 +166,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _compare(batches):
-    """Arrow function over bucket blocks (key, salt, band, rep, text_hash, n, component,
-    leads, probes, sig): close pairs of a leader and a probe of other components, in the
-    first band that they share."""
+def _compare(batches, best: int | None):
+    """Close pairs of a leader and a probe of other components, in the first band that
+    they share, from bucket blocks (key, salt, band, rep, text_hash, n, component, leads,
+    probes, sig); at most ``best`` a leader and block (more: there were others)."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -182,14 +191,18 @@ def _compare(batches):
             low, high = np.minimum(n[some][:, None], n[probe]), np.maximum(n[some][:, None], n[probe])
             good = ((same.sum(axis=2) >= CLOSE) & (first == band[some][:, None]) & (100 * low >= PERCENT * high)
                     & (part[some][:, None] != part[probe]) & (~leads[probe] | (rep[some][:, None] < rep[probe])))
+            more = good.sum(axis=1) > (best or len(probe))
+            if best and more.any():
+                alike = np.where(good, same.sum(axis=2), 0)
+                good[np.arange(len(some))[:, None], np.argsort(-alike, axis=1, kind="stable")[:, best:]] = False
             x, y = np.nonzero(good)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[probe[y]]), pa.array(text_hash[probe[y]]), pa.array(rep[some[x]]), pa.array(text_hash[some[x]])],
-                names=["a", "a_hash", "b", "b_hash"])
+                [pa.array(rep[probe[y]]), pa.array(text_hash[probe[y]]), pa.array(rep[some[x]]), pa.array(text_hash[some[x]]),
+                 pa.array(more[x])], names=["a", "a_hash", "b", "b_hash", "more"])
 
 
 
-def _close_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, id_type: str) -> DataFrame:
+def _close_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, id_type: str, best: int | None) -> DataFrame:
     """Close pairs between the components that still share a bucket. A pair of them has
     a side outside the bucket's largest component; those sides lead."""
     rows = members.join(found, F.col("rep") == F.col("node"), "left")
@@ -209,8 +222,8 @@ def _close_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, id_ty
                                      F.lit(True).alias("leads"), F.lit(False).alias("probes"))
     blocks = one.union(dealt).union(sent).join(classes.select("rep", "text_hash", "sig"), ["rep", "text_hash"])
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (blocks.repartition(parts, "key", "salt").mapInArrow(
-        _compare, f"a {id_type}, a_hash bigint, b {id_type}, b_hash bigint").distinct())
+    return blocks.repartition(parts, "key", "salt").mapInArrow(
+        lambda batches: _compare(batches, best), f"a {id_type}, a_hash bigint, b {id_type}, b_hash bigint, more boolean")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
