@@ -24,17 +24,18 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Does every node have one edge to a node that has none downwards?"""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), "v").union(
+        edges.select(F.col("v"), F.lit(0), F.lit(None).cast(edges.schema["v"].dataType)))
+    ends = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.min("v").alias("a"), F.max("v").alias("b"))
+    return ends.where("low < high OR a != b").isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every linked node."""
     edges = stage(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
-    seen = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-        if not seen[0]:
-            break
+    while not _settled(edges):
         edges = stage(_star(_star(edges, small=False), small=True), "edges")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v"), F.col("v"))).distinct()
