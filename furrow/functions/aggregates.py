@@ -7,94 +7,56 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Dimension tables above this many rows are joined by shuffle, not broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_dim(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                  bound: DataFrame | None = None) -> DataFrame:
-    """Broadcast a dimension table only after checking its row count.
-
-    The count runs on the dimension side only — or on ``bound``, a table
-    whose row count bounds ``df`` (e.g. the base table of a chain of
-    many-to-one joins; a plain Parquet count is answered from file footers).
-    Beyond ``max_rows`` the table is returned unhinted and Spark joins by
-    shuffle (AQE may still switch to a broadcast from measured sizes).
-    """
-    probe = df if bound is None else bound
-    try:
-        key = (id(probe.sparkSession), probe.semanticHash())
-    except Exception:  # pragma: no cover - plans without a semantic hash
-        key = None
-    n = _DIM_ROWS.get(key) if key else None
-    if n is None:
-        n = probe.count()
-        if key:
-            _DIM_ROWS[key] = n
-    return F.broadcast(df) if n <= max_rows else df
-
-
-# Row counts of dimension plans already checked in this process. The count
-# only steers the join strategy, never the result.
-_DIM_ROWS: dict = {}
-
-
 def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A fixed small table from configuration values (size known up front)."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
+MEDIAN_ACCURACY = 1000
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",
-                 weight: str | None = None, buckets: int = 16) -> DataFrame:
+                 accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
     """Exact median per group that stays distributed when one group is huge.
 
-    1. Rows are reduced to a (group, value, frequency) table by a partial
-       aggregate (``weight`` names a multiplicity column when the input is
-       already such a table).
-    2. Per group, approximate quantile cut points (a mergeable sketch, also
-       partially aggregated) split the group's distinct values into
-       ``buckets`` value ranges; a value's bucket is found against the
-       broadcast cut table.
-    3. Counts per (group, bucket) are tiny; a running sum over them locates
-       the bucket(s) holding the middle rank(s).
-    4. Only those buckets are sorted, partitioned by (group, bucket), so a hot
-       group is spread over up to ``buckets`` tasks instead of one. Cut
-       quality only affects balance, never the result.
+    1. A mergeable quantile sketch per group (partial aggregate) gives an
+       interval around the middle that holds the middle ranks: the sketch's
+       rank error is at most n / ``accuracy``, the interval spans three times
+       that on either side.
+    2. Rows above the interval are dropped before the shuffle, rows below it
+       are only counted (one number per group and map task) and the interval's
+       rows are counted by value, so a small part of the rows travels.
+    3. A running sum over the interval's distinct values finds the middle
+       ranks. If the interval ever missed them the query fails instead of
+       returning a wrong number.
 
     Even counts average the two middle values (the pandas / SQL median).
 
-    Size bound: the cut and target tables hold one row per group (plus
-    ``buckets`` numbers), so they are broadcast; callers group by keys whose
-    count is set by dimensions (weeks x districts, models x bins), not by
-    the number of rows.
+    Size bound: the interval table holds one row per group and is broadcast;
+    callers group by keys whose count is set by dimensions (weeks x districts,
+    models x bins), not by the number of rows.
     """
     keys = list(keys)
-    w = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    freq = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, value).agg(w.alias("_f")))
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = freq.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value), qs, 1000).alias("_cuts"),
-        F.sum("_f").alias("_n"))
-    tagged = freq.join(F.broadcast(cuts), keys).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-    per_bucket = tagged.groupBy(*keys, "_b", "_n").agg(F.sum("_f").alias("_bn"))
-    w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_before", F.coalesce(F.sum("_bn").over(w_b), F.lit(0)))
-    lo_rank = F.floor((F.col("_n") + 1) / 2)
-    hi_rank = F.floor(F.col("_n") / 2) + 1
-
-    def holds(rank):
-        return (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_bn"))
-
-    targets = (per_bucket.where(holds(lo_rank) | holds(hi_rank))
-                         .select(*keys, "_b", "_before"))
-    rows = tagged.select(*keys, "_b", "_n", value, "_f").join(F.broadcast(targets), keys + ["_b"])
-    w_run = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("_cum", F.col("_before") + F.sum("_f").over(w_run))
-    return ranked.groupBy(*keys).agg(
-        ((F.min(F.when(F.col("_cum") >= lo_rank, F.col(value)))
-          + F.min(F.when(F.col("_cum") >= hi_rank, F.col(value)))) / 2.0).alias(out))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    margin = 3.0 / accuracy
+    bounds = rows.groupBy(*keys).agg(
+        F.percentile_approx(F.col(value), [0.5 - margin, 0.5 + margin], accuracy).alias("_q"),
+        F.count(F.lit(1)).alias("_n"))
+    low = F.when(F.col(value) >= F.col("_q")[0], F.col(value))  # NULL: below the interval
+    near = (rows.join(F.broadcast(bounds), keys).where(F.col(value) <= F.col("_q")[1])
+                .groupBy(*keys, low.alias("_v")).agg(F.count(F.lit(1)).alias("_f"), F.first("_n").alias("_n")))
+    run = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = near.withColumn("_cum", F.sum("_f").over(run))
+
+    def at(rank):
+        return F.min(F.when(F.col("_cum") >= rank, F.struct("_cum", "_v")))
+
+    n = F.first("_n")
+    picked = ranked.groupBy(*keys).agg(at(F.floor((F.col("_n") + 1) / 2)).alias("_a"),
+                                       at(F.floor(F.col("_n") / 2) + 1).alias("_b"), n.alias("_n"))
+    missed = F.col("_a._v").isNull() | F.col("_b._v").isNull()
+    return picked.select(*keys, F.when(missed, F.raise_error(F.lit("median outside its interval")).cast("double"))
+                         .otherwise((F.col("_a._v") + F.col("_b._v")) / 2.0).alias(out))
 
 
 def weighted_mean(value: str, weight: str, cond=None, rule: str = "reference"):

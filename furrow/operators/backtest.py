@@ -42,15 +42,15 @@ def _p(d: dict) -> tuple:
 PRICE_MODELS = [
     ModelSpec("OLS Level (full)", tuple(K.LEVEL_FEATURES), "price"),
     ModelSpec("OLS Level (no lags)", tuple(K.CHANGE_FEATURES), "price"),
-    ModelSpec("XGB Level (full)", tuple(K.LEVEL_FEATURES), "price", "boost", params=_p(K.BOOST_CONSERVATIVE)),
-    ModelSpec("XGB Level (no lags)", tuple(K.CHANGE_FEATURES), "price", "boost", params=_p(K.BOOST_CONSERVATIVE)),
+    ModelSpec("Boosted Level (full)", tuple(K.LEVEL_FEATURES), "price", "boost", params=_p(K.BOOST_CONSERVATIVE)),
+    ModelSpec("Boosted Level (no lags)", tuple(K.CHANGE_FEATURES), "price", "boost", params=_p(K.BOOST_CONSERVATIVE)),
     ModelSpec("RF Level (full)", tuple(K.LEVEL_FEATURES), "price", "forest", params=_p(K.FOREST)),
     ModelSpec("RF Level (no lags)", tuple(K.CHANGE_FEATURES), "price", "forest", params=_p(K.FOREST)),
     ModelSpec("OLS Δprice", tuple(K.CHANGE_FEATURES), "dprice", back="diff"),
-    ModelSpec("XGB Δprice", tuple(K.CHANGE_FEATURES), "dprice", "boost", "diff", _p(K.BOOST_CONSERVATIVE)),
+    ModelSpec("Boosted Δprice", tuple(K.CHANGE_FEATURES), "dprice", "boost", "diff", _p(K.BOOST_CONSERVATIVE)),
     ModelSpec("RF Δprice", tuple(K.CHANGE_FEATURES), "dprice", "forest", "diff", _p(K.FOREST)),
     ModelSpec("OLS log Δprice", tuple(K.CHANGE_FEATURES), "log_dprice", back="logdiff"),
-    ModelSpec("XGB log Δprice", tuple(K.CHANGE_FEATURES), "log_dprice", "boost", "logdiff", _p(K.BOOST_CONSERVATIVE)),
+    ModelSpec("Boosted log Δprice", tuple(K.CHANGE_FEATURES), "log_dprice", "boost", "logdiff", _p(K.BOOST_CONSERVATIVE)),
 ]
 
 # Extreme-weather specification comparison (M17): indicators vs degree days.
@@ -69,9 +69,9 @@ EXTREME_SPECS = [
 
 VOLUME_MODELS = [
     ModelSpec("OLS Level", tuple(K.VOLUME_LEVEL_FEATURES), "volume"),
-    ModelSpec("XGB Level", tuple(K.VOLUME_LEVEL_FEATURES), "volume", "boost", params=_p(K.BOOST_CONSERVATIVE)),
+    ModelSpec("Boosted Level", tuple(K.VOLUME_LEVEL_FEATURES), "volume", "boost", params=_p(K.BOOST_CONSERVATIVE)),
     ModelSpec("OLS Δvolume", tuple(K.VOLUME_CHANGE_FEATURES), "dvolume", back="vdiff"),
-    ModelSpec("XGB Δvolume", tuple(K.VOLUME_CHANGE_FEATURES), "dvolume", "boost", "vdiff", _p(K.BOOST_CONSERVATIVE)),
+    ModelSpec("Boosted Δvolume", tuple(K.VOLUME_CHANGE_FEATURES), "dvolume", "boost", "vdiff", _p(K.BOOST_CONSERVATIVE)),
 ]
 
 

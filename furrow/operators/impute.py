@@ -73,7 +73,7 @@ def split(frame: DataFrame, feats: list[str] | None = None) -> tuple[DataFrame,
 def _specs(frame: DataFrame):
     feats = tuple(features(frame))
     ols = B.ModelSpec("OLS impute", feats, "price")
-    boost = B.ModelSpec("XGB impute", feats, "price", "boost",
+    boost = B.ModelSpec("Boosted impute", feats, "price", "boost",
                         params=tuple(sorted(K.BOOST_IMPUTE.items())))
     return ols, boost
 
@@ -85,12 +85,12 @@ def imputation_backtest(spark: SparkSession, frame: DataFrame, cfg: AnalysisConf
     cols = ["series", "model", "year", "week_ending", "coverage", "pred_level", "actual"]
     obs = observed.withColumn("coverage", F.lit(None).cast("double"))
     p_ols = B.ols_backtest(obs, [ols], extra=("week_ending", "price", "coverage")).select(cols)
-    p_xgb = TR.tree_backtest(spark, obs, [boost]).select(cols)
-    s = B.score(p_ols.unionByName(p_xgb), ["series", "model"])
+    p_boost = TR.tree_backtest(spark, obs, [boost]).select(cols)
+    s = B.score(p_ols.unionByName(p_boost), ["series", "model"])
     a = s.where(F.col("model") == ols.name).select(
         "series", "year", "n", F.col("rmse").alias("ols_rmse"), F.col("mae").alias("ols_mae"))
     b = s.where(F.col("model") == boost.name).select(
-        "series", "year", F.col("rmse").alias("xgb_rmse"), F.col("mae").alias("xgb_mae"))
+        "series", "year", F.col("rmse").alias("boost_rmse"), F.col("mae").alias("boost_mae"))
     return a.join(b, ["series", "year"], "full")
 
 
@@ -98,7 +98,7 @@ def impute_missing(spark: SparkSession, frame: DataFrame, cfg: AnalysisConfig) -
     """Fit boosted trees on all observed rows, predict the missing ones, clip at 0."""
     observed, missing = split(frame)
     _, boost = _specs(frame)
-    model = TR.fit_model(TR.size_partitions(observed), boost)
+    model = TR.fit_model(TR.materialize(TR.dealt(observed)), boost)
     va_in = missing.withColumn("price", F.lit(0.0))  # label column is not used by predict
     pred = model.transform(TR._assemble(va_in, boost))
     return pred.select("series", "week_ending", "district", "volume",

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from furrow import config as K
 from furrow.config import AnalysisConfig
-from furrow.functions.aggregates import broadcast_dim, exact_median
+from furrow.functions.aggregates import exact_median
 from furrow.functions.columns import (
     degree_days_above, degree_days_below, flag, midpoint_with_fallback, state_label,
     week_ending_tuesday,
@@ -25,7 +25,7 @@ KEY = ["week_ending", "district"]
 
 def _map_district(df: DataFrame, mapping: DataFrame, col: str = "district") -> DataFrame:
     """Replace the raw name by the mapped one; unmatched rows are dropped."""
-    m = broadcast_dim(mapping.select(F.col("raw").alias("_raw"), F.col("std").alias("_std")))
+    m = mapping.select(F.col("raw").alias("_raw"), F.col("std").alias("_std"))
     return (df.join(m, df[col] == m["_raw"], "inner")
               .drop(col, "_raw").withColumnRenamed("_std", col))
 
@@ -70,31 +70,20 @@ def price_points(prices: DataFrame, price_map: DataFrame, cfg: AnalysisConfig) -
 
 def prices_weekly(points: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """Mean, exact median and count over all reports plus the mean per commodity.
-
-    The raw reports are shuffled once, into a (week, district, commodity,
-    price) frequency table; the per-type means and the exact median are both
-    derived from it (Spark reuses that exchange for both branches).
-    """
-    freq = points.groupBy(*KEY, "commodity", "fob_price").agg(F.count(F.lit(1)).alias("_f"))
-    by_type = freq.groupBy(*KEY, "commodity").agg(
-        F.sum(F.col("fob_price") * F.col("_f")).alias("_s"), F.sum("_f").alias("_n"))
-    type_cols = [(F.sum(F.when(F.col("commodity") == c, F.col("_s")))
-                  / F.sum(F.when(F.col("commodity") == c, F.col("_n"))))
-                 .alias(f"price_{cfg.suffix(c)}") for c in cfg.commodities]
-    weekly = by_type.groupBy(*KEY).agg(
-        (F.sum("_s") / F.sum("_n")).alias("avg_fob_price"),
-        F.sum("_n").alias("n_price_obs"),
-        *type_cols,
-    )
-    med = exact_median(freq, KEY, "fob_price", "median_fob_price", weight="_f")
-    return weekly.join(med, KEY, "left")
+    Mean, count and commodity means are one partial aggregate straight from the
+    points; the median shuffles only values near the middle."""
+    types = [F.avg(F.when(F.col("commodity") == c, F.col("fob_price"))).alias(f"price_{cfg.suffix(c)}")
+             for c in cfg.commodities]
+    weekly = points.groupBy(*KEY).agg(F.avg("fob_price").alias("avg_fob_price"),
+                                      F.count(F.lit(1)).alias("n_price_obs"), *types)
+    return weekly.join(exact_median(points, KEY, "fob_price", "median_fob_price"), KEY, "left")
 
 
 # ------------------------------------------------------------------ weather
 
 def weather_daily(weather: DataFrame, location_map: DataFrame) -> DataFrame:
     """Daily readings mapped to districts (unmapped dropped) with degree days."""
-    lm = broadcast_dim(location_map.select(F.col("location").alias("_loc"), "district"))
+    lm = location_map.select(F.col("location").alias("_loc"), "district")
     w = (weather.select("location", "date", "tmax", "tmin", "ppt")
                 .join(lm, F.col("location") == F.col("_loc"), "left")
                 .where(F.col("district").isNotNull()))

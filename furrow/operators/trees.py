@@ -43,17 +43,16 @@ def _assemble(df: DataFrame, spec: ModelSpec) -> DataFrame:
     return va.transform(df.withColumn("label", F.col(spec.target).cast("double")))
 
 
-ROWS_PER_PARTITION = 50_000
+TRAIN_PARTITIONS = 2
 
 
-def size_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Iterative learners run many passes; give them about one partition per
-    ``rows_per_partition`` rows (never more than the input has), so small
-    training sets do not pay per-task overhead on every pass while large
-    ones keep their parallelism."""
-    n = df.count()
-    want = max(1, -(-n // rows_per_partition))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+def dealt(df: DataFrame, by: Sequence[str] = ("week_ending",), partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """Rows in a fixed number of sorted partitions. The learners' row sampling
+    follows partitions and their order, so a fit repeats exactly, and its result
+    depends on this parameter but not on how many rows or files there are. Raise
+    it for training sets of many millions of rows."""
+    rest = [c for c in df.columns if c not in by]
+    return df.repartition(partitions, *by).sortWithinPartitions(*by, *rest)
 
 
 def fit_model(train: DataFrame, spec: ModelSpec, scale: float = 1.0):
@@ -71,7 +70,7 @@ def tree_backtest(spark: SparkSession, usable: DataFrame, specs: Sequence[ModelS
     """
     keys = list(keys)
     specs = [s for s in specs if s.method in ("boost", "forest")]
-    data = size_partitions(materialize(usable))
+    data = materialize(dealt(usable))
     folds = [tuple(r) for r in fold_table(data, keys, min_train).collect()]
 
     def run(job):
@@ -109,7 +108,7 @@ def importances(spark: SparkSession, usable: DataFrame, spec: ModelSpec, key_val
     cond = F.lit(True)
     for k, v in key_values.items():
         cond = cond & (F.col(k) == v)
-    model = fit_model(size_partitions(usable.where(cond)), spec, scale)
+    model = fit_model(materialize(dealt(usable.where(cond))), spec, scale)
     imp = model.featureImportances.toArray().tolist()
     rows = [(*key_values.values(), spec.name, f, float(v)) for f, v in zip(spec.features, imp)]
     schema = ", ".join(f"{k} string" for k in key_values) + ", model string, feature string, importance double"

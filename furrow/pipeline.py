@@ -88,8 +88,11 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
         c, f = S.fit_specs(spark, main, S.volume_specs(), ["series"], key)
         out["volume_coefficients"] = _save(c, out_dir, "volume_coefficients")
         u = B.complete_cases(main, B.VOLUME_MODELS, extra=["dvolume", "volume_lag1"])
+        out["volume_fit"] = _save(f, out_dir, "volume_fit")
         vp = B.ols_backtest(u, B.VOLUME_MODELS).select(cols).unionByName(
             B.naive_predictions(u, target="volume", name="Naive (vol=lag1)").select(cols))
+        if trees:
+            vp = vp.unionByName(TR.tree_backtest(spark, u, B.VOLUME_MODELS).select(cols))
         out["volume_leaderboard"] = _save(B.leaderboard(B.score(vp, ["series", "model"]),
                                                         ["series", "model"], "Naive (vol=lag1)"),
                                           out_dir, "volume_leaderboard")

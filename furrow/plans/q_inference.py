@@ -102,13 +102,16 @@ def q_volume_fit(spark, sf_dir):
 
 @register("volume_backtest", kinds("series:str model:str avg_rmse avg_mae n_folds:int vs_naive_pct"))
 def q_volume_backtest(spark, sf_dir):
-    """M7+F3-F5: naive / OLS level / OLS Δvolume volume forecasts over expanding folds."""
+    """M7+F3-F5: naive, OLS and boosted volume forecasts (level and change) over
+    expanding folds."""
+    from furrow.operators import trees as TR
     m = market_main(spark, sf_dir)
     u = B.complete_cases(m, B.VOLUME_MODELS, extra=["dvolume", "volume_lag1"])
-    preds = B.ols_backtest(u, B.VOLUME_MODELS)
     naive = B.naive_predictions(u, target="volume", name="Naive (vol=lag1)")
-    scores = B.score(preds.select(naive.columns), ["series", "model"]).unionByName(
-        B.score(naive, ["series", "model"]))
+    cols = ["series", "model", "year", "week_ending", "coverage", "pred_level", "actual"]
+    scores = B.score(naive, ["series", "model"])
+    for preds in (B.ols_backtest(u, B.VOLUME_MODELS), TR.tree_backtest(spark, u, B.VOLUME_MODELS)):
+        scores = scores.unionByName(B.score(preds.select(cols), ["series", "model"]))
     return B.leaderboard(scores, ["series", "model"], "Naive (vol=lag1)")
 
 

@@ -184,8 +184,48 @@ def q_panel_table_roundtrip(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+_DEDUPED_PANEL_SQL = "WITH " + O.panel_cte().lstrip().replace(
+    "FROM ship s", "FROM ship_d s").replace("FROM price_rows p", "FROM price_d p").replace(
+    ",\nship_long AS", f""",
+ship_d AS (
+  SELECT * FROM (
+    SELECT {O.wk('l_shipdate')} AS week_ending, r_name AS region, s_name AS origin, n_name AS district,
+           p_type AS commodity, CAST(l_quantity AS DOUBLE) AS volumes,
+           row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+             ORDER BY {O.wk('l_shipdate')} DESC, (r_name IS NULL) DESC, r_name DESC, n_name DESC,
+                      p_type DESC, s_name DESC, l_quantity DESC) AS rn FROM li)
+  WHERE rn = 1),
+price_d AS (
+  SELECT *, NULL::DOUBLE AS mostly_low_price, NULL::DOUBLE AS mostly_high_price FROM (
+    SELECT CAST(l_shipdate AS DATE) AS report_date, n_name AS district, p_type AS commodity,
+           p_brand AS variety, 'carton' AS package, CAST(p_size AS VARCHAR) AS item_size,
+           l_returnflag AS organic, unit_price * (1 - l_discount) AS low_price,
+           unit_price * (1 + l_tax) AS high_price,
+           row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE), n_name, p_type, p_brand, p_size, l_returnflag
+             ORDER BY year(l_shipdate), l_orderkey * 16 + l_linenumber,
+                      unit_price * (1 - l_discount), unit_price * (1 + l_tax)) AS rn FROM li)
+  WHERE rn = 1),
+ship_long AS""") + "\nSELECT * FROM panel"
+
+
+@register("weekly_panel_deduped", PANEL_COLS, _DEDUPED_PANEL_SQL)
+def q_weekly_panel_deduped(spark, sf_dir):
+    """D1+D2 in front of J1: raw shipment reports keep the last row a report key, raw
+    price reports the first row a 7-column key, and the panel is built from those."""
+    from furrow.config import DRIVER as CFG
+    from furrow.operators import panel
+    none = F.lit(None).cast("double")
+    feeds = testmap.feeds(spark, sf_dir) | {
+        "shipments": q_dedup_keep_last(spark, sf_dir),
+        "prices": q_dedup_keep_first(spark, sf_dir).withColumns({"mostly_low_price": none, "mostly_high_price": none})}
+    return panel.weekly_panel(feeds, CFG)
+
+
 PRICE_INGEST_COLS = kinds("report_date:date district:str commodity:str variety:str package:str "
                           "item_size:str organic:str low_price high_price file_rank:int")
+# The word a commodity must hold and the districts kept.
+PRICE_WORD = "PROMO"
+PRICE_DISTRICTS = tuple(f"NATION_{i}" for i in (0, 2, 3, 5, 7, 11, 13, 17, 19, 23))
 DEFAULTS_YEAR = 1997  # this year's file is written without variety and item_size
 
 _PRICE_INGEST_SQL = "WITH " + O.feeds_cte().lstrip() + f""",
@@ -201,7 +241,8 @@ reports AS (
          l_orderkey * 16 + l_linenumber AS row_seq FROM li)
 SELECT * EXCLUDE (rn, row_seq) FROM (
   SELECT *, row_number() OVER (PARTITION BY {", ".join(K.PRICE_DEDUP_KEY)}
-     ORDER BY file_rank, row_seq) AS rn FROM reports)
+     ORDER BY file_rank, row_seq) AS rn FROM reports
+  WHERE commodity LIKE '%{PRICE_WORD}%' AND district IN {O._in(PRICE_DISTRICTS)})
 WHERE rn = 1"""
 
 
@@ -210,10 +251,9 @@ def q_price_ingest_roundtrip(spark, sf_dir):
     """S3+S4+P3+P5+P6+P7+D2: price reports written as one CSV folder per year (rows in
     report order, dates as MM/DD/YYYY text, one year's file without the variety
     and item-size columns), read back in year order through the price reader
-    (absent columns take their defaults, texts trimmed, date parsed; the
-    district and commodity filters run with pass-all settings, as these
-    tables have no names outside the map), then the first row per 7-column
-    key in file order."""
+    (absent columns take their defaults, texts trimmed, date parsed, rows kept
+    whose commodity holds a word and whose district is listed), then the first
+    row per 7-column key in file order."""
     base = f"{ensure_checkpoint_dir(spark)}/prices-{uuid.uuid4().hex}"
     r = testmap.price_reports(spark, sf_dir)
     years = [row[0] for row in r.select("file_rank").distinct().orderBy("file_rank").collect()]
@@ -231,9 +271,7 @@ def q_price_ingest_roundtrip(spark, sf_dir):
         (r.where(F.col("file_rank") == y).repartitionByRange("row_seq").sortWithinPartitions("row_seq")
           .select(*cols).write.mode("overwrite").option("header", True).csv(path))
         paths.append(path)
-    # The test tables hold no text commodity word to look for and no district
-    # outside the map, so both filters run with pass-all settings here.
-    cleaned = FD.read_prices(spark, paths, commodity_contains="", keep_districts=None)
+    cleaned = FD.read_prices(spark, paths, commodity_contains=PRICE_WORD, keep_districts=PRICE_DISTRICTS)
     return cleaned.select(*[c for c, _ in PRICE_INGEST_COLS if c not in ("low_price", "high_price")],
                           F.col("low_price").cast("double").alias("low_price"),
                           F.col("high_price").cast("double").alias("high_price"))

@@ -20,9 +20,9 @@ from furrow.session import materialize
 
 SCORE_COLS = kinds("series:str model:str year:int n:int rmse mae")
 
-BOOST_FULL = B.PRICE_MODELS[2]   # XGB Level (full): 200 trees, depth 3
+BOOST_FULL = B.PRICE_MODELS[2]   # Boosted Level (full): 200 trees, depth 3
 FOREST_FULL = B.PRICE_MODELS[4]  # RF Level (full): 500 trees, depth 6
-BOOST_DEEP = B.ModelSpec("XGB Level (deep)", tuple(K.LEVEL_FEATURES), "price", "boost",
+BOOST_DEEP = B.ModelSpec("Boosted Level (deep)", tuple(K.LEVEL_FEATURES), "price", "boost",
                          params=tuple(sorted(K.BOOST_DEEP.items())))
 
 
@@ -41,7 +41,7 @@ def q_forest_backtest(spark, sf_dir):
 
 
 @register("ols_vs_boost", kinds("series:str test_year:int n_train:int n_test:int ols_rmse ols_mae "
-                                "xgb_rmse xgb_mae improvement"))
+                                "boost_rmse boost_mae improvement"))
 def q_ols_vs_boost(spark, sf_dir):
     """F6+J3: OLS vs boosted trees (300 x depth 5) per fold and the % improvement
     (the fold-score table of the comparison)."""
@@ -55,7 +55,7 @@ def q_ols_vs_boost(spark, sf_dir):
     return imp.join(n_train, ["series", "year"], "left").select(
         "series", F.col("year").alias("test_year"), "n_train", "n_test",
         F.col("base_rmse").alias("ols_rmse"), F.col("base_mae").alias("ols_mae"),
-        F.col("other_rmse").alias("xgb_rmse"), F.col("other_mae").alias("xgb_mae"), "improvement")
+        F.col("other_rmse").alias("boost_rmse"), F.col("other_mae").alias("boost_mae"), "improvement")
 
 
 @register("price_model_leaderboard", kinds("series:str model:str avg_rmse avg_mae n_folds:int "
@@ -116,7 +116,7 @@ def _impute_frame(spark, sf_dir):
     return materialize(I.imputation_frame(build_panel(spark, sf_dir), CFG))
 
 
-@register("impute_backtest", kinds("series:str year:int n:int ols_rmse ols_mae xgb_rmse xgb_mae"))
+@register("impute_backtest", kinds("series:str year:int n:int ols_rmse ols_mae boost_rmse boost_mae"))
 def q_impute_backtest(spark, sf_dir):
     """Yearly OLS and boosted-tree RMSE/MAE on district-weeks with a price."""
     return I.imputation_backtest(spark, _impute_frame(spark, sf_dir), CFG)

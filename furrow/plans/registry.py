@@ -20,7 +20,7 @@ def register(name: str, columns, sql: str | None = None, doc: str = ""):
 
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return finish(fn(spark, sf_dir), columns)
+            return finish(fn(spark, sf_dir), columns, compared=sql is not None)
 
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__
@@ -52,10 +52,4 @@ def _load():
         return
     _LOADED = True
     # Import for side effects: each module registers its queries.
-    from furrow.plans import q_panel  # noqa: F401
-    for mod in ("q_models", "q_inference", "q_trees", "q_ingest", "q_profile", "q_sequence"):
-        try:
-            __import__(f"furrow.plans.{mod}")
-        except ModuleNotFoundError as e:  # modules are added over time
-            if e.name != f"furrow.plans.{mod}":
-                raise
+    from furrow.plans import q_inference, q_ingest, q_models, q_panel, q_profile, q_sequence, q_trees  # noqa: F401

@@ -1,9 +1,10 @@
 """Declared output schemas shared by the Spark queries and their SQL oracles.
 
 Each registered query lists its output columns with a kind: ``int`` (BIGINT),
-``dbl`` (DOUBLE rounded to ``DIGITS`` places), ``str`` or ``date``. The same
-list drives the final Spark projection and the DuckDB wrapper, so column
-names, types and rounding agree on both sides.
+``dbl`` (DOUBLE), ``str`` or ``date``. The same list drives the final Spark
+projection and the DuckDB wrapper, so column names, types and rounding agree on
+both sides. Doubles are rounded only where an oracle compares them: to ``DIGITS``
+places, below 1 to ``SMALL_DIGITS`` places. Queries without SQL return them whole.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIGITS = 4
-SCALE = 10.0 ** DIGITS
+DIGITS, SMALL_DIGITS = 4, 9
+SCALE, SMALL_SCALE = 10.0 ** DIGITS, 10.0 ** SMALL_DIGITS
 # Quantisation threshold. Test data often carries exactly DIGITS+1 decimals
 # ending in 5 (a rounding tie) and two engines sum in different orders, so a
 # plain round() can land on different sides of the tie. Both sides instead
@@ -38,8 +39,9 @@ class Query:
     doc: str = ""
 
 
-def finish(df: DataFrame, columns: Cols) -> DataFrame:
-    """Project to the declared columns with the declared kinds."""
+def finish(df: DataFrame, columns: Cols, compared: bool = True) -> DataFrame:
+    """Project to the declared columns with the declared kinds; doubles are
+    rounded where an oracle is compared."""
     out = []
     for name, kind in columns:
         c = F.col(name)
@@ -47,9 +49,9 @@ def finish(df: DataFrame, columns: Cols) -> DataFrame:
             out.append(c.cast("bigint").alias(name))
         elif kind == "dbl":
             x = c.cast("double")
-            q = (F.floor(x * F.lit(SCALE) + F.lit(OFFSET)) / F.lit(SCALE)).cast("double")
-            out.append(F.when(F.isnan(x), F.lit(None).cast("double"))
-                        .when(F.abs(x) < F.lit(QUANT_LIMIT), q).otherwise(x).alias(name))
+            cut = [(F.floor(x * F.lit(k) + F.lit(OFFSET)) / F.lit(k)).cast("double") for k in (SMALL_SCALE, SCALE)]
+            q = F.when(F.abs(x) < 1.0, cut[0]).when(F.abs(x) < F.lit(QUANT_LIMIT), cut[1]).otherwise(x)
+            out.append(F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(q if compared else x).alias(name))
         elif kind == "str":
             out.append(c.cast("string").alias(name))
         elif kind == "date":
@@ -70,7 +72,8 @@ def wrap_sql(inner: str, columns: Cols) -> str:
             parts.append(f"CAST({q} AS BIGINT) AS {q}")
         elif kind == "dbl":
             x = f"CAST({q} AS DOUBLE)"
-            parts.append(f"CASE WHEN abs({x}) < {QUANT_LIMIT!r}::DOUBLE THEN "
+            parts.append(f"CASE WHEN abs({x}) < 1.0::DOUBLE THEN CAST(floor({x} * {SMALL_SCALE!r}::DOUBLE + {OFFSET!r}::DOUBLE)"
+                         f" / {SMALL_SCALE!r}::DOUBLE AS DOUBLE) WHEN abs({x}) < {QUANT_LIMIT!r}::DOUBLE THEN "
                          f"CAST(floor({x} * {SCALE!r}::DOUBLE + {OFFSET!r}::DOUBLE)"
                          f" / {SCALE!r}::DOUBLE AS DOUBLE) ELSE {x} END AS {q}")
         elif kind == "str":

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow import config as K
-from furrow.functions.aggregates import broadcast_dim, literal_table
+from furrow.functions.aggregates import literal_table
 from furrow.functions.columns import parse_date_mixed, parse_date_us, parse_number, title_case
 from furrow.operators.dedup import keep_first, keep_last, price_order, shipment_order
 
@@ -97,7 +97,7 @@ def merge_shipments(spark: SparkSession, parts: Sequence[DataFrame],
     df = df.where(F.col("week_ending").isNotNull() & F.col("volumes").isNotNull())
     df = keep_last(df, list(key), shipment_order(["origin", "volumes"]))
     if name_fix is not None:
-        m = (broadcast_dim(name_fix.select("raw", "std")) if isinstance(name_fix, DataFrame)
+        m = (name_fix.select("raw", "std") if isinstance(name_fix, DataFrame)
              else literal_table(spark, name_fix, "raw string, std string"))
         df = (df.join(m, df["district"] == m["raw"], "left")
                 .withColumn("district", F.coalesce("std", "district")).drop("raw", "std"))
@@ -205,7 +205,7 @@ def weather_wide(daily_long: DataFrame, locations: DataFrame | None = None,
     the location dimension adds the district."""
     wide = daily_long.groupBy("location", "date").pivot("variable", list(variables)).agg(F.first("value"))
     if locations is not None:
-        wide = wide.join(broadcast_dim(locations.select("location", "district")), "location", "left")
+        wide = wide.join(locations.select("location", "district"), "location", "left")
     return wide
 
 

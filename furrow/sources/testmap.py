@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.functions.aggregates import broadcast_dim
 from furrow.functions.columns import week_ending_tuesday
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -35,8 +34,8 @@ def _supplier_geo(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return (s.join(broadcast_dim(n), s.s_nationkey == n.n_nationkey)
-             .join(broadcast_dim(r), n.n_regionkey == r.r_regionkey)
+    return (s.join(n, s.s_nationkey == n.n_nationkey)
+             .join(r, n.n_regionkey == r.r_regionkey)
              .select("s_suppkey", "s_name", "n_name", "r_name"))
 
 
@@ -49,8 +48,8 @@ def _line_items(spark, sf_dir, cols):
     # The supplier geography is many-to-one joins on supplier, so the
     # supplier table's own count bounds it.
     supplier = table(spark, sf_dir, "supplier")
-    return (li.join(broadcast_dim(geo, bound=supplier), li.l_suppkey == geo.s_suppkey)
-              .join(broadcast_dim(p), li.l_partkey == p.p_partkey))
+    return (li.join(geo, li.l_suppkey == geo.s_suppkey)
+              .join(p, li.l_partkey == p.p_partkey))
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +92,10 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = (c.join(broadcast_dim(n), c.c_nationkey == n.n_nationkey)
-            .join(broadcast_dim(r), n.n_regionkey == r.r_regionkey)
+    geo = (c.join(n, c.c_nationkey == n.n_nationkey)
+            .join(r, n.n_regionkey == r.r_regionkey)
             .select("c_custkey", "r_name"))
-    j = o.join(broadcast_dim(geo, bound=table(spark, sf_dir, "customer")),
+    j = o.join(geo,
                o.o_custkey == geo.c_custkey)
     tmin = ((F.col("o_custkey") * 37) % 250) / 10.0 - 1.0
     return j.select(

@@ -104,25 +104,6 @@ def test_exact_median_hot_group_matches_numpy(spark):
         assert got[k] == float(np.median(vals)), k
 
 
-def test_broadcast_dim_checks_rows(spark):
-    import contextlib
-    import io
-    from furrow.functions.aggregates import broadcast_dim
-    big = spark.range(0, 5000).withColumnRenamed("id", "k")
-    small = spark.range(0, 10).withColumnRenamed("id", "k")
-
-    def plan(df):
-        buf = io.StringIO()
-        with contextlib.redirect_stdout(buf):
-            df.explain(True)
-        return buf.getvalue()
-
-    fact = spark.range(0, 100000).withColumnRenamed("id", "k")
-    assert "broadcast" in plan(fact.join(broadcast_dim(small, max_rows=100), "k")).lower()
-    hinted = plan(fact.join(broadcast_dim(big, max_rows=100), "k"))
-    assert "ResolvedHint" not in hinted
-
-
 def test_tree_backtest_without_folds_is_empty(spark):
     from furrow.operators import backtest as B
     from furrow.operators import trees as TR
