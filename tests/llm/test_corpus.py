@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from furrow.llm import minhash, passages, substring
+from furrow.llm.common import mix
 from furrow.llm.components import components
 from furrow.llm.fingerprint import PIECE_CHARS, fingerprints
 from furrow.llm.minhash import near_duplicates
@@ -196,7 +197,7 @@ def test_compact_windows_are_the_tree_nodes():
     rnd = np.random.default_rng(4)
     for _ in range(150):
         n, t = int(rnd.integers(1, 60)), int(rnd.integers(1, 8))
-        h = rnd.integers(0, 25, n).astype(np.uint64)
+        h = mix(rnd.integers(0, 25, n).astype(np.uint64))
         want = set()
 
         def nodes(a, b):
@@ -208,6 +209,11 @@ def test_compact_windows_are_the_tree_nodes():
 
         nodes(0, n - 1)
         assert set(zip(*(x.tolist() for x in compact_windows(h, t)), strict=True)) == want
+        if n > 9:                                       # parted into two documents
+            want.clear()
+            nodes(0, 3)
+            nodes(6, n - 1)
+            assert set(zip(*(x.tolist() for x in compact_windows(h, t, np.array([4, 5]))), strict=True)) == want
 
 
 @pytest.mark.parametrize("table", ["odd", "sf"])
