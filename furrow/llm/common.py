@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from furrow.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 1 << 20     # text handled at once inside a task (whole documents)
+PART_BYTES = 4 << 20      # text of an Arrow batch handled at once
 BLOCK_BYTES = 1 << 18     # bytes hashed at once, whatever the document's length
 SHINGLE_WORDS = 5
 
@@ -66,6 +67,15 @@ def doc_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         first = last
 
 
+def parts(batches, text: int, limit: int = PART_BYTES):
+    """The Arrow batches cut into parts of about ``limit`` bytes in column ``text``, so
+    that what a task makes of a part stays small whatever the batches hold."""
+    for batch in batches:
+        _, offsets = utf8(batch.column(text))
+        for a, b in doc_chunks(offsets, limit):
+            yield batch.slice(a, b - a)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer."""
     x = x ^ (x >> np.uint64(33))

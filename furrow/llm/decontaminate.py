@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import ALNUM, SHINGLE_WORDS, Words, doc_chunks, runs_hash, utf8
+from furrow.llm.common import ALNUM, SHINGLE_WORDS, Words, doc_chunks, parts, runs_hash, utf8
 
 WINDOW_WORDS = 10
 BLOCK_ITEMS_BYTES = 1 << 20
@@ -132,7 +132,7 @@ def _match(batch_schema, columns: list[str], block: Block, rarity: dict[int, int
     def match(batches):
         prefixes = {k: (_Probe(np.unique(h)), h, v) for k, (h, v) in block.prefixes(rarity).items()}
         n_fixed = len(columns)
-        for batch in batches:
+        for batch in parts(batches, 0):
             raw, offsets = utf8(batch.column(0))
             spans = [list(zip(s[::2], s[1::2], strict=True)) for s in batch.column(n_fixed + 1).to_pylist()]
             items = batch.column(n_fixed + 2).to_pylist()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.boosting import BoostedTrees, fit_boosted
-from furrow.llm.common import NOT_SPACE, Words, doc_chunks, runs_hash, utf8
+from furrow.llm.common import NOT_SPACE, Words, doc_chunks, parts, runs_hash, utf8
 
 TRAIN_ROWS = 20_000
 
@@ -80,8 +80,8 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _batch_statistics(column) -> np.ndarray:
     raw, offsets = utf8(column)
-    parts = [statistics(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in doc_chunks(offsets)]
-    return np.concatenate(parts) if parts else np.zeros((0, N_FEATURES))
+    rows = [statistics(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in doc_chunks(offsets)]
+    return np.concatenate(rows) if rows else np.zeros((0, N_FEATURES))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -96,7 +96,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             .join(F.broadcast(chosen), "_id"))
 
     def measure(batches):
-        for batch in batches:
+        for batch in parts(batches, 1):
             x = _batch_statistics(batch.column(1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32()),
@@ -112,7 +112,7 @@ def score_quality(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id",
     """(id, score) for every row of ``docs``."""
 
     def score(batches):
-        for batch in batches:
+        for batch in parts(batches, 1):
             x = _batch_statistics(batch.column(1)).astype(np.float32).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())],
                                              names=[id_col, "score"])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.automaton import Matcher
-from furrow.llm.common import utf8
+from furrow.llm.common import parts, utf8
 
 # Rules in listed order, and the least length of an assigned value.
 RULES = {
@@ -68,7 +68,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scan(batches):
         matcher = Matcher(list(RULES.values()))
-        for batch in batches:
+        for batch in parts(batches, 1):
             raw, offsets = utf8(batch.column(1))
             text = raw.tobytes()
             rows = []
@@ -104,7 +104,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret
 
     def redact(batches):
         matcher = Matcher(list(RULES.values()))
-        for batch in batches:
+        for batch in parts(batches, at):
             old = batch.column(at)
             raw, offsets = utf8(old)
             text, new = raw.tobytes(), {}

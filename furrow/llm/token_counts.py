@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import doc_chunks, utf8
+from furrow.llm.common import doc_chunks, parts, utf8
 
 PIECE_CHARS = 1 << 15
 BATCH_BYTES = 1 << 19
@@ -77,7 +77,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str | None = Non
 
     def count(batches):
         lengths = length_counter(tokenizer_path, pattern, special)
-        for batch in batches:
+        for batch in parts(batches, 1):
             _, offsets = utf8(batch.column(1))
             texts = batch.column(1).to_pylist()
             n_tokens = [0] * len(texts)
