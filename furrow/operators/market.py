@@ -140,7 +140,3 @@ def district_series(panel: DataFrame, cfg: AnalysisConfig,
         ca.alias("ca_season"),
         flag((az == 1) | (ca == 1)).alias("peak_season"),
     )
-
-
-def quarter_dummies(month: str = "month") -> list:
-    return [month_in(month, months).alias(name) for name, months in K.QUARTER_MONTHS.items()]

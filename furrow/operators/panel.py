@@ -144,15 +144,3 @@ def weekly_panel(feeds: dict[str, DataFrame], cfg: AnalysisConfig) -> DataFrame:
         F.weekofyear("week_ending").alias("week_of_year"),
         state_label("district", cfg.az_districts).alias("state"),
     )
-
-
-def panel_columns(cfg: AnalysisConfig) -> list[str]:
-    """Output column order of ``weekly_panel``."""
-    vols = [f"vol_{cfg.suffix(c)}" for c in cfg.commodities]
-    prices = [f"price_{cfg.suffix(c)}" for c in cfg.commodities]
-    return (KEY + ["total_volume", "n_commodities"] + vols
-            + ["avg_fob_price", "n_price_obs"] + prices + ["median_fob_price",
-               "tmax_avg", "tmin_avg", "tmax_max", "tmin_min", "ppt_total", "ppt_days",
-               "dd_heat", "dd_freeze", "n_weather_days", "tmean_avg", "diurnal_range",
-               "extreme_heat", "freeze_risk", "heavy_rain", "year", "month", "week_of_year",
-               "state"])

@@ -18,15 +18,15 @@ from furrow.operators import backtest as B
 from furrow.operators import evaluate as E
 from furrow.operators import impute as I
 from furrow.operators import market, panel
+from furrow.operators import profile as PR
 from furrow.operators import specs as S
 from furrow.operators import trees as TR
 from furrow.session import materialize
 from furrow.sources.feeds import write_table
 
-STAGES = ("panel", "series", "baseline", "compare", "diagnostics", "district", "volume",
+STAGES = ("panel", "series", "profile", "baseline", "compare", "diagnostics", "district", "volume",
           "variety", "impute")
-FAST_STAGES = ("panel", "series", "baseline", "compare", "diagnostics", "district", "volume",
-               "variety")
+FAST_STAGES = tuple(s for s in STAGES if s != "impute")
 
 
 def _save(df: DataFrame, out_dir: str, name: str, partition_by: Sequence[str] = ()) -> str:
@@ -50,6 +50,18 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
         out["market_series"] = _save(main, out_dir, "market_series")
         out["district_series"] = _save(dist, out_dir, "district_series")
     key = [(cfg.main_series,)]
+    if "profile" in stages:
+        by = ["series"]
+        for name, table in (
+                ("coverage_by_district", PR.coverage_by_district(p)),
+                ("coverage_by_type", PR.coverage_by_type(p, cfg)),
+                ("summary_statistics", PR.summary_statistics(main, by, ["price", "volume", "coverage"])),
+                ("event_shares", PR.event_shares(main, by, ["extreme_heat", "freeze_risk", "heavy_rain"])),
+                ("seasonal_profile", PR.seasonal_profile(main, by)),
+                ("price_share", PR.price_share(dist, by)),
+                ("volatile_years", E.volatile_years(main, by)),
+                ("extreme_year_profile", E.year_price_profile(main, by, cfg.extreme_year))):
+            out[name] = _save(table, out_dir, name)
     if "baseline" in stages:
         c, f = S.fit_specs(spark, S.with_log_price(main), S.baseline_specs(), ["series"], key)
         out["insample_coefficients"] = _save(c, out_dir, "insample_coefficients")
@@ -57,10 +69,11 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
     usable = B.complete_cases(main, B.PRICE_MODELS, extra=["price_lag1", "dprice", "log_dprice"])
     cols = ["series", "model", "year", "week_ending", "coverage", "pred_level", "actual"]
     if "compare" in stages:
-        preds = B.ols_backtest(usable, B.PRICE_MODELS).select(cols)
+        preds = B.ols_backtest(usable, B.PRICE_MODELS, min_train=cfg.min_train_years).select(cols)
         if trees:
-            preds = preds.unionByName(TR.tree_backtest(spark, usable, B.PRICE_MODELS).select(cols))
-        preds = preds.unionByName(B.naive_predictions(usable).select(cols))
+            preds = preds.unionByName(TR.tree_backtest(
+                spark, usable, B.PRICE_MODELS, min_train=cfg.min_train_years).select(cols))
+        preds = preds.unionByName(B.naive_predictions(usable, min_train=cfg.min_train_years).select(cols))
         scores = B.score(preds, ["series", "model"])
         out["fold_scores"] = _save(scores, out_dir, "fold_scores")
         out["leaderboard"] = _save(B.leaderboard(scores, ["series", "model"],
@@ -68,15 +81,18 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
     if "diagnostics" in stages:
         full = B.PRICE_MODELS[0]
         keys = ["series", "model"]
-        table = E.prediction_table(B.ols_backtest(usable, [full]), keys)
+        expanding = materialize(B.ols_backtest(usable, [full], min_train=cfg.min_train_years))
+        table = E.prediction_table(expanding, keys)
         out["predictions"] = _save(table, out_dir, "predictions")
         out["error_by_coverage"] = _save(E.error_by_coverage(table, keys), out_dir, "error_by_coverage")
         out["period_errors"] = _save(E.period_errors(table, keys, cfg.early_last_year), out_dir,
                                      "period_errors")
         out["partial_year"] = _save(E.partial_year_sensitivity(table, keys, cfg.partial_year),
                                     out_dir, "partial_year")
-        exp_s = B.score(B.ols_backtest(usable, [full]), keys)
-        roll_s = B.score(B.ols_backtest(usable, [full], mode="rolling", min_train_rows=50), keys)
+        out["extreme_year"] = _save(E.extreme_year_split(table, keys, cfg.extreme_year), out_dir, "extreme_year")
+        exp_s = B.score(expanding, keys)
+        roll_s = B.score(B.ols_backtest(usable, [full], mode="rolling", window_years=cfg.rolling_years,
+                                        min_train=cfg.min_train_years, min_train_rows=cfg.rolling_min_train), keys)
         out["expanding_vs_rolling"] = _save(E.compare_folds(exp_s, roll_s, keys), out_dir,
                                             "expanding_vs_rolling")
     if "district" in stages:
@@ -89,10 +105,10 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
         out["volume_coefficients"] = _save(c, out_dir, "volume_coefficients")
         u = B.complete_cases(main, B.VOLUME_MODELS, extra=["dvolume", "volume_lag1"])
         out["volume_fit"] = _save(f, out_dir, "volume_fit")
-        vp = B.ols_backtest(u, B.VOLUME_MODELS).select(cols).unionByName(
-            B.naive_predictions(u, target="volume", name="Naive (vol=lag1)").select(cols))
+        vp = B.ols_backtest(u, B.VOLUME_MODELS, min_train=cfg.min_train_years).select(cols).unionByName(
+            B.naive_predictions(u, target="volume", name="Naive (vol=lag1)", min_train=cfg.min_train_years).select(cols))
         if trees:
-            vp = vp.unionByName(TR.tree_backtest(spark, u, B.VOLUME_MODELS).select(cols))
+            vp = vp.unionByName(TR.tree_backtest(spark, u, B.VOLUME_MODELS, min_train=cfg.min_train_years).select(cols))
         out["volume_leaderboard"] = _save(B.leaderboard(B.score(vp, ["series", "model"]),
                                                         ["series", "model"], "Naive (vol=lag1)"),
                                           out_dir, "volume_leaderboard")
@@ -110,5 +126,7 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
         frame = materialize(I.imputation_frame(p, cfg))
         out["impute_backtest"] = _save(I.imputation_backtest(spark, frame, cfg), out_dir,
                                        "impute_backtest")
-        out["imputed_prices"] = _save(I.impute_missing(spark, frame, cfg), out_dir, "imputed_prices")
+        imputed = materialize(I.impute_missing(spark, frame, cfg))
+        out["imputed_prices"] = _save(imputed, out_dir, "imputed_prices")
+        out["imputed_by_district"] = _save(I.compare_by_district(imputed, frame), out_dir, "imputed_by_district")
     return out
