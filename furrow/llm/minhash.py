@@ -11,11 +11,11 @@ Groups are never expanded into all pairs. Documents with equal sets are one clas
 First each class is checked against the smallest class of each of its band buckets, and
 the links' components are formed. A bucket that then still holds several components has
 its members outside its largest component compared with its members of other components
-by signature, in blocks of ``BLOCK`` members a task (a pair in one bucket only); pairs
-that agree in ``CLOSE`` coordinates, four standard deviations below the bound, are
-checked on their full sets too: in the first rounds each member's ``ROUNDS`` best ones,
-which connects most, then all that are left between components. So every candidate pair
-is checked, already connected, or ruled out by its signature. Links give components by star contraction.
+by a longer signature (``LONG`` coordinates, one bit each), in blocks of ``BLOCK`` members
+a task (a pair in one bucket only); pairs that differ in at most ``FAR`` bits, four standard
+deviations below the bound, are checked on their full sets too: first each member's best
+one, which connects most, then all that are left between components. So every candidate
+pair is checked, already connected, or ruled out by its signature. Links give components by star contraction.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing; fewer than ``SHINGLE_WORDS`` words are one shingle; repeated rows each give
@@ -31,27 +31,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import NOT_SPACE, SHINGLE_WORDS, Words, doc_chunks, mix, shingles, stage, utf8
+from furrow.llm.common import NOT_SPACE, SHINGLE_WORDS, Words, doc_chunks, mix, parts, shingles, stage, utf8
 from furrow.llm.components import components
 
 BANDS, ROWS = 32, 4
 PERCENT = 75
-CLOSE = 77                    # of 128 coordinates: 0.75 less four standard deviations
+LONG = 2048
+FAR = 315                     # bits that differ at similarity 0.75 less four standard deviations (0.692)
 BLOCK = 4096
-ROUNDS = (1, 8, None)         # best pairs of a member in a block; None: all
+ROUNDS = (1, None)            # best pairs of a member in a block; None: all
 
-_SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
+_SHIFTS = np.arange(LONG, dtype=np.uint32)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _DIGEST = np.uint64(0xA24BAED4963EE407)
 
 
-def signature(shingle_set: np.ndarray, block: int = 512) -> np.ndarray:
-    """Circulant MinHash of a set of 64-bit shingle hashes."""
+def signature(shingle_set: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+    """Circulant MinHash of a set of 64-bit shingle hashes: ``size`` coordinates."""
     ring = (mix(shingle_set) >> np.uint64(32)).astype(np.uint32)        # first permutation: place on the ring
-    low = np.full(len(_SHIFTS), 0xFFFFFFFF, np.uint32)
+    low = np.full(size, 0xFFFFFFFF, np.uint32)
+    block = (1 << 16) // size
     for a in range(0, len(ring), block):
-        x = ring[a:a + block, None] + _SHIFTS                          # circular shifts
+        x = ring[a:a + block, None] + _SHIFTS[:size]                   # circular shifts
         x ^= x >> np.uint32(16)                                        # second permutation: a bijection of 32 bits
         x *= _M1
         x ^= x >> np.uint32(13)
@@ -79,7 +81,7 @@ def _sets(column):
 
 
 def _sketch(batches):
-    for batch in batches:
+    for batch in parts(batches, 1):
         n, d1, d2, keys, sigs = [], [], [], [], []
         for s in _sets(batch.column(1)):
             n.append(len(s))
@@ -97,10 +99,18 @@ def _sketch(batches):
             names=["id", "text_hash", "n", "d1", "d2", "keys", "sig"])
 
 
+def _long(batches):
+    """Arrow function from (rep, text_hash, text) to the long signature's bits."""
+    for batch in parts(batches, 2):
+        bits = [np.packbits(signature(s, LONG).astype(np.uint8) & np.uint8(1)).tobytes() for s in _sets(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())],
+                                         names=["rep", "text_hash", "bits"])
+
+
 def _confirm(batches):
     """Links among (a, b, text_a, text_b), rows of one b next to each other."""
     last_b, set_b = None, None
-    for batch in batches:
+    for batch in parts(batches, 2):
         b_ids, texts_b = batch.column(1).to_pylist(), batch.column(3)
         keep = []
         for i, set_a in enumerate(_sets(batch.column(2))):
@@ -149,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stage(components(links, "a", "b"), "components")
     tested = pairs.select("a", "b").union(pairs.select("b", "a"))
     for best in ROUNDS:
-        close = stage(_close_pairs(members.drop("lead"), classes, found, id_type, best), "pairs")
+        close = stage(_close_pairs(members.drop("lead"), classes, texts, found, id_type, best), "pairs")
         more = not close.where("more").isEmpty()
         close = stage(close.drop("more").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not close.isEmpty():
@@ -169,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _compare(batches, best: int | None):
     """Close pairs of a leader and a probe of other components, in the first band that
     they share, from bucket blocks (key, salt, band, rep, text_hash, n, component, leads,
-    probes, sig); at most ``best`` a leader and block (more: there were others)."""
+    probes, sig, bits); at most ``best`` a leader and block (more: there were others)."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -178,23 +188,24 @@ def _compare(batches, best: int | None):
     key, salt, band, n, leads, probes = (table[c].to_numpy() for c in ("key", "salt", "band", "n", "leads", "probes"))
     rep, text_hash, part = (table[c].to_numpy() for c in ("rep", "text_hash", "component"))
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(key), -1)
+    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(key), -1)
     order = np.lexsort((salt, key))
     new = np.ones(len(order), bool)
     new[1:] = (key[order[1:]] != key[order[:-1]]) | (salt[order[1:]] != salt[order[:-1]])
     for rows in np.split(order, np.flatnonzero(new)[1:]):
         lead, probe = rows[leads[rows]], rows[probes[rows]]
-        step = max(1, (1 << 17) // max(1, len(probe)))
+        step = max(1, (1 << 16) // max(1, len(probe)))
         for at in range(0, len(lead), step):
             some = lead[at:at + step]
             same = sig[some][:, None, :] == sig[probe][None, :, :]
             first = same.reshape(len(some), len(probe), BANDS, ROWS).all(axis=3).argmax(axis=2)
             low, high = np.minimum(n[some][:, None], n[probe]), np.maximum(n[some][:, None], n[probe])
-            good = ((same.sum(axis=2) >= CLOSE) & (first == band[some][:, None]) & (100 * low >= PERCENT * high)
+            differ = np.bitwise_count(bits[some][:, None, :] ^ bits[probe][None, :, :]).sum(axis=2, dtype=np.int64)
+            good = ((differ <= FAR) & (first == band[some][:, None]) & (100 * low >= PERCENT * high)
                     & (part[some][:, None] != part[probe]) & (~leads[probe] | (rep[some][:, None] < rep[probe])))
             more = good.sum(axis=1) > (best or len(probe))
             if best and more.any():
-                alike = np.where(good, same.sum(axis=2), 0)
-                good[np.arange(len(some))[:, None], np.argsort(-alike, axis=1, kind="stable")[:, best:]] = False
+                good[np.arange(len(some))[:, None], np.argsort(np.where(good, differ, LONG), axis=1, kind="stable")[:, best:]] = False
             x, y = np.nonzero(good)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rep[probe[y]]), pa.array(text_hash[probe[y]]), pa.array(rep[some[x]]), pa.array(text_hash[some[x]]),
@@ -202,7 +213,8 @@ def _compare(batches, best: int | None):
 
 
 
-def _close_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, id_type: str, best: int | None) -> DataFrame:
+def _close_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, found: DataFrame, id_type: str,
+                 best: int | None) -> DataFrame:
     """Close pairs between the components that still share a bucket. A pair of them has
     a side outside the bucket's largest component; those sides lead."""
     rows = members.join(found, F.col("rep") == F.col("node"), "left")
@@ -220,9 +232,13 @@ def _close_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, id_ty
     dealt = many.select(*keep, F.pmod(F.xxhash64("rep", "text_hash"), "blocks").alias("salt"), F.lit(False).alias("leads"), F.lit(True).alias("probes"))
     sent = many.where("lead").select(*keep, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("salt"),
                                      F.lit(True).alias("leads"), F.lit(False).alias("probes"))
-    blocks = one.union(dealt).union(sent).join(classes.select("rep", "text_hash", "sig"), ["rep", "text_hash"])
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(parts, "key", "salt").mapInArrow(
+    bits = (texts.select(F.col("id").alias("rep"), "text_hash", "text")
+            .join(rows.select("rep", "text_hash").distinct(), ["rep", "text_hash"], "left_semi")
+            .mapInArrow(_long, f"rep {id_type}, text_hash bigint, bits binary"))
+    signed = classes.select("rep", "text_hash", "sig").join(bits, ["rep", "text_hash"])
+    blocks = one.union(dealt).union(sent).join(stage(signed, "signed"), ["rep", "text_hash"])
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(tasks, "key", "salt").mapInArrow(
         lambda batches: _compare(batches, best), f"a {id_type}, a_hash bigint, b {id_type}, b_hash bigint, more boolean")
 
 
