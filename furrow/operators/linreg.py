@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.session import materialize
+
 RCOND = 1e-10
 
 
@@ -230,7 +232,8 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
     ``terms`` maps (keys..., idx) -> term name, idx 0 = const.
     """
     keys = list(keys)
-    design, shifts = standardised(design, keys)
+    # Several passes follow: cut the lineage so that none rebuilds the modelling set.
+    design, shifts = standardised(materialize(design), keys)
     g_raw = gram(design, keys)
     coefs = solve(g_raw, keys)
     scored = (design.join(F.broadcast(coefs.select(*keys, "beta")), keys)
