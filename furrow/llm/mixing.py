@@ -67,8 +67,9 @@ def _rank(seed: str):
     """Rank of a document in (0, 1): increasing in random odds / inclusion odds."""
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("_id").cast("string"), F.lit("null")))
     u = (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    odds = (F.col("_share") / (1.0 - F.col("_share"))) * (F.col("_size") / (F.col("_source_size") / F.col("_n")))
-    ratio = (u / (1.0 - u)) / odds
+    odds = (F.col("_share") / (1.0 - F.col("_share"))) * F.try_divide(
+        F.col("_size"), F.col("_source_size") / F.col("_n"))
+    ratio = F.try_divide(u / (1.0 - u), odds)           # NULL for a size of 0: never sampled
     return ratio / (1.0 + ratio)
 
 
