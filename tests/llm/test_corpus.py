@@ -262,6 +262,27 @@ def test_lightly_edited_passage_is_found(spark):
     assert passages.NEED <= passages.FUNCTIONS
 
 
+def _with_partitions(spark, n, docs):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        return {r.doc_id: r for r in repeated_passages(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_passage_in_most_documents_at_any_number_of_buckets(spark):
+    rnd = np.random.default_rng(8)
+    text = lambda n: [f"w{x}" for x in rnd.integers(0, 50_000, n)]
+    passage = text(60)
+    docs = spark.createDataFrame([(i, " ".join(text(12) + passage + text(9) if i % 10 else text(80))) for i in range(400)],
+                                 "doc_id long, text string")
+    few, many = _with_partitions(spark, 3, docs), _with_partitions(spark, 40, docs)
+    for i, r in many.items():
+        assert (r.class_id, r.n_repeated >= 60) == ((1, True) if i % 10 else (i, False)), i
+    assert few == many
+
+
 # ---- mixing
 
 def _plain_targets(sizes):
