@@ -283,6 +283,33 @@ def test_passage_in_most_documents_at_any_number_of_buckets(spark):
     assert few == many
 
 
+def test_further_copies_and_passages_hidden_behind_a_common_phrase(spark):
+    rnd = np.random.default_rng(9)
+    text = lambda n: [f"w{x}" for x in rnd.integers(0, 50_000, n)]
+    passage, hidden = text(55), text(54)
+    texts = [text(30) + passage + text(200) + passage + text(20), text(9) + passage + text(8)]   # twice in the first
+    # Documents 2 to 4 hold each a part of under 50 words of what 5 and 6 share.
+    texts += [text(40) + hidden[a:b] + text(40) for a, b in ((0, 30), (14, 44), (24, 54))]
+    texts += [text(60) + hidden + text(50), text(35) + hidden + text(70)]
+    texts += [["word"] * 400, ["word"] * 150]
+    got = _with_partitions(spark, 5, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert [got[i].class_id for i in range(9)] == [0, 0, 2, 3, 4, 5, 5, 7, 7]
+    assert [sum(a - 6 < p["start"] <= a for p in got[0].passages) for a in (30, 285)] == [1, 1]
+    assert [got[i].n_repeated >= n for i, n in ((0, 110), (1, 55), (5, 54), (6, 54))] == [True] * 4
+    assert (got[7].n_repeated, got[8].n_repeated) == (400, 150)
+
+
+def test_near_copies_whose_minima_meet_several_documents(spark):
+    """Each document of a chain of edits meets others under single functions."""
+    f = np.arange(passages.FUNCTIONS, dtype=np.int8)
+    n = len(f)
+    at = np.arange(10, 10 + n, dtype=np.int32)
+    columns = [np.full(n, 9), at - 5, at, at + 50, np.arange(n), at - 5, at, at + 50, f]
+    batch = lambda k: passages.pa.RecordBatch.from_arrays([passages.pa.array(c[:k]) for c in columns], names=passages._MEETING_NAMES[:9])
+    assert sum(b.num_rows for b in passages._candidates([batch(n)])) == n
+    assert sum(b.num_rows for b in passages._candidates([batch(1)])) == 0
+
+
 # ---- mixing
 
 def _plain_targets(sizes):
