@@ -14,7 +14,7 @@ from furrow.llm import secrets
 from furrow.llm.boosting import fit_boosted
 from furrow.llm.common import NOT_SPACE, Words, runs_hash
 from furrow.llm.decontaminate import contamination, drop_contaminated
-from furrow.llm.language import Identifier, Model, fit_identifier, grams, identify_documents, keep_identified, predict_language
+from furrow.llm.language import Identifier, Model, entropies, fit_identifier, grams, identify_documents, keep_identified, predict_language
 from furrow.llm.quality import fit_quality, score_quality
 from furrow.llm.token_counts import length_counter, pieces, token_counts
 
@@ -193,6 +193,19 @@ def test_language_of_held_out_rows_and_odd_rows(spark, odd, nothing, sf):
     assert {r.lang_pred for r in predict_language(odd, Identifier([], [])).collect()} == {"und"}
 
 
+def test_mislabelled_calibration_rows_do_not_loosen_the_rejection():
+    rnd = random.Random(3)
+    text = lambda letters: " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 6))) for _ in range(80))
+    alphabets = ["aaabbcde", "ttuuuvwx"]
+    models = [Model.fit(*np.unique(grams([text(a) for _ in range(200)])[0], return_counts=True), 17) for a in alphabets]
+    rows = [(text(alphabets[i % 2]), i % 2 if i % 101 else 1 - i % 2) for i in range(2020)]     # 1 % carry the other's label
+    identifier = Identifier(["a", "t"], models)
+    h, size, _ = entropies(models, [t for t, _ in rows])
+    identifier.calibrate(h, size, np.array([x for _, x in rows]))
+    assert identifier.predict([text("ghijklmn") for _ in range(50)])[2].all()
+    assert identifier.predict([t for t, _ in rows])[2].mean() <= 0.002
+
+
 # ---- quality
 
 def test_trees_learn_a_planted_rule_and_traverse_flat_arrays():
