@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.llm import collocations as phrases
 from furrow.llm import decontaminate, minhash, mixing
+from furrow.llm.conversations import damage, repair_conversations
 from furrow.llm.decontaminate import contamination
 from furrow.llm.fingerprint import fingerprints
 from furrow.llm.language import identify_documents
@@ -20,10 +22,12 @@ from furrow.llm.quality import fit_quality, score_quality
 from furrow.llm.secrets import scan_secrets
 from furrow.llm.substring import remove_repeats
 from furrow.llm.token_counts import token_counts
+from furrow.llm.token_files import digest_token_files, write_token_files
 
 OVER_LIMIT = 1024
 QUALITY_BOUND = 0.3
 END_OF_TEXT = 50256     # the special token of byte_bpe_50k
+END_ID = 2              # follows each document's ids in token files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +95,23 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: best phrases of each language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: faults, cheapest edits and repaired text of every damaged conversation."""
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_conversations(damage(conversations), conversations)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: ids of every whole text, written to token files and read back."""
+    index = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return digest_token_files(index).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -102,10 +123,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passages": op8_passages,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_conversations": op12_conversations,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.ORACLE,
     "op7_minhash": minhash.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_collocations": phrases.ORACLE,
 }
