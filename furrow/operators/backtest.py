@@ -1,10 +1,10 @@
 """Back-testing: folds, model registry, OLS over all folds, scores, leaderboard.
 
-The reference refits every model once per test year from raw rows. Here the
-design is read once: yearly Grams per (series, model, year) are summed into
-fold Grams by a window over years, every fold is solved in one grouped step,
-and predictions are a JVM-side dot product against broadcast coefficients
-(one row per model and fold).
+Instead of refitting every model once per test year from raw rows, the usable
+rows are read once: centred moments of the union of all models' columns per
+(series, year) are merged into those of each fold's training years, every model
+takes its columns of the merged matrix, and predictions are a JVM-side dot
+product against broadcast coefficients (one row per model and fold).
 """
 
 from __future__ import annotations
@@ -152,26 +152,27 @@ def ols_backtest(usable: DataFrame, specs: Sequence[ModelSpec], keys: Sequence[s
     """
     keys = list(keys)
     specs = [s for s in specs if s.method == "ols"]
-    design = design_rows(usable, specs, keys, extra)
-    gkeys = keys + ["model"]
-    yearly = linreg.gram(design, gkeys + ["year"])
+    columns = sorted({c for s in specs for c in (*s.features, s.target)})
+    place = {c: i for i, c in enumerate(columns)}
+    rows = usable.select(*keys, "year", F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
     folds = fold_table(usable, keys, min_train)
-    fg = linreg.accumulate(yearly, gkeys, folds, mode, window_years)
-    coefs = linreg.solve(fg, gkeys + ["fold"])
+    models = [(s.name, [place[c] for c in s.features], place[s.target]) for s in specs]
+    coefs = linreg.solve_folds(linreg.moments(rows, keys + ["year"]), keys, folds, models, mode, window_years)
     if min_train_rows:
         coefs = coefs.where(F.col("n") >= min_train_rows)
-    # Coefficients: one row per (model, fold) — bounded by registry x years.
-    test = design.join(F.broadcast(folds.withColumnRenamed("fold", "year")), keys + ["year"])
-    cf = coefs.select(*gkeys, F.col("fold").alias("year"), "beta", F.col("n").alias("n_train"))
-    pred = (test.join(F.broadcast(cf), gkeys + ["year"])
-                .withColumn("pred", linreg.linear_predict()))
-    level = F.lit(None).cast("double")
-    actual = F.lit(None).cast("double")
+    # Coefficients: one row per (model, fold) — bounded by registry x years. The test rows
+    # meet those of their year; a model's own columns are picked by its name.
+    cf = coefs.select(*keys, "model", F.col("fold").alias("year"), "beta", F.col("n").alias("n_train"))
+    names = [c for c in extra if c not in keys]
+    pred = usable.join(F.broadcast(cf), keys + ["year"])
+    level, actual, x = (F.lit(None).cast(t) for t in ("double", "double", "array<double>"))
     for s in specs:
-        level = F.when(F.col("model") == s.name, back_transform(s, F.col("pred"))).otherwise(level)
-        actual = F.when(F.col("model") == s.name, F.col(actual_col(s))).otherwise(actual)
-    return pred.select(*gkeys, "year", *extra, "pred", level.alias("pred_level"),
-                       actual.alias("actual"), "n_train")
+        own = F.col("model") == s.name
+        x = F.when(own, F.array(*(F.col(c).cast("double") for c in s.features))).otherwise(x)
+        level = F.when(own, back_transform(s, F.col("pred"))).otherwise(level)
+        actual = F.when(own, F.col(actual_col(s))).otherwise(actual)
+    pred = pred.withColumn("x", x).withColumn("pred", linreg.linear_predict())
+    return pred.select(*keys, "model", "year", *names, "pred", level.alias("pred_level"), actual.alias("actual"), "n_train")
 
 
 def naive_predictions(usable: DataFrame, keys: Sequence[str] = ("series",), target: str = "price",

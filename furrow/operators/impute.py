@@ -122,7 +122,7 @@ def impute_missing_ols(frame: DataFrame, feats: list[str]) -> DataFrame:
     observed, missing = split(frame, feats)
     x = F.array(*[F.col(c).cast("double") for c in feats])
     design = observed.select("series", x.alias("x"), F.col("price").cast("double").alias("y"))
-    coefs = linreg.solve(linreg.gram(design, ["series"]), ["series"])
+    coefs = linreg.least_squares(design, ["series"])
     rows = missing.select("series", "week_ending", "district", "volume", x.alias("x"))
     pred = linreg.predict(rows, coefs, ["series"])
     return pred.select("series", "week_ending", "district", "volume",

@@ -1,20 +1,21 @@
 """Least squares as distributed sufficient statistics.
 
 Design rows carry group keys, a feature vector ``x`` (array<double>) and a
-target ``y``. The work splits in three steps:
-
-1. ``gram``: each partition sums Z'Z for Z = [1, x, y] per group with NumPy
-   (``mapInPandas``); partial sums are added by a Spark ``groupBy`` on
-   (keys, i, j). Cost O(n p^2) flops spread over all tasks; the shuffle holds
-   only p^2 numbers per group per partition.
-2. ``accumulate``: yearly Grams become fold Grams with a window over years
-   (expanding: all earlier years, rolling: the last few), so every fold is
-   fitted from the data read once.
-3. ``solve``: one small grouped solve per (keys, fold) — a p x p eigen
-   problem with a relative cut-off (rank-deficient designs are safe and
-   the rank is reported).
-
-Only p x p matrices and coefficient vectors ever reach Python in one place.
+target ``y``. Three kinds of statistics, each a few numbers a group and task:
+
+* ``moments``: count, means and centred products of a vector column. Each task
+  folds its batches pairwise, tasks are merged in two levels, and years merge
+  the same way (``solve_folds``): no sum of raw squares is ever taken, so large
+  offsets cost no digits. One pass over the union of all models' columns serves
+  every model and fold: each picks its rows and columns of the merged matrix.
+* ``gram``: sums of Z'Z for Z = [1, x, y], optionally weighted, on standardised
+  columns (``inference``: the meat of the robust covariance).
+* ``tsqr``: each task's R factor of [1, x, y], merged by stacking: the condition
+  number is not squared, for designs that moments cannot resolve.
+
+Solves use one relative cut-off (rank-deficient designs are safe and the rank
+is reported). Only p x p matrices and coefficient vectors ever reach Python in
+one place.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.session import materialize
 
 RCOND = 1e-10
+QR_RCOND = 1e-13
+CONSTANT = 1e-13      # a spread of this share of the mean is rounding: a constant column
+MERGE_FAN = 256       # first-level groups that the tasks' statistics of a key are merged in
 
 
 def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -76,69 +81,127 @@ def gram(design: DataFrame, keys: Sequence[str], weight: str | None = None) -> D
     return parts.groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
 
 
-# ------------------------------------------------------------ 2. folds
+# ------------------------------------------------------------- 2. moments
 
-def accumulate(yearly: DataFrame, keys: Sequence[str], folds: DataFrame,
-               mode: str = "expanding", window_years: int = 5) -> DataFrame:
-    """Fold Grams from yearly Grams: (keys, fold, i, j, s).
+Moments = tuple[float, np.ndarray, np.ndarray]      # n, means, centred products
 
-    ``folds`` holds (keys-subset..., fold) rows naming the test years; the
-    training Gram of fold t sums the years before t (all of them, or the
-    last ``window_years`` for ``mode='rolling'``).
-    """
+
+def merge_moments(a: Moments | None, b: Moments) -> Moments:
+    """Moments of two disjoint sets of rows together."""
+    if a is None or a[0] == 0:
+        return b
+    if b[0] == 0:
+        return a
+    n = a[0] + b[0]
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def row_moments(v: np.ndarray) -> Moments:
+    """Moments of the rows of ``v``."""
+    start = v[0]
+    mean = start + (v - start).mean(axis=0)
+    d = v - mean
+    off = d.mean(axis=0)          # what rounding left of the mean
+    return float(len(v)), mean + off, d.T @ d - len(v) * np.outer(off, off)
+
+
+def _partials(design: DataFrame, keys: Sequence[str], column: str, state: str, make, merge) -> DataFrame:
+    """(keys, ``state``) with one row a key: ``make(rows)`` of each batch, merged within the
+    task, then over tasks in two levels. A state is a list of double arrays."""
     keys = list(keys)
-    lo = Window.unboundedPreceding if mode == "expanding" else -window_years
-    w = Window.partitionBy(*keys, "i", "j").orderBy("year").rangeBetween(lo, -1)
-    cum = yearly.select(*keys, "i", "j", "year", F.sum("s").over(w).alias("s"))
-    fk = [c for c in folds.columns if c != "fold"]
-    f = F.broadcast(folds.withColumnRenamed("fold", "year"))
-    cum = cum.join(f, fk + ["year"], "inner")
-    return cum.select(*keys, F.col("year").alias("fold"), "i", "j",
-                      F.coalesce("s", F.lit(0.0)).alias("s"))
+    fields = _key_fields(design, keys)
+    schema = T.StructType([*fields, T.StructField("_part", T.IntegerType()),
+                           T.StructField(state, T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def grouped(pdf):
+        for key, rows in pdf.groupby(keys, sort=False, dropna=False):
+            yield (key if isinstance(key, tuple) else (key,)), rows
+
+    def partial(batches):
+        held: dict[tuple, list] = {}
+        for pdf in batches:
+            for key, rows in (grouped(pdf) if len(pdf) else ()):
+                new = make(np.stack(rows[column].to_numpy()).astype(float))
+                held[key] = merge(held[key], new) if key in held else new
+        if held:
+            part = TaskContext.get().partitionId() % MERGE_FAN
+            out = pd.DataFrame(list(held), columns=keys)
+            out["_part"] = np.int32(part)
+            out[state] = [[np.atleast_1d(x).ravel() for x in s] for s in held.values()]
+            yield out
+
+    def combine(pdf):
+        total = None
+        for s in pdf[state]:
+            one = restore([np.asarray(x, dtype=float) for x in s])
+            total = one if total is None else merge(total, one)
+        out = pdf.iloc[:1].copy()
+        out[state] = [[np.atleast_1d(x).ravel() for x in total]]
+        return out
+
+    restore = _RESTORE[state]
+    parts = design.select(*keys, column).mapInPandas(partial, schema)
+    first = parts.groupBy(*keys, "_part").applyInPandas(combine, schema)
+    return first.groupBy(*keys).applyInPandas(combine, schema).drop("_part")
+
+
+_RESTORE = {
+    "moments": lambda s: (float(s[0][0]), s[1], s[2].reshape(len(s[1]), len(s[1]))),
+    "r": lambda s: (float(s[0][0]), s[1].reshape(-1, int(math.isqrt(len(s[1]))))),
+}
+
+
+def moments(design: DataFrame, keys: Sequence[str], column: str = "v") -> DataFrame:
+    """(keys, moments): count, means and centred products of the vectors in ``column``."""
+    return _partials(design, keys, column, "moments", row_moments, merge_moments)
 
 
 # ------------------------------------------------------------- 3. solve
 
-def _decompose(g: np.ndarray):
-    """Centred, correlation-scaled decomposition of the augmented Gram
-    [1,x,y]'[1,x,y]: (means, scales, generalised inverse of the correlations,
-    number of directions kept). One cut-off serves coefficients, rank and
-    standard errors, and doesn't depend on the features' magnitudes."""
-    p = g.shape[0] - 1
-    n = g[0, 0]
-    mx = g[0, 1:p] / n
-    sxx = g[1:p, 1:p] - n * np.outer(mx, mx)
+def _decompose(sxx: np.ndarray, mean: np.ndarray, n: float):
+    """Correlation-scaled decomposition of centred products: (usable columns, scales,
+    generalised inverse of the correlations, number of directions kept). One cut-off
+    serves coefficients, rank and standard errors, and doesn't depend on the features'
+    magnitudes."""
     d = np.sqrt(np.clip(np.diag(sxx), 0, None))
-    scale = np.where(d > 0, d, 1.0)
-    vals, vecs = np.linalg.eigh(sxx / np.outer(scale, scale))
-    keep = vals > RCOND * max(vals.max(), 0.0) * len(mx)
+    usable = d > np.abs(mean) * CONSTANT * math.sqrt(max(n, 1.0))
+    scale = np.where(usable, d, 1.0)
+    corr = np.where(np.outer(usable, usable), sxx / np.outer(scale, scale), 0.0)
+    vals, vecs = np.linalg.eigh(corr)
+    keep = vals > RCOND * max(vals.max(), 0.0) * len(d)
     inv = (vecs[:, keep] / vals[keep]) @ vecs[:, keep].T
-    return mx, d, scale, inv, int(keep.sum())
+    return usable, scale, inv, int(keep.sum())
 
 
-def _solve_gram(g: np.ndarray) -> tuple[np.ndarray, int, float, float, float]:
-    """From the augmented Gram [1,x,y]'[1,x,y] -> (beta incl. intercept, rank, n, yty, ybar)."""
-    p = g.shape[0] - 1  # 1 + k
-    n = g[0, 0]
+def solve_moments(m: Moments, x: Sequence[int], y: int) -> tuple[np.ndarray, int, float]:
+    """(beta incl. intercept, rank, centred sum of squares of y) of column ``y`` on columns ``x``."""
+    n, mean, c = m
+    x = list(x)
     if n <= 0:
-        return np.full(p, np.nan), 0, n, np.nan, np.nan
-    my = g[0, p] / n
-    if p == 1:
-        return np.array([my]), 1, n, g[p, p], my
-    mx, d, scale, inv, kept = _decompose(g)
-    sxy = g[1:p, p] - n * mx * my
-    b = (inv @ (sxy / scale)) / scale
-    b = np.where(d > 0, b, 0.0)
-    return np.concatenate([[my - mx @ b], b]), kept + 1, n, g[p, p], my
+        return np.full(len(x) + 1, np.nan), 0, np.nan
+    if not x:
+        return np.array([mean[y]]), 1, c[y, y]
+    usable, scale, inv, kept = _decompose(c[np.ix_(x, x)], mean[x], n)
+    b = np.where(usable, (inv @ (c[x, y] / scale)) / scale, 0.0)
+    return np.concatenate([[mean[y] - mean[x] @ b], b]), kept + 1, c[y, y]
+
+
+def _centred(g: np.ndarray) -> Moments:
+    """Moments from a Gram of [1, x, y] (of standardised columns, where nothing is lost)."""
+    n = g[0, 0]
+    mean = g[0, 1:] / n
+    return n, mean, g[1:, 1:] - n * np.outer(mean, mean)
 
 
 def _bread(g: np.ndarray) -> np.ndarray:
     """(X'X)^- of [1, x] from the same decomposition as the coefficients."""
     p = g.shape[0] - 1
-    n = g[0, 0]
+    n, mean, c = _centred(g)
     if p == 1:
         return np.array([[1.0 / n]])
-    mx, _, scale, inv, _ = _decompose(g)
+    mx = mean[:-1]
+    _, scale, inv, _ = _decompose(c[:-1, :-1], mx, n)
     slope = inv / np.outer(scale, scale)
     out = np.empty((p, p))
     out[1:, 1:] = slope
@@ -158,26 +221,112 @@ def _full(pdf: pd.DataFrame) -> np.ndarray:
     return g
 
 
-def solve(grams: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, i, j, s) -> (keys, beta array<double>, rank, n, sst)."""
+_SOLUTION = [T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("rank", T.IntegerType()),
+             T.StructField("n", T.LongType()), T.StructField("sst", T.DoubleType())]
+
+
+def _solution(beta, rank, n, sst) -> dict:
+    return dict(beta=[float(v) for v in beta], rank=int(rank), n=int(round(n)), sst=float(sst))
+
+
+def least_squares(design: DataFrame, keys: Sequence[str], method: str = "moments") -> DataFrame:
+    """Least squares of ``y`` on ``x`` per group: (keys, beta array<double>, rank, n, sst).
+    ``method='qr'`` is slower and resolves condition numbers up to about 1e12."""
     keys = list(keys)
-    fields = _key_fields(grams, keys)
-    schema = T.StructType(fields + [
-        T.StructField("beta", T.ArrayType(T.DoubleType())),
-        T.StructField("rank", T.IntegerType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("sst", T.DoubleType()),
-    ])
+    rows = design.select(*keys, F.concat("x", F.array(F.col("y").cast("double"))).alias("v"))
+    if method == "qr":
+        parts = tsqr(rows, keys)
+        solve_one = _solve_r
+    else:
+        parts = moments(rows, keys)
+        solve_one = _solve_last
+    state = "r" if method == "qr" else "moments"
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = _RESTORE[state]([np.asarray(x, dtype=float) for x in pdf[state].iloc[0]])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **_solution(*solve_one(s))}])
+
+    return parts.groupBy(*keys).applyInPandas(solved, T.StructType(_key_fields(design, keys) + _SOLUTION))
+
+
+def _solve_grams(grams: DataFrame, keys: list[str]) -> DataFrame:
+    """``least_squares`` from the ``gram`` of standardised columns."""
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **_solution(*_solve_last(_centred(_full(pdf))))}])
+
+    return grams.groupBy(*keys).applyInPandas(solved, T.StructType(_key_fields(grams, keys) + _SOLUTION))
+
+
+def _solve_last(m: Moments):
+    p = len(m[1]) - 1
+    beta, rank, sst = solve_moments(m, range(p), p)
+    return beta, rank, m[0], sst
+
+
+def solve_folds(yearly: DataFrame, keys: Sequence[str], folds: DataFrame, models: Sequence[tuple[str, Sequence[int], int]],
+                mode: str = "expanding", window_years: int = 5) -> DataFrame:
+    """(keys, model, fold, beta, rank, n, sst) from yearly ``moments`` over all models' columns.
+
+    ``folds`` holds (keys, fold): the test years. Fold t is trained on the years before t (all
+    of them, or the last ``window_years`` for ``mode='rolling'``), whose moments are merged;
+    a model (name, x, y) takes columns ``x`` and ``y`` of the merged matrix. A group holds one
+    small matrix a year."""
+    keys = list(keys)
+    tests = folds.groupBy(*keys).agg(F.sort_array(F.collect_list("fold")).alias("_folds"))
+    fields = _key_fields(yearly, keys)
+    schema = T.StructType([*fields, T.StructField("model", T.StringType()), T.StructField("fold", yearly.schema["year"].dataType), *_SOLUTION])
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        years = {int(y): _RESTORE["moments"]([np.asarray(x, dtype=float) for x in s]) for y, s in zip(pdf["year"], pdf["moments"])}
+        first = {k: pdf[k].iloc[0] for k in keys}
+        rows = []
+        for fold in map(int, pdf["_folds"].iloc[0]):
+            total = None
+            for y in sorted(years):
+                if y < fold and (mode == "expanding" or y >= fold - window_years):
+                    total = merge_moments(total, years[y])
+            if total is None:
+                continue
+            for name, x, y in models:
+                beta, rank, sst = solve_moments(total, x, y)
+                rows.append({**first, "model": name, "fold": fold, **_solution(beta, rank, total[0], sst)})
+        return pd.DataFrame(rows, columns=schema.names)
+
+    return yearly.join(F.broadcast(tests), keys).groupBy(*keys).applyInPandas(solved, schema)
+
+
+# -------------------------------------------------------------- 4. R factors
+
+def _r_factor(v: np.ndarray) -> tuple[float, np.ndarray]:
+    """(rows, R) of [1, v]."""
+    return float(len(v)), _triangle(np.column_stack([np.ones(len(v)), v]))
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """Square R factor; zero rows where there are fewer rows than columns."""
+    r = np.linalg.qr(rows, mode="r")
+    return np.vstack([r, np.zeros((rows.shape[1] - len(r), rows.shape[1]))])
+
+
+def tsqr(design: DataFrame, keys: Sequence[str], column: str = "v") -> DataFrame:
+    """(keys, r): count and R factor of the rows [1, ``column``], merged by stacking."""
+    return _partials(design, keys, column, "r", _r_factor, lambda a, b: (a[0] + b[0], _triangle(np.vstack([a[1], b[1]]))))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _full(pdf)
-        beta, rank, n, yty, ybar = _solve_gram(g)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row.update(beta=[float(v) for v in beta], rank=rank, n=int(round(n)),
-                   sst=float(yty - n * ybar * ybar) if n > 0 else float("nan"))
-        return pd.DataFrame([row])
 
-    return grams.groupBy(*keys).applyInPandas(fit, schema)
+def _solve_r(state: tuple[float, np.ndarray]):
+    """(beta, rank, n, sst) of the last column on the others, from the R factor of [1, x, y].
+    Below the first row, R is that of the centred columns."""
+    n, r = state
+    p = len(r) - 2
+    means = r[0, 1:] / r[0, 0]
+    a, t = r[1:, 1:-1], r[1:, -1]
+    d = np.sqrt((a * a).sum(axis=0))
+    usable = d > np.abs(means[:-1]) * CONSTANT * math.sqrt(max(n, 1.0))
+    scale = np.where(usable, d, 1.0)
+    u, s, vt = np.linalg.svd(np.where(usable, a / scale, 0.0), full_matrices=False)
+    keep = s > QR_RCOND * (s[0] if len(s) else 0.0) * max(p, 1)
+    b = (vt[keep].T @ ((u[:, keep].T @ t) / s[keep])) / scale if p else np.zeros(0)
+    return np.concatenate([[means[-1] - means[:-1] @ b], b]), int(keep.sum()) + 1, n, float(t @ t)
 
 
 # ----------------------------------------------------------- prediction
@@ -235,7 +384,7 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
     # Several passes follow: cut the lineage so that none rebuilds the modelling set.
     design, shifts = standardised(materialize(design), keys)
     g_raw = gram(design, keys)
-    coefs = solve(g_raw, keys)
+    coefs = _solve_grams(g_raw, keys)
     scored = (design.join(F.broadcast(coefs.select(*keys, "beta")), keys)
                     .withColumn("e", F.col("y") - linear_predict()))
     if cov == "cluster":
@@ -276,8 +425,9 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
 
     def sandwich(pdf: pd.DataFrame) -> pd.DataFrame:
         g = _full(pdf[pdf.tag == "g"])
-        beta, rank, n, yty, ybar = _solve_gram(g)
         p = g.shape[0] - 1
+        beta, rank, sst = solve_moments(_centred(g), range(p - 1), p - 1)
+        n = g[0, 0]
         bread = _bread(g)
         ssr_v = float(pdf["ssr"].iloc[0])
         dof = n - rank
@@ -299,7 +449,6 @@ def inference(design: DataFrame, keys: Sequence[str], terms: DataFrame,
         beta = back @ beta
         v = back @ (bread @ meat_m @ bread * factor) @ back.T
         se = np.sqrt(np.clip(np.diag(v), 0, None))
-        sst = yty - n * ybar * ybar
         r2 = 1 - ssr_v / sst if sst > 0 else np.nan
         adj = 1 - (1 - r2) * (n - 1) / dof if dof > 0 else np.nan
         rmse = math.sqrt(ssr_v / dof) if dof > 0 else np.nan

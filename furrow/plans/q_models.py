@@ -7,6 +7,7 @@ from furrow.config import DRIVER as CFG
 from furrow.operators import backtest as B
 from furrow.operators import evaluate as E
 from furrow.operators import market
+from furrow.plans import ols_sql as Q
 from furrow.plans import oracle as O
 from furrow.plans.q_panel import build_panel
 from furrow.plans.registry import register
@@ -37,7 +38,7 @@ def _usable_cols():
     return sorted(cols)
 
 
-BASE_SQL = ("WITH " + O.panel_cte().lstrip() + O.market_cte() + """,
+BASE_SQL = ("WITH RECURSIVE " + O.panel_cte().lstrip() + O.market_cte() + """,
 mk AS (
   SELECT *, price - price_lag1 AS dprice,
          CASE WHEN price > 0 AND price_lag1 > 0 THEN ln(price) - ln(price_lag1) END AS log_dprice,
@@ -236,7 +237,62 @@ def q_volatile_years(spark, sf_dir):
     return E.volatile_years(market_main(spark, sf_dir), ["series"], 5)
 
 
-# ----------------------------------------------------- rows-only (no SQL)
+# ----------------------------------------------------- many regressors
+
+def _back_sql(spec: B.ModelSpec, pred: str) -> str:
+    return {"level": pred, "diff": f"price_lag1 + {pred}", "logdiff": f"exp(ln(price_lag1) + {pred})",
+            "vdiff": f"volume_lag1 + {pred}"}[spec.back]
+
+
+def ols_preds_sql(base: str, source: str, specs, own=None, rolling: bool = False, keep: str = "price_lag1, volume_lag1, coverage, week_ending") -> str:
+    """``base`` and CTE ``preds`` (series, model, year, actual, pred_level, ...): every OLS spec
+    refitted for each test year of ``source``'s complete cases in the columns ``own``."""
+    specs = [s for s in specs if s.method == "ols"]
+    full = " AND ".join(f"{c} IS NOT NULL" for c in own) if own else "TRUE"
+    before = f"u.year < f.fold AND u.year >= f.fold - {K.ROLLING_YEARS}" if rolling else "u.year < f.fold"
+    rows, tests, preds = [], [], []
+    for k, s in enumerate(specs):
+        x = ", ".join(f"CAST(u.{c} AS DOUBLE)" for c in s.features)
+        rows.append(f"SELECT u.series || '|{s.name}|' || f.fold AS g, row_number() OVER () AS rid, CAST(u.{s.target} AS DOUBLE) AS y, "
+                    f"[{x}] AS x FROM cases u JOIN case_folds f ON u.series = f.series AND {before}")
+        tests.append(f"test{k} AS (SELECT u.*, [{x}] AS x FROM cases u JOIN case_folds f ON u.series = f.series AND u.year = f.fold)")
+        preds.append(f"SELECT u.series, '{s.name}' AS model, u.year, u.{B.actual_col(s)} AS actual, n.n AS n_train, "
+                     f"{_back_sql(s, '(' + Q.predicted('b', 'u.x') + ')')} AS pred_level, {keep} FROM test{k} u "
+                     f"JOIN f_beta b ON b.g = u.series || '|{s.name}|' || u.year JOIN f_n n ON n.g = b.g")
+    return f"""{base},
+cases AS (SELECT * FROM {source} WHERE {full}),
+case_folds AS (
+  SELECT series, year AS fold FROM (
+    SELECT series, year, dense_rank() OVER (PARTITION BY series ORDER BY year) AS r
+    FROM (SELECT DISTINCT series, year FROM cases)) WHERE r > {K.MIN_TRAIN_YEARS}),
+fitrows AS ({" UNION ALL ".join(rows)}),{Q.fit_ctes("f", "fitrows")},
+{", ".join(tests)},
+preds AS ({" UNION ALL ".join(preds)})
+"""
+
+
+def ols_scores_sql(base: str, source: str, specs, own=None) -> str:
+    return ols_preds_sql(base, source, specs, own) + ", scores AS (" + _score_sql("preds") + ")\n"
+
+
+def board_sql(scores: str, naive: str, lag: str, actual: str) -> str:
+    """Leaderboard of CTE ``scores`` (in ``scores``) and the forecast by last week's value."""
+    return scores + f""", last_week AS (
+  SELECT u.series, '{naive}' AS model, u.year, u.{actual} AS actual, u.{lag} AS pred_level
+  FROM cases u JOIN case_folds f ON u.series = f.series AND u.year = f.fold),
+every AS (SELECT * FROM scores UNION ALL {_score_sql("last_week")}),
+board AS (SELECT series, model, avg(rmse) AS avg_rmse, avg(mae) AS avg_mae, count(*) AS n_folds FROM every GROUP BY 1, 2)
+SELECT b.*, (v.avg_rmse - b.avg_rmse) / v.avg_rmse * 100 AS vs_naive_pct
+FROM board b LEFT JOIN (SELECT series, avg_rmse FROM board WHERE model = '{naive}') v USING (series)"""
+
+
+def _price_board_sql(base: str, source: str, specs, own) -> str:
+    return board_sql(ols_scores_sql(base, source, specs, own), NAIVE, "price_lag1", "price")
+
+
+def _used(specs, *extra) -> list[str]:
+    return sorted({c for s in specs for c in (*s.features, s.target, B.actual_col(s))} | {"price_lag1", *extra})
+
 
 LB_COLS = kinds("series:str model:str avg_rmse avg_mae n_folds:int vs_naive_pct")
 
@@ -247,7 +303,7 @@ def _ols_grid(spark, sf_dir, specs, keys=("series",)):
     return u, preds
 
 
-@register("price_ols_leaderboard", LB_COLS)
+@register("price_ols_leaderboard", LB_COLS, _price_board_sql(BASE_SQL, "usable", B.PRICE_MODELS, None))
 def q_price_leaderboard(spark, sf_dir):
     """M8+F5: the OLS models of the price grid (level / Δ / log Δ, with and without
     price lags) back-tested over expanding folds, each compared with the naive forecast."""
@@ -258,14 +314,15 @@ def q_price_leaderboard(spark, sf_dir):
     return B.leaderboard(scores, ["series", "model"], NAIVE)
 
 
-@register("price_ols_fold_scores", SCORE_COLS)
+@register("price_ols_fold_scores", SCORE_COLS, ols_scores_sql(BASE_SQL, "usable", B.PRICE_MODELS) + "SELECT * FROM scores")
 def q_price_fold_scores(spark, sf_dir):
     """per-year RMSE/MAE of every OLS model of the price grid."""
     _u, preds = _ols_grid(spark, sf_dir, B.PRICE_MODELS)
     return B.score(preds, ["series", "model"])
 
 
-@register("extreme_weather_specs", LB_COLS)
+@register("extreme_weather_specs", LB_COLS, 
+          _price_board_sql(BASE_SQL, "mk", B.EXTREME_SPECS, _used(B.EXTREME_SPECS + B.PRICE_MODELS, "dprice")))
 def q_extreme_specs(spark, sf_dir):
     """Indicators vs degree days vs both, level and change models."""
     m = market_main(spark, sf_dir)
@@ -285,27 +342,51 @@ def ols_full_table(spark, sf_dir):
     return E.prediction_table(B.ols_backtest(u, [OLS_FULL]), ["series", "model"])
 
 
+_FULL_SQL = ols_preds_sql(BASE_SQL, "usable", [OLS_FULL]) + """, full_tbl AS (
+  SELECT series, model, year, week_ending, actual, pred_level AS predicted, coverage, abs(actual - pred_level) AS abs_error,
+         abs(actual - pred_level) / actual * 100 AS pct_error, actual - pred_level AS signed_error FROM preds)
+"""
+
+
+def _bins_sql(ctes: str, table: str, bins) -> str:
+    labels, order = (" ".join(f"WHEN coverage >= {lo} AND coverage < {hi} THEN {v}" for (lo, hi, _), v in zip(bins, values, strict=True))
+                     for values in ([f"'{b[2]}'" for b in bins], range(len(bins))))
+    return ctes + f"""
+SELECT series, model, coverage_bin, bin_order, count(*) AS n, avg(abs_error) AS mae, avg(pct_error) AS mape,
+       median(abs_error) AS median_error
+FROM (SELECT *, CASE {labels} END AS coverage_bin, CASE {order} END AS bin_order FROM {table})
+WHERE coverage_bin IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
 @register("ols_predictions", kinds("series:str model:str year:int week_ending:date actual predicted "
-                                   "coverage abs_error pct_error signed_error"))
+                                   "coverage abs_error pct_error signed_error"), _FULL_SQL + "SELECT * FROM full_tbl")
 def q_ols_predictions(spark, sf_dir):
     """out-of-sample predictions of the full OLS level model with errors."""
     return ols_full_table(spark, sf_dir)
 
 
-@register("ols_error_by_coverage", COV_COLS)
+@register("ols_error_by_coverage", COV_COLS, _bins_sql(_FULL_SQL, "full_tbl", K.COVERAGE_BINS))
 def q_ols_cov(spark, sf_dir):
     """F8: full OLS error by coverage bin."""
     return E.error_by_coverage(ols_full_table(spark, sf_dir), ["series", "model"])
 
 
-@register("ols_error_by_coverage3", COV_COLS)
+@register("ols_error_by_coverage3", COV_COLS, _bins_sql(_FULL_SQL, "full_tbl", K.COVERAGE_BINS_3))
 def q_ols_cov3(spark, sf_dir):
     """F8 (3-bin variant)."""
     return E.error_by_coverage(ols_full_table(spark, sf_dir), ["series", "model"], K.COVERAGE_BINS_3)
 
 
+_EXP_ROLL_SQL = f"""
+WITH a AS ({ols_scores_sql(BASE_SQL, "usable", [OLS_FULL])} SELECT * FROM scores),
+b AS ({ols_preds_sql(BASE_SQL, "usable", [OLS_FULL], rolling=True)}, trained AS (SELECT * FROM preds WHERE n_train >= {K.ROLLING_MIN_TRAIN})
+{_score_sql("trained")})
+SELECT a.series, a.model, a.year, a.rmse AS expanding_rmse, a.mae AS expanding_mae, b.rmse AS rolling_rmse, b.mae AS rolling_mae
+FROM a LEFT JOIN b USING (series, model, year)"""
+
+
 @register("expanding_vs_rolling", kinds("series:str model:str year:int expanding_rmse expanding_mae "
-                                        "rolling_rmse rolling_mae"))
+                                        "rolling_rmse rolling_mae"), _EXP_ROLL_SQL)
 def q_exp_vs_roll(spark, sf_dir):
     """F1/F2 + J3: full OLS RMSE per year, expanding vs rolling-5 (rolling needs >= 50 rows)."""
     u = usable_price(spark, sf_dir)
@@ -375,7 +456,14 @@ def q_small_leaderboard(spark, sf_dir):
     return B.leaderboard(B.score(preds, ["series", "model"]), ["series", "model"], NAIVE)
 
 
-@register("all_series_ols_leaderboard", LB_COLS)
+_ALL_SERIES_SQL = _price_board_sql("WITH RECURSIVE " + O.panel_cte().lstrip() + O.market_cte(series=list(CFG.commodities)) + """,
+mk AS (
+  SELECT *, price - price_lag1 AS dprice,
+         CASE WHEN price > 0 AND price_lag1 > 0 THEN ln(price) - ln(price_lag1) END AS log_dprice FROM market)""", "mk", B.PRICE_MODELS,
+                                   _used(B.PRICE_MODELS, "dprice", "log_dprice"))
+
+
+@register("all_series_ols_leaderboard", LB_COLS, _ALL_SERIES_SQL)
 def q_all_series_leaderboard(spark, sf_dir):
     """M8+F5 for every commodity at once: the OLS price models and the naive
     forecast back-tested per series (series is a key of every Gram, fold and

@@ -99,7 +99,7 @@ def q_ols_importance(spark, sf_dir):
     u = usable_price(spark, sf_dir)
     spec = B.PRICE_MODELS[0]
     design = B.design_rows(u, [spec], ["series"])
-    coefs = linreg.solve(linreg.gram(design, ["series", "model"]), ["series", "model"])
+    coefs = linreg.least_squares(design, ["series", "model"])
     names = F.array(*[F.lit(t) for t in spec.features])
     exploded = coefs.select("series", "model",
                             F.posexplode(F.slice("beta", 2, len(spec.features))).alias("i", "b"))

@@ -28,7 +28,7 @@ def _data(spark, n=120, seed=3, collinear=False):
 def test_gram_solve_matches_lstsq(spark):
     df, X, y, _, _ = _data(spark)
     d = df.select("series", F.array("x1", "x2", "x3").alias("x"), "y")
-    beta = linreg.solve(linreg.gram(d, ["series"]), ["series"]).collect()[0]["beta"]
+    beta = linreg.least_squares(d, ["series"]).collect()[0]["beta"]
     ref = np.linalg.lstsq(np.column_stack([np.ones(len(y)), X]), y, rcond=None)[0]
     assert np.allclose(beta, ref, atol=1e-8)
 
@@ -37,8 +37,8 @@ def test_collinear_predictions_equal_reduced_fit(spark):
     df, X, y, _, _ = _data(spark, collinear=True)
     full = df.select("series", F.array("x1", "x2", "x3").alias("x"), "y")
     red = df.select("series", F.array("x1", "x2").alias("x"), "y")
-    cf = linreg.solve(linreg.gram(full, ["series"]), ["series"])
-    cr = linreg.solve(linreg.gram(red, ["series"]), ["series"])
+    cf = linreg.least_squares(full, ["series"])
+    cr = linreg.least_squares(red, ["series"])
     pf = [r["pred"] for r in linreg.predict(full, cf, ["series"]).select("pred").collect()]
     pr = [r["pred"] for r in linreg.predict(red, cr, ["series"]).select("pred").collect()]
     assert np.allclose(pf, pr, atol=1e-6)
@@ -103,7 +103,7 @@ def test_inference_matches_numpy(spark, cov):
 def test_residuals_orthogonal(spark):
     df, X, y, _, _ = _data(spark)
     d = df.select("series", F.array("x1", "x2", "x3").alias("x"), "y")
-    c = linreg.solve(linreg.gram(d, ["series"]), ["series"])
+    c = linreg.least_squares(d, ["series"])
     p = linreg.predict(d, c, ["series"]).withColumn("e", F.col("y") - F.col("pred"))
     r = p.agg(F.sum("e"), F.sum(F.col("e") * F.col("x")[0])).collect()[0]
     assert abs(r[0]) < 1e-8 and abs(r[1]) < 1e-6
@@ -164,3 +164,77 @@ def test_standard_errors_of_many_badly_scaled_terms(spark, factor, cov, shape):
     assert fit.first()["k"] == rank
     assert np.allclose([got[i][1] for i in range(k + 1)], se, rtol=1e-6)
     assert np.allclose([got[i][0] for i in range(k + 1)], back @ b, rtol=1e-5)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e8])
+def test_moments_keep_their_digits_at_large_offsets(spark, offset):
+    df, X, y, year, _ = _data(spark, n=400)
+    shifted = df.select("series", "year", F.array(F.col("x1") + offset, F.col("x2") - offset, "x3", F.lit(7.3)).alias("x"), "y").repartition(7)
+    got = linreg.least_squares(shifted, ["series"]).collect()[0]
+    Z = np.column_stack([X[:, 0] + offset, X[:, 1] - offset, X[:, 2]])
+    ref = np.linalg.lstsq(Z - Z.mean(axis=0), y - y.mean(), rcond=None)[0]
+    assert np.allclose(got["beta"][1:4], ref, rtol=1e-8, atol=1e-8)
+    assert got["beta"][4] == 0.0 and got["rank"] == 4
+    assert got["n"] == 400 and got["sst"] == pytest.approx(((y - y.mean()) ** 2).sum(), rel=1e-12)
+    by_qr = linreg.least_squares(shifted, ["series"], method="qr").collect()[0]
+    assert np.allclose(by_qr["beta"][1:4], ref, rtol=1e-7, atol=1e-7)
+    assert by_qr["beta"][4] == 0.0 and by_qr["rank"] == 4
+
+
+def test_merged_moments_equal_those_of_all_rows():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(500, 4)) * [1, 1e3, 1e-3, 1] + [0, 1e6, 5, 1e8]
+    total = None
+    for part in np.array_split(v, [3, 4, 100, 350]):
+        total = linreg.merge_moments(total, linreg.row_moments(part))
+    n, mean, c = total
+    d = v - v.mean(axis=0)
+    assert n == 500 and np.allclose(mean, v.mean(axis=0), rtol=1e-15)
+    assert np.allclose(c, d.T @ d, rtol=1e-7, atol=1e-9 * np.sqrt(np.outer(*[np.diag(d.T @ d)] * 2)).max())
+
+
+@pytest.mark.parametrize("condition", [1e4, 1e9])
+def test_r_factors_resolve_what_moments_cannot(spark, condition):
+    rng = np.random.default_rng(9)
+    n, p = 600, 5
+    u, _ = np.linalg.qr(rng.normal(size=(n, p)))
+    w, _ = np.linalg.qr(rng.normal(size=(p, p)))
+    X = (u * np.geomspace(1, 1 / condition, p)) @ w
+    beta = rng.normal(size=p)
+    y = X @ beta
+    rows = spark.createDataFrame([("a" if i % 3 else "b", X[i].tolist(), float(y[i])) for i in range(n)], "g string, x array<double>, y double")
+    for r in linreg.least_squares(rows.repartition(6), ["g"], method="qr").collect():
+        own = np.array([(i % 3 != 0) == (r["g"] == "a") for i in range(n)])
+        A = np.column_stack([np.ones(own.sum()), X[own]])
+        ref = np.linalg.lstsq(A, y[own], rcond=None)[0]
+        assert r["rank"] == p + 1 and r["n"] == own.sum()
+        assert np.allclose(A @ r["beta"], A @ ref, rtol=1e-6, atol=1e-9)
+        assert np.allclose(r["beta"], ref, rtol=1e-6, atol=1e-6)
+
+
+def test_r_factor_of_few_and_collinear_rows(spark):
+    rows = [("few", [1.0, 2.0, 3.0], 1.0), ("few", [2.0, 1.0, 3.0], 2.0)]
+    rows += [("col", [float(i), 2.0 * i, 1.0], 3.0 * i + 1) for i in range(20)]
+    got = {r["g"]: r for r in linreg.least_squares(spark.createDataFrame(rows, "g string, x array<double>, y double"), ["g"], method="qr").collect()}
+    assert got["few"]["n"] == 2 and got["few"]["rank"] == 2
+    assert got["col"]["rank"] == 2
+    assert np.allclose([got["col"]["beta"][0] + got["col"]["beta"][1] * i + got["col"]["beta"][2] * 2 * i for i in range(20)],
+                       [3.0 * i + 1 for i in range(20)])
+
+
+def test_models_share_one_pass_over_the_rows(spark):
+    df, X, y, year, _ = _data(spark, n=200)
+    u = df.withColumnRenamed("y", "price").withColumns({c: F.lit(0.0) for c in ("price_lag1", "volume", "volume_lag1", "coverage")}) \
+          .withColumn("week_ending", F.lit(None).cast("date"))
+    specs = [B.ModelSpec("all", ("x1", "x2", "x3"), "price"), B.ModelSpec("two", ("x3", "x1"), "price"), B.ModelSpec("mean", (), "price")]
+    preds = B.ols_backtest(u, specs)
+    plan = preds._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    got = preds.toPandas()
+    for spec, cols in zip(specs, ([0, 1, 2], [2, 0], []), strict=True):
+        for t in sorted(set(year))[4:]:
+            tr, te = year < t, year == t
+            b = np.linalg.lstsq(np.column_stack([np.ones(tr.sum()), X[tr][:, cols]]), y[tr], rcond=None)[0]
+            want = np.column_stack([np.ones(te.sum()), X[te][:, cols]]) @ b
+            own = got[(got.model == spec.name) & (got.year == t)].sort_values("actual")
+            assert np.allclose(own["pred_level"], want[np.argsort(y[te])], atol=1e-8)
