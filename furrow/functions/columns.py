@@ -44,10 +44,10 @@ def parse_date_us(c: ColumnOrName) -> Column:
 
 
 def title_case(c: ColumnOrName) -> Column:
-    """Capitalise every word, also after a hyphen ('SALINAS-WATSONVILLE' ->
-    'Salinas-Watsonville'); ``initcap`` alone only splits on blanks."""
-    parts = F.split(F.lower(_c(c)), "-")
-    return F.array_join(F.transform(parts, lambda p: F.initcap(p)), "-")
+    """Every run of letters with a capital first and small letters after it, whatever
+    stands between the runs (blanks, hyphens, apostrophes, slashes, brackets)."""
+    runs = F.regexp_extract_all(_c(c), F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.initcap(w)), "")
 
 
 def trimmed_or(c: ColumnOrName, default: str) -> Column:

@@ -8,6 +8,8 @@ tables joined by a size-checked broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,12 +70,17 @@ def price_points(prices: DataFrame, price_map: DataFrame, cfg: AnalysisConfig) -
              .where(F.col("fob_price").isNotNull() & F.col("week_ending").isNotNull()))
 
 
-def prices_weekly(points: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """Mean, exact median and count over all reports plus the mean per commodity.
-    Mean, count and commodity means are one partial aggregate straight from the
-    points; the median shuffles only values near the middle."""
-    types = [F.avg(F.when(F.col("commodity") == c, F.col("fob_price"))).alias(f"price_{cfg.suffix(c)}")
-             for c in cfg.commodities]
+def prices_weekly(points: DataFrame, cfg: AnalysisConfig, names: Sequence[str] | None = None) -> DataFrame:
+    """Mean, exact median and count over all reports plus the mean per commodity
+    of ``names`` (else the configured ones; ``sources.names`` keeps a register of
+    those found). Mean, count and commodity means are one partial aggregate straight
+    from the points; the median shuffles only values near the middle. Names that
+    normalise to the same column are averaged together."""
+    columns: dict[str, list[str]] = {}
+    for c in (cfg.commodities if names is None else names):
+        columns.setdefault(f"price_{cfg.suffix(c)}", []).append(c)
+    types = [F.avg(F.when(F.col("commodity").isin(own), F.col("fob_price"))).alias(column)
+             for column, own in columns.items()]
     weekly = points.groupBy(*KEY).agg(F.avg("fob_price").alias("avg_fob_price"),
                                       F.count(F.lit(1)).alias("n_price_obs"), *types)
     return weekly.join(exact_median(points, KEY, "fob_price", "median_fob_price"), KEY, "left")
@@ -131,11 +138,18 @@ def weather_weekly(weather: DataFrame, location_map: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------- panel
 
-def weekly_panel(feeds: dict[str, DataFrame], cfg: AnalysisConfig) -> DataFrame:
-    """The (week_ending, district) panel; shipments drive the left joins."""
+def weekly_panel(feeds: dict[str, DataFrame], cfg: AnalysisConfig, price_names: Sequence[str] | None = None) -> DataFrame:
+    """The (week_ending, district) panel; shipments drive the left joins. A price
+    column for each of ``price_names``, else for the configured commodities."""
     ship = shipments_weekly(shipments_long(feeds["shipments"], feeds["shipment_map"], cfg), cfg)
-    price = prices_weekly(price_points(feeds["prices"], feeds["price_map"], cfg), cfg)
+    price = prices_weekly(price_points(feeds["prices"], feeds["price_map"], cfg), cfg, price_names)
     wx = weather_weekly(feeds["weather"], feeds["location_map"])
+    return join_panel(ship, price, wx, cfg)
+
+
+def join_panel(ship: DataFrame, price: DataFrame, wx: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """The three weekly tables joined, with calendar and state. Tables bucketed by
+    (week_ending, district), see ``sources.feeds.write_bucketed``, join without a shuffle."""
     panel = ship.join(price, KEY, "left").join(wx, KEY, "left")
     return panel.select(
         "*",

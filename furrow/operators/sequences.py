@@ -5,7 +5,7 @@
   ``collect_list`` — bounded by ``length`` per row, never a whole group.
 * ``fold_scalers``: per fold, feature mean and population standard
   deviation computed on that fold's training years only (no test leakage),
-  from yearly sums accumulated over years.
+  from yearly counts, means and centred sums of squares that are merged.
 * ``standardize``: rows of each fold scaled with that fold's scaler.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow import config as K
+from furrow.operators.linreg import CONSTANT
 
 
 def sequence_windows(df: DataFrame, keys: Sequence[str], features: Sequence[str],
@@ -44,14 +45,17 @@ def fold_scalers(usable: DataFrame, keys: Sequence[str], features: Sequence[str]
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features
     ])).alias("_f")).select(*keys, "year", "_f.feature", "_f.v")
     yearly = long.groupBy(*keys, "feature", "year").agg(
-        F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
-    w = Window.partitionBy(*keys, "feature").orderBy("year").rangeBetween(Window.unboundedPreceding, -1)
-    cum = yearly.select(*keys, "feature", "year", *[F.sum(c).over(w).alias(c) for c in ("n", "s", "ss")])
-    cum = cum.join(F.broadcast(folds.withColumnRenamed("fold", "year")), keys + ["year"])
-    mean = F.col("s") / F.col("n")
-    var = F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))
-    return cum.select(*keys, F.col("year").alias("fold"), "feature", "n", mean.alias("mean"),
-                      F.sqrt(var).alias("std"))
+        F.count("v").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("v")).alias("c"))
+    # Years x folds rows: each fold merges the moments of its training years.
+    trained = yearly.join(F.broadcast(folds), keys).where(F.col("year") < F.col("fold"))
+    own = Window.partitionBy(*keys, "fold", "feature")
+    trained = trained.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(own) / F.sum("n").over(own))
+    d = F.col("m") - F.col("mean")
+    out = trained.groupBy(*keys, "fold", "feature").agg(
+        F.sum("n").alias("n"), F.first("mean").alias("mean"), F.sum(F.col("c") + F.col("n") * d * d).alias("c"))
+    std = F.sqrt(F.col("c") / F.col("n"))
+    # A spread that is only rounding of the mean is a constant feature.
+    return out.withColumn("std", F.when(std > F.abs("mean") * CONSTANT, std).otherwise(F.lit(0.0))).drop("c")
 
 
 def standardize(usable: DataFrame, scalers: DataFrame, keys: Sequence[str],

@@ -43,15 +43,17 @@ def _assemble(df: DataFrame, spec: ModelSpec) -> DataFrame:
     return va.transform(df.withColumn("label", F.col(spec.target).cast("double")))
 
 
-TRAIN_PARTITIONS = 2
+ROWS_A_PARTITION = 100_000
+LEAST_PARTITIONS = 2
 
 
-def dealt(df: DataFrame, by: Sequence[str] = ("week_ending",), partitions: int = TRAIN_PARTITIONS) -> DataFrame:
-    """Rows in a fixed number of sorted partitions. The learners' row sampling
-    follows partitions and their order, so a fit repeats exactly, and its result
-    depends on this parameter but not on how many rows or files there are. Raise
-    it for training sets of many millions of rows."""
+def dealt(df: DataFrame, by: Sequence[str] = ("week_ending",), partitions: int | None = None) -> DataFrame:
+    """Rows in sorted partitions by a hash of ``by``, ``partitions`` of them or one for each
+    ``ROWS_A_PARTITION`` rows. The learners' row sampling follows partitions and their order,
+    so a fit on the same rows repeats exactly, however many files or tasks they came from."""
     rest = [c for c in df.columns if c not in by]
+    if partitions is None:
+        partitions = max(LEAST_PARTITIONS, -(-df.count() // ROWS_A_PARTITION))
     return df.repartition(partitions, *by).sortWithinPartitions(*by, *rest)
 
 

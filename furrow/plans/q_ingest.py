@@ -149,6 +149,30 @@ def q_weather_weekly_stream(spark, sf_dir):
     return SW.latest_weeks(spark, f"{base}/out")
 
 
+_STREAM_UPSERT_SQL = "WITH " + O.panel_cte().lstrip().replace("FROM wx_rows w LEFT JOIN", """FROM (
+    SELECT location, date, avg(tmax) AS tmax, avg(tmin) AS tmin, avg(ppt) AS ppt FROM wx_rows GROUP BY 1, 2) w LEFT JOIN""") + """
+SELECT * FROM wx_w"""
+
+
+@register("weather_stream_upsert", WX_COLS, _STREAM_UPSERT_SQL)
+def q_weather_stream_upsert(spark, sf_dir):
+    """S8 as an upserting stream: one reading a location and day lands as files, the first ten
+    days of a month with wrong values (revision 0) that revision 1 corrects, for even months
+    before the wrong ones arrive; some right days land twice. The weekly aggregates of the
+    stream's newest readings must equal those of the right readings."""
+    from furrow.streaming import weather as SW
+    base = f"{ensure_checkpoint_dir(spark)}/upserts-{uuid.uuid4().hex}"
+    right = testmap.weather(spark, sf_dir).groupBy("location", "date").agg(*(F.avg(c).alias(c) for c in ("tmax", "tmin", "ppt")))
+    early, even = F.dayofmonth("date") <= 10, F.month("date") % 2 == 0
+    wrong = right.where(early).withColumns({"tmax": F.col("tmax") + 5, "tmin": F.lit(None).cast("double"), "ppt": F.col("ppt") * 2 + 1})
+    landings = [(right.where(early & even), 1), (wrong.unionByName(right.where(~early)), 0),
+                (right.where(early & ~even), 1), (right.where(F.dayofmonth("date") == 20), 0)]
+    for rows, revision in landings:
+        rows.withColumn("revision", F.lit(revision).cast("bigint")).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    SW.run_upserted_weather(spark, f"{base}/landing", f"{base}/out", f"{base}/chk", files_per_batch=2)
+    return SW.upserted_weeks(spark, f"{base}/out", testmap.location_map(spark, sf_dir))
+
+
 _UPSERT_SQL = "WITH " + O.feeds_cte().lstrip() + """,
 new AS (SELECT location, date, avg(tmax) AS tmax, avg(tmin) AS tmin, avg(ppt) AS ppt
         FROM wx_rows WHERE month(date) >= 6 GROUP BY 1, 2),
@@ -184,6 +208,22 @@ def q_panel_table_roundtrip(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("panel_bucketed", PANEL_COLS, "WITH " + O.panel_cte().lstrip() + "\nSELECT * FROM panel")
+def q_panel_bucketed(spark, sf_dir):
+    """S9+J1+O1: the three weekly tables written bucketed by (week, district), rows sorted
+    inside each bucket, then joined bucket by bucket, without a shuffle."""
+    from furrow.config import DRIVER as CFG
+    from furrow.operators import panel
+    f = testmap.feeds(spark, sf_dir)
+    run = uuid.uuid4().hex
+    base = f"{ensure_checkpoint_dir(spark)}/bucketed-{run}"
+    weekly = {"ship": panel.shipments_weekly(panel.shipments_long(f["shipments"], f["shipment_map"], CFG), CFG),
+              "price": panel.prices_weekly(panel.price_points(f["prices"], f["price_map"], CFG), CFG),
+              "wx": panel.weather_weekly(f["weather"], f["location_map"])}
+    tables = [FD.write_bucketed(df, f"{name}_{run}", f"{base}/{name}", panel.KEY, 8) for name, df in weekly.items()]
+    return panel.join_panel(*tables, CFG)
+
+
 _DEDUPED_PANEL_SQL = "WITH " + O.panel_cte().lstrip().replace(
     "FROM ship s", "FROM ship_d s").replace("FROM price_rows p", "FROM price_d p").replace(
     ",\nship_long AS", f""",
@@ -256,21 +296,16 @@ def q_price_ingest_roundtrip(spark, sf_dir):
     row per 7-column key in file order."""
     base = f"{ensure_checkpoint_dir(spark)}/prices-{uuid.uuid4().hex}"
     r = testmap.price_reports(spark, sf_dir)
-    years = [row[0] for row in r.select("file_rank").distinct().orderBy("file_rank").collect()]
-    paths = []
-    for y in years:
-        cols = [F.date_format("report_date", "MM/dd/yyyy").alias("report_date"), "district",
-                "commodity", "variety", "package", "item_size", "organic",
-                F.col("low_price").cast("string").alias("low_price"),
-                F.col("high_price").cast("string").alias("high_price")]
-        if y == DEFAULTS_YEAR:
-            cols = [c for c in cols if not (isinstance(c, str) and c in ("variety", "item_size"))]
-        path = f"{base}/{y}.csv"
-        # One folder per year; part files are range-partitioned and sorted by
-        # report order, so (file name, position) is the report order.
-        (r.where(F.col("file_rank") == y).repartitionByRange("row_seq").sortWithinPartitions("row_seq")
-          .select(*cols).write.mode("overwrite").option("header", True).csv(path))
-        paths.append(path)
+    cols = [F.date_format("report_date", "MM/dd/yyyy").alias("report_date"), "district", "commodity", "variety", "package",
+            "item_size", "organic", *(F.col(c).cast("string").alias(c) for c in ("low_price", "high_price"))]
+    short = [c for c in cols if not (isinstance(c, str) and c in ("variety", "item_size"))]
+    # Part files are range-partitioned and sorted by report order within a year, so (file
+    # name, position) is the report order.
+    dealt = r.repartitionByRange("file_rank", "row_seq").sortWithinPartitions("file_rank", "row_seq")
+    for rows, kept in ((dealt.where(F.col("file_rank") != DEFAULTS_YEAR), cols), (dealt.where(F.col("file_rank") == DEFAULTS_YEAR), short)):
+        rows.select(*kept, "file_rank").write.mode("append").option("header", True).partitionBy("file_rank").csv(base)
+    span = r.agg(F.min("file_rank"), F.max("file_rank")).first()
+    paths = [f"{base}/file_rank={y}" for y in range(span[0], span[1] + 1)]
     cleaned = FD.read_prices(spark, paths, commodity_contains=PRICE_WORD, keep_districts=PRICE_DISTRICTS)
     return cleaned.select(*[c for c, _ in PRICE_INGEST_COLS if c not in ("low_price", "high_price")],
                           F.col("low_price").cast("double").alias("low_price"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from furrow import config as K
 from furrow.config import DRIVER as CFG
 from furrow.operators import backtest as B
@@ -534,3 +536,26 @@ def q_ols_improvement(spark, sf_dir):
     u = usable_price(spark, sf_dir)
     scores = B.score(B.ols_backtest(u, [OLS1, OLS2]), ["series", "model"])
     return E.improvement(scores, ["series"], OLS1.name, OLS2.name)
+
+
+_DAY = "(week_ending - DATE '1970-01-01')"
+_TREND_SQL = BASE_SQL + f""",
+scaled AS (
+  SELECT *, ({_DAY} - avg({_DAY}) OVER (PARTITION BY series)) / 1000.0 AS u FROM market WHERE price IS NOT NULL),
+powers AS (SELECT *, u * u AS u2, u * u * u AS u3, u * u * u * u AS u4 FROM scaled),
+fitrows AS ({Q.rows_sql("powers", "series", "price", ["u", "u2", "u3", "u4"])}),{Q.fit_ctes("f", "fitrows")}
+SELECT p.series, p.week_ending, p.price, {Q.predicted("b", "[p.u, p.u2, p.u3, p.u4]")} AS trend, n.rank
+FROM powers p JOIN f_beta b ON b.g = p.series JOIN f_n n ON n.g = p.series"""
+
+
+@register("price_trend", kinds("series:str week_ending:date price trend rank:int"), _TREND_SQL)
+def q_price_trend(spark, sf_dir):
+    """M1, rank-deficient safe: quartic trend of the price on the raw day number (nearly
+    collinear powers) from merged R factors; the oracle fits centred, scaled powers."""
+    from furrow.operators import linreg
+    m = market_main(spark, sf_dir).where(F.col("price").isNotNull())
+    day = F.datediff("week_ending", F.lit("1970-01-01").cast("date")).cast("double")
+    rows = m.select("series", "week_ending", F.col("price").alias("y"), F.array(day, day**2, day**3, day**4).alias("x"))
+    coefs = linreg.least_squares(rows, ["series"], method="qr")
+    fitted = linreg.predict(rows, coefs, ["series"]).join(F.broadcast(coefs.select("series", "rank")), "series")
+    return fitted.select("series", "week_ending", F.col("y").alias("price"), F.col("pred").alias("trend"), "rank")

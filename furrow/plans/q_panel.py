@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from furrow.config import DRIVER as CFG
-from furrow.operators import market, panel
+from furrow.operators import incremental, market, panel
 from furrow.plans import oracle as O
 from furrow.plans.registry import register
 from furrow.plans.spec import kinds
+from furrow.session import ensure_checkpoint_dir
 from furrow.sources import testmap
+from furrow.sources.names import register_names
 
 SFX = [CFG.suffix(c) for c in CFG.commodities]
 
@@ -106,3 +112,60 @@ def q_second_series(spark, sf_dir):
 def q_district_series(spark, sf_dir):
     """Core-district set with per-district lags and season flags."""
     return market.district_series(build_panel(spark, sf_dir), CFG)
+
+
+# A configuration that knows two commodities only: the others' price columns come from the feed.
+SHORT = CFG.with_(commodities=("PROMO", "STANDARD"))
+FOUND_COLS = ([c for c in PANEL_COLS if not c[0].startswith("vol_") or c[0] in ("vol_promo", "vol_standard")])
+_FOUND_SQL = ("WITH " + O.panel_cte(SHORT).lstrip().replace(
+    "count(*) AS n_price_obs, median(fob_price) AS median_fob_price,", "count(*) AS n_price_obs, median(fob_price) AS median_fob_price,"
+    + ", ".join(f"avg(CASE WHEN commodity = '{c}' THEN fob_price END) AS price_{CFG.suffix(c)}"
+                for c in CFG.commodities if c not in SHORT.commodities) + ",") + "\nSELECT * FROM panel")
+
+
+@register("weekly_panel_found_prices", FOUND_COLS, _FOUND_SQL)
+def q_weekly_panel_found_prices(spark, sf_dir):
+    """A4+P27: volumes of the configured commodities, a price column for every commodity that
+    the price feed holds. Names come from a register in the shared folder, filled from the
+    feed's first years, then with what the whole feed adds."""
+    f = feeds(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/names-{uuid.uuid4().hex}"
+    register_names(f["prices"].where(F.year("report_date") <= 1996), "commodity", path)
+    return panel.weekly_panel(f, SHORT, register_names(f["prices"], "commodity", path))
+
+
+def _updated(spark, sf_dir):
+    """Panel and market series built without the late reports, stored by year, then updated."""
+    f = feeds(spark, sf_dir)
+    number = F.regexp_extract("district", r"(\d+)$", 1).cast("int")
+    dates = {"shipments": "week_ending", "prices": "report_date"}
+    parts = {name: f[name].withColumn("_n", number) for name in dates}
+    late = {name: (F.year(d) == 1998) & (F.month(d) == 5) & (F.col("_n") % 2 == 0)
+            | (F.year(d) == 1999) & (F.month(d) == 3) & (F.dayofmonth(d) <= 16) for name, d in dates.items()}
+    first = f | {name: df.where(~late[name]).drop("_n") for name, df in parts.items()}
+    base = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    before = panel.weekly_panel(first, CFG)
+    before.write.partitionBy("year").parquet(f"{base}/panel")
+    stored = spark.read.parquet(f"{base}/panel")
+    market.market_series(stored, CFG).write.partitionBy("year").parquet(f"{base}/market")
+    changed = incremental.materialize(incremental.changed_keys(
+        **{name: df.where(late[name]) for name, df in parts.items()}, shipment_map=f["shipment_map"], price_map=f["price_map"]))
+    now = incremental.rewrite_years(incremental.update_panel(stored, f, changed, CFG), changed, f"{base}/panel")
+    series = incremental.update_market(spark.read.parquet(f"{base}/market"), now, changed, CFG)
+    near = incremental.affected_weeks(now, changed).where("affected = 1").unionByName(
+        changed.select("week_ending", F.lit(1).alias("affected")))
+    return now, incremental.rewrite_years(series, near, f"{base}/market")
+
+
+@register("weekly_panel_updated", PANEL_COLS, "WITH " + O.panel_cte().lstrip() + "\nSELECT * FROM panel")
+def q_weekly_panel_updated(spark, sf_dir):
+    """A stored panel that late shipments and prices update, only the changed
+    (week, district) rows rebuilt, equals the one built from all reports."""
+    return _updated(spark, sf_dir)[0]
+
+
+@register("market_series_updated", MARKET_COLS, "WITH " + O.panel_cte().lstrip() + O.market_cte() + "\nSELECT * FROM market")
+def q_market_series_updated(spark, sf_dir):
+    """A stored market series that late weeks update, with the rows after them that
+    their lags and windows reach, equals the one built from all reports."""
+    return _updated(spark, sf_dir)[1]

@@ -86,3 +86,21 @@ def q_sequence_bounds(spark, sf_dir):
     """The same windows as ``sequence_windows`` reduced to their bounds
     (first week, length, first and last step of one feature)."""
     return q_sequence_windows(spark, sf_dir).drop("seq")
+
+
+_STEPS_SQL = BASE_SQL + """,
+long AS (""" + "\n  UNION ALL ".join(
+    f"SELECT series, week_ending, {i} AS feature, CAST({c} AS DOUBLE) AS v FROM usable" for i, c in enumerate(K.LEVEL_FEATURES)) + f"""),
+steps AS (SELECT l.series, l.week_ending, l.feature, s.step, lag(l.v, {K.SEQUENCE_LENGTH} - s.step) OVER w AS value,
+                 lag(l.week_ending, {K.SEQUENCE_LENGTH}) OVER w AS seq_start
+          FROM long l, (SELECT unnest(range(0, {K.SEQUENCE_LENGTH})) AS step) s
+          WINDOW w AS (PARTITION BY l.series, l.feature, s.step ORDER BY l.week_ending))
+SELECT series, week_ending, step, feature, value FROM steps WHERE seq_start IS NOT NULL"""
+
+
+@register("sequence_steps", kinds("series:str week_ending:date step:int feature:int value"), _STEPS_SQL)
+def q_sequence_steps(spark, sf_dir):
+    """The whole arrays of ``sequence_windows``, one row a target, step and feature."""
+    s = q_sequence_windows(spark, sf_dir)
+    steps = s.select("series", "week_ending", F.posexplode("seq").alias("step", "x"))
+    return steps.select("series", "week_ending", "step", F.posexplode("x").alias("feature", "value"))

@@ -12,7 +12,7 @@ from furrow.operators import evaluate as E
 from furrow.operators import impute as I
 from furrow.operators import trees as TR
 from furrow.plans import oracle as O
-from furrow.plans.q_models import NAIVE, usable_price
+from furrow.plans.q_models import BASE_SQL, NAIVE, usable_price
 from furrow.plans.q_panel import build_panel
 from furrow.plans.registry import register
 from furrow.plans.spec import kinds
@@ -209,3 +209,24 @@ def q_impute_ols_backtest(spark, sf_dir):
     s = B.score(B.ols_backtest(obs, [spec], extra=("week_ending", "price", "coverage")),
                 ["series", "model"])
     return s.select("series", "year", "n", F.col("rmse").alias("ols_rmse"), F.col("mae").alias("ols_mae"))
+
+
+_RF_FULL = next(s for s in B.PRICE_MODELS if s.method == "forest")
+_TREE_FOLDS_SQL = BASE_SQL + f"""
+SELECT u.series, '{_RF_FULL.name}' AS model, u.year, count(*) AS n, 1 AS in_range
+FROM usable u JOIN folds f ON u.series = f.series AND u.year = f.fold GROUP BY 1, 2, 3"""
+
+
+@register("forest_folds", kinds("series:str model:str year:int n:int in_range:int"), _TREE_FOLDS_SQL)
+def q_forest_folds(spark, sf_dir):
+    """M10+F1: forests back-tested over the expanding folds; every test row of a fold gets a
+    prediction, and a mean of leaf means lies within the prices of the earlier years."""
+    from pyspark.sql import Window
+    u = usable_price(spark, sf_dir)
+    preds = TR.tree_backtest(spark, u, [_RF_FULL], scale=0.02)
+    years = u.groupBy("series", "year").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    before = Window.partitionBy("series").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    span = years.select("series", "year", F.min("low").over(before).alias("low"), F.max("high").over(before).alias("high"))
+    inside = F.col("pred_level").between(F.col("low") - 1e-6, F.col("high") + 1e-6)
+    return preds.join(span, ["series", "year"]).groupBy("series", "model", "year").agg(
+        F.count("pred_level").alias("n"), F.min(inside.cast("int")).alias("in_range"))

@@ -9,7 +9,9 @@ are well defined.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -106,20 +108,42 @@ def merge_shipments(spark: SparkSession, parts: Sequence[DataFrame],
 
 # ---------------------------------------------------------------- prices
 
-def read_price_file(spark: SparkSession, path: str, file_rank: int,
-                    commodity_contains: str = "Lettuce",
-                    keep_districts: Sequence[str] | None = K.PRICE_KEEP_DISTRICTS,
-                    multi_line: bool = True) -> DataFrame | None:
-    """S4 + P3 + P5-P7 for one report file: absent columns take their default
-    (an empty cell stays empty), texts are trimmed, comments may hold quotes,
-    commas and line breaks, rows need the commodity word, a kept district and a
-    valid MM/DD/YYYY date. Returns None for a missing file."""
+def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        raw = csv_reader(spark, multi_line).csv(path)
-    except AnalysisException as e:  # missing yearly file: skipped like the reference
+        spark.read.text(path)                       # lists the path only
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return None
+            return False
         raise
+    return True
+
+
+def _local_name(path: str) -> str:
+    """A path as the scan reports it, without scheme and escapes."""
+    return unquote(re.sub(r"^file:(//)?(?=/)", "", path)).rstrip("/")
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """First line -> files, of all files under ``paths``: one text scan, one row a file."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"), "value").where(F.col("block") == 0)
+    first = lines.groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        out.setdefault(r["header"], []).append(r["file"])
+    return out
+
+
+def read_price_files(spark: SparkSession, files: Sequence[str], ranks: DataFrame,
+                     commodity_contains: str = "Lettuce",
+                     keep_districts: Sequence[str] | None = K.PRICE_KEEP_DISTRICTS,
+                     multi_line: bool = True) -> DataFrame:
+    """S4 + P3 + P5-P7 for report files of one header: absent columns take their default
+    (an empty cell stays empty), texts are trimmed, comments may hold quotes,
+    commas and line breaks, rows need the commodity word, a kept district and a
+    valid MM/DD/YYYY date. ``ranks`` (file, file_rank) gives each file's precedence."""
+    raw = csv_reader(spark, multi_line).csv(list(files))
     have = set(raw.columns)
     col = (lambda c, d: F.coalesce(F.trim(F.col(c)), F.lit("")) if c in have else F.lit(d))
     commodity_raw = F.coalesce(F.col("commodity"), F.lit("")) if "commodity" in have else F.lit("")
@@ -130,22 +154,48 @@ def read_price_file(spark: SparkSession, path: str, file_rank: int,
         F.trim(commodity_raw).alias("commodity"),
         *[col(c, d).alias(c) for c, d in K.PRICE_COLUMN_DEFAULTS],
         commodity_raw.contains(commodity_contains).alias("_keep_c"),
-        F.lit(file_rank).alias("file_rank"),
+        F.col("_metadata.file_path").alias("_file"),
         file_order().alias("row_seq"),
     )
     cond = F.col("_keep_c") & F.col("report_date").isNotNull()
     if keep_districts is not None:
         cond = cond & F.col("district").isin(list(keep_districts))
-    return out.where(cond).drop("_keep_c")
+    out = out.where(cond).drop("_keep_c")
+    return out.join(ranks, out["_file"] == ranks["file"]).drop("_file", "file")
+
+
+def read_price_file(spark: SparkSession, path: str, file_rank: int, **kw) -> DataFrame | None:
+    """One report file or folder; None for a missing one."""
+    if not _exists(spark, path):
+        return None
+    parts = [read_price_files(spark, [unquote(f) for f in files],
+                              literal_table(spark, [(f, file_rank) for f in files], "file string, file_rank int"), **kw)
+             for files in _headers(spark, [path]).values()]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    return df
 
 
 def read_prices(spark: SparkSession, paths: Sequence[str], **kw) -> DataFrame:
-    """S3 + D2: report files in precedence order (yearly, then extras); one
-    union, then the first row per 7-column key in file order."""
-    parts = [p for p in (read_price_file(spark, path, rank, **kw) for rank, path in enumerate(paths))
-             if p is not None]
-    if not parts:
+    """S3 + D2: report files (or folders) in precedence order (yearly, then extras); missing
+    ones are skipped. Files of the same header are one scan, whatever their number; a rank
+    table joined on the file's path gives the precedence; then the first row per 7-column
+    key in file order."""
+    there = [(rank, path) for rank, path in enumerate(paths) if _exists(spark, path)]
+    if not there:
         raise FileNotFoundError("no price file found")
+    headers = _headers(spark, [path for _, path in there])
+    rank_of = {_local_name(path): rank for rank, path in reversed(there)}
+
+    def rank(file: str) -> int:
+        name = _local_name(file)
+        while name not in rank_of and "/" in name:
+            name = name.rpartition("/")[0]
+        return rank_of[name]
+
+    ranks = literal_table(spark, [(file, rank(file)) for files in headers.values() for file in files], "file string, file_rank int")
+    parts = [read_price_files(spark, [unquote(f) for f in files], ranks, **kw) for files in headers.values()]
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
@@ -237,3 +287,14 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int,
+                   sort_by: Sequence[str] | None = None) -> DataFrame:
+    """S9 + O1: ``df`` as a table bucketed by ``keys`` (files at ``path``), rows sorted inside
+    each bucket. Tables of equal buckets join on ``keys`` without a shuffle. One task writes
+    each bucket, so a bucket is one file."""
+    spark = df.sparkSession
+    (df.repartition(buckets, *keys).write.mode("overwrite").option("path", path)
+       .bucketBy(buckets, *keys).sortBy(*(sort_by or keys)).saveAsTable(table))
+    return spark.table(table)
