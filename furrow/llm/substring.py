@@ -6,18 +6,24 @@ needed: each window of ``LENGTH`` bytes has one anchor, its 32-byte gram of leas
 hash, and equal windows have equal anchors. Windows in a row with one anchor form a
 run (about one in 32 bytes); the suffixes that are sorted start at the anchors.
 
-1. Sampled splitters (leading 8 bytes, anchor, content, id) range-partition the
+1. Sampled splitters (leading 4 bytes, anchor, content, id) range-partition the
    anchored suffixes into buckets; ties split too, so a frequent passage spreads over
    several buckets. Each bucket sorts locally (multikey: only what is still tied is
    compared further). Runs of equal content are adjacent: all but the first are
    duplicates as a whole. The last suffix of a bucket is compared with the first of
-   the next (a few numbers a bucket reach the driver).
+   the next by a join of the buckets' ends (splitters are rows of the data, so no
+   bucket between two others is empty).
 2. Anchors with several contents (where repeats begin or end) need their bytes: the
    runs' windows are sorted by their bytes the same way, and all but the first of
-   equal windows are duplicates. Anchors that span several buckets, which may be very
-   frequent, go by window hashes and a combining minimum instead.
+   equal windows are duplicates. Anchors that span several buckets may be very
+   frequent. Their runs are first tested by blocks of ``BLOCK`` neighbouring windows:
+   the bytes that all windows of a block share (its core) stand at the same place of
+   the anchor in every run that shares one of them, so a core that one run alone has
+   ends its block. Windows of shared cores are sorted by bytes inside each task, which
+   settles all but the task's first ones; those meet by hashes and a combining minimum.
 
-Contents and window hashes are 64 bits and more; equal bytes are never missed.
+Contents are told apart by 82 bits of two polynomials besides the anchor's 64, windows
+of frequent anchors between tasks by 128; equal bytes are never missed.
 
 Defined results: null text counts as empty; rows that share an id are one document
 (equal repeated rows get equal results, none is earlier than the other); a null id
@@ -43,8 +49,10 @@ SAMPLE_ROWS = 50_000
 BUCKET_BYTES = 32 << 20       # text a bucket
 PART_BYTES = 4 << 20          # text handled at once inside a task
 WINDOWS_AT_ONCE = 1 << 17
+BLOCK = 8                     # windows of a block
 _FIELD = 7                    # bits of (windows - 1) and of the anchor's offset in a packed content
 
+_LEAD = np.uint64(0xFFFFFFFF00000000)     # leading bytes of an anchor; the rest of the word checks contents
 _COPY, _PENDING, _OPEN, _OPEN_FIRST, _EDGE = 1, 2, 3, 4, 0
 
 
@@ -54,11 +62,12 @@ def _suffix_arrays(column, keys: np.ndarray, length: int):
     parts = [[], [], [], [], []]
     for i, a, b, starts in segments(offsets, length):
         piece = raw[a:b]
-        first, last, place, gram, content = anchored_runs(piece, starts, length)
+        first, last, place, gram, content, check = anchored_runs(piece, starts, length)
         doc = i + np.searchsorted(starts, first, "right") - 1
         low = (np.uint64(1) << np.uint64(2 * _FIELD)) - np.uint64(1)
         packed = (content & ~low) | ((last - first).astype(np.uint64) << np.uint64(_FIELD)) | (place - first).astype(np.uint64)
-        for part, x in zip(parts, (keys[doc], first + a - offsets[doc], lead_word(piece, place), gram, packed), strict=True):
+        lead = (lead_word(piece, place) & _LEAD) | (check >> np.uint64(32))     # more of the content below the leading bytes
+        for part, x in zip(parts, (keys[doc], first + a - offsets[doc], lead, gram, packed), strict=True):
             part.append(x)
     kinds = (np.int64, np.int64, np.uint64, np.uint64, np.uint64)
     return [np.concatenate(p).astype(t) if p else np.zeros(0, t) for p, t in zip(parts, kinds, strict=True)]
@@ -102,7 +111,7 @@ def _suffixes(length: int, cuts: list[np.ndarray] | None, every: int = 1):
                 bucket = np.zeros(len(at), np.int64)
             else:
                 at = np.arange(len(key))
-                bucket = _bucket_of(cuts, [lead, gram, content, key])
+                bucket = _bucket_of(cuts, [lead & _LEAD, gram, content, key])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket.astype(np.int32), pa.int32()), *_longs(lead[at], gram[at], content[at], key[at], first[at])],
                 names=["bucket", "lead", "gram", "content", "key", "first"])
@@ -126,16 +135,17 @@ def _sorted_buckets(batches):
         at = np.flatnonzero(columns[0] == b)
         lead, gram, content = (c[at].view(np.uint64) for c in columns[1:4])
         key, first = (c[at] for c in columns[4:])
-        order = multikey_order([lead, gram, content, key, first])
-        lead, gram, content, key, first = (c[order] for c in (lead, gram, content, key, first))
+        lead, check = lead & _LEAD, lead & ~_LEAD
+        order = multikey_order([lead, gram, content, check, key, first])
+        lead, gram, content, check, key, first = (c[order] for c in (lead, gram, content, check, key, first))
         n = len(order)
         same_anchor, same = np.zeros(n, bool), np.zeros(n, bool)
         same_anchor[1:] = (lead[1:] == lead[:-1]) & (gram[1:] == gram[:-1])
-        same[1:] = same_anchor[1:] & (content[1:] == content[:-1])
+        same[1:] = same_anchor[1:] & (content[1:] == content[:-1]) & (check[1:] == check[:-1])
         head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
         copy = same & ((key != key[head]) | (first != first[head]))
         group = np.cumsum(~same_anchor) - 1
-        contents = np.bincount(group, ~same)
+        contents = np.bincount(group, ~same).astype(np.int64)
         outer = (group == 0) | (group == group[-1])
         kind = np.where(copy, _COPY, -1)
         starts = ~same
@@ -149,7 +159,7 @@ def _sorted_buckets(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate((kind[rows], [_EDGE, _EDGE])).astype(np.int8), pa.int8()),
              pa.array(np.full(len(rows) + 2, b, np.int32), pa.int32()),
-             *_longs(np.concatenate((np.where(full, 0, lead[rows].view(np.int64)), lead[ends].view(np.int64))),
+             *_longs(np.concatenate((np.where(full, 0, lead[rows].view(np.int64)), (lead | check)[ends].view(np.int64))),
                      np.concatenate((np.where(full, 0, gram[rows].view(np.int64)), gram[ends].view(np.int64))),
                      np.concatenate((np.where(full, (content[rows] & np.uint64((1 << 2 * _FIELD) - 1)).view(np.int64),
                                               content[rows].view(np.int64)), content[ends].view(np.int64))),
@@ -158,38 +168,32 @@ def _sorted_buckets(batches):
             names=["kind", "bucket", "lead", "gram", "content", "key", "first"])
 
 
-def _across(edges) -> tuple[set[int], dict[tuple[int, int], bool]]:
-    """From the two ends of every bucket, in order: the buckets whose first content
-    began in an earlier one, and the anchors that span buckets (do they have
-    several contents?)."""
-    continued, spanning, before = set(), {}, None
-    for b in sorted(edges):
-        head, tail = edges[b]
-        if before and before[:2] == head[:2]:
-            many = spanning.get(head[:2], False) or before[3] > 1 or head[3] > 1 or before[2] != head[2]
-            spanning[head[:2]] = many
-            if before[2] == head[2]:
-                continued.add(b)
-        before = tail
-    return continued, spanning
-
-
-def _settled(continued: set[int], spanning: dict[tuple[int, int], bool]):
-    """Arrow function that decides the open rows of the buckets' outer anchors."""
-
-    def settle(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                if r["kind"] == _OPEN_FIRST and r["bucket"] in continued:
-                    out.append(r | {"kind": _COPY, "lead": 0, "gram": 0, "content": r["content"] & ((1 << 2 * _FIELD) - 1)})
-                elif spanning.get((r["lead"], r["gram"]), False) or r["many"]:
-                    out.append(r | {"kind": _PENDING})
-            yield pa.RecordBatch.from_pylist([{k: v for k, v in r.items() if k != "many"} for r in out], schema=pa.schema(
-                [("kind", pa.int8()), ("bucket", pa.int32()), *((c, pa.int64()) for c in ("lead", "gram", "content", "key", "first"))]))
-
-    return settle
+def _settled(marked: DataFrame) -> DataFrame:
+    """The rows of the buckets' outer anchors, decided: a bucket's first content that began in
+    an earlier bucket is a copy; contents of an anchor with several are pending (``wide``: the
+    anchor spans buckets); the only content of an anchor needs nothing."""
+    anchor = (F.col("lead").bitwiseAND(F.lit(int(_LEAD) - (1 << 64)))).alias("lead"), "gram"
+    ends = marked.where(F.col("kind") == _EDGE).select(
+        "bucket", "first", *anchor, F.struct("content", F.col("lead").bitwiseAND(F.lit(int(~_LEAD))).alias("check")).alias("whole"),
+        F.col("key").alias("contents"))
+    heads = ends.where("first = 0").drop("first")
+    tails = ends.where("first = 1").select((F.col("bucket") + 1).alias("bucket"), F.col("lead").alias("tlead"), F.col("gram").alias("tgram"),
+                                           F.col("whole").alias("twhole"), F.col("contents").alias("tcontents"))
+    over = heads.join(tails, "bucket").where("lead = tlead AND gram = tgram")
+    over = stage(over.select("bucket", "lead", "gram", (F.col("whole") == F.col("twhole")).alias("continued"),
+                             ((F.col("contents") > 1) | (F.col("tcontents") > 1) | (F.col("whole") != F.col("twhole"))).alias("many")), "ends")
+    outer = (ends.select("lead", "gram", (F.col("contents") > 1).alias("many"), F.lit(False).alias("wide"))
+             .unionByName(over.select("lead", "gram", "many", F.lit(True).alias("wide")))
+             .groupBy("lead", "gram").agg(F.max("many").alias("many"), F.max("wide").alias("wide")))
+    rows = (marked.where(F.col("kind").isin(_OPEN, _OPEN_FIRST)).join(outer, ["lead", "gram"])
+            .join(over.where("continued").select("bucket", F.lit(True).alias("continued")), "bucket", "left"))
+    copy = (F.col("kind") == _OPEN_FIRST) & F.coalesce("continued", F.lit(False))
+    none = F.lit(0).cast("bigint")
+    return rows.where(copy | F.col("many")).select(
+        F.when(copy, F.lit(_COPY)).otherwise(F.lit(_PENDING)).cast("tinyint").alias("kind"),
+        F.when(copy, none).otherwise(F.col("lead")).alias("lead"), F.when(copy, none).otherwise(F.col("gram")).alias("gram"),
+        F.when(copy, F.col("content").bitwiseAND(F.lit((1 << 2 * _FIELD) - 1))).otherwise(F.col("content")).alias("content"),
+        "key", "first", "wide")
 
 
 def _removed(text: bytes, start: np.ndarray, stop: np.ndarray):
@@ -204,7 +208,7 @@ def _removed(text: bytes, start: np.ndarray, stop: np.ndarray):
 
 
 _RESULT = "id bigint, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-_JUDGED = ("part tinyint, " + _RESULT + ", first bigint, lead bigint, gram bigint, content bigint, bytes binary, ranges array<bigint>")
+_JUDGED = ("part tinyint, " + _RESULT + ", first bigint, lead bigint, gram bigint, content bigint, wide boolean, bytes binary, ranges array<bigint>")
 
 
 def _judge(length: int):
@@ -233,11 +237,11 @@ def _judge(length: int):
                 for p in pending[i]:
                     windows = ((p["content"] >> _FIELD) & ((1 << _FIELD) - 1)) + 1
                     out.append({"part": 1, "key": key, "first": p["first"], "lead": p["lead"], "gram": p["gram"],
-                                "content": p["content"], "bytes": text[p["first"]:p["first"] + windows + length - 1]})
+                                "content": p["content"], "wide": p["wide"], "bytes": text[p["first"]:p["first"] + windows + length - 1]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(
                 [("part", pa.int8()), ("id", pa.int64()), ("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                  ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("first", pa.int64()), ("lead", pa.int64()),
-                 ("gram", pa.int64()), ("content", pa.int64()), ("bytes", pa.binary()), ("ranges", pa.list_(pa.int64()))]))
+                 ("gram", pa.int64()), ("content", pa.int64()), ("wide", pa.bool_()), ("bytes", pa.binary()), ("ranges", pa.list_(pa.int64()))]))
 
     return judge
 
@@ -298,23 +302,108 @@ def _local_windows(length: int):
     return find
 
 
-def _hashed_windows(length: int):
-    """Arrow function over runs of spanning anchors: a row for each window."""
+def _hashes(rows: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row of bytes."""
+    h1, h2 = seed.copy(), mix(seed)
+    for j in range(rows.shape[1]):
+        x = rows[:, j].astype(np.uint64) + np.uint64(1)
+        h1 = h1 * np.uint64(0x9E3779B97F4A7C15) + x
+        h2 = mix(h2 ^ x) if j % 8 == 0 else h2 * np.uint64(0xD6E8FEB86659FD93) + x
+    return mix(h1), mix(h2)
+
+
+def _anchor_seed(batch) -> np.ndarray:
+    lead, gram = (np.asarray(batch.column(c)).view(np.uint64) for c in ("lead", "gram"))
+    return mix(mix(gram) ^ lead)
+
+
+def _cores(length: int):
+    """Arrow function over runs of spanning anchors: a row for each block of windows, with the
+    hashes of the block's core and its place at the anchor."""
+    size = length - BLOCK + 1
 
     def emit(batches):
         for batch in batches:
-            run, offset, window = _windows_of(batch.column(2).to_pylist(), length)
-            h1, h2 = np.zeros(len(run), np.uint64), np.zeros(len(run), np.uint64)
-            for j in range(length):
-                h1 = h1 * np.uint64(0x9E3779B97F4A7C15) + window[:, j]
-                h2 = mix(h2 ^ (window[:, j].astype(np.uint64) + np.uint64(1))) if j % 8 == 0 else h2 * np.uint64(0xD6E8FEB86659FD93) + window[:, j]
+            if not batch.num_rows:
+                continue
+            content = np.asarray(batch.column("content"))
+            place, windows = content & ((1 << _FIELD) - 1), ((content >> _FIELD) & ((1 << _FIELD) - 1)) + 1
+            least, most = (place - windows + 1) // BLOCK, place // BLOCK         # a window's place: anchor less start
+            n = most - least + 1
+            run = np.repeat(np.arange(len(n)), n)
+            block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[run]
+            texts = batch.column("bytes").to_pylist()
+            flat = np.frombuffer(b"".join(texts), np.uint8)
+            base = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
+            core = np.lib.stride_tricks.sliding_window_view(flat, size)[base[run] + place[run] - block * BLOCK]
+            h1, h2 = _hashes(core, _anchor_seed(batch)[run] + block.astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                _longs(mix(h1), mix(h2), np.asarray(batch.column(0))[run], np.asarray(batch.column(1))[run] + offset),
-                names=["h1", "h2", "key", "first"])
+                [*_longs(h1, h2), *(batch.column(c).take(pa.array(run)) for c in _RUN), pa.array(block.astype(np.int32))],
+                names=["h1", "h2", *_RUN, "block"])
 
     return emit
 
 
+_RUN = ["key", "first", "lead", "gram", "content"]
+
+
+def _shared_windows(length: int):
+    """Arrow function over runs with the blocks whose core another run has: windows that
+    repeat an earlier one of the same task (h1 = h2 = 0, n of them in a row), and the others
+    with their hashes (n = 0)."""
+
+    def find(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, WINDOWS_AT_ONCE // 64):
+                rows = batch.slice(a, WINDOWS_AT_ONCE // 64)
+                key, first, content, blocks = (np.asarray(rows.column(c)) for c in ("key", "first", "content", "blocks"))
+                run, offset, window = _windows_of(rows.column("bytes").to_pylist(), length)
+                place = (content & ((1 << _FIELD) - 1))[run] - offset
+                open_ = (blocks[run] >> (place // BLOCK)) & 1 == 1
+                run, offset, window, place = run[open_], offset[open_], window[open_], place[open_]
+                if not len(run):
+                    continue
+                padded = np.zeros((len(run), -(-length // 8) * 8), np.uint8)
+                padded[:, :length] = window
+                words = padded.view(">u8").astype(np.uint64)
+                of, at = key[run], first[run] + offset
+                by = multikey_order([place, *words.T, of, at])
+                same = np.zeros(len(by), bool)
+                same[1:] = (place[by[1:]] == place[by[:-1]]) & (words[by[1:]] == words[by[:-1]]).all(axis=1)
+                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
+                late = np.zeros(len(by), bool)
+                late[by] = same & ((of[by] != of[by[head]]) | (at[by] != at[by[head]]))
+                begins = late.copy()
+                begins[1:] &= ~(late[:-1] & (run[1:] == run[:-1]) & (offset[1:] == offset[:-1] + 1))
+                begin = np.flatnonzero(begins)
+                count = np.diff(np.append(np.cumsum(late)[begin] - 1, late.sum()))
+                lead = by[~same]                                            # the first of each window
+                h1, h2 = _hashes(window[lead], _anchor_seed(rows)[run[lead]] + place[lead].astype(np.uint64))
+                none = np.zeros(len(begin), np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    _longs(np.concatenate((none, h1)), np.concatenate((none, h2)), np.concatenate((of[begin], of[lead])),
+                           np.concatenate((at[begin], at[lead])), np.concatenate((count, np.zeros(len(lead), np.int64)))),
+                    names=["h1", "h2", "key", "first", "n"])
+
+    return find
+
+
+def _wide_repeats(runs: DataFrame, length: int) -> DataFrame:
+    """(key, first, n): windows of spanning anchors' runs that also start earlier."""
+    types = ", ".join(f"{c} bigint" for c in _RUN)
+    cores = stage(runs.mapInArrow(_cores(length), f"h1 bigint, h2 bigint, {types}, block int"), "cores")
+    shared = cores.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    blocks = (cores.join(shared, ["h1", "h2"]).groupBy(*_RUN)
+              .agg(F.bit_or(F.expr("shiftleft(1L, block)")).alias("blocks")))
+    windows = stage(runs.join(blocks, _RUN).mapInArrow(
+        _shared_windows(length), "h1 bigint, h2 bigint, key bigint, first bigint, n bigint"), "windows")
+    firsts = windows.where("n = 0")
+    least = firsts.groupBy("h1", "h2").agg(F.min(F.struct("key", "first")).alias("least"))
+    far = (firsts.join(least, ["h1", "h2"]).where(F.struct("key", "first") > F.col("least"))
+           .select("key", "first", F.lit(1).cast("bigint").alias("n")))
+    return far.union(windows.where("n > 0").select("key", "first", "n"))
+
+
 def _splitters(texts: DataFrame, n_docs: int, buckets: int, length: int) -> list[np.ndarray]:
     if buckets < 2 or not n_docs:
         return [np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64)]
@@ -322,9 +411,11 @@ def _splitters(texts: DataFrame, n_docs: int, buckets: int, length: int) -> list
               .mapInArrow(_suffixes(length, None, every=8), _SUFFIX).limit(SAMPLE_ROWS).collect())
     rows = [np.array([r[c] for r in sample], np.int64) for c in ("lead", "gram", "content", "key")]
     rows = [r.view(np.uint64) for r in rows[:3]] + rows[3:]
+    rows[0] &= _LEAD
     order = multikey_order(rows)
     picks = order[(np.arange(1, buckets) * len(order)) // buckets] if len(order) else order
-    return [r[picks] for r in rows]
+    cuts = np.array(list(dict.fromkeys(zip(*(r[picks].tolist() for r in rows), strict=True))), object).reshape(-1, 4).T
+    return [c.astype(r.dtype) for c, r in zip(cuts, rows, strict=True)]      # each a row of the data, none twice
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -343,38 +434,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = _splitters(keyed, size["n"], buckets, length)
     marked = stage(keyed.mapInArrow(_suffixes(length, cuts), _SUFFIX).repartitionById(buckets, "bucket")
                    .mapInArrow(_sorted_buckets, "kind tinyint, " + _SUFFIX), "suffixes")
-    edges: dict[int, list] = {}
-    for r in marked.where(F.col("kind") == _EDGE).orderBy("bucket", "first").toLocalIterator():
-        edges.setdefault(r["bucket"], []).append((r["lead"], r["gram"], r["content"], r["key"]))
-    continued, spanning = _across(edges)
-    outer = {end[:2]: False for ends in edges.values() for end in ends}
-    for ends in edges.values():
-        for end in ends:
-            outer[end[:2]] |= end[3] > 1 or spanning.get(end[:2], False)
-    many = [k for k, v in outer.items() if v]
-    opened = marked.where(F.col("kind").isin(_OPEN, _OPEN_FIRST))
-    flags = spark.createDataFrame(many or [(0, 0)], "lead bigint, gram bigint").withColumn("many", F.lit(bool(many)))
-    opened = opened.join(F.broadcast(flags), ["lead", "gram"], "left").select(*marked.columns, F.coalesce("many", F.lit(False)).alias("many"))
-    opened = opened.mapInArrow(_settled(continued, spanning), marked.schema)
-    rows = marked.where(F.col("kind").isin(_COPY, _PENDING)).union(opened)
+    sure = marked.where(F.col("kind").isin(_COPY, _PENDING)).withColumn("wide", F.lit(False))
+    opened = _settled(marked)
+    rows = sure.select(*opened.columns).union(opened)
     low = (1 << 2 * _FIELD) - 1
     span = F.shiftleft("first", _FIELD) + F.shiftright(F.col("content").bitwiseAND(F.lit(low)), _FIELD)
     lists = rows.groupBy("key").agg(
         F.collect_list(F.when(F.col("kind") == _COPY, span)).alias("copies"),
-        F.collect_list(F.when(F.col("kind") == _PENDING, F.struct("first", "lead", "gram", "content"))).alias("pending"))
+        F.collect_list(F.when(F.col("kind") == _PENDING, F.struct("first", "lead", "gram", "content", "wide"))).alias("pending"))
     judged = stage(texts.join(lists, "key", "left").select("id", "key", "text", "copies", "pending")
                    .mapInArrow(_judge(length), _JUDGED), "judged")
-    runs = judged.where("part = 1").select("key", "first", "lead", "gram", "content", "bytes").distinct()
-    wide = spark.createDataFrame(list(spanning) or [(0, 0)], "lead bigint, gram bigint")
-    wide = wide.where(F.lit(bool(spanning)))
-    near = (runs.join(F.broadcast(wide), ["lead", "gram"], "left_anti")
-            .select("key", "first", "lead", "gram", "content", "bytes")
-            .repartition(buckets, "lead", "gram").mapInArrow(_local_windows(length), "key bigint, first bigint, n bigint"))
-    hashed = stage(runs.join(F.broadcast(wide), ["lead", "gram"], "left_semi").select("key", "first", "bytes")
-                   .mapInArrow(_hashed_windows(length), "h1 bigint, h2 bigint, key bigint, first bigint"), "windows")
-    least = hashed.groupBy("h1", "h2").agg(F.min(F.struct("key", "first")).alias("least"))
-    far = (hashed.join(least, ["h1", "h2"]).where(F.struct("key", "first") > F.col("least"))
-           .select("key", "first", F.lit(1).cast("bigint").alias("n")))
+    runs = judged.where("part = 1").select(*_RUN, "wide", "bytes").distinct()
+    near = (runs.where("NOT wide").drop("wide").repartition(buckets, "lead", "gram")
+            .mapInArrow(_local_windows(length), "key bigint, first bigint, n bigint"))
+    far = _wide_repeats(runs.where("wide").drop("wide"), length)
     found = near.union(far).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("found"))
     last = (texts.join(judged.where("part = 2").select("key", "ranges").dropDuplicates(["key"]), "key").join(found, "key", "left")
             .select("id", "key", "text", "ranges", "found").mapInArrow(_finish(length), _RESULT))

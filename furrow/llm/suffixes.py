@@ -9,9 +9,11 @@ from furrow.llm.common import mix
 GRAM = 32                    # bytes of an anchor
 SEGMENT = 1 << 18            # window starts handled at once
 _BASE = 0xD6E8FEB86659FD93
+_CHECK = 0xA24BAED4963EE407   # base of the second polynomial
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POW, _INV = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, np.uint64(b)), dtype=np.uint64)))
-              for n, b in ((SEGMENT + 4096, _BASE), (SEGMENT + 4096, pow(_BASE, -1, 1 << 64))))
+_POW, _INV, _CHECK_POW, _CHECK_INV = (
+    np.concatenate(([np.uint64(1)], np.cumprod(np.full(SEGMENT + 4096, np.uint64(b)), dtype=np.uint64)))
+    for b in (_BASE, pow(_BASE, -1, 1 << 64), _CHECK, pow(_CHECK, -1, 1 << 64)))
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PLACE_BITS = np.uint64(24)
 
@@ -37,13 +39,13 @@ def anchored_runs(raw: np.ndarray, starts: np.ndarray, length: int):
     """Runs of windows (``length`` bytes, inside a document) with one anchor: the
     leftmost GRAM of least hash in the window, so equal windows have equal anchors.
 
-    Returns (first window, last window, anchor place, anchor hash, content hash);
-    content: all bytes of the run's windows.
+    Returns (first window, last window, anchor place, anchor hash, content hash,
+    check); content: all bytes of the run's windows, hashed by two polynomials.
     """
     n, span = len(raw), length - GRAM + 1
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, *(empty.astype(np.uint64),) * 3
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _POW[:n], dtype=np.uint64, out=prefix[1:])
     m = n - GRAM + 1
@@ -66,8 +68,10 @@ def anchored_runs(raw: np.ndarray, starts: np.ndarray, length: int):
     stop = np.append(np.flatnonzero(change | ~inside), w)
     last = stop[np.searchsorted(stop, first, "right")] - 1
     content = mix((prefix[last + length] - prefix[first]) * _INV[first] + (last - first).astype(np.uint64))
+    np.cumsum(_BYTE[raw] * _CHECK_POW[:n], dtype=np.uint64, out=prefix[1:])
+    check = mix((prefix[last + length] - prefix[first]) * _CHECK_INV[first])
     place = anchor[first]
-    return first, last, place, gram[place], content
+    return first, last, place, gram[place], content, check
 
 
 def lead_word(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
