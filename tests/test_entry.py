@@ -47,3 +47,20 @@ def test_entry_loaded_by_path_elsewhere_reaches_python_workers(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in said.stdout, said.stderr[-2000:]
+
+
+def test_entry_works_without_the_document_operators(tmp_path):
+    """A copy of the repository without corpus_pipeline.py and the llm folders."""
+    import shutil
+    import subprocess
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(os.path.join(root, "furrow"), tmp_path / "furrow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(E.__file__, tmp_path)
+    code = ("import __spark_entry__ as E, json\n"
+            "print(json.dumps([sorted(E.queries()), sorted(E.oracle_sql())]))\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    import json
+    queries, oracles = json.loads(said.stdout.strip().splitlines()[-1])
+    from furrow.plans.registry import oracle_queries, spark_queries
+    assert queries == sorted(spark_queries()) and oracles == sorted(oracle_queries())
