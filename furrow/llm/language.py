@@ -1,18 +1,21 @@
 """Operator 3: language identification with character language models.
 
 One interpolated Kneser-Ney model of order ``ORDER`` per language. Texts are
-lower-cased; letters become 12-bit symbols, every run of other characters one
-space symbol. Full-order counts are gathered by Spark over all training rows; the
-lower orders are continuation counts of the gathered grams. The arrays of a model
-(grams and contexts, sorted by packed code) hold at most ``GRAMS_TOTAL`` top-order
-grams over all languages, the most frequent of each language, so what goes to the
-tasks is bounded. A text gets the language of least cross-entropy by symbol.
-
-Calibration uses a tenth of the training rows that no model is fitted on (at most
-``CALIBRATION_ROWS`` of them): the temperature of the score (likelihood of the
-right language) and the rejection bound, in standard deviations of the chosen
-language's cross-entropy at the text's length: a high quantile over the rows whose
-label has the least cross-entropy, so mislabelled rows don't loosen it.
+lower-cased; every letter of the training texts has a symbol of its own (letters
+never seen share one), every run of other characters is one space symbol. Full-order
+counts are gathered by Spark over all training rows and all of them enter the models;
+the lower orders are continuation counts. The arrays of a model (grams and contexts,
+sorted by packed code) grow with the distinct grams of ``ORDER`` symbols that the
+corpus holds, not with its rows; the alphabet bounds them. A text gets the language of
+least cross-entropy by symbol.
+
+Calibration uses a tenth of the training rows that no model is fitted on (about
+``CALIBRATION_ROWS`` of them, drawn by hash): the temperature of the score (likelihood of
+the right language) and the rejection bound, in standard deviations of the chosen
+language's cross-entropy at the text's length, from the rows whose label has the least
+cross-entropy, so mislabelled rows don't loosen it: a high quantile, and where the rows are
+too few for it, the exponential tail that they have above their median, at
+``REJECTED`` of right rows.
 
 Defined results: null texts and texts without a letter are ``und``, score 0,
 rejected; so is every text where no training row exists; equal cross-entropies go
@@ -31,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import doc_chunks, parts, stage
+from furrow.llm.common import doc_chunks, parts
 
 ORDER = 4
-BITS = 12
-GRAMS_TOTAL = 1_000_000
+BITS = 15                  # of a symbol: 32,766 letters have their own, more share the one of unseen letters
+UNSEEN = 1                 # symbol of letters that no training text holds; 0 is the space
 CALIBRATION_ROWS = 4_000
-LEAST_BOUND = 10.0         # standard deviations within which nothing is rejected
 BOUND_QUANTILE = 0.999     # of the deviations of calibration rows
+REJECTED = 1e-4            # share of right rows that the tail's bound rejects
 OUTLIER = 6.0              # robust standard deviations beyond which a row isn't fitted
 CHUNK = 1 << 20
 PIECE_CHARS = 1 << 20
@@ -46,25 +49,45 @@ FLUSH_GRAMS = 1 << 20
 UNKNOWN = "und"
 
 
-def _letter_table(cache={}):  # noqa: B006
-    """Symbol of every code point: itself below 4096, folded above; 0: no letter."""
+def _is_letter(cache={}) -> np.ndarray:  # noqa: B006
+    """Of every code point."""
     if "t" not in cache:
-        span = (1 << BITS) - 1
-        table = np.zeros(0x110000, np.uint16)
-        letters = np.fromiter((c for c in range(0x110000) if chr(c).isalpha()), np.int64)
-        table[letters] = np.where(letters <= span, letters, letters % span + 1)
-        cache["t"] = table
+        cache["t"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return cache["t"]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def symbol_table(letters: np.ndarray) -> np.ndarray:
+    """Symbol of every code point: 0 no letter, else that of ``letters`` (sorted) or ``UNSEEN``."""
+    table = np.where(_is_letter(), UNSEEN, 0).astype(np.int64)
+    own = letters[:(1 << BITS) - 2]
+    table[own] = np.arange(len(own)) + UNSEEN + 1
+    return table
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def letters_of(rows: DataFrame, text_col: str) -> np.ndarray:
+    """Sorted letters (lower-cased) of all texts; at most one row a code point and task."""
+    def find(batches):
+        seen = np.zeros(0x110000, dtype=bool)
+        for batch in parts(batches, 0):
+            for t in batch.column(0).to_pylist():
+                seen[_codes([(t or "").lower()])] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen & _is_letter()), pa.int64())], names=["code"])
+
+    found = rows.select(F.col(text_col).cast("string")).mapInArrow(find, "code bigint").distinct().collect()
+    return np.array(sorted(r["code"] for r in found), np.int64)
+
+
+def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed top-order gram of every symbol, first gram of each text (one more
     entry), number of letters of each text)."""
     low = [t.lower() for t in texts]
     edges = np.concatenate(([0], np.cumsum([len(t) for t in low]))).astype(np.int64)
-    code = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
-    sym = _letter_table()[code]
-    before = np.concatenate(([0], sym[:-1])).astype(np.uint16) if len(sym) else sym
+    sym = table[_codes(low)]
+    before = np.concatenate(([0], sym[:-1])) if len(sym) else sym
     inner = np.ones(len(sym), dtype=bool)
     inner[edges[:-1][edges[:-1] < len(sym)]] = False
     keep = (sym != 0) | ((before != 0) & inner)
@@ -136,13 +159,13 @@ def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return out, np.array(owner, np.int64)
 
 
-def entropies(models: list[Model], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def entropies(models: list[Model], texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(texts x models cross-entropy by symbol, symbols, letters of each text)."""
     pieces, owner = _pieces(texts)
     total, size, letters = np.zeros((len(texts), len(models))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     sizes = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
     for a, b in doc_chunks(sizes, CHUNK):
-        packed, first, n = grams(pieces[a:b])
+        packed, first, n = grams(pieces[a:b], table)
         np.add.at(letters, owner[a:b], n)
         np.add.at(size, owner[a:b], np.diff(first))
         unique, at = np.unique(packed, return_inverse=True)
@@ -152,10 +175,11 @@ def entropies(models: list[Model], texts: list[str]) -> tuple[np.ndarray, np.nda
     return -total / np.maximum(size, 1)[:, None], size, letters
 
 
-def _counted(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+def _counted(rows: DataFrame, lang_col: str, text_col: str, letters: np.ndarray) -> DataFrame:
     """(lang, gram, n): top-order counts over all ``rows``."""
 
     def count(batches):
+        table = symbol_table(letters)
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def flush():
@@ -171,7 +195,7 @@ def _counted(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 own, _ = _pieces([texts[i] or "" for i in np.flatnonzero(langs == lang)])
                 sizes = np.concatenate(([0], np.cumsum([len(p) for p in own])))
                 for a, b in doc_chunks(sizes, CHUNK):
-                    codes, n = np.unique(grams(own[a:b])[0], return_counts=True)
+                    codes, n = np.unique(grams(own[a:b], table)[0], return_counts=True)
                     if lang in held:
                         both = np.concatenate((held[lang][0], codes))
                         weight = np.concatenate((held[lang][1], n))
@@ -189,19 +213,24 @@ def _counted(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class Identifier:
-    """Languages, their models, and the calibration."""
+    """Languages, their models, the letters that have a symbol, and the calibration."""
 
     langs: list[str]
     models: list[Model]
+    letters: np.ndarray
     temperature: float = 10.0
     spread: list[tuple[float, float, float]] | None = None    # by language: mean, variance, variance by 1/symbols
     bound: float = float("inf")
 
-    def predict(self, texts: list[str]):
+    def predict(self, texts: list[str], cache={}):  # noqa: B006
         """(language, score, rejected) lists."""
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        h, size, letters = entropies(self.models, texts)
+        key = self.letters.tobytes()
+        if key not in cache:
+            cache.clear()
+            cache[key] = symbol_table(self.letters)
+        h, size, letters = entropies(self.models, texts, cache[key])
         best = h.argmin(axis=1)
         low = h[np.arange(len(texts)), best]
         score = 1.0 / np.exp(-self.temperature * (h - low[:, None])).sum(axis=1)
@@ -240,7 +269,10 @@ class Identifier:
             fit = np.linalg.lstsq(design, square, rcond=None)[0] if len(n) > 2 else np.array([0.0, 1.0])
             self.spread.append((mean, max(float(fit[0]), 1e-3), max(float(fit[1]), 1.0)))
         away = self.deviation(h[np.arange(len(h)), right], right, size)
-        self.bound = max(LEAST_BOUND, float(np.quantile(away, BOUND_QUANTILE, method="lower")))
+        middle = float(np.median(away))
+        excess = away[away > middle] - middle
+        tail = middle + (float(excess.mean()) if len(excess) else 1.0) * np.log(0.5 / REJECTED)
+        self.bound = max(float(np.quantile(away, BOUND_QUANTILE, method="higher")), tail)
 
 
 def _usual(h: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -252,46 +284,31 @@ def _usual(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _most_frequent(counted: DataFrame, grams_total: int) -> DataFrame:
-    """About ``grams_total`` grams over all languages, the most frequent of each: whole
-    classes of log2(n) / 4 and, of the class where a language's share runs out, a part by
-    hash. The class sizes (a few hundred numbers a language) decide; nothing is sorted."""
-    level = F.floor(F.log2("n") * 4).cast("int")
-    classes = counted.groupBy("lang", level.alias("level")).agg(F.count("*").alias("size")).orderBy("lang", F.desc("level")).collect()
-    share = grams_total // max(1, len({r["lang"] for r in classes}))
-    cuts: dict[str, list] = {}
-    for r in classes:
-        cut = cuts.setdefault(r["lang"], [0, 0, 1.0])        # grams so far, level, part of that level
-        if cut[0] < share:
-            cuts[r["lang"]] = [cut[0] + r["size"], r["level"], min(1.0, (share - cut[0]) / r["size"])]
-    bounds = counted.sparkSession.createDataFrame([(k, v[1], v[2]) for k, v in cuts.items()], "lang string, cut int, part double")
-    at = F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) / 1_000_000
-    return (counted.join(F.broadcast(bounds), "lang")
-            .where((level > F.col("cut")) | ((level == F.col("cut")) & (at < F.col("part")))).select("lang", "gram", "n"))
-
-
 def fit_identifier(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   grams_total: int = GRAMS_TOTAL, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
+                   calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
     """Learn from all ``rows`` with a language."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col).cast("string")), F.lit(10))
-    counted = stage(_counted(rows.where(part != 0), lang_col, text_col), "grams")
-    kept = _most_frequent(counted, grams_total).toPandas()
+    drawn = F.xxhash64(F.lit("calibrate"), F.col(id_col).cast("string"))
+    part = F.pmod(drawn, F.lit(10))
+    letters = letters_of(rows.where(part != 0), text_col)
+    kept = _counted(rows.where(part != 0), lang_col, text_col, letters).toPandas()
     langs = sorted(kept["lang"].unique())
-    all_symbols = len(np.unique(kept["gram"].to_numpy(np.int64) & ((1 << BITS) - 1)))
-    models = [Model.fit(x["gram"].to_numpy(np.int64), x["n"].to_numpy(np.int64), all_symbols)
+    models = [Model.fit(x["gram"].to_numpy(np.int64), x["n"].to_numpy(np.int64), len(letters) + 1)
               for x in (kept[kept["lang"] == lang] for lang in langs)]
-    found = Identifier(langs, models)
-    sample = (rows.where(part == 0).where(F.col(lang_col).cast("string").isin(langs))
-              .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
-                      F.xxhash64(F.col(id_col).cast("string")).alias("at"))
-              .orderBy("at", F.xxhash64("text")).limit(calibration_rows).select("lang", "text"))
+    found = Identifier(langs, models, letters)
+    # About ``calibration_rows`` rows by hash, so that a task sends few more than its share.
+    there = rows.where(part == 0).count()
+    share = min(1.0, 1.1 * calibration_rows / max(there, 1))
+    sample = (rows.where((part == 0) & (F.pmod(F.shiftrightunsigned(drawn, 8), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
+              .where(F.col(lang_col).cast("string").isin(langs))
+              .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")))
+    table = symbol_table(letters)
 
     def measure(batches):
         for batch in parts(batches, 1):
-            h, size, letters = entropies(models, [t or "" for t in batch.column(1).to_pylist()])
+            h, size, n = entropies(models, [t or "" for t in batch.column(1).to_pylist()], table)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(h), pa.list_(pa.float64())), pa.array(size), pa.array(letters)],
+                [batch.column(0), pa.array(list(h), pa.list_(pa.float64())), pa.array(size), pa.array(n)],
                 names=["lang", "h", "size", "letters"])
 
     if langs:
