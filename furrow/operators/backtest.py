@@ -208,3 +208,22 @@ def leaderboard(scores: DataFrame, keys: Sequence[str], naive_model: str) -> Dat
     return out.select(*keys, "avg_rmse", "avg_mae", "n_folds",
                       (F.try_divide(F.col("_nv") - F.col("avg_rmse"), F.col("_nv")) * 100)
                       .alias("vs_naive_pct"))
+
+
+def period_label(periods: Sequence[tuple[str, int, int]]) -> Column:
+    """Name of the period (name, first year, last year) that the row's year lies in."""
+    label = F.lit(None).cast("string")
+    for name, low, high in reversed(list(periods)):
+        label = F.when(F.col("year").between(low, high), F.lit(name)).otherwise(label)
+    return label
+
+
+def period_coefficients(usable: DataFrame, features: Sequence[str], target: str, periods: Sequence[tuple[str, int, int]],
+                        keys: Sequence[str] = ("series",), min_rows: int = K.PERIOD_MIN_ROWS) -> DataFrame:
+    """(keys, period, n, idx, term, coef): least squares of each period of ``min_rows`` rows or more."""
+    rows = usable.withColumn("period", period_label(periods)).where(F.col("period").isNotNull())
+    design = rows.select(*keys, "period", F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
+                         F.col(target).cast("double").alias("y"))
+    coefs = linreg.least_squares(design, [*keys, "period"]).where(F.col("n") >= min_rows)
+    names = F.array(*[F.lit(t) for t in ["const", *features]])
+    return coefs.select(*keys, "period", "n", F.posexplode("beta").alias("idx", "coef")).withColumn("term", names[F.col("idx")])

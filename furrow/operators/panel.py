@@ -70,6 +70,18 @@ def price_points(prices: DataFrame, price_map: DataFrame, cfg: AnalysisConfig) -
              .where(F.col("fob_price").isNotNull() & F.col("week_ending").isNotNull()))
 
 
+def mostly_midpoints(prices: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """(report_date, commodity, mid): midpoint of the 'mostly' prices of reports not flagged organic."""
+    def number(c):
+        text = isinstance(prices.schema[c].dataType, T.StringType)
+        x = F.trim(F.col(c)).try_cast("double") if text else F.col(c).cast("double")
+        return F.nanvl(x, F.lit(None).cast("double"))
+
+    mid = (number("mostly_low_price") + number("mostly_high_price")) / 2.0
+    return (prices.where(F.coalesce(F.col("organic"), F.lit("N")) != cfg.organic_flag)
+            .select("report_date", "commodity", mid.alias("mid")).where(F.col("mid").isNotNull()))
+
+
 def prices_weekly(points: DataFrame, cfg: AnalysisConfig, names: Sequence[str] | None = None) -> DataFrame:
     """Mean, exact median and count over all reports plus the mean per commodity
     of ``names`` (else the configured ones; ``sources.names`` keeps a register of

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.config import AnalysisConfig
@@ -137,3 +137,12 @@ def persistence(df: DataFrame, keys: Sequence[str], col: str = "price") -> DataF
     """Lag-1 autocorrelation (Pearson correlation with the lag column)."""
     return df.groupBy(*keys).agg(F.corr(col, f"{col}_lag1").alias(f"{col}_lag1_corr"),
                                  F.count(F.col(f"{col}_lag1") * F.col(col)).alias("pairs"))
+
+
+def transition_split(dist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows in and out of transition weeks: their share, mean and sd of the price
+    change, mean coverage."""
+    g = dist.groupBy(*keys, "transition_week").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("dprice").alias("mean_dprice"),
+        F.stddev_samp("dprice").alias("sd_dprice"), F.avg("has_price").alias("mean_coverage"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow import config as K
 from furrow.config import AnalysisConfig
 from furrow.operators import backtest as B
 from furrow.operators import evaluate as E
@@ -60,7 +61,13 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
                 ("seasonal_profile", PR.seasonal_profile(main, by)),
                 ("price_share", PR.price_share(dist, by)),
                 ("volatile_years", E.volatile_years(main, by)),
-                ("extreme_year_profile", E.year_price_profile(main, by, cfg.extreme_year))):
+                ("extreme_year_profile", E.year_price_profile(main, by, cfg.extreme_year)),
+                ("shipment_profile", PR.feed_profile(feeds["shipments"], "week_ending", ["district", "commodity"])),
+                ("price_profile", PR.feed_profile(feeds["prices"], "report_date", ["district", "commodity"])),
+                ("price_rows_by_year", PR.rows_by_year(feeds["prices"], "report_date")),
+                ("weather_missing_days", PR.missing_days(feeds["weather"], "location", "date")),
+                ("early_late_change", PR.early_late_change(panel.mostly_midpoints(feeds["prices"], cfg), cfg.price_early_last,
+                                                           cfg.price_late_first))):
             out[name] = _save(table, out_dir, name)
     if "baseline" in stages:
         c, f = S.fit_specs(spark, S.with_log_price(main), S.baseline_specs(), ["series"], key)
@@ -78,6 +85,16 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
         out["fold_scores"] = _save(scores, out_dir, "fold_scores")
         out["leaderboard"] = _save(B.leaderboard(scores, ["series", "model"],
                                                  "Naive (price=lag1)"), out_dir, "leaderboard")
+        if trees:
+            ols, boosted = B.PRICE_MODELS[0], B.PRICE_MODELS[2]
+            out["ols_vs_boosted"] = _save(E.improvement(scores, ["series"], ols.name, boosted.name), out_dir, "ols_vs_boosted")
+            out["importances"] = _save(TR.importances(spark, usable, boosted, {"series": cfg.main_series}), out_dir, "importances")
+        # Extreme weather as indicators, as degree days, as both.
+        rows = B.complete_cases(main, B.EXTREME_SPECS + B.PRICE_MODELS, extra=["price_lag1", "dprice"])
+        naive = B.naive_predictions(rows, min_train=cfg.min_train_years).select(cols)
+        extreme = B.ols_backtest(rows, B.EXTREME_SPECS, min_train=cfg.min_train_years).select(cols).unionByName(naive)
+        out["extreme_weather_specs"] = _save(B.leaderboard(B.score(extreme, ["series", "model"]), ["series", "model"],
+                                                           "Naive (price=lag1)"), out_dir, "extreme_weather_specs")
     if "diagnostics" in stages:
         full = B.PRICE_MODELS[0]
         keys = ["series", "model"]
@@ -85,6 +102,9 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
         table = E.prediction_table(expanding, keys)
         out["predictions"] = _save(table, out_dir, "predictions")
         out["error_by_coverage"] = _save(E.error_by_coverage(table, keys), out_dir, "error_by_coverage")
+        out["error_by_coverage3"] = _save(E.error_by_coverage(table, keys, K.COVERAGE_BINS_3), out_dir, "error_by_coverage3")
+        out["period_coefficients"] = _save(B.period_coefficients(usable, full.features, full.target, cfg.periods), out_dir,
+                                           "period_coefficients")
         out["period_errors"] = _save(E.period_errors(table, keys, cfg.early_last_year), out_dir,
                                      "period_errors")
         out["partial_year"] = _save(E.partial_year_sensitivity(table, keys, cfg.partial_year),
@@ -100,6 +120,7 @@ def run(spark: SparkSession, feeds: dict[str, DataFrame], cfg: AnalysisConfig, o
                            cluster="district")
         out["district_coefficients"] = _save(c, out_dir, "district_coefficients")
         out["district_fit"] = _save(f, out_dir, "district_fit")
+        out["transition_split"] = _save(PR.transition_split(dist, ["series"]), out_dir, "transition_split")
     if "volume" in stages:
         c, f = S.fit_specs(spark, main, S.volume_specs(), ["series"], key)
         out["volume_coefficients"] = _save(c, out_dir, "volume_coefficients")

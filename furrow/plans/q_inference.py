@@ -8,10 +8,11 @@ from furrow import config as K
 from furrow.config import DRIVER as CFG
 from furrow.operators import backtest as B
 from furrow.operators import market
+from furrow.operators import profile as PR
 from furrow.operators import specs as S
 from furrow.plans import ols_sql as Q
 from furrow.plans import oracle as O
-from furrow.plans.q_models import BASE_SQL, board_sql, market_main, ols_scores_sql
+from furrow.plans.q_models import BASE_SQL, market_main, ols_scores_sql
 from furrow.plans.q_panel import build_panel
 from furrow.plans.registry import register
 from furrow.plans.spec import kinds
@@ -125,12 +126,7 @@ GROUP BY 1, 2"""
                                     "sd_dprice mean_coverage"), _TRANSITION_SQL)
 def q_transition_split(spark, sf_dir):
     """Δprice mean / sd and share of rows inside vs outside transition weeks."""
-    d = district_frame(spark, sf_dir)
-    from pyspark.sql import Window
-    g = d.groupBy("series", "transition_week").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dprice").alias("mean_dprice"),
-        F.stddev_samp("dprice").alias("sd_dprice"), F.avg("has_price").alias("mean_coverage"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("series")))
+    return PR.transition_split(district_frame(spark, sf_dir), ["series"])
 
 
 def _volume(spark, sf_dir):
@@ -177,21 +173,8 @@ FROM every JOIN f_n USING (g) JOIN {Q.terms_sql([("all", K.LEVEL_FEATURES)])} ON
 @register("period_coefficients", kinds("series:str period:str idx:int term:str coef"), _PERIOD_COEF_SQL)
 def q_period_coefficients(spark, sf_dir):
     """Full OLS refitted on three periods (periods under 30 rows skipped)."""
-    from furrow.operators import linreg
     from furrow.plans.q_models import usable_price
-    u = usable_price(spark, sf_dir)
-    label = F.lit(None).cast("string")
-    for name, lo, hi in reversed(CFG.periods):
-        label = F.when(F.col("year").between(lo, hi), F.lit(name)).otherwise(label)
-    u = u.withColumn("period", label).where(F.col("period").isNotNull())
-    feats = K.LEVEL_FEATURES
-    design = u.select("series", "period", F.array(*[F.col(c).cast("double") for c in feats]).alias("x"),
-                      F.col("price").alias("y"))
-    coefs = linreg.least_squares(design, ["series", "period"])
-    coefs = coefs.where(F.col("n") >= K.PERIOD_MIN_ROWS)
-    names = F.array(*[F.lit(t) for t in ["const"] + feats])
-    return coefs.select("series", "period", F.posexplode("beta").alias("idx", "coef")).withColumn(
-        "term", names[F.col("idx")])
+    return B.period_coefficients(usable_price(spark, sf_dir), K.LEVEL_FEATURES, "price", CFG.periods)
 
 
 def _variety(spark, sf_dir):
@@ -338,13 +321,6 @@ def q_variety_by_year(spark, sf_dir):
     return a.join(b, "year", "full")
 
 
-def _period_label():
-    label = F.lit(None).cast("string")
-    for name, lo, hi in reversed(CFG.periods):
-        label = F.when(F.col("year").between(lo, hi), F.lit(name)).otherwise(label)
-    return label
-
-
 _PERIOD_SQL = BASE_SQL + """,
 p AS (SELECT *, CASE """ + " ".join(f"WHEN year BETWEEN {lo} AND {hi} THEN '{n}'"
                                     for n, lo, hi in CFG.periods) + """ END AS period FROM usable)
@@ -357,14 +333,10 @@ FROM p WHERE period IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= """ + str(K.PER
 def q_period_slopes(spark, sf_dir):
     """Price ~ price_lag1 refitted on each period from the period's Gram
     (periods with fewer than 30 rows skipped)."""
-    from furrow.operators import linreg
     from furrow.plans.q_models import usable_price
-    u = usable_price(spark, sf_dir).withColumn("period", _period_label()).where(
-        F.col("period").isNotNull())
-    d = u.select("series", "period", F.array(F.col("price_lag1")).alias("x"), F.col("price").alias("y"))
-    c = linreg.least_squares(d, ["series", "period"])
-    return c.where(F.col("n") >= K.PERIOD_MIN_ROWS).select(
-        "series", "period", "n", F.col("beta")[0].alias("intercept"), F.col("beta")[1].alias("slope"))
+    c = B.period_coefficients(usable_price(spark, sf_dir), ["price_lag1"], "price", CFG.periods)
+    return c.groupBy("series", "period", "n").agg(F.max(F.when(F.col("idx") == 0, F.col("coef"))).alias("intercept"),
+                                                  F.max(F.when(F.col("idx") == 1, F.col("coef"))).alias("slope"))
 
 
 _SIGNS_SQL = "WITH " + O.panel_cte().lstrip() + O.market_cte(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.config import DRIVER as CFG
-from furrow.operators import market
+from furrow.operators import market, panel
 from furrow.operators import profile as P
 from furrow.plans import oracle as O
 from furrow.plans.q_panel import build_panel, feeds
@@ -93,11 +93,7 @@ FROM (SELECT report_date, commodity, (mostly_low_price + mostly_high_price) / 2.
 GROUP BY 1""")
 def q_early_late(spark, sf_dir):
     """Mean 'mostly' midpoint per commodity, early vs late years, % change."""
-    pr = feeds(spark, sf_dir)["prices"]
-    pts = (pr.where(F.coalesce(F.col("organic"), F.lit("N")) != CFG.organic_flag)
-             .select("report_date", "commodity",
-                     ((F.col("mostly_low_price") + F.col("mostly_high_price")) / 2.0).alias("mid"))
-             .where(F.col("mid").isNotNull()))
+    pts = panel.mostly_midpoints(feeds(spark, sf_dir)["prices"], CFG)
     return P.early_late_change(pts, CFG.price_early_last, CFG.price_late_first)
 
 

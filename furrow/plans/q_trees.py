@@ -11,6 +11,7 @@ from furrow.operators import backtest as B
 from furrow.operators import evaluate as E
 from furrow.operators import impute as I
 from furrow.operators import trees as TR
+from furrow.plans import ols_sql as Q
 from furrow.plans import oracle as O
 from furrow.plans.q_models import BASE_SQL, NAIVE, usable_price
 from furrow.plans.q_panel import build_panel
@@ -92,7 +93,14 @@ def q_feature_importance(spark, sf_dir):
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 15)
 
 
-@register("ols_importance", kinds("series:str model:str feature:str importance rank:int"))
+_OLS_IMPORTANCE_SQL = f"""{BASE_SQL},
+fitrows AS ({Q.rows_sql("usable", "series", "price", K.LEVEL_FEATURES)}),{Q.fit_ctes("f", "fitrows")}
+SELECT g AS series, '{B.PRICE_MODELS[0].name}' AS model, terms.term AS feature, abs(s.slope) AS importance,
+       row_number() OVER (PARTITION BY g ORDER BY abs(s.slope) DESC, terms.term) AS rank
+FROM f_slope s JOIN {Q.terms_sql([("all", K.LEVEL_FEATURES)])} ON terms.idx = s.i"""
+
+
+@register("ols_importance", kinds("series:str model:str feature:str importance rank:int"), _OLS_IMPORTANCE_SQL)
 def q_ols_importance(spark, sf_dir):
     """Absolute OLS coefficients as importance (full model on all usable rows)."""
     from furrow.operators import linreg

@@ -16,8 +16,11 @@ def test_pipeline_writes_all_tables(spark, tmp_path):
     out = run(spark, testmap.feeds(spark, SF), DRIVER, str(tmp_path), FAST_STAGES)
     for name in ("weekly_panel", "market_series", "leaderboard", "error_by_coverage",
                  "district_fit", "volume_leaderboard", "variety_fit", "volume_fit", "coverage_by_district",
-                 "seasonal_profile", "event_shares", "volatile_years", "summary_statistics"):
+                 "seasonal_profile", "event_shares", "volatile_years", "summary_statistics", "shipment_profile", "price_profile",
+                 "price_rows_by_year", "early_late_change", "extreme_weather_specs", "error_by_coverage3",
+                 "transition_split"):
         assert name in out and spark.read.parquet(out[name]).count() > 0, name
+    assert {"weather_missing_days", "period_coefficients"} <= set(out)
     # The panel table is partitioned by year.
     assert any(d.startswith("year=") for d in os.listdir(out["weekly_panel"]))
 
