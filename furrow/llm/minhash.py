@@ -12,10 +12,12 @@ First each class is checked against the smallest class of each of its band bucke
 the links' components are formed. A bucket that then still holds several components has
 its members outside its largest component compared with its members of other components
 by a longer signature (``LONG`` coordinates, one bit each), in blocks of ``BLOCK`` members
-a task (a pair in one bucket only); pairs that differ in at most ``FAR`` bits, four standard
-deviations below the bound, are checked on their full sets too: first each member's best
-one, which connects most, then all that are left between components. So every candidate
-pair is checked, already connected, or ruled out by its signature. Links give components by star contraction.
+a task (a pair only in the first bucket that its band keys share); pairs that differ in at
+most ``FAR`` bits, six standard deviations below the bound, are checked on their full sets
+too: first each member's best one, which connects most, then all that are left between
+components. So every candidate pair is checked, already connected, or ruled out by its
+signature, which loses a link at the bound with probability 1e-9. Links give components by
+star contraction.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing; fewer than ``SHINGLE_WORDS`` words are one shingle; repeated rows each give
@@ -37,7 +39,7 @@ from furrow.llm.components import components
 BANDS, ROWS = 32, 4
 PERCENT = 75
 LONG = 2048
-FAR = 315                     # bits that differ at similarity 0.75 less four standard deviations (0.692)
+FAR = 346                     # bits that differ at similarity 0.75 (256) and six standard deviations more
 BLOCK = 4096
 ROUNDS = (1, None)            # best pairs of a member in a block; None: all
 
@@ -82,7 +84,7 @@ def _sets(column):
 
 def _sketch(batches):
     for batch in parts(batches, 1):
-        n, d1, d2, keys, sigs = [], [], [], [], []
+        n, d1, d2, keys = [], [], [], []
         for s in _sets(batch.column(1)):
             n.append(len(s))
             m = mix(s ^ _DIGEST)
@@ -90,13 +92,12 @@ def _sketch(batches):
             d2.append(int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0)
             sig = signature(s)
             keys.append(band_keys(sig).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            sigs.append((sig & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
         size = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat, pa.int64())), pa.array(sigs, pa.binary())],
-            names=["id", "text_hash", "n", "d1", "d2", "keys", "sig"])
+             pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat, pa.int64()))],
+            names=["id", "text_hash", "n", "d1", "d2", "keys"])
 
 
 def _long(batches):
@@ -137,10 +138,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     rows = stage(texts.select("id", "text", "text_hash").mapInArrow(
-        _sketch, f"id {id_type}, text_hash bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary"), "sketches")
+        _sketch, f"id {id_type}, text_hash bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"), "sketches")
     classes = stage(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2")
-                    .agg(F.min(F.struct("id", "text_hash")).alias("r"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-                    .select("n", "d1", "d2", F.col("r.id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "keys", "sig"),
+                    .agg(F.min(F.struct("id", "text_hash")).alias("r"), F.first("keys").alias("keys"))
+                    .select("n", "d1", "d2", F.col("r.id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "keys"),
                     "classes")
     banded = classes.select("rep", "text_hash", "n", F.posexplode("keys").alias("band", "key"))
     shared = (banded.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rep", "text_hash", "n")).alias("lead"))
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _compare(batches, best: int | None):
     """Close pairs of a leader and a probe of other components, in the first band that
     they share, from bucket blocks (key, salt, band, rep, text_hash, n, component, leads,
-    probes, sig, bits); at most ``best`` a leader and block (more: there were others)."""
+    probes, keys, bits); at most ``best`` a leader and block (more: there were others)."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -187,7 +188,7 @@ def _compare(batches, best: int | None):
     del held
     key, salt, band, n, leads, probes = (table[c].to_numpy() for c in ("key", "salt", "band", "n", "leads", "probes"))
     rep, text_hash, part = (table[c].to_numpy() for c in ("rep", "text_hash", "component"))
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(key), -1)
+    keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(key), BANDS)
     bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(key), -1)
     order = np.lexsort((salt, key))
     new = np.ones(len(order), bool)
@@ -197,8 +198,7 @@ def _compare(batches, best: int | None):
         step = max(1, (1 << 16) // max(1, len(probe)))
         for at in range(0, len(lead), step):
             some = lead[at:at + step]
-            same = sig[some][:, None, :] == sig[probe][None, :, :]
-            first = same.reshape(len(some), len(probe), BANDS, ROWS).all(axis=3).argmax(axis=2)
+            first = (keys[some][:, None, :] == keys[probe][None, :, :]).argmax(axis=2)
             low, high = np.minimum(n[some][:, None], n[probe]), np.maximum(n[some][:, None], n[probe])
             differ = np.bitwise_count(bits[some][:, None, :] ^ bits[probe][None, :, :]).sum(axis=2, dtype=np.int64)
             good = ((differ <= FAR) & (first == band[some][:, None]) & (100 * low >= PERCENT * high)
@@ -235,7 +235,7 @@ def _close_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, found
     bits = (texts.select(F.col("id").alias("rep"), "text_hash", "text")
             .join(rows.select("rep", "text_hash").distinct(), ["rep", "text_hash"], "left_semi")
             .mapInArrow(_long, f"rep {id_type}, text_hash bigint, bits binary"))
-    signed = classes.select("rep", "text_hash", "sig").join(bits, ["rep", "text_hash"])
+    signed = classes.select("rep", "text_hash", "keys").join(bits, ["rep", "text_hash"])
     blocks = one.union(dealt).union(sent).join(stage(signed, "signed"), ["rep", "text_hash"])
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return blocks.repartition(tasks, "key", "salt").mapInArrow(
