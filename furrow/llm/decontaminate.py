@@ -12,8 +12,9 @@ The benchmark is the query set. It is read in blocks of at most ``BLOCK_ITEMS_BY
 of text (one block unless it is larger) and only one block is sent to the tasks at
 a time; documents pass each block in turn, so none of its items is dropped.
 
-Defined results: null or wordless texts have no words and are clean; null item ids
-and items without words match nothing; repeated items with one id count once;
+Defined results: null or wordless texts have no words and are clean; items without
+words match nothing; items of a null id hit like others, count as one item together and
+have no id to list; repeated items with one id count once;
 repeated rows each give a row; empty tables give clean or empty results; other
 columns of either table are ignored (and kept by ``drop_contaminated``).
 """
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import ALNUM, SHINGLE_WORDS, Words, doc_chunks, parts, runs_hash, utf8
+from furrow.llm.common import ALNUM, SHINGLE_WORDS, Words, doc_chunks, parts, runs_hash, unused, utf8
 
 WINDOW_WORDS = 10
 BLOCK_ITEMS_BYTES = 1 << 20
+ADDED = ("_words", "_spans", "_items")
 _FILTER_BITS = 20
 
 
@@ -187,7 +189,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
     """Blocks of (item, text) of at most ``limit`` bytes, an item at least."""
     rows = (benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-            .where(F.col("i").isNotNull() & F.col("t").isNotNull()).distinct())
+            .where(F.col("t").isNotNull()).distinct())
     block, size = [], 0
     for r in rows.toLocalIterator():
         n = len(r["t"].encode())
@@ -202,15 +204,14 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                     item_text_col: str = "text", window: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS,
-                    block_bytes: int = BLOCK_ITEMS_BYTES) -> DataFrame:
-    """``docs`` (the text column first) plus _words: number of words, _spans:
-    merged hit word ranges [start, end) flattened, _items: ids of the items with
-    an occurring window."""
-    columns = [text_col, *(c for c in docs.columns if c != text_col and c not in ("_words", "_spans", "_items"))]
+                    block_bytes: int = BLOCK_ITEMS_BYTES, names: tuple[str, str, str] = ADDED) -> DataFrame:
+    """``docs`` (the text column first) plus the columns ``names``: number of words,
+    merged hit word ranges [start, end) flattened, ids of the items with an occurring
+    window. Columns of ``docs`` with these names are replaced."""
+    columns = [text_col, *(c for c in docs.columns if c != text_col and c not in names)]
     texts = docs.select(F.col(text_col).cast("string"))
-    rows = docs.select(*columns).withColumns({
-        "_words": F.lit(0).cast("bigint"), "_spans": F.array().cast("array<bigint>"),
-        "_items": F.array().cast("array<string>")})
+    rows = docs.select(*columns).withColumns(dict(zip(names, (
+        F.lit(0).cast("bigint"), F.array().cast("array<bigint>"), F.array().cast("array<string>")), strict=True)))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
     found = False
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
@@ -237,8 +238,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, all columns kept."""
-    rows = match_benchmark(docs, benchmark, text_col, **options)
-    return rows.where(F.size("_spans") == 0).select(*docs.columns)
+    names = tuple(unused(docs.columns, name) for name in ADDED)
+    rows = match_benchmark(docs, benchmark, text_col, names=names, **options)
+    return rows.where(F.size(names[1]) == 0).select(*docs.columns)
 
 
 ORACLE = r"""
