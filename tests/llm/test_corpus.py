@@ -111,18 +111,39 @@ def test_frequent_passage_spreads_over_buckets(spark):
     assert got == _plain_removed(_texts(docs))
 
 
+def test_frequent_line_between_unique_texts(spark, monkeypatch):
+    """Many buckets, one line of 130 bytes: its anchor's runs reach into unique neighbours, whose
+    blocks of windows are dropped by their cores; repeats inside a task and between tasks."""
+    rnd = np.random.default_rng(6)
+    line = "a license line that stands in every document of the table, word for word, with more than one hundred bytes " + "and an end of it"
+    word = lambda: "".join(chr(97 + int(c)) for c in rnd.integers(0, 26, 9))
+    rows = [(i, " ".join(word() for _ in range(12)) + line + (" shared tail of a few documents" if i % 5 == 0 else "") + " ".join(word() for _ in range(12)))
+            for i in range(400)]
+    rows += [(500 + i, line[:105] if i % 2 else line) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(substring, "SAMPLE_ROWS", 400)
+    made = []
+    real = substring._wide_repeats
+    monkeypatch.setattr(substring, "_wide_repeats", lambda runs, length: made.append(runs.count()) or real(runs, length))
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        got = {r.doc_id: tuple(r[1:]) for r in remove_repeats(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == _plain_removed(_texts(docs)) and made[0] > 100
+
+
 def test_runs_cover_all_windows_and_order_is_lexicographic():
     rnd = np.random.default_rng(1)
     raw = rnd.integers(97, 99, 3000).astype(np.uint8)
     starts = np.array([0, 0, 50, 900, 1000, 3000])
-    first, last, place, gram, content = anchored_runs(raw, starts, 100)
+    first, last, place, gram, content, check = anchored_runs(raw, starts, 100)
+    assert len(set(zip(content.tolist(), check.tolist()))) == len({bytes(raw[a:b + 100]) for a, b in zip(first, last, strict=True)})
     windows = [p for a, b in zip(first, last, strict=True) for p in range(a, b + 1)]
     assert windows == [p for a, b in zip(starts[:-1], starts[1:], strict=True) for p in range(a, b - 99)]
     assert (place >= last).all() and (place + 32 <= first + 100).all()
     keys = [rnd.integers(0, 4, 2000) for _ in range(4)]
     assert (multikey_order(keys) == np.lexsort(keys[::-1])).all()
-    assert substring._across({0: [(1, 1, 1, 1), (2, 2, 5, 1)], 1: [(2, 2, 5, 1), (2, 2, 5, 1)], 2: [(2, 2, 6, 1), (3, 3, 1, 1)]}) == (
-        {1}, {(2, 2): True})
 
 
 # ---- MinHash
@@ -347,6 +368,43 @@ def test_mix_reaches_its_targets(spark, odd, sf, table):
     assert again == {(r.doc_id, r.size, r.taken) for r in rows}
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    """Many sources with the same sizes: documents of a size are included as often as p says."""
+    sizes = [1, 2, 3, 5, 8, 13, 40]
+    rows = [(s * 100 + i, " ".join(["w"] * n), f"s{s:04d}") for s in range(600) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs, weights=(1, 3), keep_text=False).collect()
+    whole = {r.doc_id // 100: int(r.target // r.source_size) for r in got}
+    assert {r.target / r.source_size for r in got} == {0.5, 1.5}
+    # Half of 72 words: 40 is more than half, so it is certain at c = 36 / sum of squares; worked out by hand.
+    left, sure, rest = sizes[:], [], 36.0
+    while left and rest * max(left) >= sum(x * x for x in left):
+        sure.append(max(left))
+        rest -= max(left)
+        left.remove(max(left))
+    c = rest / sum(x * x for x in left) if rest > 0 else 0.0
+    if rest <= 0:       # the certain one alone passes the target: it is taken in part, the others never
+        want = {n: (36 / 40 if n == 40 else 0.0) for n in sizes}
+    else:
+        want = {n: 1.0 if n in sure else c * n for n in sizes}
+    for n in sizes:
+        share = [(r.taken - whole[r.doc_id // 100] * r.size) / r.size for r in got if r.size == n]
+        assert abs(np.mean(share) - want[n]) < 0.08, (n, np.mean(share), want[n])
+    even = [(s * 100 + i, " ".join(["w"] * n), f"s{s:04d}") for s in range(600) for i, n in enumerate([2, 2, 4, 4, 6, 6])]
+    got = mix_sources(spark.createDataFrame(even, docs.schema), weights=(1, 3), keep_text=False).collect()
+    for n in (2, 4, 6):     # c = 12 / 112
+        share = [(r.taken - int(r.target // r.source_size) * r.size) / r.size for r in got if r.size == n]
+        assert abs(np.mean(share) - 12 / 112 * n) < 0.06, (n, np.mean(share))
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["_id", "_rank", "_open", "_size", "_one", "__in0", "a.b"]
+    docs = spark.createDataFrame([(i, "one two three", "s", *(f"{n}{i}" for n in names)) for i in range(20)],
+                                 ["doc_id", "text", "source", *names])
+    for r in mix_sources(docs).collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names)
+
+
 def test_mix_of_no_rows_and_of_empty_texts(spark, nothing):
     assert mix_sources(nothing).count() == 0
     empty = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string")

@@ -4,6 +4,7 @@ language, quality."""
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,8 @@ from furrow.llm import secrets
 from furrow.llm.boosting import fit_boosted
 from furrow.llm.common import NOT_SPACE, Words, runs_hash
 from furrow.llm.decontaminate import contamination, drop_contaminated
-from furrow.llm.language import Identifier, Model, entropies, fit_identifier, grams, identify_documents, keep_identified, predict_language
+from furrow.llm.language import (
+    BITS, Identifier, Model, entropies, fit_identifier, grams, identify_documents, keep_identified, predict_language, symbol_table)
 from furrow.llm.quality import fit_quality, score_quality
 from furrow.llm.token_counts import length_counter, pieces, token_counts
 
@@ -62,6 +64,15 @@ def test_token_counts_are_those_of_the_json_library(spark, odd, counted, sf):
     assert got == {r.doc_id: count([r.text or ""])[0] for r in docs.collect()}
 
 
+def test_rank_file_counts_every_code_point_like_the_library():
+    count = length_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = length_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL)
+    rnd = random.Random(11)
+    every = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(c + rnd.choice(["", " ", "a", "1", ".", "'s", "\n"]) for c in every[i:i + 200]) for i in range(0, len(every), 200)]
+    assert ranks(texts) == count(texts)
+
+
 def test_pieces_keep_counts_and_sentencepiece_counts_whole_texts(spark, odd):
     count = length_counter(public_tokenizers.path("byte_bpe_50k.json"))
     for r in odd.collect():
@@ -128,7 +139,7 @@ def _plain_contamination(docs, items):
         w = split(text)
         size = min(10, len(w))
         for i in range(len(w) - size + 1 if size else 0):
-            windows.setdefault(tuple(w[i:i + size]), set()).add(str(item))
+            windows.setdefault(tuple(w[i:i + size]), set()).add(None if item is None else str(item))
     out = []
     for doc_id, text in docs:
         w, hit, found = split(text), set(), set()
@@ -137,10 +148,17 @@ def _plain_contamination(docs, items):
                 if tuple(w[i:i + size]) in windows:
                     hit |= set(range(i, i + size))
                     found |= windows[tuple(w[i:i + size])]
-        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
 
+def test_dropping_keeps_columns_of_any_name(odd, spark):
+    bench = spark.createDataFrame([(None, "one two"), (1, "nothing like it")], "item_id long, text string")
+    kept = {r.doc_id: r for r in drop_contaminated(odd.withColumns({"_spans": F.lit("s"), "_ITEMS": F.lit(5)}), bench).collect()}
+    assert 12 not in kept and 13 not in kept and len(kept) > 10
+    assert all((r._words, r._spans, r._ITEMS) == ("w", "s", 5) for r in kept.values())
+
+
 COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -151,7 +169,7 @@ def test_contamination_against_plain_search(spark, odd, nothing, block):
              (6, "word " * 12), (10, "zzz é"), (7, "Ünïcode ç")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = contamination(odd, bench, block_bytes=block)
-    want = _plain_contamination([(r.doc_id, r.text) for r in odd.collect()], [i for i in items if i[0] is not None])
+    want = _plain_contamination([(r.doc_id, r.text) for r in odd.collect()], items)
     assert _rows(got, *COLUMNS) == want
     clean = drop_contaminated(odd, bench, block_bytes=block)
     assert clean.schema.names == odd.schema.names
@@ -163,12 +181,53 @@ def test_contamination_against_plain_search(spark, odd, nothing, block):
 # ---- language
 
 def test_model_is_a_distribution_and_lookup_matches_recursion():
-    packed, _, _ = grams(["abracadabra banana", "abba"])
+    table = symbol_table(np.array(sorted(map(ord, "abcdefghijklmnopqrstuvwxyz"))))
+    texts = ["abracadabra banana", "abba", "xyz abc"]
+    packed, _, _ = grams(texts, table)
     model = Model.fit(*np.unique(packed, return_counts=True), symbols=30)
-    context = int(packed[5]) >> 12
-    symbols = [0, *map(ord, "abcdefghijklmnopqrstuvwxyz"), 300, 301, 302, 303]
-    total = np.exp(model.logprob(np.array([(context << 12) | s for s in symbols]))).sum()
-    assert total == pytest.approx(1.0, abs=1e-9)
+    for context in sorted({int(p) >> BITS for p in packed}):
+        total = np.exp(model.logprob(np.array([(context << BITS) | s for s in range(31)]))).sum()
+        assert total == pytest.approx(1.0, abs=1e-9)
+    # The recursion, spelled out over tuples of symbols.
+    def split(p, n):
+        return tuple((p >> (BITS * j)) & ((1 << BITS) - 1) for j in reversed(range(n)))
+
+    counts = Counter(split(int(p), 4) for p in packed)
+    orders = [counts]
+    while len(next(iter(orders[0]))) > 1:
+        orders.insert(0, Counter(g[1:] for g in orders[0]))
+
+    def plain(gram):
+        p = 1.0 / 31
+        for n, known in enumerate(orders, 1):
+            own = gram[4 - n:]
+            ones, twos = (sum(v == k for v in known.values()) for k in (1, 2))
+            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+            same = [v for g, v in known.items() if g[:-1] == own[:-1]]
+            if same:
+                p = max(known[own] - discount, 0) / sum(same) + discount * len(same) / sum(same) * p
+        return p
+
+    probe = np.concatenate((np.unique(packed), (packed[:10] & ~((1 << BITS) - 1)) | 7))
+    for p, got in zip(probe, np.exp(model.logprob(probe)), strict=True):
+        assert got == pytest.approx(plain(split(int(p), 4)), rel=1e-9)
+
+
+def test_every_letter_has_its_own_symbol():
+    letters = np.array(sorted(map(ord, "abc中文字ñß")))
+    table = symbol_table(letters)
+    assert len(set(table[letters].tolist())) == len(letters) and table[ord("д")] == 1 and table[ord("!")] == 0
+    packed, _, n = grams(["中文", "文中"], table)
+    assert len(set(packed.tolist())) == 4 and n.tolist() == [2, 2]
+
+
+def test_counts_are_whole(spark):
+    """Grams seen once stay in the models, whatever their number."""
+    docs = spark.createDataFrame([(i, f"{'abcdefghij'[i % 10]}q{'klmnopqrst'[i // 10]}z", "en") for i in range(100)], "doc_id long, text string, lang string")
+    found = fit_identifier(docs)
+    learned = docs.where(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id").cast("string")), F.lit(10)) != 0)
+    packed = np.concatenate([grams([r.text], symbol_table(found.letters))[0] for r in learned.collect()])
+    assert np.array_equal(found.models[0].orders[-1][0], np.unique(packed))
 
 
 def test_language_of_held_out_rows_and_odd_rows(spark, odd, nothing, sf):
@@ -190,17 +249,19 @@ def test_language_of_held_out_rows_and_odd_rows(spark, odd, nothing, sf):
     assert keep_identified(strange, identifier).count() == 0
     assert predict_language(nothing, identifier).count() == 0
     assert fit_identifier(nothing).langs == []
-    assert {r.lang_pred for r in predict_language(odd, Identifier([], [])).collect()} == {"und"}
+    assert {r.lang_pred for r in predict_language(odd, Identifier([], [], np.zeros(0, np.int64))).collect()} == {"und"}
 
 
 def test_mislabelled_calibration_rows_do_not_loosen_the_rejection():
     rnd = random.Random(3)
     text = lambda letters: " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 6))) for _ in range(80))
     alphabets = ["aaabbcde", "ttuuuvwx"]
-    models = [Model.fit(*np.unique(grams([text(a) for _ in range(200)])[0], return_counts=True), 17) for a in alphabets]
+    letters = np.array(sorted(map(ord, set("".join(alphabets)))))
+    table = symbol_table(letters)
+    models = [Model.fit(*np.unique(grams([text(a) for _ in range(200)], table)[0], return_counts=True), 17) for a in alphabets]
     rows = [(text(alphabets[i % 2]), i % 2 if i % 101 else 1 - i % 2) for i in range(2020)]     # 1 % carry the other's label
-    identifier = Identifier(["a", "t"], models)
-    h, size, _ = entropies(models, [t for t, _ in rows])
+    identifier = Identifier(["a", "t"], models, letters)
+    h, size, _ = entropies(models, [t for t, _ in rows], table)
     identifier.calibrate(h, size, np.array([x for _, x in rows]))
     assert identifier.predict([text("ghijklmn") for _ in range(50)])[2].all()
     assert identifier.predict([t for t, _ in rows])[2].mean() <= 0.002
@@ -214,6 +275,14 @@ def test_trees_learn_a_planted_rule_and_traverse_flat_arrays():
     y = ((x[:, 0] > 0.4) ^ (x[:, 3] > 0.7)).astype(float)
     model = fit_boosted(x[:2000], y[:2000], trees=60)
     assert ((model.score(x[2000:]) > 0.5) == (y[2000:] == 1)).mean() > 0.95
+    for row, got in zip(x[2000:2050], model.score(x[2000:2050]), strict=True):       # a plain walk of the trees
+        margin = model.base
+        for feature, threshold, value in zip(model.feature, model.threshold, model.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > threshold[node])
+            margin += value[node - len(feature)]
+        assert got == pytest.approx(1 / (1 + np.exp(-margin)))
     assert fit_boosted(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
     one = fit_boosted(x[:10], np.ones(10))
     assert (one.score(x) > 0.9).all()
