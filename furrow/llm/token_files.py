@@ -42,11 +42,12 @@ from furrow.session import ensure_checkpoint_dir
 
 LENGTH = 2048             # ids of a sequence
 BATCH_ROWS = 64           # sequences of a record batch
-SHARD_BYTES = 128 << 20   # text of a file
+SHARD_BYTES = 64 << 20    # text of a file
 SHARDS_A_BLOCK = 1000
 KEPT_PIECES = 1 << 19     # pieces whose ids a worker keeps
 PIECE_BYTES = 64          # longer pieces aren't kept
 JOINED = 500              # words encoded at once
+PART_BYTES = 2 << 20      # text encoded at once
 
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
@@ -259,7 +260,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         number = np.uint16 if narrow else np.uint32
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:07d}-{uuid.uuid4().hex}.arrow"
-        for batch in parts(batches, 1):
+        for batch in parts(batches, 1, PART_BYTES):
             if writer is None:
                 files, name = pa.fs.FileSystem.from_uri(folder)
                 files.create_dir(name, recursive=True)
