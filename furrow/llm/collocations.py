@@ -37,6 +37,8 @@ COVER_PERCENT = 50
 SCALE = 1_000_000
 BLOCK_BYTES = 8 << 20     # text of a block
 PASS_BYTES = 2 << 20      # text hashed at once
+PARTITION_BYTES = 128 << 20   # text of a partition of the second pass, where there are more than shuffle partitions
+SALTS = 16
 RANGE_BYTES = 4 << 20     # text a range of fingerprints stands for; a word and its phrases take about four bytes each
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -300,7 +302,8 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     both = (sent.withColumn("cut", F.lit(32 - bits))
             .unionByName(base.select("block", "lang", "data"), allowMissingColumns=True)
             .select("block", "range", "lang", "data", "prints", "cut"))
-    dealt = both.repartition("block").sortWithinPartitions("block", F.col("range").asc_nulls_last())
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    dealt = both.repartition(tasks, "block").sortWithinPartitions("block", F.col("range").asc_nulls_last())
     counts = dealt.mapInArrow(_materialise, "lang string, phrase string, n bigint")
     exact = (counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= MIN_COUNT)
              .withColumn("words", F.size(F.split("phrase", " "))))
@@ -330,8 +333,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     kept = (scored.join(longer, ["lang", "phrase"], "left")
             .where(F.col("longer").isNull() | (100 * F.col("longer") < COVER_PERCENT * F.col("a")))
             .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    # First within parts of a language, so that the last ranking reads SALTS * top rows of it at most.
+    kept = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
