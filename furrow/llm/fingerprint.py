@@ -33,6 +33,8 @@ HASHES, ROW_CELLS = 3, 8
 LOAD = 10
 ROUNDS = 6
 PRINT_ROW_CELLS = 4
+RANGE_BYTES = 256 << 20      # text of a range of ids
+MOST_RANGES = 10_000         # cuts that fit an expression; beyond, ranges grow (and their sort spills)
 _SEED_CHECK, _SEED_PRINT, _SEED_SPLIT, _SEED_CELLS = 11, 12, 1000, 2000
 
 
@@ -181,9 +183,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next) for every row of ``docs``; the edited text has its last half replaced by
     as many first code points of the next document. ``id_col`` holds integers."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.select("_id", F.coalesce("_id", F.lit(-(1 << 63))).alias("_key"), F.xxhash64("text").alias("_hash"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES + 1))
     rows = _with_next(texts, buckets).withColumn("n_chars", F.char_length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     size = F.col("n_chars").cast("int")
