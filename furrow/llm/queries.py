@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import collocations as phrases
-from furrow.llm import decontaminate, minhash, mixing
+from furrow.llm import decontaminate, minhash, mixing, substring
 from furrow.llm.conversations import damage, repair_conversations
 from furrow.llm.decontaminate import contamination
 from furrow.llm.fingerprint import fingerprints
@@ -129,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_substring_dedup": substring.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
     "op7_minhash": minhash.ORACLE,
     "op10_mixing": mixing.ORACLE,

@@ -476,3 +476,32 @@ def _finish(length: int):
                 names=["id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return finish
+
+
+# For tables whose ids are unique and not null; bytes as two hex digits each.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+chunk AS (                       -- 100 window starts each
+  SELECT doc_id, j, substr(h, CAST(200 * j + 1 AS BIGINT), 398) AS c
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0), 100)) // 100 AS j FROM d)),
+w AS (
+  SELECT doc_id, 100 * j + k AS s, md5_number(substr(c, CAST(2 * k + 1 AS BIGINT), 200)) AS win
+  FROM (SELECT doc_id, j, c, unnest(range(0, least(100, len(c) // 2 - 99))) AS k FROM chunk)),
+late AS (                        -- windows that start earlier, too
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS nth FROM w) WHERE nth > 1),
+run AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS b
+  FROM (SELECT doc_id, s, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS r
+        FROM (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 100, true) AS new FROM late))
+  GROUP BY doc_id, r),
+kept AS (
+  SELECT doc_id, a AS stop, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM run
+  UNION ALL SELECT d.doc_id, len(any_value(h)) // 2, coalesce(max(b), 0) FROM d LEFT JOIN run USING (doc_id) GROUP BY d.doc_id),
+rest AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * start + 1 AS BIGINT), CAST(2 * (stop - start) AS BIGINT)), '' ORDER BY start, stop) AS h
+  FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+total AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(rest.h)) AS kept_sha256
+FROM d JOIN rest USING (doc_id) LEFT JOIN total USING (doc_id)
+"""

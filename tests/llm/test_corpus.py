@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from furrow.llm import minhash, passages, substring
+from furrow.llm import fingerprint, minhash, passages, substring
 from furrow.llm.common import mix
 from furrow.llm.components import components
 from furrow.llm.fingerprint import PIECE_CHARS, fingerprints
@@ -59,6 +59,19 @@ def test_fingerprints_recover_the_differences(spark, odd, sf, table):
     assert len(got) == len(rows)
 
 
+def test_fingerprints_do_not_depend_on_the_ranges(spark, sf, odd, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for table in (docs, odd):
+        few = sorted(map(str, fingerprints(table).collect()))
+        monkeypatch.setattr(fingerprint, "RANGE_BYTES", 4_000)
+        made = []
+        real = fingerprint._with_next
+        monkeypatch.setattr(fingerprint, "_with_next", lambda texts, n: made.append(n) or real(texts, n))  # noqa: B023
+        assert sorted(map(str, fingerprints(table).collect())) == few
+        assert made[0] > 8 or table is odd
+        monkeypatch.undo()
+
+
 def test_fingerprints_of_repeated_null_and_no_rows(odd, nothing):
     rows = fingerprints(odd).collect()
     assert len(rows) == odd.count()
@@ -99,6 +112,19 @@ def test_removed_bytes_against_plain_search(spark, odd, nothing, buckets):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_removed_bytes_equal_those_of_the_sql(spark, sf):
+    import duckdb
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    assert sorted(tuple(r) for r in remove_repeats(docs).collect()) == sorted(con.execute(substring.ORACLE).fetchall())
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (3, repeat('ab', 80)), (1, NULL), (2, ''), "
+                "(7, repeat('é', 70)), (9, repeat('x', 99)), (11, repeat('é', 60) || repeat('ab', 51))) t(doc_id, text)")
+    few = spark.createDataFrame(con.execute("SELECT * FROM documents").fetchall(), "doc_id long, text string")
+    assert sorted(tuple(r) for r in remove_repeats(few).collect()) == sorted(con.execute(substring.ORACLE).fetchall())
+
+
 def test_frequent_passage_spreads_over_buckets(spark):
     """One passage in most documents, with other neighbours: its anchors span buckets."""
     passage = "the same passage in very many documents with enough bytes to hold several anchors of thirty two bytes each, " * 3
