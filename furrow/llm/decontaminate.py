@@ -9,8 +9,9 @@ offset), the window must fit between the document's first and last word
 (positional and length bounds), and then its words are compared byte by byte.
 
 The benchmark is the query set. It is read in blocks of at most ``BLOCK_ITEMS_BYTES``
-of text (one block unless it is larger) and only one block is sent to the tasks at
-a time; documents pass each block in turn, so none of its items is dropped.
+of text (one block unless it is larger), one at a time on the driver; documents pass
+each block in turn, so none of its items is dropped. All blocks travel with the plan, and
+a benchmark of many blocks has the texts split into words once a block.
 
 Defined results: null or wordless texts have no words and are clean; items without
 words match nothing; items of a null id hit like others, count as one item together and
