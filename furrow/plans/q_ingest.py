@@ -111,12 +111,10 @@ def q_ingest_roundtrip(spark, sf_dir):
         F.upper("region").alias("region"), F.upper("origin").alias("origin"), "district",
         "commodity", F.col("volumes").cast("string").alias("volumes"),
         F.concat_ws("-", "order_key", "line_no").alias("report")]
-    # Part files range-partitioned and sorted by report, so the file order of
-    # repeated reports is defined by their content (origin, volume).
-    order = ["order_key", "line_no", "week_ending", "district", "commodity", "origin", "volumes"]
+    order = ["week_ending", "district", "commodity", "origin", "volumes"]
     for part, cols, path in ((r.where(y <= cut), old_cols, f"{base}/old"),
                              (r.where(y >= cut), new_cols, f"{base}/new")):
-        (part.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols)
+        (FD.in_report_order(part, ["order_key", "line_no"], order).select(*cols)
              .write.mode("overwrite").option("header", True).csv(path))
     a = FD.read_shipments_positional(spark, f"{base}/old", source_rank=0, extra=["report"])
     b = FD.read_shipments_named(spark, f"{base}/new", source_rank=1, extra=["report"])

@@ -35,6 +35,13 @@ def file_order():
                     F.monotonically_increasing_id().alias("pos"))
 
 
+def in_report_order(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of one report are in one partition, sorted by ``order``, so the file order of
+    repeated reports is defined by their content. By hash: ranges would take a pass over
+    all that ``rows`` are made from, for a sample of their keys."""
+    return rows.repartition(*key).sortWithinPartitions(*key, *order)
+
+
 # ------------------------------------------------------------- shipments
 
 def csv_reader(spark: SparkSession, multi_line: bool):

@@ -165,3 +165,25 @@ def test_shipment_readers_keep_quoted_text(spark, tmp_path):
                     '2024-01-02,"WEST, ""UPPER""",CA,D1,Lettuce,5\n')
     r = feeds.read_shipments_named(spark, str(path)).collect()
     assert len(r) == 1 and r[0]["volumes"] == 5.0 and r[0]["district"] == "D1"
+
+
+def test_reports_are_dealt_without_a_pass_for_ranges(spark):
+    rows = [(i % 40, 1, f"{v}") for i in range(200) for v in (i * 7 % 13,)]
+    reports = spark.createDataFrame(rows, "order_key long, line_no int, origin string").repartition(6)
+    dealt = feeds.in_report_order(reports, ["order_key", "line_no"], ["origin"])
+    assert "rangepartitioning" not in dealt._jdf.queryExecution().toString()
+    at = [(r.order_key, r.part, r.pos, r.origin) for r in dealt.select(
+        "*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")).collect()]
+    for key in range(40):
+        own = sorted((x for x in at if x[0] == key), key=lambda x: x[2])
+        assert len({x[1] for x in own}) == 1 and [x[3] for x in own] == sorted(x[3] for x in own)
+    assert len(at) == 200
+
+
+def test_ingest_roundtrip_writes_without_ranges(spark, monkeypatch):
+    from furrow.plans import q_ingest
+    dealt = []
+    ordered = feeds.in_report_order
+    monkeypatch.setattr(feeds, "in_report_order", lambda *a: dealt.append(ordered(*a)) or dealt[-1])
+    q_ingest.q_ingest_roundtrip(spark, "/root/testdata/sf0.001")
+    assert len(dealt) == 2 and not any("rangepartitioning" in d._jdf.queryExecution().toString() for d in dealt)
