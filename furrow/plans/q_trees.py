@@ -121,7 +121,8 @@ def q_ols_importance(spark, sf_dir):
 # ------------------------------------------------------ missing prices
 
 def _impute_frame(spark, sf_dir):
-    return materialize(I.imputation_frame(build_panel(spark, sf_dir), CFG))
+    # The panel is read twice, for its districts and for its rows; the feeds only once.
+    return materialize(I.imputation_frame(materialize(build_panel(spark, sf_dir)), CFG))
 
 
 @register("impute_backtest", kinds("series:str year:int n:int ols_rmse ols_mae boost_rmse boost_mae"))

@@ -187,3 +187,13 @@ def test_ingest_roundtrip_writes_without_ranges(spark, monkeypatch):
     monkeypatch.setattr(feeds, "in_report_order", lambda *a: dealt.append(ordered(*a)) or dealt[-1])
     q_ingest.q_ingest_roundtrip(spark, "/root/testdata/sf0.001")
     assert len(dealt) == 2 and not any("rangepartitioning" in d._jdf.queryExecution().toString() for d in dealt)
+
+
+def test_the_feeds_are_read_once_for_the_imputation_frame(spark, monkeypatch):
+    from furrow.operators import impute
+    from furrow.plans import q_trees
+    seen = []
+    frame = impute.imputation_frame
+    monkeypatch.setattr(impute, "imputation_frame", lambda panel, *a: seen.append(panel) or frame(panel, *a))
+    q_trees._impute_frame(spark, "/root/testdata/sf0.001")
+    assert "parquet" not in seen[0]._jdf.queryExecution().executedPlan().toString().lower()
