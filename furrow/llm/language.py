@@ -9,13 +9,14 @@ sorted by packed code) grow with the distinct grams of ``ORDER`` symbols that th
 corpus holds, not with its rows; the alphabet bounds them. A text gets the language of
 least cross-entropy by symbol.
 
-Calibration uses a tenth of the training rows that no model is fitted on (about
-``CALIBRATION_ROWS`` of them, drawn by hash): the temperature of the score (likelihood of
-the right language) and the rejection bound, in standard deviations of the chosen
-language's cross-entropy at the text's length, from the rows whose label has the least
-cross-entropy, so mislabelled rows don't loosen it: a high quantile, and where the rows are
-too few for it, the exponential tail that they have above their median, at
-``REJECTED`` of right rows.
+Calibration uses every training row of the tenth (by hash of the id) that no model is
+fitted on: the temperature of the score (likelihood of the right language) and the
+rejection bound, in standard deviations of the chosen language's cross-entropy at the
+text's length, from the rows whose label has the least cross-entropy, so mislabelled rows
+don't loosen it: a high quantile, and where the rows are too few for it, the exponential
+tail that they have above their median, at ``REJECTED`` of right rows. Sums, medians and
+quantiles are Spark aggregates; for quantiles values are rounded to ``DIGITS``, so that an
+aggregate holds a bounded number of them.
 
 Defined results: null texts and texts without a letter are ``und``, score 0,
 rejected; so is every text where no training row exists; equal cross-entropies go
@@ -34,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import doc_chunks, parts
+from furrow.llm.common import doc_chunks, parts, stage
 
 ORDER = 4
 BITS = 15                  # of a symbol: 32,766 letters have their own, more share the one of unseen letters
 UNSEEN = 1                 # symbol of letters that no training text holds; 0 is the space
-CALIBRATION_ROWS = 4_000
+TEMPERATURES = [2.0 ** k for k in range(0, 9)]
+DIGITS = 4                 # of cross-entropies and deviations in quantiles
+MOST = 100.0               # above which they count as this
 BOUND_QUANTILE = 0.999     # of the deviations of calibration rows
 REJECTED = 1e-4            # share of right rows that the tail's bound rejects
 OUTLIER = 6.0              # robust standard deviations beyond which a row isn't fitted
@@ -249,10 +252,7 @@ class Identifier:
         """From cross-entropies, symbols and right languages of rows with letters."""
         if not len(h):
             return
-        grid = [2.0 ** k for k in range(0, 9)]
-        gap = h - h.min(axis=1, keepdims=True)
-        own = gap[np.arange(len(h)), right]
-        self.temperature = max(grid, key=lambda t: float((-t * own - np.log(np.exp(-t * gap).sum(axis=1))).sum()))
+        self.temperature = TEMPERATURES[int(_likelihoods(h, right).sum(axis=0).argmax())]
         agree = h.argmin(axis=1) == right
         if agree.any():
             h, size, right = h[agree], size[agree], right[agree]
@@ -275,6 +275,13 @@ class Identifier:
         self.bound = max(float(np.quantile(away, BOUND_QUANTILE, method="higher")), tail)
 
 
+def _likelihoods(h: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(rows x temperatures) log likelihood of the right language."""
+    gap = h - h.min(axis=1, keepdims=True)
+    own = gap[np.arange(len(h)), right]
+    return np.column_stack([-t * own - np.log(np.exp(-t * gap).sum(axis=1)) for t in TEMPERATURES])
+
+
 def _usual(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Rows not far from the median, both as they are and at their length."""
     away = np.abs(h - np.median(h))
@@ -284,37 +291,86 @@ def _usual(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return keep
 
 
-def fit_identifier(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
-    """Learn from all ``rows`` with a language."""
+def _median(value):
+    return F.percentile(F.round(F.least(value, F.lit(MOST)), DIGITS), F.lit(0.5))
+
+
+def calibrate_rows(identifier: Identifier, seen: DataFrame) -> None:
+    """``Identifier.calibrate`` as aggregates over a table (lang: index of the right language,
+    h: its cross-entropy, size: symbols, agree: whether h is the least one, fit: log
+    likelihoods by temperature)."""
+    total = seen.agg(F.count("*").alias("n"), F.sum(F.col("agree").cast("int")).alias("agree"),
+                     *(F.sum(F.col("fit")[i]).alias(f"t{i}") for i in range(len(TEMPERATURES)))).first()
+    if not total["n"]:
+        return
+    identifier.temperature = TEMPERATURES[int(np.argmax([total[f"t{i}"] for i in range(len(TEMPERATURES))]))]
+    rows = (seen.where("agree") if total["agree"] else seen).select("lang", "h", F.col("size").cast("double").alias("size"))
+    # A language without rows takes all of them; it is -1 here.
+    there = {r["lang"] for r in rows.select("lang").distinct().collect()}
+    whole = rows if len(there) == len(identifier.langs) else rows.union(rows.select(F.lit(-1), "h", "size"))
+
+    def by_lang(name: str, of: dict[int, float]):
+        return F.element_at(F.create_map(*(F.lit(x) for pair in of.items() for x in pair)), F.col("lang")).alias(name)
+
+    middle = {r["lang"]: r["m"] for r in whole.groupBy("lang").agg(_median(F.col("h")).alias("m")).collect()}
+    away = whole.select("*", F.abs(F.col("h") - by_lang("m", middle)).alias("away"))
+    wide = {r["lang"]: r for r in away.groupBy("lang").agg(
+        _median(F.col("away")).alias("a"), _median(F.col("away") * F.sqrt("size")).alias("b")).collect()}
+    far = OUTLIER * 1.4826
+    # Rounding may take a little from a median; equal values must stay within it.
+    usual = away.where((F.col("away") <= by_lang("a", {k: far * r["a"] + 10.0 ** -DIGITS for k, r in wide.items()}))
+                       | (F.col("away") * F.sqrt("size") <= by_lang("b", {k: far * r["b"] + 10.0 ** -DIGITS for k, r in wide.items()})))
+    mean = {r["lang"]: r["m"] for r in usual.groupBy("lang").agg((F.sum(F.col("h") * F.col("size")) / F.sum("size")).alias("m")).collect()}
+    square, rest = F.pow(F.col("h") - by_lang("m", mean), F.lit(2.0)), 1 / F.col("size")
+    sums = {r["lang"]: r for r in usual.groupBy("lang").agg(
+        F.count("*").cast("double").alias("n"), F.sum(rest).alias("x"), F.sum(rest * rest).alias("xx"),
+        F.sum(square).alias("y"), F.sum(square * rest).alias("xy")).collect()}
+    spread = {}
+    for k, r in sums.items():
+        fit = (np.linalg.lstsq(np.array([[r["n"], r["x"]], [r["x"], r["xx"]]]), np.array([r["y"], r["xy"]]), rcond=None)[0]
+               if r["n"] > 2 else np.array([0.0, 1.0]))
+        spread[k] = (mean[k], max(float(fit[0]), 1e-3), max(float(fit[1]), 1.0))
+    identifier.spread = [spread.get(m, spread.get(-1)) for m in range(len(identifier.langs))]
+    of = {k: identifier.spread[k] for k in there}
+    deviation = ((F.col("h") - by_lang("m", {k: x[0] for k, x in of.items()}))
+                 / F.sqrt(by_lang("v", {k: x[1] for k, x in of.items()}) + by_lang("s", {k: x[2] for k, x in of.items()}) / F.col("size")))
+    away = rows.select(F.round(F.greatest(F.least(deviation, F.lit(MOST)), F.lit(-MOST)), DIGITS).alias("away"))
+    n = total["agree"] or total["n"]
+    high = np.ceil(BOUND_QUANTILE * (n - 1)) / max(n - 1, 1)        # an entry, not between two
+    ends = away.agg(F.percentile("away", F.lit(0.5)).alias("m"), F.percentile("away", F.lit(float(high))).alias("q")).first()
+    excess = away.where(F.col("away") > ends["m"]).agg(F.avg(F.col("away") - F.lit(ends["m"]))).first()[0]
+    tail = ends["m"] + (1.0 if excess is None else excess) * np.log(0.5 / REJECTED)
+    identifier.bound = max(float(ends["q"]), float(tail))
+
+
+def fit_identifier(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
+    """Learn from all ``rows`` with a language: nine tenths give the models, one tenth the calibration."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    drawn = F.xxhash64(F.lit("calibrate"), F.col(id_col).cast("string"))
-    part = F.pmod(drawn, F.lit(10))
+    part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col).cast("string")), F.lit(10))
     letters = letters_of(rows.where(part != 0), text_col)
     kept = _counted(rows.where(part != 0), lang_col, text_col, letters).toPandas()
     langs = sorted(kept["lang"].unique())
     models = [Model.fit(x["gram"].to_numpy(np.int64), x["n"].to_numpy(np.int64), len(letters) + 1)
               for x in (kept[kept["lang"] == lang] for lang in langs)]
     found = Identifier(langs, models, letters)
-    # About ``calibration_rows`` rows by hash, so that a task sends few more than its share.
-    there = rows.where(part == 0).count()
-    share = min(1.0, 1.1 * calibration_rows / max(there, 1))
-    sample = (rows.where((part == 0) & (F.pmod(F.shiftrightunsigned(drawn, 8), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
-              .where(F.col(lang_col).cast("string").isin(langs))
-              .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")))
-    table = symbol_table(letters)
+    if not langs:
+        return found
 
     def measure(batches):
+        table = symbol_table(letters)
         for batch in parts(batches, 1):
+            right = np.array([langs.index(x) for x in batch.column(0).to_pylist()], np.int64)
             h, size, n = entropies(models, [t or "" for t in batch.column(1).to_pylist()], table)
+            right, h, size = right[n > 0], h[n > 0], size[n > 0]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(h), pa.list_(pa.float64())), pa.array(size), pa.array(n)],
-                names=["lang", "h", "size", "letters"])
-
-    if langs:
-        seen = sample.mapInArrow(measure, "lang string, h array<double>, size bigint, letters bigint").where("letters > 0").collect()
-        found.calibrate(np.array([r["h"] for r in seen]).reshape(len(seen), len(langs)),
-                        np.array([r["size"] for r in seen], np.int64), np.array([langs.index(r["lang"]) for r in seen], np.int64))
+                [pa.array(right, pa.int32()), pa.array(h[np.arange(len(h)), right]), pa.array(size, pa.int64()),
+                 pa.array(h.argmin(axis=1) == right), pa.array(list(_likelihoods(h, right)), pa.list_(pa.float64()))],
+                names=["lang", "h", "size", "agree", "fit"])
+
+    held_out = (rows.where((part == 0) & F.col(lang_col).cast("string").isin(langs))
+                .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")))
+    calibrate_rows(found, stage(held_out.mapInArrow(measure, "lang int, h double, size bigint, agree boolean, fit array<double>"),
+                                "calibration"))
     return found
 
 

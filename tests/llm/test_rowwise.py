@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import secrets
+from furrow.llm import language, secrets
 from furrow.llm.boosting import fit_boosted
 from furrow.llm.common import NOT_SPACE, Words, runs_hash
 from furrow.llm.decontaminate import contamination, drop_contaminated
@@ -267,6 +267,36 @@ def test_mislabelled_calibration_rows_do_not_loosen_the_rejection():
     assert identifier.predict([t for t, _ in rows])[2].mean() <= 0.002
 
 
+@pytest.mark.parametrize("langs, some", [(["a", "b"], [0, 1]), (["a", "b", "c"], [0, 1])])
+def test_calibration_over_a_table_is_that_over_arrays(spark, langs, some):
+    """A rare tail counts too: no row of it may be left out."""
+    rnd = np.random.default_rng(6)
+    n = 3000
+    size, right = rnd.integers(20, 900, n), rnd.choice(some, n)
+    h = 3 + rnd.random((n, len(langs)))
+    h[np.arange(n), right] = 2 + 0.3 * right + rnd.normal(0, 0.05, n) + rnd.normal(0, 1, n) / np.sqrt(size)
+    h[:6, :] += 4
+    arrays, table = Identifier(langs, [], np.zeros(0, np.int64)), Identifier(langs, [], np.zeros(0, np.int64))
+    arrays.calibrate(h, size, right)
+    fit = language._likelihoods(h, right)
+    language.calibrate_rows(table, spark.createDataFrame(
+        [(int(r), float(h[i, r]), int(size[i]), bool(h[i].argmin() == r), fit[i].tolist()) for i, r in enumerate(right)],
+        "lang int, h double, size long, agree boolean, fit array<double>").repartition(5))
+    assert table.temperature == arrays.temperature
+    np.testing.assert_allclose(table.spread, arrays.spread, rtol=1e-3)
+    assert table.bound == pytest.approx(arrays.bound, rel=1e-3)
+
+
+def test_every_row_that_no_model_is_fitted_on_calibrates(spark, monkeypatch):
+    """Far more rows than any sample would hold."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("abab ab b"), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    held_out = docs.where(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id").cast("string")), F.lit(10)) == 0).count()
+    seen = []
+    monkeypatch.setattr(language, "calibrate_rows", lambda found, rows: seen.append(rows.count()))
+    fit_identifier(docs)
+    assert seen == [held_out]
+
+
 # ---- quality
 
 def test_trees_learn_a_planted_rule_and_traverse_flat_arrays():
