@@ -99,26 +99,35 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of letters only: joined by blanks, cut after each id that ends a word."""
-        out = []
+    def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids, numbers of ids), in parts, of words of letters only: joined by blanks, cut
+        after each id that ends a word."""
+        out, sizes = [], []
         groups = [words[a:a + JOINED] for a in range(0, len(words), JOINED)]
         for group, ids in zip(groups, self._whole([" ".join(g) for g in groups]), strict=True):
             ends = np.flatnonzero(self.last[ids]) + 1
             # Each word gives one end at least, so equal numbers mean exactly one each.
-            out += np.split(ids, ends[:-1]) if len(ends) == len(group) and ends[-1] == len(ids) else self._whole(group)
-        return out
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                out.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                found = self._whole(group)
+                out += found
+                sizes.append(np.array([len(f) for f in found], np.int64))
+        return out, sizes
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.known) > KEPT_PIECES:
             self._clear()
         words = [p for p in pieces if p.isalpha()]
         rest = [p for p in pieces if not p.isalpha()]
-        found = self._words(words) + self._whole(rest)
-        for i, piece in enumerate(words + rest, len(self.known)):
-            self.known[piece] = i
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(f) for f in found], dtype=np.int64)))
-        self.ids = np.concatenate((self.ids, *found))
+        found, sizes = self._words(words)
+        others = self._whole(rest)
+        sizes.append(np.array([len(f) for f in others], np.int64))
+        n = len(self.known)
+        self.known.update(zip(words + rest, range(n, n + len(pieces)), strict=True))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))))
+        self.ids = np.concatenate((self.ids, *found, *others))
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first id of each text and the end) of an Arrow column of texts."""
@@ -136,17 +145,21 @@ class Encoder:
         start = start[~blank[start]]                     # pieces of one blank hold nothing
         filled = np.concatenate(([0], np.cumsum(~blank)))
         cuts = np.append(filled[start], filled[-1])
-        special = np.add.reduceat(raw == 0x3C, start) > 0 if len(start) else np.zeros(0, bool)
-        kept = raw[~blank]
-        fold = _UPPER[kept] & ~np.repeat(special, np.diff(cuts))
+        kept, angle = raw[~blank], raw == 0x3C
+        fold = _UPPER[kept]
+        if len(start) and angle.any():                   # added tokens begin so and keep their case
+            fold &= ~np.repeat(np.add.reduceat(angle, start) > 0, np.diff(cuts))
         kept[fold] += 32
         data = pa.py_buffer(kept)
         coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts.astype(np.int64)), data).dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        fresh = [p for p in pieces if p not in self.known and len(p) <= PIECE_BYTES]
-        self._learn(fresh)
-        missing = [p for p in pieces if p not in self.known]     # long ones, and all others if the table was just cleared
-        at = np.fromiter((self.known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        places = list(map(self.known.get, pieces))
+        fresh = [p for p, place in zip(pieces, places, strict=True) if place is None and len(p) <= PIECE_BYTES]
+        if fresh:
+            self._learn(fresh)
+            places = list(map(self.known.get, pieces))
+        missing = [p for p, place in zip(pieces, places, strict=True) if place is None]   # long ones, and all others if the table was just cleared
+        at = np.array([-1 if place is None else place for place in places] if missing else places, np.int64)
         first, ids = self.first, self.ids
         if missing:
             found = self._whole(missing)
@@ -156,7 +169,7 @@ class Encoder:
         at = at[coded.indices.to_numpy()]
         size = first[at + 1] - first[at]
         done = np.concatenate(([0], np.cumsum(size)))
-        out = ids[np.arange(done[-1]) + np.repeat(first[at] - done[:-1], size)]
+        out = ids[np.arange(done[-1], dtype=np.int32) + np.repeat((first[at] - done[:-1]).astype(np.int32), size)]
         return out, done[np.searchsorted(start, offsets)]
 
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import language, secrets
+from furrow.llm import language, secrets, token_files
 from furrow.llm.boosting import fit_boosted
 from furrow.llm.common import NOT_SPACE, Words, runs_hash
 from furrow.llm.decontaminate import contamination, drop_contaminated
@@ -333,3 +333,14 @@ def test_quality_of_held_out_and_odd_rows(spark, odd, nothing):
     blank = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int")
     assert {r.score for r in score_quality(odd, fit_quality(odd, blank)).collect()} == {0.5}
     assert score_quality(nothing, model).count() == 0
+
+
+def test_known_pieces_are_not_learned_again(monkeypatch):
+    encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some plain words, again some words.", "<s> A<b <unk> x9 ünï", "", "z" * 100 + " again"] * 3
+    want = [i for e in encoder.library.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+    for times in range(2):
+        ids, first = encoder(token_files.pa.array(texts))
+        assert ids.tolist() == want and first[-1] == len(want)
+        if not times:
+            monkeypatch.setattr(encoder, "_learn", lambda pieces: pytest.fail("learned again"))
