@@ -12,7 +12,7 @@ its first id there. Files that a lost or repeated task left are in no index row,
 are never read. ``read_token_files`` goes by the index and gives each document's ids,
 ``digest_token_files`` their length and CRC-32.
 
-Encoding: where a vocabulary drops white space and never joins a letter with ``.,;:!?``
+Encoding: where a vocabulary drops white space and never joins letters, ASCII marks and digits
 (``apart``, read from its file), texts are cut there, and each distinct piece of a batch is
 encoded by the library once; a bounded table keeps pieces between batches. Other
 vocabularies encode whole texts.
@@ -29,6 +29,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import parts, stage, utf8
+from furrow.llm.common import LOWER, parts, stage, utf8
 from furrow.session import ensure_checkpoint_dir
 
 LENGTH = 2048             # ids of a sequence
@@ -51,25 +52,35 @@ PART_BYTES = 2 << 20      # text encoded at once
 
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_MARK = np.zeros(256, dtype=bool)
-_MARK[np.frombuffer(b".,;:!?", np.uint8)] = True
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Classes of bytes: letters 1, marks 2, digits 4, blanks 8, others 0 (also ' < | >, which join
+# letters). Places are cut beside blanks, between digits and between two of the first three.
+_BLANK = 8
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[np.frombuffer(b".,;:!?\"#$%&()*+-/=@[\\]^_`{}~", np.uint8)] = 2
+_CLASS[0x30:0x3A] = 4
+_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _BLANK
+_CUT = np.array([_BLANK in (a, b) or 0 not in (a, b) and (a != b or a == 4) for a in range(16) for b in range(16)])
+_PATTERN = re.compile(r"(?:'\w+\|)*(\[?)\\p\{L\}(\]?)\+\|(\[?)\\p\{N\}(\]?)\|\[\^\\s\\p\{L\}\\p\{N\}\]\+")
+
+
+def _cuts(kind: np.ndarray) -> np.ndarray:
+    """Whether tokens never join the bytes on both sides, for each place between bytes of these classes."""
+    return _CUT[kind[:-1] << 4 | kind[1:]]
 
 
 def apart(vocabulary: dict) -> bool:
     """Whether the vocabulary file says that white space is dropped, letters are lower-cased
-    and runs of letters and of marks are tokens of their own."""
+    and runs of letters, single digits and runs of marks are tokens of their own."""
     normal, cut = vocabulary.get("normalizer") or {}, vocabulary.get("pre_tokenizer") or {}
     first = (cut.get("pretokenizers") or [cut])[0]
     pattern = (first.get("pattern") or {}).get("Regex", "")
+    added = [t["content"] for t in vocabulary["added_tokens"]]
     return (any(n.get("type") == "Lowercase" for n in normal.get("normalizers", [normal]))
             and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
-            and re.search(r"\|\[?\\p\{L\}\]?\+\|", pattern) is not None and pattern.endswith(r"|[^\s\p{L}\p{N}]+")
+            and _PATTERN.fullmatch(pattern) is not None
             and vocabulary["model"].get("end_of_word_suffix") is not None
-            and not any(t["content"].strip("<|>").isspace() or not t["content"].startswith("<") for t in vocabulary["added_tokens"]))
+            and not any(t.strip("<|>").isspace() or not t.startswith("<") or _cuts(_CLASS[np.frombuffer(t.encode(), np.uint8)]).any() for t in added))
 
 
 class Encoder:
@@ -116,8 +127,13 @@ class Encoder:
                 sizes.append(np.array([len(f) for f in found], np.int64))
         return out, sizes
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > KEPT_PIECES:
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def _learn(self, pieces: list[str]) -> bool:
+        """Whether the table was cleared before it took the pieces."""
+        full = len(self.known) > KEPT_PIECES
+        if full:
             self._clear()
         words = [p for p in pieces if p.isalpha()]
         rest = [p for p in pieces if not p.isalpha()]
@@ -128,6 +144,7 @@ class Encoder:
         self.known.update(zip(words + rest, range(n, n + len(pieces)), strict=True))
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))))
         self.ids = np.concatenate((self.ids, *found, *others))
+        return full
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first id of each text and the end) of an Arrow column of texts."""
@@ -137,33 +154,37 @@ class Encoder:
             return np.concatenate((np.zeros(0, np.uint32), *found)), np.concatenate(([0], np.cumsum([len(f) for f in found], dtype=np.int64)))
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        blank, letter, mark = _BLANK[raw], _LETTER[raw], _MARK[raw]
-        cut = np.zeros(len(raw) + 1, dtype=bool)
-        cut[offsets] = cut[0] = True
-        cut[1:-1] |= blank[:-1] | blank[1:] | (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
-        start = np.flatnonzero(cut[:-1])
-        start = start[~blank[start]]                     # pieces of one blank hold nothing
-        filled = np.concatenate(([0], np.cumsum(~blank)))
-        cuts = np.append(filled[start], filled[-1])
-        kept, angle = raw[~blank], raw == 0x3C
-        fold = _UPPER[kept]
+        kind = _CLASS[raw]
+        cut = np.empty(len(raw) + 1, dtype=bool)
+        cut[1:-1] = _cuts(kind)
+        cut[offsets] = cut[0] = cut[-1] = True
+        edge = np.flatnonzero(cut)
+        filled = kind[edge[:-1]] != _BLANK                # pieces of one blank hold nothing
+        start = edge[:-1][filled]
+        cuts = np.concatenate(([0], np.cumsum(np.diff(edge)[filled])))
+        kept, angle = raw[kind != _BLANK], raw == 0x3C
         if len(start) and angle.any():                   # added tokens begin so and keep their case
-            fold &= ~np.repeat(np.add.reduceat(angle, start) > 0, np.diff(cuts))
-        kept[fold] += 32
+            fold = _UPPER[kept] & ~np.repeat(np.add.reduceat(angle, start) > 0, np.diff(cuts))
+            kept[fold] += 32
+        else:
+            kept = LOWER[kept]
         data = pa.py_buffer(kept)
         coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts.astype(np.int64)), data).dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        places = list(map(self.known.get, pieces))
-        fresh = [p for p, place in zip(pieces, places, strict=True) if place is None and len(p) <= PIECE_BYTES]
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = self._places(pieces)
+        new = np.flatnonzero(at < 0).tolist()
+        fresh = [p for p in map(pieces.__getitem__, new) if len(p) <= PIECE_BYTES]
         if fresh:
-            self._learn(fresh)
-            places = list(map(self.known.get, pieces))
-        missing = [p for p, place in zip(pieces, places, strict=True) if place is None]   # long ones, and all others if the table was just cleared
-        at = np.array([-1 if place is None else place for place in places] if missing else places, np.int64)
+            if self._learn(fresh):
+                at = self._places(pieces)
+                new = np.flatnonzero(at < 0).tolist()
+            else:
+                at[new] = self._places([pieces[i] for i in new])
         first, ids = self.first, self.ids
+        missing = [i for i in new if at[i] < 0]           # long ones, and all others if the table was just cleared
         if missing:
-            found = self._whole(missing)
-            at[at < 0] = len(first) - 1 + np.arange(len(missing))
+            found = self._whole([pieces[i] for i in missing])
+            at[missing] = len(first) - 1 + np.arange(len(missing))
             first = np.concatenate((first, first[-1] + np.cumsum([len(f) for f in found], dtype=np.int64)))
             ids = np.concatenate((ids, *found))
         at = at[coded.indices.to_numpy()]

@@ -1,6 +1,7 @@
 """Collocations, conversation repair and token files against plain versions."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -298,6 +299,26 @@ def test_pieces_give_the_library_ids_for_any_text(monkeypatch):
     assert len(ids) == first[1] == first[2] > 0
 
 
+def test_marks_and_digits_are_pieces_of_their_own():
+    """Words met beside other marks and numbers aren't encoded anew, and ids stay the library's."""
+    import pyarrow as pa
+    library = Tokenizer.from_file(VOCABULARY)
+    encode = T.Encoder(VOCABULARY)
+    texts = ["river*** river### (river) river=1980 1089", "RIVER's river'98 '5 *'s #'d <river> <|endoftext|>river", "=\u0338 river=\u0338 1\u20e3 9\u0301 *\u0301"]
+    ids, first = encode(pa.array(texts[:1]))
+    assert set(encode.known) == {"river", "***", "###", "(", ")", "=", *"1089"}
+    rnd = random.Random(12)
+    texts += ["".join(chr(rnd.randint(33, 126)) for _ in range(12)) for _ in range(2000)]
+    ids, first = encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[first[i]:first[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    with open(VOCABULARY, encoding="utf-8") as file:
+        vocabulary = json.load(file)
+    assert T.apart(vocabulary)
+    vocabulary["added_tokens"].append({"content": "<pad-1>"})
+    assert not T.apart(vocabulary)
+
+
 def test_no_rows_give_no_files(nothing):
     index = write_token_files(nothing, VOCABULARY, 2)
     assert index.collect() == [] and digest_token_files(index).collect() == []
