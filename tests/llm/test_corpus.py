@@ -357,6 +357,57 @@ def test_near_copies_whose_minima_meet_several_documents(spark):
     assert sum(b.num_rows for b in passages._candidates([batch(1)])) == 0
 
 
+def test_no_link_of_a_chain_is_lost(spark):
+    """The ends of each chain resemble its middle only, and the first has the smallest id, so
+    the others' windows meet its windows first."""
+    rnd = np.random.default_rng(14)
+    text = lambda n: [f"w{x}" for x in rnd.integers(0, 500_000, n)]
+    rows = []
+    for chain in range(40):
+        passage = text(60)
+        for k, edit in enumerate((20, None, 40)):
+            words = [f"new{chain}x{k}" if i == edit else w for i, w in enumerate(passage)]
+            rows.append((100 * k + chain, " ".join(text(int(rnd.integers(5, 40))) + words + text(20))))
+    got = {r.doc_id: r.class_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+
+
+def test_links_beside_a_common_phrase(spark):
+    """A phrase below the bound is in all documents, and in pairs or thirty of them a shared
+    stretch beside it that is too short for a minimum of its own."""
+    rnd = np.random.default_rng(15)
+    text = lambda n: [f"w{x}" for x in rnd.integers(0, 500_000, n)]
+    phrase, beside = text(37), [text(14) for _ in range(12)]
+    rows = [(i, " ".join(text(50) + phrase + text(1) + (beside[i % 10] if 40 <= i < 60 else beside[11] if i >= 60 else text(14)) + text(50)))
+            for i in range(90)]
+    got = {r.doc_id: r.class_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 40 + i % 10 if 40 <= i < 60 else min(i, 60) for i in range(90)}
+
+
+def test_passages_at_the_bound_are_verified():
+    rnd = np.random.default_rng(16)
+
+    def similar(s, o):
+        return len(set(s) & set(o)) >= 0.75 * len(set(s) | set(o))
+
+    for trial in range(300):
+        # Runs of shared tokens, breaks of 4 to 12 others on each side, other tokens around.
+        sizes = rnd.integers(12, 40, rnd.integers(1, 6))
+        s, o, a = [], [], 0
+        for k, size in enumerate(sizes.tolist()):
+            if k:
+                s += rnd.integers(10**6, 10**9, rnd.integers(4, 13)).tolist()
+                o += rnd.integers(10**6, 10**9, rnd.integers(4, 13)).tolist()
+            s, o, a = s + list(range(a, a + size)), o + list(range(a, a + size)), a + size
+        at_bound = len(s) >= passages.T and len(o) >= passages.T and similar(s, o)
+        around = [rnd.integers(10**9, 10**12, n).tolist() for n in rnd.integers(0, 90, 4)]
+        s, o = (np.array(x, np.uint64) for x in (around[0] + s + around[1], around[2] + o + around[3]))
+        found = list(passages.verified_runs(s, o))
+        assert found or not at_bound, trial
+        for a, b, oa, ob in found:
+            assert min(b - a, ob - oa) >= passages.T - 1 and similar(s[a:b + 1].tolist(), o[oa:ob + 1].tolist())
+
+
 # ---- mixing
 
 def _plain_targets(sizes):
