@@ -2,15 +2,17 @@
 mixing, and the pipeline."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from furrow.llm import fingerprint, minhash, passages, substring
-from furrow.llm.common import mix
+from furrow.llm.common import discard, mix, stage
 from furrow.llm.components import components
 from furrow.llm.fingerprint import PIECE_CHARS, fingerprints
 from furrow.llm.minhash import near_duplicates
@@ -408,6 +410,49 @@ def test_passages_at_the_bound_are_verified():
             assert min(b - a, ob - oa) >= passages.T - 1 and similar(s[a:b + 1].tolist(), o[oa:ob + 1].tolist())
 
 
+def test_pairs_of_classes_that_cannot_link_are_not_listed():
+    """Near copies edited everywhere share enough tokens for the bound, but nowhere close
+    enough together; the ones that do are all listed."""
+    rnd = np.random.default_rng(17)
+    n, base = 60, [f"w{x}" for x in rnd.integers(0, 50_000, 240)]
+    texts = []
+    for i in range(n):
+        keep = rnd.random(len(base)) > (1 / 12 if i % 10 else 1 / 150)
+        texts.append(" ".join(w if k else f"new{i}x{j}" for j, (w, k) in enumerate(zip(base, keep, strict=True))))
+    wanted = [[{"key": 1, "c": 118, "class": i, "covered": True}] for i in range(n)]
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32()), ("class", pa.int64()), ("covered", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts), pa.array(wanted, kind)], names=["id", "text", "wanted"])
+    listed = {(x, y) for b in passages._counted(passages._contexts([batch]))
+              for x, y in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)}
+    tokens = list(passages._token_lists(pa.array([x.encode() for x in texts])))
+    linked = {(i, j) for i in range(n) for j in range(i) if list(passages.verified_runs(tokens[i], tokens[j]))}
+    assert len(linked) >= 15 and linked <= listed and len(listed) <= len(linked) + n
+
+
+def test_contexts_of_verified_pairs_can_hold_passages():
+    rnd = np.random.default_rng(18)
+    found = 0
+    for _ in range(400):
+        base = rnd.choice(10**6, int(rnd.integers(50, 230)), replace=False)
+        s, o = ([int(x) if k else int(y) for x, y, k in zip(base, rnd.integers(10**6, 10**9, len(base)), rnd.random(len(base)) > p, strict=True)]
+                for p in rnd.random(2) * 0.3)
+        s, o = s[int(rnd.integers(0, 20)):], o[int(rnd.integers(0, 20)):]
+        if list(passages.verified_runs(*(np.array(x, np.uint64) for x in (s, o)))):
+            found += 1
+            number = np.unique(s + o, return_inverse=True)[1]
+            ordered = np.array([len(set(x)) == len(x) for x in (s, o)])
+            assert passages._can_hold_passage(np.array([1]), np.array([0]), number, np.array([len(s), len(o)]), ordered, np.arange(2)).all()
+    assert 50 < found < 350
+
+
+def test_staged_tables_of_a_round_are_deleted(spark):
+    table = stage(spark.range(10).toDF("x"))
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(folder)
+    discard(table)
+    assert not os.path.exists(folder)
+
+
 # ---- mixing
 
 def _plain_targets(sizes):
