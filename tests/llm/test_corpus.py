@@ -445,6 +445,15 @@ def test_contexts_of_verified_pairs_can_hold_passages():
     assert 50 < found < 350
 
 
+def test_contexts_beyond_the_text_of_a_repeated_id():
+    """Windows of one row of an id, and the shorter text of another one."""
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32()), ("class", pa.int64()), ("covered", pa.bool_())]))
+    wanted = pa.array([[{"key": 1, "c": c, "class": 3, "covered": False} for c in (500, 5)]], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array([3], pa.int64()), pa.array([" ".join(f"w{x}" for x in range(60))]), wanted], names=["id", "text", "wanted"])
+    (got,) = passages._contexts([batch])
+    assert got.column(4).to_pylist() == [[5], [500]] and list(map(len, got.column(7).to_pylist())) == [56 * passages._TOKEN_BYTES, 0]
+
+
 def test_staged_tables_of_a_round_are_deleted(spark):
     table = stage(spark.range(10).toDF("x"))
     folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
