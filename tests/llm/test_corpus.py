@@ -4,6 +4,7 @@ mixing, and the pipeline."""
 import hashlib
 import os
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -454,6 +455,50 @@ def test_contexts_beyond_the_text_of_a_repeated_id():
     assert got.column(4).to_pylist() == [[5], [500]] and list(map(len, got.column(7).to_pylist())) == [56 * passages._TOKEN_BYTES, 0]
 
 
+def _context_batch(rows):
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.bool_(), pa.binary())
+    names = ["key", "doc", "c", "class", "bare", "least", "ordered", "tokens"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def test_memory_of_a_counted_group_is_bounded():
+    """All pairs of a group share enough; they are not held at once."""
+    batch = _context_batch([(1, i, 9, 7, [9], 1, False, b"abcdefghi" + i.to_bytes(3, "little")) for i in range(4000)])
+    tracemalloc.start()
+    met = [b for b in passages._counted([batch]) if b.num_rows]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(int((np.asarray(b.column(8)) == passages._COUNTED).sum()) for b in met) == 4000 * passages.MOST
+    assert peak < 250 << 20
+
+
+def test_large_groups_of_windows_are_not_held(monkeypatch):
+    rnd = np.random.default_rng(19)
+    key, doc = np.sort(rnd.integers(0, 6, 4000) ** 3), rnd.integers(0, 300, 4000)
+    doc[np.flatnonzero(key == 1)[:40]] = 5
+    rows = sorted(set(zip(key.tolist(), doc.tolist(), rnd.integers(0, 900, 4000).tolist(), strict=True)))
+    columns = [np.array(c) for c in zip(*rows, strict=True)]
+    pieces = lambda n: [pa.RecordBatch.from_arrays([pa.array(c[a:a + n]) for c in columns], names=passages._WINDOW_NAMES) for a in range(0, len(rows), n)]
+    met = lambda n: sorted(r for b in passages._meetings(iter(pieces(n))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    whole = met(len(rows))
+    largest = []
+    monkeypatch.setattr(passages, "ROWS", 20)
+    inner = passages._group_meetings
+    monkeypatch.setattr(passages, "_group_meetings", lambda *x: (largest.append(len(x[0])), inner(*x))[1])
+    assert met(7) == whole and len(whole) > 3000 and max(largest) < 100
+
+
+def test_groups_dealt_as_blocks_give_the_same(spark, monkeypatch):
+    rnd = np.random.default_rng(20)
+    text = lambda n: [f"w{x}" for x in rnd.integers(0, 500_000, n)]
+    phrase, beside = text(37), [text(14) for _ in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(text(50) + phrase + text(1) + (beside[i % 10] if 40 <= i < 60 else text(14)) + text(50)))
+                                  for i in range(90)], "doc_id long, text string")
+    want = {r.doc_id: r.class_id for r in repeated_passages(docs).collect()}
+    monkeypatch.setattr(passages, "GROUP_BYTES", 16_000)
+    assert {r.doc_id: r.class_id for r in repeated_passages(docs).collect()} == want == {i: 40 + i % 10 if 40 <= i < 60 else i for i in range(90)}
+
+
 def test_staged_tables_of_a_round_are_deleted(spark):
     table = stage(spark.range(10).toDF("x"))
     folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
