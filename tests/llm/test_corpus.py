@@ -499,6 +499,24 @@ def test_groups_dealt_as_blocks_give_the_same(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in repeated_passages(docs).collect()} == want == {i: 40 + i % 10 if 40 <= i < 60 else i for i in range(90)}
 
 
+def test_uncovered_windows_meet_all_that_may_cover_them(spark):
+    """Round by round, until none is left; windows that a passage covers by then are out."""
+    n = 40
+    batch = _context_batch([(1, i, 9, 7, [9], 1, False, b"abcdefghi" + i.to_bytes(3, "little")) for i in range(n)])
+    met, lo, hi, more = set(), 0, passages.MOST, True
+    while more:
+        rows = [r for b in passages._counted([batch], lo, hi) for r in zip(*(b.column(k).to_pylist() for k in (0, 4, 8)), strict=True)]
+        met |= {r[:2] for r in rows if r[2] == passages._COUNTED}
+        more = any(r[2] == passages._MORE for r in rows)
+        lo, hi = hi, 2 * hi
+    assert met == {(i, j) for i in range(n) for j in range(n) if i != j}
+    contexts = spark.createDataFrame([(1, 5, 9, 7, [9, 300], 1, False, b"abc"), (1, 6, 9, 7, [9], 1, False, b"abc"), (2, 5, 9, 7, [9], 1, False, b"abc")],
+                                     passages._CONTEXT)
+    more = spark.createDataFrame([(5, 9, 1), (5, 300, 1), (6, 9, 1), (5, 9, 2)], "doc bigint, c int, key bigint")
+    spans = spark.createDataFrame([(5, 1, 0, 60), (6, 1, 250, 320)], "doc bigint, other bigint, start bigint, stop bigint")
+    assert {(r.key, r.doc, tuple(r.bare)) for r in passages._still_bare(contexts, more, spans).collect()} == {(1, 5, (300,)), (1, 6, (9,))}
+
+
 def test_staged_tables_of_a_round_are_deleted(spark):
     table = stage(spark.range(10).toDF("x"))
     folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
